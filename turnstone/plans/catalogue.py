@@ -1,0 +1,4 @@
+"""Queries on the driver's tables and their SQL."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
