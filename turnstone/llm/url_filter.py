@@ -105,7 +105,7 @@ def edges(pages: DataFrame) -> DataFrame:
 
 def judge(pages: DataFrame, rules=RULES, few: int = FEW) -> DataFrame:
     """pages (page_id, url, html) -> page_id, host, path, rule, verdict."""
-    linked = stage(edges(pages.select("url", "html")).select("a", "b").distinct())
+    linked = edges(pages.select("url", "html")).select("a", "b").distinct()
     groups = components(linked)
     nodes = groups.withColumn("url", F.concat(F.lit("x://"), "v"))
     told = with_rule(nodes.select("v", "component", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")), rules, few)
