@@ -202,7 +202,8 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, leaf_docs: i
     members = stage(classes.join(trees.select(F.col("v").alias("k1"), F.col("component").alias("tree")), "k1"))
     sizes = members.groupBy("tree").agg(F.greatest(F.ceil(F.count("*") / leaf_docs), F.ceil(F.sum("n") / leaf_shingles)).cast("int").alias("leaves"))
     wanted = members.join(sizes, "tree").select(F.col("rep").alias("doc_id"), F.col("k1").alias("w1"), F.col("k2").alias("w2"), "tree", "leaves")
-    sets = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_scan(k, num, den, True), _SCANNED)
+    # a fixed share of the corpus is wanted: merged at every size, so the plan of a small input is that of a large one
+    sets = docs.join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(_scan(k, num, den, True), _SCANNED)
     sets = sets.withColumnRenamed("k1", "w1").withColumnRenamed("k2", "w2").join(wanted, ["doc_id", "w1", "w2"])
     leaf, other = F.pmod(F.xxhash64("w1"), "leaves").cast("int"), F.col("other")
     dealt = sets.select("tree", "w1", "items", leaf.alias("leaf"), F.explode(F.sequence(F.lit(0), F.col("leaves") - 1)).alias("other"))
