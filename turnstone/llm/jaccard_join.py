@@ -6,9 +6,12 @@ Method, a count-vector R-tree:
 2. A set's shingles are hashed into groups. A pair that links differs in at most tau = (a + b)(den - num)/(den + num)
    shingles, which spoil at most tau groups; with more than tau groups filled, some filled group is the same in both.
    Group contents are therefore lossless keys: what shares no key cannot link. Sizes are cut into levels (each 1.5 times
-   the last) that fix the number of groups; a set also takes part in the next level if a partner may lie there. Sets
-   with tau or fewer filled groups all meet under one key of their level.
-3. Connected components of classes and keys (stars, not pairs) are the forests' trees: each becomes one R-tree, or,
+   the last) that fix the number of groups; a set also takes part in the next level if a partner may lie there.
+   Shingles that are frequent in a bounded sample stay out of the groups, so a common line makes no key (any choice of
+   such shingles is lossless; the sample moves the cost, not the result). Groups of two or more shingles are keys if over
+   tau groups are such, else all filled groups are; a set with tau or fewer filled groups, mostly common lines, also
+   gives the groups of all its shingles, and failing those too meets the others of its level that fail.
+3. Connected components of classes and keys (stars, not pairs) in a level are its trees: each becomes one R-tree, or,
    when it is large, leaves of bounded size whose every pair of leaves is joined in a task of its own.
 4. In a tree the points are vectors of shingle counts by group. For a query, the sum of coordinate minima with a node's
    upper corner bounds the overlap with all points below it, then the sum with each point the overlap with that point.
@@ -36,6 +39,8 @@ from .common import binary, components, only, pieces, slots, stage, unstage
 PIECE = 2 << 20
 #: Documents and shingles in a leaf; larger trees are cut into leaves that are joined pair by pair.
 LEAF_DOCS, LEAF_SHINGLES = 2048, 4_000_000
+#: The sample that tells frequent shingles: documents and their characters, documents that make one frequent, and how many.
+SAMPLE, SAMPLE_CHARS, MANY, MOST = 4000, 20_000, 4, 200_000
 #: Coordinates of a point, and points in a node.
 COORDINATES, NODE = 128, 32
 
@@ -44,54 +49,67 @@ _U = np.uint64
 
 def levels(num: int, den: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Upper sizes of the levels up to most (and one beyond), their tau, and their number of groups."""
+    def next_(top: int) -> int:
+        return max(top + 1, top * 3 // 2, -(-top * den // num))
+
     tops = [1]
     while tops[-1] <= most * den // num + 1:
-        tops.append(max(tops[-1] + 1, tops[-1] * 3 // 2))
-    tops.append(max(tops[-1] + 1, tops[-1] * 3 // 2))
+        tops.append(next_(tops[-1]))
+    tops.append(next_(tops[-1]))
     top = np.array(tops, np.int64)
     tau = 2 * top * (den - num) // (den + num)
-    return top, tau, tau + 2 + tau // 8
+    return top, tau, tau + 3 + tau // 5
 
 
-def signatures(h: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of each set: hashes, and each set's first. Sets that only their equals can link with have none."""
+def signatures(h: np.ndarray, first: np.ndarray, num: int, den: int, frequent: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """The level of each set, and for that level and the next the keys of each set: hashes, and each set's first. Sets
+    that only their equals can link with have none. frequent is sorted."""
     n = np.diff(first)
     rows = np.arange(len(n))
     top, tau, groups = levels(num, den, int(n.max(initial=1)))
     level = np.searchsorted(top, n)
-    owner, keys = [], []
-    up = 0
-    while True:
-        at = level + up
-        # a partner in this level is larger than the level below ends; it may be up to n * den / num
-        joins = (n > 0) & (at < len(top)) & ((up == 0) | (top[np.maximum(at - 1, 0)] * num < n * den))
-        if not joins.any():
-            break
-        at = np.minimum(at, len(top) - 1)
-        joins &= tau[at] > 0
+    rare = np.ones(len(h), bool)
+    if len(frequent) and len(h):
+        rare = frequent[np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)] != h
+    out = []
+    for up in (0, 1):
+        at = np.minimum(level + up, len(top) - 1)
+        # a partner in the next level is larger than this level ends; it may be up to n * den / num
+        joins = (n > 0) & (tau[at] > 0) & ((up == 0) | (top[at - 1] * num < n * den))
         g = np.where(joins, groups[at], 0)
         base = np.concatenate(([0], np.cumsum(g)))
-        if base[-1]:
-            keep = np.repeat(joins, n)
+        of = np.repeat(rows, g)
+        number = np.arange(base[-1]) - base[of]
+
+        def grouped(keep: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
+            """Size and key of each group of each set."""
+            keep = keep & np.repeat(joins, n)
             row = np.repeat(rows, n)[keep]
-            own = scan.mix(h[keep] + at[row].astype(_U) * _U(0x9E3779B97F4A7C15))
-            group = base[row] + ((own >> _U(33)).astype(np.int64) % g[row])
+            own = scan.mix(h[keep] + at[row].astype(_U) * _U(0x9E3779B97F4A7C15) + _U(salt))
+            group = base[row] + (own >> _U(33)).astype(np.int64) % g[row]
             low = np.bincount(group, (own & _U(0xFFFFFFFF)).astype(np.float64), base[-1]).astype(_U)
             high = np.bincount(group, (own >> _U(32)).astype(np.float64), base[-1]).astype(_U)
-            count = np.bincount(group, minlength=base[-1])
-            of = np.repeat(rows, g)
-            number = np.arange(base[-1]) - base[of]
-            key = scan.mix((low + (high << _U(32))) ^ scan.mix(at[of].astype(_U) * _U(1 << 32) + number.astype(_U)))
-            filled = np.bincount(of[count > 0], minlength=len(n))
-            few = np.flatnonzero(joins & (filled <= tau[at]))
-            owner += [of[count > 0], few]
-            keys += [key[count > 0], scan.mix(at[few].astype(_U) + _U(0xD1B54A32D192ED03))]
-        up += 1
-    if not owner:
-        return np.zeros(0, _U), np.zeros(len(first), np.int64)
-    who, key = np.concatenate(owner), np.concatenate(keys)
-    order = np.argsort(who, kind="stable")
-    return key[order], np.searchsorted(who[order], np.arange(len(first)))
+            key = scan.mix((low + (high << _U(32))) ^ scan.mix(at[of].astype(_U) * _U(1 << 32) + number.astype(_U) + _U(salt)))
+            return np.bincount(group, minlength=base[-1]), key
+
+        owner, keys = [np.zeros(0, np.int64)], [np.zeros(0, _U)]
+        if base[-1]:
+            size, key = grouped(rare, 0)
+            least = np.where(np.bincount(of[size > 1], minlength=len(n)) > tau[at], 2, 1)
+            use = size >= least[of]
+            few = joins & (np.bincount(of[size > 0], minlength=len(n)) <= tau[at])
+            owner.append(of[use])
+            keys.append(key[use])
+            if few.any():
+                size, key = grouped(np.repeat(few, n), 1)
+                use = (size > 0) & few[of]
+                last = np.flatnonzero(few & (np.bincount(of[size > 0], minlength=len(n)) <= tau[at]))
+                owner += [of[use], last]
+                keys += [key[use], scan.mix(at[last].astype(_U) + _U(0xD1B54A32D192ED03))]
+        who, key = np.concatenate(owner), np.concatenate(keys)
+        order = np.argsort(who, kind="stable")
+        out.append((key[order], np.searchsorted(who[order], np.arange(len(first)))))
+    return level, out
 
 
 def set_keys(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,8 +125,8 @@ def _lists(values: np.ndarray, first: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values.astype(np.int64)))
 
 
-def _scan(k: int, num: int, den: int, sets: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """doc_id, text -> doc_id, n, k1, k2 and the keys, or the sets themselves."""
+def _scan(k: int, num: int, den: int, frequent: np.ndarray | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """doc_id, text -> doc_id, n, k1, k2 and the level and keys, or without frequent the sets themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,14 +134,26 @@ def _scan(k: int, num: int, den: int, sets: bool) -> Callable[[Iterator[pa.Recor
             ids = batch.column(batch.schema.get_field_index("doc_id"))
             for at, to in pieces(text, PIECE):
                 h, first = scan.shingles(*scan.view(text, at, to), k)
-                k1, k2 = set_keys(h, first)
-                lists = _lists(h, first) if sets else _lists(*signatures(h, first, num, den))
-                yield pa.RecordBatch.from_arrays([ids.slice(at, to - at), pa.array(np.diff(first)), pa.array(k1), pa.array(k2), lists], ["doc_id", "n", "k1", "k2", "items"])
+                same = [ids.slice(at, to - at), pa.array(np.diff(first)), *(pa.array(x) for x in set_keys(h, first))]
+                if frequent is None:
+                    yield pa.RecordBatch.from_arrays([*same, _lists(h, first)], ["doc_id", "n", "k1", "k2", "items"])
+                else:
+                    level, keys = signatures(h, first, num, den, frequent)
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(level.astype(np.int32)), *(_lists(*x) for x in keys)], ["doc_id", "n", "k1", "k2", "level", "own", "above"])
 
     return run
 
 
-_SCANNED = "doc_id long, n long, k1 long, k2 long, items array<long>"
+_SETS = "doc_id long, n long, k1 long, k2 long, items array<long>"
+_KEYS = "doc_id long, n long, k1 long, k2 long, level int, own array<long>, above array<long>"
+
+
+def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
+    """Hashes of shingles that MANY or more of at most SAMPLE documents of at most SAMPLE_CHARS hold, at most MOST."""
+    ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    some = docs.where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(ids), "doc_id").mapInArrow(_scan(k, 1, 1, None), _SETS)
+    often = some.select(F.explode("items").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= MANY)
+    return np.sort(np.array([r.h for r in often.orderBy(F.desc("n"), "h").limit(MOST).collect()], np.int64).view(_U))
 
 
 def tree_links(keys: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> Iterator[tuple[int, int]]:
@@ -191,19 +221,23 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, leaf_docs: i
     links of a similarity of at least num/den reach."""
     parts = slots(docs.sparkSession)
     docs = only(docs, doc_id="long", text="string")
-    found = stage(docs.mapInArrow(_scan(k, num, den, False), _SCANNED))
-    classes = found.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
-
-    rows = found.where("doc_id is not null").select("k1", F.explode("items").alias("key")).repartition(parts, "key")
-    blocks = rows.groupBy("key").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo < hi")
-    stars = rows.join(blocks.select("key", "lo"), "key").where("k1 <> lo").select(F.col("lo").alias("a"), F.col("k1").alias("b")).distinct()
+    found = stage(docs.mapInArrow(_scan(k, num, den, frequent_shingles(docs, k)), _KEYS))
+    classes = found.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n", "level").agg(F.min("doc_id").alias("rep"))
+
+    # a class is a vertex of its own in either level
+    vertex = lambda up: F.xxhash64("k1", F.col("level") + up)
+    both = F.explode(F.array(F.struct(vertex(0).alias("v"), F.col("own").alias("keys")), F.struct(vertex(1).alias("v"), F.col("above").alias("keys"))))
+    rows = found.where("doc_id is not null").select(both.alias("x")).select("x.v", F.explode("x.keys").alias("key")).repartition(parts, "key")
+    blocks = rows.groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo < hi")
+    stars = rows.join(blocks.select("key", "lo"), "key").where("v <> lo").select(F.col("lo").alias("a"), F.col("v").alias("b")).distinct()
     trees = components(stars)
 
-    members = stage(classes.join(trees.select(F.col("v").alias("k1"), F.col("component").alias("tree")), "k1"))
+    places = classes.select("k1", "k2", "n", "rep", F.explode(F.array(vertex(0), vertex(1))).alias("v"))
+    members = stage(places.join(trees.select("v", F.col("component").alias("tree")), "v").drop("v"))
     sizes = members.groupBy("tree").agg(F.greatest(F.ceil(F.count("*") / leaf_docs), F.ceil(F.sum("n") / leaf_shingles)).cast("int").alias("leaves"))
     wanted = members.join(sizes, "tree").select(F.col("rep").alias("doc_id"), F.col("k1").alias("w1"), F.col("k2").alias("w2"), "tree", "leaves")
     # a fixed share of the corpus is wanted: merged at every size, so the plan of a small input is that of a large one
-    sets = docs.join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(_scan(k, num, den, True), _SCANNED)
+    sets = docs.join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(_scan(k, num, den, None), _SETS)
     sets = sets.withColumnRenamed("k1", "w1").withColumnRenamed("k2", "w2").join(wanted, ["doc_id", "w1", "w2"])
     leaf, other = F.pmod(F.xxhash64("w1"), "leaves").cast("int"), F.col("other")
     dealt = sets.select("tree", "w1", "items", leaf.alias("leaf"), F.explode(F.sequence(F.lit(0), F.col("leaves") - 1)).alias("other"))
@@ -211,7 +245,7 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, leaf_docs: i
     links = dealt.repartition(parts, "tree", "i", "j").sortWithinPartitions("tree", "i", "j").mapInArrow(_trees(num, den), "a long, b long")
     joined = components(links)
 
-    linked = joined.select(F.col("v").alias("k1"), "component").join(members.select("k1", "rep"), "k1")
+    linked = joined.select(F.col("v").alias("k1"), "component").join(classes.select("k1", "rep"), "k1")
     linked = linked.select("k1", "component").distinct().join(linked.groupBy("component").agg(F.min("rep").alias("root")), "component").select("k1", "root")
     labels = classes.join(linked, "k1", "left").select("k1", "k2", "n", F.coalesce("root", "rep").alias("label"))
     out = found.select("doc_id", "n", "k1", "k2").join(labels, ["k1", "k2", "n"], "left")
