@@ -5,7 +5,7 @@ either string, spans up to SPAN letters, and is normalised. Strings are words of
 digits and signs that stand for letters become them, other signs inside a word are skipped, and single letters in a row
 are one word, so i.d.i.o.t, id1ot, "i d i o t" and idixot all lie near idiot.
 
-Training (on the driver, over a bounded sample of labelled rows) works on sentences: those of clean documents are
+Training (in one task, over a bounded sample of labelled rows) works on sentences: those of clean documents are
 negative; of those of a toxic document, the ones with a telling word are positive, and so are those
 that the machine of the round before calls toxic; telling words also come with a letter inserted. A sentence is judged by its worst word. Features are the kernel
 with the landmarks (telling words, apart from each other, common clean words, and in each round the clean words nearest to the bound) times the inverse root of their Gram
@@ -24,6 +24,7 @@ held out; repeated labels of a document count as toxic if one is; without labels
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -334,8 +335,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         picked = some if picked is None else picked.unionByName(some)
     # at most MAX_TOXIC + MAX_CLEAN rows: a bound that no input moves
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= MAX_CHARS)
-    rows = texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic").toArrow().sort_by("doc_id")
-    return train([x.as_py().encode() for x in rows.column("text")], rows.column("toxic").to_numpy() == 1)
+    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").repartition(1)
+    return pickle.loads(rows.mapInArrow(_train, "model binary").collect()[0].model)
+
+
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sample, in one task -> the pickled model, one row."""
+    known: dict[int, tuple[bytes, int]] = {}
+    for batch in batches:
+        text = binary(batch, "text")
+        for i, (doc_id, toxic) in enumerate(zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "toxic")), strict=True)):
+            known[doc_id] = max(known.get(doc_id, (b"", 0)), (text[i].as_py(), toxic))
+    rows = [known[k] for k in sorted(known)]
+    model = train([x for x, _ in rows], np.array([y == 1 for _, y in rows], bool))
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
