@@ -1,4 +1,527 @@
-"""Queries on the driver's tables and their SQL."""
+"""Every operator bound to the driver's tables, and the SQL that must agree.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+conversations are turns, embeddings memory vectors (label: persona), documents drawers (lang: wing, source: room), events
+diary entries and facts, pages source paths."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from turnstone.functions import text as x
+from turnstone.functions.vectors import hashed_embedder
+from turnstone.operators import drawers, graph, ops, search, turns
+from turnstone.sources import chats
+from turnstone.streaming import ingest
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+# --- turns ----------------------------------------------------------------------------------------------------------
+
+_LEAD = "SELECT conv_id, turn, role, text, lead(role) OVER w AS nr, lead(text) OVER w AS nt FROM {t} WINDOW w AS (PARTITION BY conv_id ORDER BY turn)"
+_PAIRS = "SELECT conv_id, turn, text AS user_text, nt AS assistant_text FROM (" + _LEAD + ") WHERE role = 'user' AND nr = 'assistant' AND text <> '' AND nt <> ''"
+_ALL = _PAIRS.format(t="conversations")
+
+
+def _pairs(spark, sf):
+    return turns.pair(table(spark, sf, "conversations"), "conv_id", ["turn"])
+
+
+@query(_ALL)
+def pair_turns(spark, sf):
+    return _pairs(spark, sf)
+
+
+@query(_PAIRS.format(t="(SELECT * FROM conversations WHERE role <> 'system')"))
+def pair_turns_filtered(spark, sf):
+    return turns.pair(table(spark, sf, "conversations"), "conv_id", ["turn"], only=F.col("role") != "system")
+
+
+@query(f"SELECT * FROM ({_ALL}) WHERE length(assistant_text) >= 300")
+def pair_min_length(spark, sf):
+    return turns.long_enough(_pairs(spark, sf), 300)
+
+
+@query(f"SELECT conv_id, turn, 'User: ' || user_text || chr(10) || 'Assistant: ' || left(assistant_text, 200) AS full_text FROM ({_ALL})")
+def embed_text_trunc(spark, sf):
+    return _pairs(spark, sf).select("conv_id", "turn", x.embed_text(F.col("user_text"), F.col("assistant_text"), answer_chars=200).alias("full_text"))
+
+
+_STRIP = r"regexp_replace(coalesce({c}, ''), '^[\s\x{{A0}}]+|[\s\x{{A0}}]+$', '', 'g')"
+
+
+def _sql_id(*parts: str) -> str:
+    return "('0x' || substr(md5(" + " || chr(31) || ".join(_STRIP.format(c=p) for p in parts) + "), 1, 15))::BIGINT"
+
+
+@query(f"SELECT conv_id, turn, {_sql_id("'conversations'", 'conv_id::VARCHAR', "''", 'user_text', 'assistant_text')} AS id FROM ({_ALL})")
+def memory_ids(spark, sf):
+    return _pairs(spark, sf).select("conv_id", "turn", x.memory_id(F.lit("conversations"), F.col("conv_id"), F.col("user_text"), F.col("assistant_text")).alias("id"))
+
+
+@query(f"SELECT doc_id, {_sql_id('source', 'lang', 'left(text, 2048)')} AS id FROM documents")
+def document_ids(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", x.document_id(F.col("source"), F.col("lang"), F.col("text")).alias("id"))
+
+
+@query(f"SELECT id, max(doc_id) AS doc_id FROM (SELECT doc_id, {_sql_id('text')} AS id FROM documents) GROUP BY id")
+def dedup_latest(spark, sf):
+    return ops.latest(table(spark, sf, "documents").select("doc_id", x.stable_id(F.col("text")).alias("id")), "id", "doc_id")
+
+
+@query("SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END AS reader_role FROM conversations")
+def role_map(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", "user").otherwise("assistant").alias("reader_role"))
+
+
+@query("SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN turn % 3 = 0 THEN 0 ELSE turn::DOUBLE END, turn) - 1)::INT AS index FROM conversations")
+def openai_sort_nulls(spark, sf):
+    t = table(spark, sf, "conversations").withColumn("time", F.when(F.col("turn") % 3 != 0, F.col("turn").cast("double")))
+    return turns.chronological(t, "conv_id", "time", "turn").select("conv_id", "turn", "index")
+
+
+@query("SELECT conv_id, min(CASE WHEN contains(lower(text), 'the ') THEN turn END) AS matched FROM conversations GROUP BY conv_id")
+def match_turn_exact(spark, sf):
+    return turns.match_exact(table(spark, sf, "conversations"), "conv_id", "turn", "THE ")
+
+
+@query()
+def match_turn_fuzzy(spark, sf):
+    return turns.match_fuzzy(table(spark, sf, "conversations"), "conv_id", "turn", "plan the trip to the coast")
+
+
+_CENTER = "SELECT conv_id, (max(turn) // 2)::BIGINT AS center FROM conversations GROUP BY conv_id"
+
+
+def _centers(t):
+    return t.groupBy("conv_id").agg(F.floor(F.max("turn") / 2).alias("center"))
+
+
+@query(f"SELECT c.conv_id, c.turn, c.role, m.center FROM conversations c JOIN ({_CENTER}) m USING (conv_id) WHERE c.turn BETWEEN center - 2 AND center + 2")
+def context_window(spark, sf):
+    t = table(spark, sf, "conversations")
+    return turns.context(t, _centers(t), "conv_id", "turn", 2).select("conv_id", "turn", "role", "center")
+
+
+@query("SELECT conv_id, turn, min(turn) OVER w AS from_turn, max(turn) OVER w AS to_turn, (sum(length(text)) OVER w)::BIGINT AS frame_chars FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)")
+def context_all_rows(spark, sf):
+    return turns.frames(table(spark, sf, "conversations"), "conv_id", "turn", 2)
+
+
+@query(f"SELECT conv_id, n AS total_turns, center AS matched_turn_index, greatest(0, center - 2)::BIGINT AS range_from, least(n, center + 3)::BIGINT AS range_to, (SELECT count(*) FROM conversations c WHERE c.conv_id = m.conv_id AND c.turn BETWEEN center - 2 AND center + 2)::INT AS shown FROM ({_CENTER}) m JOIN (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) USING (conv_id)")
+def full_context(spark, sf):
+    t = table(spark, sf, "conversations")
+    out = turns.full_context(t, _centers(t), "conv_id", "turn", 2)
+    return out.select("conv_id", "total_turns", "matched_turn_index", F.col("context_range")[0].alias("range_from"), F.col("context_range")[1].alias("range_to"), F.size("turns").alias("shown"))
+
+
+@query("SELECT conv_id, turn, (least(2200, greatest(420, length(text) * 10)) / 2.0)::DOUBLE AS delay FROM conversations")
+def playback_delay(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", x.playback_delay(F.length("text"), 2.0).alias("delay"))
+
+
+# --- labels and text ------------------------------------------------------------------------------------------------
+
+ERAS = ("casino-win", "blog", "example.net", "/fr/")
+
+
+@query("SELECT page_id, CASE " + " ".join(f"WHEN contains(replace(lower(url), '_', '-'), '{e}') THEN '{e}'" for e in ERAS) + " ELSE 'other' END AS era FROM pages")
+def era_infer(spark, sf):
+    return table(spark, sf, "pages").select("page_id", x.infer_label(F.col("url"), ERAS, "other").alias("era"))
+
+
+@query("SELECT page_id, CASE WHEN trim(coalesce(url, '')) IN ('', 'unknown') THEN 'source pending' ELSE split_part(url, '/', -1) END AS label FROM pages")
+def source_label(spark, sf):
+    return table(spark, sf, "pages").select("page_id", x.source_label(F.col("url")).alias("label"))
+
+
+_FLAT = r"regexp_replace(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'), '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g')"
+
+
+@query(f"SELECT doc_id, CASE WHEN length({_FLAT}) <= 220 THEN {_FLAT} ELSE rtrim(left({_FLAT}, 217), ' ') || '...' END AS preview FROM documents")
+def preview(spark, sf):
+    return drawers.summary(table(spark, sf, "documents"), "doc_id", "text")
+
+
+_REDACT = "text"
+for _pattern, _to in (*x.SECRETS, x.TOKEN_ASSIGNMENT):
+    _REDACT = f"regexp_replace({_REDACT}, '{_pattern}', '{_to.replace('$1', chr(92) + '1')}', 'g')"
+
+
+@query(f"SELECT doc_id, md5({_REDACT}) AS redacted, {_REDACT} <> text AS changed FROM documents")
+def redact(spark, sf):
+    clean = x.redact(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(clean).alias("redacted"), (clean != F.col("text")).alias("changed"))
+
+
+@query(f"SELECT conv_id, turn, {_STRIP.format(c='user_text')} AS user_content, {_STRIP.format(c='assistant_text')} AS assistant_content FROM ({_ALL})")
+def export_training(spark, sf):
+    rows = ops.training_rows(_pairs(spark, sf), F.col("user_text"), F.col("assistant_text"), {"conv_id": F.col("conv_id"), "turn": F.col("turn")})
+    return rows.select("meta.conv_id", "meta.turn", F.col("messages")[0]["content"].alias("user_content"), F.col("messages")[1]["content"].alias("assistant_content"))
+
+
+# --- vectors --------------------------------------------------------------------------------------------------------
+
+
+def _vector(spark, sf, id_=0):
+    return table(spark, sf, "embeddings").where(F.col("vec_id") == id_).select("embedding").first()[0]
+
+
+_SCORE = "round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 4)"
+
+
+@query(f"SELECT vec_id, {_SCORE} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 10")
+def cosine_topk(spark, sf):
+    return search.top_k(table(spark, sf, "embeddings"), _vector(spark, sf), 10).select("vec_id", "score")
+
+
+@query(f"SELECT vec_id, {_SCORE} AS score FROM embeddings WHERE label = 3 ORDER BY score DESC, vec_id LIMIT 10")
+def cosine_topk_filtered(spark, sf):
+    return search.top_k(table(spark, sf, "embeddings"), _vector(spark, sf), 10, F.col("label") == 3).select("vec_id", "score")
+
+
+@query(f"SELECT vec_id, label, score, rank FROM (SELECT vec_id, label, {_SCORE} AS score, row_number() OVER (PARTITION BY label ORDER BY {_SCORE} DESC, vec_id)::INT AS rank FROM embeddings) WHERE rank <= 3")
+def topk_per_persona(spark, sf):
+    return search.top_k_by_group(table(spark, sf, "embeddings"), _vector(spark, sf), 3, "label")
+
+
+def _neighbours(spark, sf):
+    e = table(spark, sf, "embeddings")
+    found = search.search_block(e, e.where(F.col("vec_id") % 100 == 0), 10)
+    label = e.select(F.col("vec_id"), "label")
+    return found.join(label.withColumnsRenamed({"vec_id": "id", "label": "found"}), "id").join(label.withColumnsRenamed({"vec_id": "query_id", "label": "asked"}), "query_id")
+
+
+_NEAR = "SELECT q.vec_id AS query_id, e.vec_id AS id, q.label AS asked, e.label AS found, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id"
+_RANKED = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM ({_NEAR})) WHERE rank <= 10"
+
+
+@query(f"SELECT query_id, id, score, rank FROM ({_RANKED})")
+def cosine_search_block(spark, sf):
+    return _neighbours(spark, sf).select("query_id", "id", "score", "rank")
+
+
+@query(f"SELECT round(avg(a), 4) AS recall, round(avg(s), 4) AS precision FROM (SELECT max((asked = found)::INT) AS a, avg((asked = found)::INT::DOUBLE) AS s FROM ({_RANKED}) GROUP BY query_id)")
+def recall_at_k(spark, sf):
+    return search.recall_at_k(_neighbours(spark, sf), F.col("asked") == F.col("found"), 10)
+
+
+@query(f"SELECT round(avg(d / i), 4) AS ndcg FROM (SELECT sum((asked = found)::INT / log2(rank + 1)) AS d, sum(1 / log2(rank + 1)) AS i FROM ({_RANKED}) GROUP BY query_id)")
+def ndcg(spark, sf):
+    return search.ndcg(_neighbours(spark, sf), (F.col("asked") == F.col("found")).cast("int"), 10)
+
+
+def _hits(spark, sf):
+    top = search.top_k(table(spark, sf, "embeddings"), _vector(spark, sf), 5).select("vec_id", "score")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text", "lang", "source")
+    return search.project(top.join(docs, "vec_id"), F.col("vec_id"), F.col("lang"), F.col("text"), F.col("source"))
+
+
+_HITS = f"SELECT vec_id::VARCHAR AS point_id, score, left(coalesce(lang, 'Unknown'), 500) AS user_input, left(coalesce(text, '...'), 1000) AS ai_response, coalesce(source, 'unknown') AS source_file, split_part(source, '/', -1) AS source_label, source IS NOT NULL AND source <> '' AS has_full_context FROM (SELECT vec_id, {_SCORE} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 5) JOIN documents ON doc_id = vec_id"
+
+
+@query(_HITS)
+def search_projection(spark, sf):
+    return _hits(spark, sf)
+
+
+@query()
+def rehydration_prompt(spark, sf):
+    return search.prompt(_hits(spark, sf), "Archive", "Assistant", "what was said")
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE vec_id = 7")
+def retrieve_by_id(spark, sf):
+    return table(spark, sf, "embeddings").where(F.col("vec_id") == 7).select("vec_id", "label")
+
+
+@query("SELECT w.vec_id, CASE WHEN e.vec_id IS NULL THEN 'point_not_found' END AS error FROM (VALUES (7::BIGINT), (-7::BIGINT)) w(vec_id) LEFT JOIN embeddings e USING (vec_id)")
+def point_not_found(spark, sf):
+    wanted = spark.createDataFrame([(7,), (-7,)], "vec_id long")
+    known = table(spark, sf, "embeddings").select("vec_id", F.lit(True).alias("there"))
+    return wanted.join(known, "vec_id", "left").select("vec_id", F.when(F.col("there").isNull(), "point_not_found").alias("error"))
+
+
+# --- collections and drawers ----------------------------------------------------------------------------------------
+
+
+def _registry(spark):
+    return spark.range(12).select(F.col("id").cast("int").alias("label"), F.concat(F.lit("persona_"), "id").alias("collection"))
+
+
+_REGISTRY = "(SELECT range::INT AS label, 'persona_' || range AS collection FROM range(12))"
+
+
+@query(f"SELECT label, collection, n, n IS NOT NULL AS available FROM {_REGISTRY} LEFT JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY label) USING (label)")
+def collection_stats(spark, sf):
+    return ops.collection_stats(table(spark, sf, "embeddings"), _registry(spark), "label")
+
+
+@query("SELECT label, count(*) AS n FROM embeddings GROUP BY ROLLUP (label)")
+def stats_rollup(spark, sf):
+    return ops.totals(table(spark, sf, "embeddings"), "label")
+
+
+@query(f"SELECT label, collection FROM {_REGISTRY} WHERE label NOT IN (SELECT label FROM embeddings)")
+def missing_required(spark, sf):
+    return ops.missing(_registry(spark), table(spark, sf, "embeddings").select("label").distinct(), "label")
+
+
+@query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+def list_wings(spark, sf):
+    return drawers.counts(table(spark, sf, "documents"), "lang")
+
+
+@query("SELECT source, count(*) AS n FROM documents WHERE lang = 'en' GROUP BY source")
+def list_rooms(spark, sf):
+    return drawers.counts(drawers.where_all(table(spark, sf, "documents"), lang="en"), "source")
+
+
+@query("SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source")
+def taxonomy(spark, sf):
+    return drawers.counts(table(spark, sf, "documents"), "lang", "source")
+
+
+@query("SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 6")
+def top_groups(spark, sf):
+    return drawers.top_groups(table(spark, sf, "documents"), "source")
+
+
+@query("SELECT count(*) AS drawers, count(DISTINCT lang) AS wings, count(DISTINCT source) AS rooms FROM documents")
+def dashboard_summary(spark, sf):
+    return drawers.dashboard(table(spark, sf, "documents"), "lang", "source")
+
+
+_FILED = "(SELECT doc_id, lang, source, CASE WHEN doc_id % 7 <> 0 THEN lpad((n_chars % 1000)::VARCHAR, 4, '0') END AS filed_at FROM documents)"
+
+
+def _filed(spark, sf):
+    stamp = F.when(F.col("doc_id") % 7 != 0, F.lpad((F.col("n_chars") % 1000).cast("string"), 4, "0"))
+    return table(spark, sf, "documents").select("doc_id", "lang", "source", stamp.alias("filed_at"))
+
+
+@query(f"SELECT * FROM {_FILED} WHERE lang = 'en' AND source = 'src1' ORDER BY coalesce(filed_at, '') DESC, doc_id LIMIT 5 OFFSET 3")
+def browse_page(spark, sf):
+    return drawers.page(drawers.where_all(_filed(spark, sf), lang="en", source="src1"), "doc_id", 5, 3)
+
+
+@query(f"SELECT * FROM {_FILED} ORDER BY coalesce(filed_at, '') DESC, doc_id LIMIT 6")
+def recent_drawers(spark, sf):
+    return drawers.page(_filed(spark, sf), "doc_id", 6)
+
+
+@query("SELECT doc_id, source, doc_id = 21 AS is_current FROM documents WHERE source = (SELECT source FROM documents WHERE doc_id = 21)")
+def siblings(spark, sf):
+    return drawers.siblings(table(spark, sf, "documents"), "doc_id", 21, "source", "doc_id").select("doc_id", "source", "is_current")
+
+
+@query("SELECT doc_id FROM documents WHERE lang = 'fr' AND source = 'src3'")
+def where_and(spark, sf):
+    return drawers.where_all(table(spark, sf, "documents"), lang="fr", source="src3", kind=None).select("doc_id")
+
+
+@query("SELECT item_id FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.text = b.text)")
+def check_duplicate(spark, sf):
+    return drawers.add(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "text").select("item_id")
+
+
+# --- diary, facts and tunnels ---------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, event_type, value FROM events WHERE user_id = (SELECT min(user_id) FROM events) ORDER BY ts DESC, event_id LIMIT 10")
+def diary_last_n(spark, sf):
+    e = table(spark, sf, "events")
+    one = e.agg(F.min("user_id").alias("user_id"))
+    return e.join(F.broadcast(one), "user_id").orderBy(F.desc("ts"), "event_id").limit(10).select("event_id", "event_type", "value")
+
+
+_FACTS = "(SELECT 'u' || user_id AS subject, event_type AS predicate, 'k' || json_extract_string(props, '$.k') AS object, ts AS valid_from, lead(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS valid_to FROM events)"
+_AT = "TIMESTAMP '2024-01-05 00:00:00'"
+
+
+def _facts(spark, sf):
+    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
+    return table(spark, sf, "events").select(F.concat(F.lit("u"), "user_id").alias("subject"), F.col("event_type").alias("predicate"), F.concat(F.lit("k"), F.get_json_object("props", "$.k")).alias("object"), F.col("ts").alias("valid_from"), F.lead("ts").over(w).alias("valid_to"))
+
+
+def _middle(facts):
+    return facts.agg(F.min("valid_from").alias("a"), F.max("valid_from").alias("b")).select((F.unix_seconds(F.col("a").cast("timestamp")) / 2 + F.unix_seconds(F.col("b").cast("timestamp")) / 2).cast("bigint").alias("s"))
+
+
+@query(f"SELECT subject, predicate, object FROM {_FACTS}, (SELECT make_timestamp(((epoch(min(ts))::BIGINT / 2 + epoch(max(ts))::BIGINT / 2)::BIGINT) * 1000000) AS t FROM events) WHERE valid_from <= t AND (valid_to IS NULL OR valid_to > t)")
+def kg_asof(spark, sf):
+    facts = _facts(spark, sf)
+    kind = facts.schema["valid_from"].dataType
+    timed = facts.join(F.broadcast(_middle(facts).select(F.timestamp_seconds("s").cast(kind).alias("t"))))
+    return graph.as_of(timed, F.col("t")).select("subject", "predicate", "object")
+
+
+@query(f"SELECT 'outgoing' AS direction, subject, predicate, object FROM {_FACTS} WHERE subject = 'u1' UNION ALL SELECT 'incoming', subject, predicate, object FROM {_FACTS} WHERE object = 'u1'")
+def kg_direction_both(spark, sf):
+    return graph.about(_facts(spark, sf), "u1").select("direction", "subject", "predicate", "object")
+
+
+@query(f"SELECT subject, predicate, object, valid_to IS NULL AS current FROM {_FACTS} WHERE subject = 'u2' OR object = 'u2'")
+def kg_timeline(spark, sf):
+    return graph.timeline(_facts(spark, sf), "u2").select("subject", "predicate", "object", F.col("valid_to").isNull().alias("current"))
+
+
+@query(f"SELECT (SELECT count(DISTINCT e) FROM (SELECT subject AS e FROM {_FACTS} UNION ALL SELECT object FROM {_FACTS})) AS entities, count(*) AS triples, count(*) FILTER (valid_to IS NULL) AS current_facts, count(*) FILTER (valid_to IS NOT NULL) AS expired_facts, (SELECT string_agg(event_type, ',' ORDER BY event_type) FROM (SELECT DISTINCT event_type FROM events)) AS relationship_types FROM {_FACTS}")
+def kg_stats(spark, sf):
+    return graph.fact_stats(_facts(spark, sf))
+
+
+@query(f"SELECT subject, predicate, object, count(*) FILTER (valid_to IS NULL AND NOT (subject = 'u3' AND predicate = 'click')) AS current FROM {_FACTS} GROUP BY ALL")
+def kg_invalidate(spark, sf):
+    facts = _facts(spark, sf)
+    objects = [r[0] for r in facts.where("subject = 'u3' and predicate = 'click' and valid_to is null").select("object").distinct().collect()]
+    for o in objects:
+        facts = graph.invalidate(facts, "u3", "click", o, F.col("valid_from"))
+    return facts.groupBy("subject", "predicate", "object").agg(F.count_if(F.col("valid_to").isNull()).alias("current"))
+
+
+_TOXIC = "(SELECT d.* FROM documents d JOIN (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1) USING (doc_id))"
+
+
+def _toxic(spark, sf):
+    return table(spark, sf, "documents").join(table(spark, sf, "labels").where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+
+
+@query(f"SELECT source AS room, string_agg(lang, ',' ORDER BY lang) AS wings, sum(n)::BIGINT AS n FROM (SELECT source, lang, count(*) AS n FROM {_TOXIC} GROUP BY ALL) GROUP BY source HAVING count(*) >= 2")
+def tunnels(spark, sf):
+    return graph.tunnels(_toxic(spark, sf), "lang", "source")
+
+
+@query(f"SELECT source FROM {_TOXIC} WHERE lang = 'en' INTERSECT SELECT source FROM {_TOXIC} WHERE lang = 'fr'")
+def tunnels_between(spark, sf):
+    return graph.tunnels_between(_toxic(spark, sf), "lang", "source", "en", "fr")
+
+
+@query(f"SELECT count(*) AS total_rooms, count(*) FILTER (w >= 2) AS tunnel_rooms, sum(w * (w - 1) / 2)::BIGINT AS total_edges FROM (SELECT source, count(DISTINCT lang) AS w FROM {_TOXIC} GROUP BY source)")
+def graph_stats(spark, sf):
+    return graph.graph_stats(_toxic(spark, sf), "lang", "source")
+
+
+@query(f"WITH RECURSIVE l AS (SELECT DISTINCT source AS room, lang FROM {_TOXIC}), r AS (SELECT 'src1' AS room, 0 AS hops UNION SELECT b.room, hops + 1 FROM r JOIN l a ON a.room = r.room JOIN l b ON b.lang = a.lang WHERE hops < 2) SELECT room, min(hops)::INT AS hops FROM r GROUP BY room")
+def traverse(spark, sf):
+    return graph.traverse(_toxic(spark, sf), "lang", "source", "src1", 2)
+
+
+# --- incremental, health and sync -----------------------------------------------------------------------------------
+
+
+@query("SELECT lang AS source, md5(string_agg(source || '/' || doc_id || ':' || n_chars, '' ORDER BY source || '/' || doc_id || ':' || n_chars)) AS fingerprint FROM documents GROUP BY lang")
+def fingerprint(spark, sf):
+    d = table(spark, sf, "documents").withColumn("path", F.concat_ws("/", "source", F.col("doc_id").cast("string")))
+    return ops.fingerprint(d.select(F.col("lang").alias("source"), "path", "n_chars"), F.col("path"), F.col("n_chars"), "source")
+
+
+@query("SELECT lang AS source FROM documents WHERE lang <> 'de' GROUP BY lang")
+def changed_sources(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("lang").alias("source"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.col("n_chars").alias("changed"))
+    state = ops.fingerprint(d.where("source = 'de'"), F.col("path"), F.col("changed"), "source")
+    return ingest.changed(d, state).select("source")
+
+
+@query("SELECT sum(CASE WHEN ok THEN weight ELSE 0 END)::DOUBLE AS score, sum(weight)::DOUBLE AS possible, min(ok::INT)::INT AS all_ok FROM (SELECT count(*) > 0 AS ok, 2.0 AS weight FROM documents UNION ALL SELECT count(*) > 0, 3.0 FROM conversations UNION ALL SELECT count(*) < 0, 5.0 FROM embeddings)")
+def health_score(spark, sf):
+    has = lambda t, ok, w: table(spark, sf, t).agg(F.count("*").alias("n")).select(ok(F.col("n")).alias("ok"), F.lit(w).alias("weight"))
+    return ops.health_score(has("documents", lambda n: n > 0, 2.0).unionByName(has("conversations", lambda n: n > 0, 3.0)).unionByName(has("embeddings", lambda n: n < 0, 5.0)))
+
+
+@query("SELECT event_id, block FROM (SELECT event_id, event_id // 10 AS block FROM events WHERE event_type = 'view') WHERE block NOT IN (SELECT event_id // 10 FROM events WHERE event_type = 'click')")
+def unacked(spark, sf):
+    e = table(spark, sf, "events").select("event_id", F.floor(F.col("event_id") / 10).alias("block"), "event_type")
+    return ops.unacknowledged(e.where("event_type = 'view'").drop("event_type"), e.where("event_type = 'click'").select("block"), "block")
+
+
+@query("SELECT doc_id, ('L' || (doc_id % 5 + 1)) AS level FROM documents WHERE doc_id % 5 + 1 <= 3")
+def access_filter(spark, sf):
+    levels = spark.createDataFrame([(f"L{i}", i) for i in range(1, 6)], "level string, rank int")
+    d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("L"), (F.col("doc_id") % 5 + 1).cast("string")).alias("level"))
+    return d.join(levels.where("rank <= 3"), "level").select("doc_id", "level")
+
+
+@query("SELECT event_type, user_id % 10 AS project, count(*) AS n FROM events GROUP BY GROUPING SETS ((event_type), (user_id % 10), ())")
+def dashboards(spark, sf):
+    table(spark, sf, "events").selectExpr("event_type", "user_id % 10 AS project").createOrReplaceTempView("turnstone_tasks")
+    return spark.sql("SELECT event_type, project, count(*) AS n FROM turnstone_tasks GROUP BY GROUPING SETS ((event_type), (project), ())")
+
+
+@query("SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 48 HOURS")
+def session_48h(spark, sf):
+    e = table(spark, sf, "events")
+    return e.join(F.broadcast(e.agg(F.max("ts").alias("last")))).where("ts >= last - INTERVAL 48 HOURS").select("event_id")
+
+
+@query("WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, floor(epoch(min(ts)))::BIGINT AS start_s, count(*) AS n FROM s GROUP BY user_id, s")
+def event_sessions(spark, sf):
+    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return ingest.sessions(e).select("user_id", F.unix_seconds("start").alias("start_s"), "n")
+
+
+@query()
+def hashed_embeddings(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", hashed_embedder(64)(F.col("text")).alias("embedding"))
+
+
+# --- parsers, over lines made from the turns ------------------------------------------------------------------------
+
+
+def _jsonl(spark, sf, line):
+    t = table(spark, sf, "conversations")
+    rows = t.select("conv_id", F.struct("turn", line.alias("line")).alias("l")).groupBy("conv_id").agg(F.array_sort(F.collect_list("l")).alias("ls"))
+    return rows.select(F.concat(F.lit("/s/"), F.col("conv_id").cast("string"), F.lit(".jsonl")).alias("path"), F.concat(F.array_join(F.transform("ls", lambda x: x["line"]), "\n"), F.lit("\n\nnot json\n")).alias("value"))
+
+
+_PARSED = f"SELECT '/s/' || conv_id || '.jsonl' AS path, user_text AS user_input, assistant_text AS ai_response FROM ({{p}})"
+
+
+@query(_PARSED.format(p=_ALL))
+def parse_claude(spark, sf):
+    line = F.to_json(F.struct("role", F.col("text").alias("content")))
+    return chats.parse_sessions(_jsonl(spark, sf, line)).select("path", "user_input", "ai_response")
+
+
+@query(_PARSED.format(p=_PAIRS.format(t="(SELECT * FROM conversations WHERE role IN ('user', 'assistant'))").replace("text AS user_text", "text AS user_text")))
+def parse_codex(spark, sf):
+    content = F.array(F.struct(F.when(F.col("role") == "user", "input_text").otherwise("output_text").alias("type"), "text"))
+    line = F.to_json(F.struct(F.lit("response_item").alias("type"), F.struct(F.lit("message").alias("type"), "role", content.alias("content")).alias("payload")))
+    return chats.parse_items(_jsonl(spark, sf, line)).select("path", "user_input", "ai_response")
+
+
+@query("SELECT '/s/' || conv_id || '.jsonl' AS path, 'claude_jsonl' AS format FROM conversations GROUP BY conv_id")
+def detect_format(spark, sf):
+    return chats.detect_format(_jsonl(spark, sf, F.to_json(F.struct("role", F.col("text").alias("content")))))
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns -> pairs -> ids and vectors -> the pairs most like the first one."""
+    pairs = turns.long_enough(_pairs(spark, sf))
+    body = x.embed_text(F.col("user_text"), F.col("assistant_text"))
+    points = pairs.select(x.memory_id(F.lit("conversations"), F.col("conv_id"), F.col("user_text"), F.col("assistant_text")).alias("vec_id"), "user_text", "assistant_text", F.lit("conversations").alias("source"), hashed_embedder()(body).alias("embedding"))
+    question = points.orderBy("vec_id").select("embedding").first()[0]
+    return search.project(search.top_k(points, question, 5), F.col("vec_id"), F.col("user_text"), F.col("assistant_text"), F.col("source"))
+
+
+QUERIES["flagship"] = flagship
