@@ -65,23 +65,23 @@ def mix(docs: DataFrame, slim: bool = False) -> DataFrame:
     drawn = stage(drawn)
 
     bins = drawn.groupBy("m_source", "m_bin").agg(F.sum("m_size").alias("words"))
-    plan = targets(bins.groupBy("m_source").agg(F.sum("words").alias("source_size")))
-    plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
-    plan = plan.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
+    plan = targets(bins.groupBy("m_source").agg(F.sum("words").alias("source_size"))).withColumnsRenamed({"source_size": "m_source_size", "target": "m_target"})
+    plan = plan.withColumn("m_epochs", F.when(F.col("m_source_size") > 0, F.floor(F.col("m_target") / F.col("m_source_size"))).otherwise(0))
+    plan = plan.withColumn("m_budget", F.col("m_target") - F.col("m_epochs") * F.col("m_source_size"))
     upto = Window.partitionBy("m_source").orderBy("m_bin").rowsBetween(Window.unboundedPreceding, 0)
     ends = bins.withColumn("end", F.sum("words").over(upto)).join(plan.withColumnRenamed("m_source", "s"), F.col("m_source").eqNullSafe(F.col("s"))).drop("s")
     # the first bin that ends beyond the budget holds the bound; the bins before it are in, those after it out
-    bound = ends.where(F.col("end") > F.col("budget")).groupBy("m_source").agg(F.min(F.struct("m_bin", (F.col("end") - F.col("words")).alias("before"))).alias("at"))
-    plan = plan.join(bound.withColumnRenamed("m_source", "b"), F.col("m_source").eqNullSafe(F.col("b")), "left").select(F.col("m_source").alias("p"), "source_size", "target", "epochs", "budget", F.coalesce("at.m_bin", F.lit(BINS)).alias("bound"), F.col("at.before").alias("before"))
-    plan = stage(plan)
+    bound = ends.where(F.col("end") > F.col("m_budget")).groupBy("m_source").agg(F.min(F.struct("m_bin", (F.col("end") - F.col("words")).alias("before"))).alias("at"))
+    plan = plan.join(bound.withColumnRenamed("m_source", "b"), F.col("m_source").eqNullSafe(F.col("b")), "left")
+    plan = stage(plan.select(F.col("m_source").alias("m_plan"), "m_source_size", "m_target", "m_epochs", "m_budget", F.coalesce("at.m_bin", F.lit(BINS)).alias("m_bound"), F.col("at.before").alias("m_before")))
 
-    known = drawn.join(plan, F.col("m_source").eqNullSafe(F.col("p"))).drop("p")
-    inside = known.where(F.col("m_bin") == F.col("bound"))
+    known = drawn.join(plan, F.col("m_source").eqNullSafe(F.col("m_plan"))).drop("m_plan")
+    inside = known.where(F.col("m_bin") == F.col("m_bound"))
     above = Window.partitionBy("m_source").orderBy("m_key", F.col("doc_id").asc_nulls_first(), "m_size").rowsBetween(Window.unboundedPreceding, 0)
-    taken = 2 * (F.col("before") + F.sum("m_size").over(above)) - F.col("m_size") <= 2 * F.col("budget")
-    decided = known.where(F.col("m_bin") != F.col("bound")).withColumn("m_in", F.col("m_bin") < F.col("bound"))
+    taken = 2 * (F.col("m_before") + F.sum("m_size").over(above)) - F.col("m_size") <= 2 * F.col("m_budget")
+    decided = known.where(F.col("m_bin") != F.col("m_bound")).withColumn("m_in", F.col("m_bin") < F.col("m_bound"))
     out = decided.unionByName(inside.withColumn("m_in", taken))
-    return out.withColumn("m_times", F.when(F.col("m_size") > 0, F.col("epochs") + F.col("m_in").cast("long")).otherwise(0)).withColumnsRenamed({"source_size": "m_source_size", "target": "m_target"})
+    return out.withColumn("m_times", F.when(F.col("m_size") > 0, F.col("m_epochs") + F.col("m_in").cast("long")).otherwise(0))
 
 
 def op1_source_mixing(spark, sf_dir: str) -> DataFrame:

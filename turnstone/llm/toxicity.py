@@ -49,6 +49,8 @@ RARE = 20
 MOST_BOUND = 0.4
 #: Kernel value from which a clean word is like a telling one.
 LIKE = 0.15
+#: Other clean words that the machine sees, at least, where there are as many.
+BIAS = 5000
 #: Weight of a telling word with an inserted letter counts as.
 SPOILT = 1.0
 PIECE = 2 << 20
@@ -287,13 +289,16 @@ def train(texts: list[bytes], toxic: np.ndarray) -> Model:
     known = np.zeros(len(at), bool)
     known[telling] = True
     value_of = np.where(known, tells, -1.0)
+    every = np.flatnonzero(in_clean > 0)
+    spread = np.zeros(len(at), bool)
+    spread[every[:: max(1, len(every) // BIAS)]] = True
     for _ in range(ROUNDS):
         table = features(*_take(letters, first, np.array(marks)))
         value, vector = np.linalg.eigh((table.T @ table).astype(float))
         root = vector / np.sqrt(np.maximum(value, 1e-3)) @ vector.T
         alike = kernel(letters, first, table)
-        # clean words like no telling one hardly move the machine; a tenth of them holds the bias
-        clean = np.flatnonzero((in_clean > 0) & ((alike[:, : len(positive)].max(1) > LIKE) | (np.arange(len(at)) % 10 == 0)))
+        # clean words like no telling one hardly move the machine; some of them hold the bias
+        clean = np.flatnonzero((in_clean > 0) & ((alike[:, : len(positive)].max(1) > LIKE) | spread))
         x = alike @ root.astype(np.float32)
         del alike
         spoilt = kernel(*_insertions(letters, first, np.array(positive)), table) @ root.astype(np.float32)
@@ -308,7 +313,6 @@ def train(texts: list[bytes], toxic: np.ndarray) -> Model:
         w = _newton(xs, np.concatenate((np.ones(len(some) + len(spoilt)), -np.ones(len(clean)))), cost)
         value_of = x @ w[:-1].astype(np.float32) + np.float32(w[-1])
         # the clean words that come nearest to the bound are landmarks of the next round
-        every = np.flatnonzero(in_clean > 0)
         near = every[np.argsort(-value_of[every], kind="stable")[:256]]
         marks = marks + [i for i in apart(near[usable[near] & (value_of[near] > -1)], HARD, 0.9) if i not in marks]
     folded = table @ (root @ w[:-1])
@@ -336,7 +340,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     # at most MAX_TOXIC + MAX_CLEAN rows: a bound that no input moves
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= MAX_CHARS)
     rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").repartition(1)
-    return pickle.loads(rows.mapInArrow(_train, "model binary").collect()[0].model)
+    found = rows.mapInArrow(_train, "model binary").collect()
+    return pickle.loads(found[0].model) if found else NEVER
 
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
