@@ -28,6 +28,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,9 +39,9 @@ from .common import binary, components, only, pieces, slots, stage, unstage
 #: Bytes of text a worker expands at a time.
 PIECE = 2 << 20
 #: Documents and shingles in a leaf; larger trees are cut into leaves that are joined pair by pair.
-LEAF_DOCS, LEAF_SHINGLES = 2048, 4_000_000
+LEAF_DOCS, LEAF_SHINGLES = 6144, 6_000_000
 #: The sample that tells frequent shingles: documents and their characters, documents that make one frequent, and how many.
-SAMPLE, SAMPLE_CHARS, MANY, MOST = 4000, 20_000, 4, 200_000
+SAMPLE, SAMPLE_CHARS, MANY, MOST = 12_000, 20_000, 3, 500_000
 #: Coordinates of a point, and points in a node.
 COORDINATES, NODE = 128, 32
 
@@ -125,46 +126,94 @@ def _lists(values: np.ndarray, first: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values.astype(np.int64)))
 
 
-def _scan(k: int, num: int, den: int, frequent: np.ndarray | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """doc_id, text -> doc_id, n, k1, k2 and the level and keys, or without frequent the sets themselves."""
+Batches = Iterator[pa.RecordBatch]
+_SETS = "doc_id long, n long, k1 long, k2 long, items array<long>"
+_CLASSES = "doc_id long, n long, k1 long, k2 long, level int"
+_KEYS = "v long, key long"
+_WANTED = "tree long, leaves int, k1 long, items array<long>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = binary(batch, "text")
-            ids = batch.column(batch.schema.get_field_index("doc_id"))
-            for at, to in pieces(text, PIECE):
-                h, first = scan.shingles(*scan.view(text, at, to), k)
-                same = [ids.slice(at, to - at), pa.array(np.diff(first)), *(pa.array(x) for x in set_keys(h, first))]
-                if frequent is None:
-                    yield pa.RecordBatch.from_arrays([*same, _lists(h, first)], ["doc_id", "n", "k1", "k2", "items"])
-                else:
-                    level, keys = signatures(h, first, num, den, frequent)
-                    yield pa.RecordBatch.from_arrays([*same, pa.array(level.astype(np.int32)), *(_lists(*x) for x in keys)], ["doc_id", "n", "k1", "k2", "level", "own", "above"])
+
+def _shingled(batches: Batches, k: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Pieces of the batches with their rows' shingles and set keys."""
+    for batch in batches:
+        text = binary(batch, "text")
+        for at, to in pieces(text, PIECE):
+            h, first = scan.shingles(*scan.view(text, at, to), k)
+            yield batch.slice(at, to - at), h, first, *set_keys(h, first)
+
+
+def _sets(k: int) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
+        for rows, h, first, k1, k2 in _shingled(batches, k):
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(first)), pa.array(k1), pa.array(k2), _lists(h, first)], ["doc_id", "n", "k1", "k2", "items"])
 
     return run
 
 
-_SETS = "doc_id long, n long, k1 long, k2 long, items array<long>"
-_KEYS = "doc_id long, n long, k1 long, k2 long, level int, own array<long>, above array<long>"
+def _classes(k: int, num: int, den: int) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
+        for rows, _, first, k1, k2 in _shingled(batches, k):
+            n = np.diff(first)
+            level = np.searchsorted(levels(num, den, int(n.max(initial=1)))[0], n).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n), pa.array(k1), pa.array(k2), pa.array(level)], ["doc_id", "n", "k1", "k2", "level"])
+
+    return run
+
+
+def vertices(k1: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """A class is a vertex of its own in either of its levels."""
+    return scan.mix(k1.view(_U) + scan.mix(level.astype(_U) + _U(0x2545F4914F6CDD1D))).view(np.int64)
+
+
+def _keys(k: int, num: int, den: int, frequent: np.ndarray) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
+        for _, h, first, k1, _ in _shingled(batches, k):
+            level, both = signatures(h, first, num, den, frequent)
+            for up, (key, at) in enumerate(both):
+                v = np.repeat(vertices(k1, level + up), np.diff(at))
+                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(key.view(np.int64))], ["v", "key"])
+
+    return run
+
+
+def _wanted(k: int) -> Callable[[Batches], Batches]:
+    """doc_id, text, wanted (array of k1, k2, tree, leaves) -> the sets of the wanted classes, for each of their trees."""
+
+    def run(batches: Batches) -> Batches:
+        for rows, h, first, k1, k2 in _shingled(batches, k):
+            out: list[list] = [[], [], [], []]
+            for i, wanted in enumerate(rows.column(2).to_pylist()):
+                for w in wanted:
+                    if (w["k1"], w["k2"]) == (k1[i], k2[i]):
+                        for x, y in zip(out, (w["tree"], w["leaves"], w["k1"], i), strict=True):
+                            x.append(y)
+            sizes = np.array([first[i + 1] - first[i] for i in out[3]], np.int64)
+            items = np.concatenate([np.zeros(0, _U), *(h[first[i] : first[i + 1]] for i in out[3])])
+            lists = _lists(items, np.concatenate(([0], np.cumsum(sizes))))
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), lists], ["tree", "leaves", "k1", "items"])
+
+    return run
 
 
 def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
     """Hashes of shingles that MANY or more of at most SAMPLE documents of at most SAMPLE_CHARS hold, at most MOST."""
     ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    some = docs.where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(ids), "doc_id").mapInArrow(_scan(k, 1, 1, None), _SETS)
+    some = docs.where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(ids), "doc_id").select("doc_id", "text").mapInArrow(_sets(k), _SETS)
     often = some.select(F.explode("items").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= MANY)
     return np.sort(np.array([r.h for r in often.orderBy(F.desc("n"), "h").limit(MOST).collect()], np.int64).view(_U))
 
 
-def tree_links(keys: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> Iterator[tuple[int, int]]:
-    """Links that connect what num/den connects among the given sets, by an R-tree over their count vectors."""
+def tree_links(keys: np.ndarray, sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> Iterator[tuple[int, int]]:
+    """Links that connect what num/den connects among the given sets, by an R-tree over their count vectors; sets of two
+    sides are joined across, as each side has a task of its own."""
     n = np.array([len(s) for s in sets])
     points = np.zeros((len(sets), COORDINATES), np.int32)
     for i, s in enumerate(sets):
         points[i] = np.bincount((scan.mix(s) >> _U(40)).astype(np.int64) % COORDINATES, minlength=COORDINATES)
     # packed by size, then by the first coordinates, as sort-tile-recursive packing orders its leaves
     order = np.lexsort((points[:, 1], points[:, 0], n))
-    keys, n, points, sets = keys[order], n[order], points[order], [sets[i] for i in order]
+    keys, n, points, side, sets = keys[order], n[order], points[order], side[order], [sets[i] for i in order]
+    two = bool(side.any()) and not side.all()
     corner = np.array([points[i : i + NODE].max(0) for i in range(0, len(sets), NODE)])
     least = n[::NODE]
     label = np.arange(len(sets))
@@ -175,6 +224,8 @@ def tree_links(keys: np.ndarray, sets: list[np.ndarray], num: int, den: int) ->
             continue
         near = (nodes[:, None] * NODE + np.arange(NODE)).ravel()
         near = near[near < i]
+        if two:
+            near = near[side[near] != side[i]]
         near = near[(n[near] * den >= n[i] * num) & ((den + num) * np.minimum(points[near], points[i]).sum(1) >= num * (n[near] + n[i]))]
         for j in near[::-1]:
             if label[i] == label[j]:
@@ -187,29 +238,29 @@ def tree_links(keys: np.ndarray, sets: list[np.ndarray], num: int, den: int) ->
                 yield int(keys[i]), int(keys[j])
 
 
-def _trees(num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows tree, i, j, k1, items, sorted by the first three -> links a, b."""
+def _trees(num: int, den: int) -> Callable[[Batches], Batches]:
+    """Rows tree, i, j, leaf, k1, items, sorted by the first three -> links a, b."""
 
-    def links(rows: dict[int, np.ndarray]) -> Iterator[tuple[int, int]]:
+    def links(key: tuple[int, int, int], rows: dict[int, tuple[np.ndarray, bool]]) -> Iterator[tuple[int, int]]:
         if len(rows) > 1:
-            yield from tree_links(np.array(list(rows), np.int64), list(rows.values()), num, den)
+            yield from tree_links(np.array(list(rows), np.int64), [x for x, _ in rows.values()], np.array([y for _, y in rows.values()]), num, den)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         at, rows, out = None, {}, []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in range(4)]
-            items = batch.column(4)
+            columns = [batch.column(c).to_pylist() for c in range(5)]
+            items = batch.column(5)
             values = items.values.to_numpy(zero_copy_only=False).view(np.uint64)
             bounds = items.offsets.to_numpy()
             for r, key in enumerate(zip(*columns[:3], strict=True)):
                 if key != at:
-                    out += links(rows)
+                    out += links(at, rows)
                     at, rows = key, {}
-                rows.setdefault(columns[3][r], values[bounds[r] : bounds[r + 1]].copy())
+                rows.setdefault(columns[4][r], (values[bounds[r] : bounds[r + 1]].copy(), columns[3][r] == key[1] and key[1] != key[2]))
             if len(out) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
                 out = []
-        out += links(rows)
+        out += links(at, rows)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
 
@@ -221,27 +272,23 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, leaf_docs: i
     links of a similarity of at least num/den reach."""
     parts = slots(docs.sparkSession)
     docs = only(docs, doc_id="long", text="string")
-    found = stage(docs.mapInArrow(_scan(k, num, den, frequent_shingles(docs, k)), _KEYS))
+    found = stage(docs.mapInArrow(_classes(k, num, den), _CLASSES))
     classes = found.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n", "level").agg(F.min("doc_id").alias("rep"))
 
-    # a class is a vertex of its own in either level
-    vertex = lambda up: F.xxhash64("k1", F.col("level") + up)
-    both = F.explode(F.array(F.struct(vertex(0).alias("v"), F.col("own").alias("keys")), F.struct(vertex(1).alias("v"), F.col("above").alias("keys"))))
-    rows = found.where("doc_id is not null").select(both.alias("x")).select("x.v", F.explode("x.keys").alias("key")).repartition(parts, "key")
+    rows = docs.where("doc_id is not null").mapInArrow(_keys(k, num, den, frequent_shingles(docs, k)), _KEYS).repartition(parts, "key")
     blocks = rows.groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo < hi")
     stars = rows.join(blocks.select("key", "lo"), "key").where("v <> lo").select(F.col("lo").alias("a"), F.col("v").alias("b")).distinct()
     trees = components(stars)
 
-    places = classes.select("k1", "k2", "n", "rep", F.explode(F.array(vertex(0), vertex(1))).alias("v"))
+    places = classes.select("k1", "k2", "n", "rep", F.explode(_both(F.col("k1"), F.col("level"))).alias("v"))
     members = stage(places.join(trees.select("v", F.col("component").alias("tree")), "v").drop("v"))
     sizes = members.groupBy("tree").agg(F.greatest(F.ceil(F.count("*") / leaf_docs), F.ceil(F.sum("n") / leaf_shingles)).cast("int").alias("leaves"))
-    wanted = members.join(sizes, "tree").select(F.col("rep").alias("doc_id"), F.col("k1").alias("w1"), F.col("k2").alias("w2"), "tree", "leaves")
+    wanted = members.join(sizes, "tree").groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list(F.struct("k1", "k2", "tree", "leaves")).alias("wanted"))
     # a fixed share of the corpus is wanted: merged at every size, so the plan of a small input is that of a large one
-    sets = docs.join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(_scan(k, num, den, None), _SETS)
-    sets = sets.withColumnRenamed("k1", "w1").withColumnRenamed("k2", "w2").join(wanted, ["doc_id", "w1", "w2"])
-    leaf, other = F.pmod(F.xxhash64("w1"), "leaves").cast("int"), F.col("other")
-    dealt = sets.select("tree", "w1", "items", leaf.alias("leaf"), F.explode(F.sequence(F.lit(0), F.col("leaves") - 1)).alias("other"))
-    dealt = dealt.select("tree", F.least("leaf", other).alias("i"), F.greatest("leaf", other).alias("j"), "w1", "items")
+    sets = docs.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "wanted").mapInArrow(_wanted(k), _WANTED)
+    leaf, other = F.pmod(F.xxhash64("k1"), "leaves").cast("int"), F.col("other")
+    dealt = sets.select("tree", "k1", "items", leaf.alias("leaf"), F.explode(F.sequence(F.lit(0), F.col("leaves") - 1)).alias("other"))
+    dealt = dealt.select("tree", F.least("leaf", other).alias("i"), F.greatest("leaf", other).alias("j"), F.col("leaf"), "k1", "items")
     links = dealt.repartition(parts, "tree", "i", "j").sortWithinPartitions("tree", "i", "j").mapInArrow(_trees(num, den), "a long, b long")
     joined = components(links)
 
@@ -254,6 +301,17 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, leaf_docs: i
     return out
 
 
+def _both(k1, level):
+    """The vertices of a class in its level and the next, as vertices() makes them."""
+
+    @F.pandas_udf("array<long>")
+    def pair(k1: pd.Series, level: pd.Series) -> pd.Series:
+        a, b = k1.to_numpy(np.int64), level.to_numpy(np.int64)
+        return pd.Series(list(np.column_stack((vertices(a, b), vertices(a, b + 1)))))
+
+    return pair(k1, level)
+
+
 def keep_one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs without the rows whose component has a smaller doc_id; all columns stay. Rows of a null doc_id stay."""
     label = jaccard_components(docs, k, num, den).where("doc_id <> component_id").select(F.col("doc_id").alias("doc_id")).distinct()

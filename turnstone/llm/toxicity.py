@@ -20,7 +20,7 @@ Bounds: MAX_TOXIC and MAX_CLEAN documents of at most MAX_CHARS characters train
 Rows whose crc32(doc_id as text) mod 5 is 0 never train. labels, lang, source and doc_id are no input of a score.
 
 Nulls and edge cases: null and empty texts score as a text without words, at the floor; a null doc_id is scored and not
-held out; repeated labels of a document count as toxic if one is; without labels of both kinds every score is 0."""
+held out; repeated labels of a document count as toxic if one is; without labels of both kinds every score is next to 0."""
 
 from __future__ import annotations
 
