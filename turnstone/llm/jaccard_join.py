@@ -37,7 +37,7 @@ from . import textscan as scan
 from .common import binary, components, only, pieces, slots, stage, unstage
 
 #: Bytes of text a worker expands at a time.
-PIECE = 2 << 20
+PIECE = 1 << 20
 #: Documents and shingles in a leaf; larger trees are cut into leaves that are joined pair by pair.
 LEAF_DOCS, LEAF_SHINGLES = 6144, 6_000_000
 #: The sample that tells frequent shingles: documents and their characters, documents that make one frequent, and how many.
