@@ -96,3 +96,27 @@ def redact(x: Column, patterns: Sequence[tuple[str, str]] = (*SECRETS, TOKEN_ASS
 
 def playback_delay(chars: Column, speed: float) -> Column:
     return F.least(F.lit(2200), F.greatest(F.lit(420), chars * 10)) / F.lit(speed)
+
+
+def unusable_key(x: Column, commands: Sequence[str] = ("printf ",)) -> Column:
+    """Whether a key that is given cannot be real: a placeholder, with white space inside, or a command. Null and empty
+    ones are not given."""
+    clean = strip(F.coalesce(x, F.lit("")))
+    return (clean != "") & (clean.startswith("PASTE_") | clean.rlike(r"\s") | reduce(lambda a, c: a | clean.contains(c), commands, F.lit(False)))
+
+
+def redact_home(x: Column, home: str) -> Column:
+    """For a support bundle: the home folder as ~, and secrets taken out."""
+    tokens = ((r"([A-Z_]*API_KEY)\s*=\s*\S+", "$1=REDACTED"), (r"gho_[A-Za-z0-9]+", "gho_REDACTED"))
+    return redact(F.replace(x, F.lit(home), F.lit("~")), tokens)
+
+
+def percent(score: Column) -> Column:
+    """0.8731 as 87.3%."""
+    return F.concat(F.format_number(F.bround(score * 100, 1), 1), F.lit("%"))
+
+
+def day(stamp: Column) -> Column:
+    """The date of epoch seconds or an ISO stamp, whichever the string is; null where it is neither."""
+    seconds = F.timestamp_seconds(stamp.try_cast("double"))
+    return F.date_format(F.coalesce(seconds, F.try_to_timestamp(stamp)), "yyyy-MM-dd")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnstone.functions import text as x
@@ -52,3 +52,27 @@ def add(drawers: DataFrame, new: DataFrame, content: str = "document") -> DataFr
     """new without what is filed already, by content."""
     key = F.sha2(F.col(content), 256)
     return new.withColumn("h", key).join(drawers.select(key.alias("h")).distinct(), "h", "left_anti").drop("h")
+
+
+def delete(drawers: DataFrame, gone: DataFrame, id_: str) -> DataFrame:
+    """drawers without the ids of gone."""
+    return drawers.join(gone.select(id_), id_, "left_anti")
+
+
+def find(drawers: DataFrame, id_: str, of: int | str) -> DataFrame:
+    """The drawer and its siblings in the order of their chunks; raises where there is none."""
+    if drawers.where(F.col(id_) == of).isEmpty():
+        raise LookupError(f"no drawer {of}")
+    return siblings(drawers, id_, of).orderBy("chunk", id_)
+
+
+def write_diary(agent: str, entry: str, now: Column, topic: str = "general") -> list[Column]:
+    """The columns of a diary entry; who writes them appends."""
+    stamp = F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss")
+    return [F.lit(agent).alias("agent"), F.date_format(now, "yyyy-MM-dd").alias("date"), stamp.alias("timestamp"), F.lit(topic).alias("topic"), F.lit(entry).alias("content")]
+
+
+def read_diary(diary: DataFrame, agent: str, last: int = 10) -> DataFrame:
+    if not 1 <= last <= 100:
+        raise ValueError("last is 1 to 100")
+    return diary.where(F.col("agent") == agent).orderBy(F.desc("timestamp"), "topic", "content").limit(last)

@@ -28,6 +28,13 @@ def invalidate(facts: DataFrame, subject: str, predicate: str, object_: str, at:
     return facts.withColumn("valid_to", F.when(hit, at).otherwise(F.col("valid_to")))
 
 
+def add(facts: DataFrame, new: DataFrame, *key: str) -> DataFrame:
+    """facts and those of new that are not current already."""
+    key = key or ("subject", "predicate", "object")
+    current = facts.where(F.col("valid_to").isNull()).select(*key).distinct()
+    return facts.unionByName(new.join(current, list(key), "left_anti"), allowMissingColumns=True)
+
+
 def fact_stats(facts: DataFrame) -> DataFrame:
     entities = facts.select(F.col("subject").alias("e")).union(facts.select("object")).agg(F.count_distinct("e").alias("entities"))
     rest = facts.agg(F.count("*").alias("triples"), F.count_if(F.col("valid_to").isNull()).alias("current_facts"), F.count_if(F.col("valid_to").isNotNull()).alias("expired_facts"), F.array_join(F.array_sort(F.collect_set("predicate")), ",").alias("relationship_types"))

@@ -64,10 +64,10 @@ def search_block(points: DataFrame, queries: DataFrame, k: int, id_: str = "vec_
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def project(hits: DataFrame, id_: Column, user: Column, answer: Column, source: Column) -> DataFrame:
-    """The fields of a result."""
+def project(hits: DataFrame, id_: Column, user: Column, answer: Column, source: Column, *more: Column | str) -> DataFrame:
+    """The fields of a result, and more."""
     full = x.first_filled(source).isNotNull()
-    return hits.select(id_.cast("string").alias("point_id"), "score", F.substring(F.coalesce(user, F.lit("Unknown")), 1, x.RESULT_INPUT_CHARS).alias("user_input"), F.substring(F.coalesce(answer, F.lit("...")), 1, x.RESULT_RESPONSE_CHARS).alias("ai_response"), F.coalesce(source, F.lit("unknown")).alias("source_file"), x.source_label(source).alias("source_label"), full.alias("has_full_context"))
+    return hits.select(id_.cast("string").alias("point_id"), "score", F.substring(F.coalesce(user, F.lit("Unknown")), 1, x.RESULT_INPUT_CHARS).alias("user_input"), F.substring(F.coalesce(answer, F.lit("...")), 1, x.RESULT_RESPONSE_CHARS).alias("ai_response"), F.coalesce(source, F.lit("unknown")).alias("source_file"), x.source_label(source).alias("source_label"), full.alias("has_full_context"), *more)
 
 
 def prompt(hits: DataFrame, title: str, persona: str, question: str, id_: str = "point_id") -> DataFrame:
@@ -88,3 +88,12 @@ def ndcg(neighbours: DataFrame, gain: Column, k: int) -> DataFrame:
     rows = neighbours.where(F.col("rank") <= k).select("query_id", (gain.cast("double") / F.log2(F.col("rank") + 1)).alias("dcg"), F.lit(1.0).alias("one"), "rank")
     by = rows.groupBy("query_id").agg(F.sum("dcg").alias("dcg"), F.sum(F.col("one") / F.log2(F.col("rank") + 1)).alias("ideal"))
     return by.agg(F.round(F.avg(F.col("dcg") / F.col("ideal")), 4).alias("ndcg"))
+
+
+def hybrid(points: DataFrame, query: Sequence[float], words: Sequence[str], k: int, keyword_weight: float = 0.3, id_: str = "vec_id", vector: str = "embedding", text: str = "text", digits: int = 4) -> DataFrame:
+    """Cosine plus the weighted share of the query's words that the text holds: the k best, ties by id."""
+    wanted = sorted({w.lower() for w in words})
+    q = F.array(*(F.lit(float(v)) for v in query))
+    has = F.size(F.array_intersect(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\W+"), F.array(*map(F.lit, wanted)))) / F.lit(max(len(wanted), 1))
+    score = F.round((1 - keyword_weight) * cosine(F.col(vector), q) + keyword_weight * has, digits)
+    return points.withColumn("score", score).orderBy(F.desc("score"), id_).limit(k)

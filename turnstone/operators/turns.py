@@ -70,9 +70,10 @@ def frames(turns: DataFrame, key: str, index: str, k: int, content: str = "text"
 
 
 def full_context(turns: DataFrame, centers: DataFrame, key: str, index: str, k: int, role: str = "role", content: str = "text") -> DataFrame:
-    """One row a center: totals, the matched index, the range and the turns in order; an error where nothing is found."""
+    """One row a center: totals, the matched index, the first and last index shown and the turns in order; an error where
+    nothing is found."""
     totals = turns.groupBy(key).agg(F.count("*").alias("total_turns"))
     near = context(turns, centers, key, index, k).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(index).alias("index"), F.col(role).alias("role"), F.col(content).alias("content")))).alias("turns"))
     out = centers.join(totals, key, "left").join(near, key, "left")
-    last = F.least(F.col("total_turns"), F.col("center") + k + 1)
+    last = F.least(F.col("total_turns") - 1, F.col("center") + k)
     return out.select(key, "total_turns", F.col("center").alias("matched_turn_index"), F.array(F.greatest(F.lit(0), F.col("center") - k), last).alias("context_range"), "turns", F.when(F.col("total_turns").isNull(), F.lit("no_turns_found")).alias("error"))

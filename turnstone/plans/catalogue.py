@@ -13,8 +13,8 @@ from pyspark.sql.window import Window
 
 from turnstone.functions import text as x
 from turnstone.functions.vectors import hashed_embedder
-from turnstone.operators import drawers, graph, ops, search, turns
-from turnstone.sources import chats
+from turnstone.operators import drawers, graph, ops, search, tasks, turns
+from turnstone.sources import chats, readers
 from turnstone.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,7 +127,7 @@ def context_all_rows(spark, sf):
     return turns.frames(table(spark, sf, "conversations"), "conv_id", "turn", 2)
 
 
-@query(f"SELECT conv_id, n AS total_turns, center AS matched_turn_index, greatest(0, center - 2)::BIGINT AS range_from, least(n, center + 3)::BIGINT AS range_to, (SELECT count(*) FROM conversations c WHERE c.conv_id = m.conv_id AND c.turn BETWEEN center - 2 AND center + 2)::INT AS shown FROM ({_CENTER}) m JOIN (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) USING (conv_id)")
+@query(f"SELECT conv_id, n AS total_turns, center AS matched_turn_index, greatest(0, center - 2)::BIGINT AS range_from, least(n - 1, center + 2)::BIGINT AS range_to, (SELECT count(*) FROM conversations c WHERE c.conv_id = m.conv_id AND c.turn BETWEEN center - 2 AND center + 2)::INT AS shown FROM ({_CENTER}) m JOIN (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) USING (conv_id)")
 def full_context(spark, sf):
     t = table(spark, sf, "conversations")
     out = turns.full_context(t, _centers(t), "conv_id", "turn", 2)
@@ -515,6 +515,131 @@ def detect_format(spark, sf):
     return chats.detect_format(_jsonl(spark, sf, F.to_json(F.struct("role", F.col("text").alias("content")))))
 
 
+# --- readers, tasks and the rest of the service ---------------------------------------------------------------------
+
+
+def _messages(spark, sf, ask: str, answer: str):
+    """Conversations as session JSON files."""
+    t = table(spark, sf, "conversations")
+    kind = F.when(F.col("role") == "user", ask).when(F.col("role") == "assistant", answer).otherwise(F.col("role"))
+    m = F.struct("turn", kind.alias("type"), F.col("text").alias("content"))
+    rows = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(m)).alias("messages"))
+    path = F.concat(F.lit("/s/chats/session-"), F.col("conv_id").cast("string"), F.lit(".json"))
+    return rows.select(path.alias("path"), F.to_json(F.struct(F.col("conv_id").cast("string").alias("sessionId"), "messages")).alias("value"))
+
+
+@query(f"SELECT conv_id::VARCHAR AS session_id, turn AS pos, user_text AS user_input, assistant_text AS ai_response FROM ({_ALL})")
+def parse_gemini(spark, sf):
+    return chats.parse_session_json(_messages(spark, sf, "user", "gemini")).select("session_id", F.col("pos").cast("long").alias("pos"), "user_input", "ai_response")
+
+
+@query("SELECT conv_id::VARCHAR AS conversation_id, turn AS index, CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END AS role, coalesce(text, '') AS content FROM conversations")
+def reader_messages(spark, sf):
+    return readers.message_turns(_messages(spark, sf, "user", "gemini")).select("conversation_id", "index", "role", "content")
+
+
+def _export(spark, sf):
+    """All conversations in one export a hundred; messages carry no order but their time."""
+    t = table(spark, sf, "conversations")
+    message = F.struct(F.struct(F.struct("role").alias("author"), F.struct(F.array("text").alias("parts")).alias("content"), F.col("turn").cast("double").alias("create_time")).alias("message"))
+    entry = F.struct(F.concat(F.lit("n"), F.format_string("%06d", 999999 - F.col("turn"))).alias("key"), message.alias("value"))
+    rows = t.groupBy("conv_id").agg(F.map_from_entries(F.array_sort(F.collect_list(entry), lambda a, b: F.when(a["key"] < b["key"], -1).otherwise(1))).alias("mapping"))
+    c = F.struct(F.col("conv_id").cast("string").alias("id"), F.concat(F.lit("t"), "conv_id").alias("title"), "mapping")
+    return rows.groupBy(F.floor(F.col("conv_id") / 100).alias("b")).agg(F.to_json(F.collect_list(c)).alias("value")).select(F.concat(F.lit("/e/"), "b", F.lit(".json")).alias("path"), "value")
+
+
+_FILLED = "(SELECT * FROM conversations WHERE " + _STRIP.format(c="text") + " <> '')"
+
+
+@query("SELECT conv_id::VARCHAR AS conversation_id, 't' || conv_id AS title, user_text AS user_input, assistant_text AS ai_response FROM (" + _PAIRS.format(t=_FILLED) + ")")
+def parse_openai(spark, sf):
+    return chats.parse_export(_export(spark, sf)).select("conversation_id", "title", "user_input", "ai_response")
+
+
+@query(f"SELECT path, turn * 2 + side AS index, role, content FROM (SELECT '/s/' || conv_id || '.jsonl' AS path, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, user_text, assistant_text FROM ({_ALL}) WHERE {_STRIP.format(c='user_text')} <> '' AND {_STRIP.format(c='assistant_text')} <> ''), LATERAL (VALUES (0, 'user', user_text), (1, 'assistant', assistant_text)) v(side, role, content)")
+def reader_file_turns(spark, sf):
+    whole = _jsonl(spark, sf, F.to_json(F.struct("role", F.col("text").alias("content"))))
+    return readers.file_turns(whole).select("path", "index", "role", "content")
+
+
+@query(f"SELECT '/s/' || conv_id || '.jsonl' AS source_file, ('0x' || substr(md5({_STRIP.format(c="'/s/' || conv_id || '.jsonl'")} || chr(31) || chr(31) || chr(31) || {_STRIP.format(c='user_text')} || chr(31) || {_STRIP.format(c='assistant_text')}), 1, 15))::BIGINT AS id FROM ({_ALL}) WHERE length(assistant_text) >= 20")
+def ingest_points(spark, sf):
+    whole = _jsonl(spark, sf, F.to_json(F.struct("role", F.col("text").alias("content"))))
+    return readers.points(whole, "claude_jsonl").select("source_file", "id")
+
+
+def _notes(spark, sf):
+    d = table(spark, sf, "documents").where("doc_id is not null")
+    head = F.concat(F.lit("---\ntitle: 'N "), "doc_id", F.lit("'\ntags: a, ,"), F.col("lang"), F.lit("\nstatus:\n- no\n---\n"))
+    return d.select(F.concat(F.lit("/v/"), "source", F.lit("/"), "doc_id", F.lit(".md")).alias("path"), F.concat(head, "text").alias("value"))
+
+
+@query(f"SELECT '/v/' || source || '/' || doc_id || '.md' AS path, 'N ' || doc_id AS title, 'a,' || lang AS tags, source AS directory, md5({_STRIP.format(c='text')}) AS body FROM documents WHERE length({_STRIP.format(c='text')}) >= 20")
+def parse_markdown(spark, sf):
+    return chats.parse_notes(_notes(spark, sf)).select("path", "title", F.array_join("tags", ",").alias("tags"), "directory", F.md5("body").alias("body"))
+
+
+def _tasks(spark, sf):
+    """Events as tasks."""
+    e = table(spark, sf, "events")
+    n = F.col("event_id")
+    state = F.element_at(F.array(*map(F.lit, (*tasks.STATES, "lost"))), (n % 8 + 1).cast("int"))
+    priority = F.concat(F.lit("P"), (n % 5).cast("string"))
+    return e.select(n.alias("task_id"), state.alias("status"), priority.alias("priority"), F.when(n % 3 != 0, F.concat(F.lit("a"), (n % 3).cast("string"))).alias("assignee"), (F.col("user_id") % 10).alias("project"), F.array(F.lit("made")).alias("log"))
+
+
+_STATES = "[" + ", ".join(f"'{s}'" for s in (*tasks.STATES, "lost")) + "]"
+_TASKS = f"(SELECT event_id AS task_id, {_STATES}[event_id % 8 + 1] AS status, 'P' || (event_id % 5) AS priority, CASE WHEN event_id % 3 <> 0 THEN 'a' || (event_id % 3) END AS assignee, user_id % 10 AS project FROM events)"
+
+
+@query(f"SELECT task_id FROM {_TASKS} WHERE status = 'blocked' AND assignee = 'a1'")
+def task_list(spark, sf):
+    return tasks.listed(_tasks(spark, sf), status="blocked", assignee="a1", project=None).select("task_id")
+
+
+@query(f"SELECT task_id, priority FROM {_TASKS} WHERE (assignee IS NULL OR assignee = 'a1') AND status IN ('inbox', 'ready') ORDER BY CASE WHEN priority < 'P4' THEN priority ELSE 'P9' END, task_id LIMIT 5")
+def task_next(spark, sf):
+    return tasks.next_for(_tasks(spark, sf), "a1", 5).select("task_id", "priority")
+
+
+@query(f"SELECT task_id, CASE WHEN task_id % 2 = 0 THEN 'done' ELSE status END AS status, CASE WHEN task_id % 2 = 0 THEN 'made|2 a2 ' || status || '->done' ELSE 'made' END AS log FROM {_TASKS}")
+def task_move(spark, sf):
+    rows = _tasks(spark, sf)
+    wanted = rows.where("task_id % 2 = 0").select("task_id", F.explode(F.array(F.struct(F.lit("ready").alias("status"), F.lit(1).alias("at")), F.struct(F.lit("done").alias("status"), F.lit(2).alias("at")), F.struct(F.lit("nonsense").alias("status"), F.lit(3).alias("at")))).alias("w")).select("task_id", "w.*", F.lit("a2").alias("by"))
+    return tasks.move(rows, wanted).select("task_id", "status", F.array_join("log", "|").alias("log"))
+
+
+@query(f"SELECT task_id, 'unknown status' AS problem FROM {_TASKS} WHERE status = 'lost' UNION ALL SELECT task_id, 'unknown priority' FROM {_TASKS} WHERE priority = 'P4' UNION ALL SELECT task_id, 'nobody on it' FROM {_TASKS} WHERE assignee IS NULL AND status = 'in_progress' UNION ALL SELECT task_id, 'orphan' FROM {_TASKS} WHERE project >= 9")
+def task_doctor(spark, sf):
+    return tasks.doctor(_tasks(spark, sf), spark.range(9).select(F.col("id").alias("project")))
+
+
+@query("SELECT event_id, ts AS stamp, 'n-' || (user_id % 5) AS node, event_type AS kind FROM (SELECT event_id, date_trunc('second', ts) AS ts, user_id, event_type FROM events)")
+def file_names(spark, sf):
+    e = table(spark, sf, "events")
+    name = F.concat(F.lit("/q/"), F.date_format("ts", "yyyy-MM-dd-HHmmss"), F.lit("-n-"), (F.col("user_id") % 5).cast("string"), F.lit("-"), "event_type", F.lit(".md"))
+    out = tasks.named(e.select("event_id", name.alias("path"), F.col("ts").alias("t")))
+    return out.select("event_id", F.col("stamp").cast(e.schema["ts"].dataType).alias("stamp"), "node", "kind")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT item_id FROM benchmark)")
+def delete_drawers(spark, sf):
+    gone = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"))
+    return drawers.delete(table(spark, sf, "documents").select("doc_id", "source"), gone, "doc_id").select("doc_id")
+
+
+@query(f"SELECT vec_id, round(0.7 * s + 0.3 * w, 4) AS score FROM (SELECT e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS s, len(list_intersect(regexp_split_to_array(lower(coalesce(d.text, '')), '[^a-zA-Z0-9_]+'), ['and', 'the'])) / 2.0 AS w FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id) ORDER BY score DESC, vec_id LIMIT 10")
+def hybrid_topk(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding").join(docs, "vec_id")
+    return search.hybrid(rows, _vector(spark, sf), ["the", "and"], 10).select("vec_id", "score")
+
+
+@query("SELECT page_id, length(trim(coalesce(url, ''))) > 0 AND (starts_with(url, 'PASTE_') OR regexp_matches(url, '\\s') OR contains(url, 'blog')) AS bad FROM pages")
+def unusable_keys(spark, sf):
+    return table(spark, sf, "pages").select("page_id", x.unusable_key(F.col("url"), ("blog",)).alias("bad"))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Turns -> pairs -> ids and vectors -> the pairs most like the first one."""
     pairs = turns.long_enough(_pairs(spark, sf))

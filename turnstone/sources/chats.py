@@ -120,20 +120,27 @@ def parse_notes(whole: DataFrame) -> DataFrame:
     return rows.select("path", x.first_filled(get("title"), stem).alias("title"), tags.alias("tags"), get("status").alias("status"), get("created").alias("created"), F.try_element_at(F.split("path", "/"), F.lit(-2)).alias("directory"), "body").where(F.length("body") >= x.MIN_RESPONSE_CHARS)
 
 
-def detect_format(whole: DataFrame) -> DataFrame:
-    """path, format: by suffix, by the first JSON line, or by marks in a file's head."""
+def with_format(whole: DataFrame) -> DataFrame:
+    """Adds format: by suffix, by the first JSON line, or by marks in a file's head."""
     first = F.try_parse_json(F.try_element_at(F.filter(F.split("value", "\n"), lambda t: F.trim(t) != ""), F.lit(1)))
-    head, suffix = F.substring("value", 1, HEAD_CHARS), F.regexp_extract(F.lower("path"), r"(\.[^./]+)$", 1)
-    rows = whole.select("path", head.alias("head"), suffix.alias("suffix"), F.when(suffix == ".jsonl", first).alias("v"))
-    items = (_s("v", "$.type") == "response_item") | F.try_variant_get("v", "$.sessionId", "string").isNotNull()
+    suffix = F.regexp_extract(F.lower("path"), r"(\.[^./]+)$", 1)
+    rows = whole.select("*", F.substring("value", 1, HEAD_CHARS).alias("head_"), suffix.alias("suffix_"), F.when(suffix == ".jsonl", first).alias("v_"))
+    items = (_s("v_", "$.type") == "response_item") | F.try_variant_get("v_", "$.sessionId", "string").isNotNull()
+    lined, whole_json = F.col("suffix_") == ".jsonl", F.col("suffix_") == ".json"
+    marked = lambda mark: F.col("head_").contains(mark)
     kind = (
-        F.when(F.col("suffix") == ".md", "markdown")
-        .when((F.col("suffix") == ".jsonl") & F.col("v").isNotNull(), F.when(F.coalesce(items, F.lit(False)), "codex_jsonl").otherwise("claude_jsonl"))
-        .when((F.col("suffix") == ".json") & F.col("head").contains('"sessionId"') & F.col("head").contains('"messages"'), "gemini_json")
-        .when((F.col("suffix") == ".json") & (F.col("head").contains('"mapping"') | F.col("head").contains('"conversation_id"')), "openai_json")
+        F.when(F.col("suffix_") == ".md", "markdown")
+        .when(lined & F.col("v_").isNotNull(), F.when(F.coalesce(items, F.lit(False)), "codex_jsonl").otherwise("claude_jsonl"))
+        .when(whole_json & marked('"sessionId"') & marked('"messages"'), "gemini_json")
+        .when(whole_json & (marked('"mapping"') | marked('"conversation_id"')), "openai_json")
         .otherwise("unknown")
     )
-    return rows.select("path", kind.alias("format"))
+    return rows.withColumn("format", kind).drop("head_", "suffix_", "v_")
+
+
+def detect_format(whole: DataFrame) -> DataFrame:
+    """path, format."""
+    return with_format(whole).select("path", "format")
 
 
 def resolve(wanted: DataFrame, known: DataFrame) -> DataFrame:

@@ -5,10 +5,13 @@ that idempotent). Drops that never change are a stream: each run takes what is n
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import logging
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from turnstone.operators.ops import fingerprint
 
@@ -29,3 +32,47 @@ def run_drop(spark: SparkSession, folder: str, schema: str, checkpoint: str, sin
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Activity sessions by user; on a stream, state is dropped once the watermark has passed."""
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
+def sync(files: DataFrame, state: DataFrame, ingest: Callable[[str], object], source: str = "source") -> list[tuple[str, str]]:
+    """Ingests each source that changed, and returns source and fingerprint of those that succeeded: only these go into
+    the state, so a failure is tried again next time. Sources are personas or folders, not files."""
+    done = []
+    for name, new in changed(files, state, source).select(source, "fingerprint").collect():
+        try:
+            ingest(name)
+        except Exception:
+            logging.getLogger(__name__).exception("ingest of %s failed", name)
+            continue
+        done.append((name, new))
+    return done
+
+
+_PAIR = "conv_id long, turn long, user_text string, assistant_text string"
+
+
+class _Pairing(StatefulProcessor):
+    """Keeps the last turn of a conversation, so that an answer finds its question in an earlier batch."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "turn long, role string, text string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer: object) -> Iterator[pd.DataFrame]:  # noqa: N802
+        got = pd.concat(list(rows)).sort_values("turn")
+        before = self.last.get() if self.last.exists() else None
+        out = []
+        for turn, role, text in got[["turn", "role", "text"]].itertuples(index=False):
+            if before and before[1] == "user" and role == "assistant" and before[2] and text:
+                out.append((key[0], before[0], before[2], text))
+            before = (int(turn), role, text)
+        self.last.update(before)
+        yield pd.DataFrame(out, columns=["conv_id", "turn", "user_text", "assistant_text"])
+
+    def close(self) -> None:
+        pass
+
+
+def pairs(turns: DataFrame) -> DataFrame:
+    """Question and answer of a stream of turns (conv_id, turn, role, text) whose batches come in order of turn. State is
+    one turn a conversation; it needs the RocksDB state store."""
+    return turns.groupBy("conv_id").transformWithStateInPandas(_Pairing(), _PAIR, "Append", "None")
