@@ -365,6 +365,16 @@ def test_folding():
     assert letters == ["idiot", "idiot", "idiot", "idiot", "x"] and u.row.tolist() == [0, 0, 0, 1, 3]
 
 
+def test_second_reading():
+    raw = ["idíot plain über", "ñ", "", "é"]
+    texts = [t.encode() for t in raw]
+    u = toxicity.readings(np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in texts]))))
+    words = [u.letters[a:b].tolist() for a, b in zip(u.first, u.first[1:], strict=False)]
+    plain = [[ord(c) - 96 for c in w] for w in ("idiot", "plain", "uber", "n", "e")]
+    assert words[:5] == plain and words[5:] == [[9, 4, 30, 15, 20], [27, 2, 5, 18], [29]]
+    assert u.row.tolist() == [0, 0, 0, 1, 3, 0, 0, 3]
+
+
 def test_toxicity(spark, sf, odd, none):
     rng = np.random.default_rng(2)
     clean = ["the weather is mild", "trains leave on time", "she reads a book", "water boils at sea level", "markets open early", "the garden grows"]

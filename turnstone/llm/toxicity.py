@@ -3,7 +3,8 @@
 The kernel counts the three-letter subsequences two strings share, each weighted by DECAY to the power of its span in
 either string, spans up to SPAN letters, and is normalised. Strings are words of folded letters: case and accents go,
 digits and signs that stand for letters become them, other signs inside a word are skipped, and single letters in a row
-are one word, so i.d.i.o.t, id1ot, "i d i o t" and idixot all lie near idiot.
+are one word, so i.d.i.o.t, id1ot, "i d i o t" and idixot all lie near idiot. As languages tell words apart by accents, a
+word with an accented vowel is also read a second time, with such vowels as letters of their own.
 
 Training (in one task, over a bounded sample of labelled rows) works on sentences: those of clean documents are
 negative; of those of a toxic document, the ones with a telling word are positive, and so are those
@@ -68,6 +69,10 @@ _ACCENTED = np.zeros(256, np.uint8)
 for _as, _from, _to in (("a", 0xA0, 0xA6), ("c", 0xA7, 0xA7), ("e", 0xA8, 0xAB), ("i", 0xAC, 0xAF), ("d", 0xB0, 0xB0), ("n", 0xB1, 0xB1), ("o", 0xB2, 0xB6), ("o", 0xB8, 0xB8), ("u", 0xB9, 0xBC), ("y", 0xBD, 0xBD), ("t", 0xBE, 0xBE), ("y", 0xBF, 0xBF)):
     _ACCENTED[_from : _to + 1] = _ACCENTED[_from - 32 : _to - 31] = ord(_as) - 96
 _ACCENTED[0x9F] = ord("s") - 96
+# The letters of accented vowels in the second reading.
+_OWN = np.arange(32, dtype=np.uint8)
+for _as, _to in (("u", 27), ("a", 28), ("e", 29), ("i", 30), ("o", 31)):
+    _OWN[ord(_as) - 96] = _to
 _SENTENCE_END = np.zeros(256, bool)
 _SENTENCE_END[list(b".!?\n")] = True
 
@@ -82,11 +87,14 @@ class Units:
     at: np.ndarray
 
 
-def fold(buf: np.ndarray, offsets: np.ndarray) -> Units:
-    letter = _LETTER[buf]
+def _fold(buf: np.ndarray, offsets: np.ndarray) -> tuple[Units, np.ndarray]:
+    """Folded words, and their letters in the second reading."""
+    letter, after = _LETTER[buf], np.zeros(0, np.int64)
     if len(buf):
         after = np.flatnonzero(buf[:-1] == 0xC3) + 1
         letter[after] = _ACCENTED[buf[after]]
+    own = letter.copy()
+    own[after] = _OWN[letter[after]]
     w = scan.Words(buf, offsets)
     spots = np.flatnonzero(letter)
     word = np.searchsorted(w.start, spots, "right") - 1
@@ -96,7 +104,20 @@ def fold(buf: np.ndarray, offsets: np.ndarray) -> Units:
     new = np.ones(len(has), bool)
     new[1:] = ~(single[1:] & single[:-1] & (row[1:] == row[:-1]))
     first = np.concatenate(([0], np.cumsum(size[has])))[:-1][new]
-    return Units(letter[spots].astype(np.int32), np.append(first, len(spots)), row[new], w.start[has][new])
+    return Units(letter[spots].astype(np.int32), np.append(first, len(spots)), row[new], w.start[has][new]), own[spots].astype(np.int32)
+
+
+def fold(buf: np.ndarray, offsets: np.ndarray) -> Units:
+    return _fold(buf, offsets)[0]
+
+
+def readings(buf: np.ndarray, offsets: np.ndarray) -> Units:
+    """Folded words, then the second reading of those that have one."""
+    units, own = _fold(buf, offsets)
+    differs = np.append(0, np.cumsum(units.letters != own))
+    which = np.flatnonzero(differs[units.first[1:]] > differs[units.first[:-1]])
+    letters, first = _take(own, units.first, which)
+    return Units(np.concatenate((units.letters, letters)), np.concatenate((units.first, units.first[-1] + first[1:])), np.concatenate((units.row, units.row[which])), np.concatenate((units.at, units.at[which])))
 
 
 def subsequences(letters: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
@@ -240,7 +261,7 @@ def train(texts: list[bytes], toxic: np.ndarray) -> Model:
     column, parts, sentences_so_far = pa.array(texts, pa.binary()), [], 0
     for from_, to in pieces(column, PIECE // 2):
         buf, offsets = scan.view(column, from_, to)
-        found = fold(buf, offsets)
+        found = readings(buf, offsets)
         hashes = scan.Hashes(found.letters.astype(np.uint8)).of(found.first[:-1], found.first[1:])
         ends = np.concatenate(([0], np.cumsum(_SENTENCE_END[buf])))[found.at] + found.row + sentences_so_far
         sentences_so_far += int(_SENTENCE_END[buf].sum()) + to - from_
@@ -366,7 +387,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
             column = binary(batch, "text")
             found = [np.zeros(0)]
             for at, to in pieces(column, PIECE):
-                found.append(model.score(model.worst(fold(*scan.view(column, at, to)), to - at)))
+                found.append(model.score(model.worst(readings(*scan.view(column, at, to)), to - at)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found))], [*columns, name])
 
     assert text >= 0 and name not in columns
