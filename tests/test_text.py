@@ -59,11 +59,11 @@ def test_matching(spark):
     assert (row.matched, round(row.ratio, 3)) == (0, 0.625)
 
 
-@pytest.mark.parametrize(("center", "want"), [(1, [0, 5]), (9, [6, 10])])
+@pytest.mark.parametrize(("center", "want"), [(1, [0, 4]), (9, [6, 9])])
 def test_context_range(spark, center, want):
     t = spark.range(10).select(F.lit(1).alias("conv"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.lit("t").alias("text"))
     got = turns.full_context(t, spark.createDataFrame([(1, center)], "conv int, center long"), "conv", "turn", 3).first()
-    assert (got.context_range, got.total_turns, [r["index"] for r in got.turns]) == (want, 10, list(range(*want)))
+    assert (got.context_range, got.total_turns, [r["index"] for r in got.turns]) == (want, 10, list(range(want[0], want[1] + 1)))
 
 
 def test_facts(spark):
