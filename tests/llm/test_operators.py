@@ -423,6 +423,23 @@ def test_plan(n):
     assert sum(t for _, t in plan) <= 1.01 * lengths.sum() / 2048 + 1
 
 
+@pytest.mark.parametrize("masses", [{1024: 1000}, {1000: 1000}, {682: 999}, {512: 1000}, {409: 1000}, {1100: 500, 948: 500}, {1024: 1000, **dict.fromkeys(range(1030, 2040), 1)}, dict.fromkeys(range(824, 1025), 10)])
+def test_plan_of_hot_lengths(masses):
+    """Pieces of a few lengths, on both sides of the window's divisors, alone and among others."""
+    counts = np.zeros(2049, int)
+    for length, n in masses.items():
+        counts[length] = n
+    plan, used = packing.pack(counts), np.zeros(2049, int)
+    for window, times in plan:
+        assert sum(a * b for a, b in window.items()) <= 2048
+        for a, b in window.items():
+            used[a] += b * times
+    assert (used == counts).all()
+    # what any plan needs: windows for all tokens, for the pieces of half a window or more, or for as many as fit side by side
+    least = max(-(-int(counts @ np.arange(2049)) // 2048), int(counts[1025:].sum()) + -(-int(counts[1024]) // 2), -(-int(counts.sum()) // (2048 // min(masses))))
+    assert sum(t for _, t in plan) <= 1.01 * least + 1
+
+
 def check_packing(rows, docs):
     """Every document's ids are whole, cut as told, and sequences are gapless."""
     e = packing.Encoder(TOKENIZER)

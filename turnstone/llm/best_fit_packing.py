@@ -2,10 +2,12 @@
 
 1. Texts are encoded once; a document that is longer than a window is cut into full windows after a shorter first piece.
 2. The histogram of piece lengths (at most CAPACITY numbers, whatever the corpus) goes to the driver. There the
-   configuration program (as few windows as cover the count of every class of like lengths) is solved by multiplicative
-   weights: classes whose cover lags weigh more, and a knapsack by dynamic programming finds the window of most weight,
-   which is then used for a share of its classes' counts. The shares are rounded down, and what is left goes best-fit, longest first, into the
-   room of windows already open and then into new ones, whole groups of equal windows at a time.
+   configuration program (as few windows as cover the count of every class) is solved by multiplicative weights: classes
+   whose cover lags weigh more, and a knapsack by dynamic programming finds the window of most weight, which is then
+   used for a share of its classes' counts. A frequent length is a class of its own; the others are classed with their
+   neighbours, and no class spans a divisor of the window. A class weighs as its longest length, so each window is filled
+   up by the true lengths of its pieces before it is opened. The shares are rounded down, and what is left goes best-fit,
+   longest first, into the room of windows already open and then into new ones, whole groups of equal windows at a time.
 3. Pieces are range-partitioned by length and numbered within each length from the partitions' own counts; a piece's
    number then tells its window and place by search in the plan. No window, length or source is gathered in one task.
 
@@ -29,8 +31,8 @@ from .common import binary, only, slots, stage, unstage
 CAPACITY, CLOSING = 2048, 0
 #: Rounds of multiplicative weights, and the rate at which covered lengths lose weight.
 STEPS, RATE, SHARE = 1200, 4.0, 0.1
-#: Lengths are classed to one part in FINE for the program.
-FINE = 32
+#: Lengths are classed to one part in FINE for the program, but for those of one in HOT pieces, which stay single.
+FINE, HOT = 32, 200
 #: Lengths up to this stay out of the program and fill the room that classing leaves.
 FILL = 128
 #: Texts of each worker that the tokenizers library encodes too.
@@ -126,14 +128,16 @@ def knapsack(value: np.ndarray, capacity: int) -> dict[int, int]:
     """Lengths (with counts) of most total value that fit; value[l] is a length's, 0 or less for one not to use."""
     best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
     use = np.flatnonzero(value > 0)
-    for c in range(1, capacity + 1):
-        some = use[: np.searchsorted(use, c, "right")]
-        best[c] = best[c - 1]
-        if len(some):
-            gain = best[c - some] + value[some]
-            i = int(gain.argmax())
-            if gain[i] > best[c]:
-                best[c], last[c] = gain[i], some[i]
+    least = int(use[0]) if len(use) else capacity + 1
+    for begin in range(least, capacity + 1, least):  # no room in a block depends on another of it
+        block = np.arange(begin, min(begin + least, capacity + 1))
+        some = use[: np.searchsorted(use, block[-1], "right")]
+        before = block[:, None] - some
+        gain = np.where(before < 0, -np.inf, best[before]) + value[some]
+        i = gain.argmax(1)
+        gain = gain[np.arange(len(block)), i]
+        best[block] = np.maximum.accumulate(np.maximum(gain, best[begin - 1]))
+        last[block] = np.where(gain >= best[block], some[i], 0)
     out: dict[int, int] = {}
     c = capacity
     while c:
@@ -145,19 +149,23 @@ def knapsack(value: np.ndarray, capacity: int) -> dict[int, int]:
     return out
 
 
-def classes(capacity: int) -> np.ndarray:
-    """The largest length of each class: single lengths first, then steps of one part in FINE."""
+def classes(counts: np.ndarray, capacity: int) -> np.ndarray:
+    """The largest length of each class: steps of one part in FINE (single lengths first) that end before and at each
+    length of one in HOT pieces, and at each divisor of the capacity."""
+    ends = {capacity // n for n in range(1, capacity // FILL + 1)}
+    for length in np.flatnonzero(counts[1:capacity] * HOT >= max(1, counts[FILL + 1 : capacity].sum())) + 1:
+        ends |= {int(length) - 1, int(length)}
     tops = [1]
     while tops[-1] < capacity - 1:
-        tops.append(min(capacity - 1, tops[-1] + max(1, tops[-1] // FINE)))
+        to = min(capacity - 1, tops[-1] + max(1, tops[-1] // FINE))
+        tops.append(next((x for x in range(tops[-1] + 1, to) if x in ends), to))
     return np.array(tops)
 
 
-def configurations(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], float]]:
+def configurations(counts: np.ndarray, capacity: int, tops: np.ndarray) -> list[tuple[dict[int, int], float]]:
     """Windows, as lengths' classes, and how often to use each, that together cover each class's count: the
     configuration program by multiplicative weights. A class's price begins as its length and falls as it is covered; the
     knapsack finds the window of the highest price, which is used until the least covered of its classes gains SHARE."""
-    tops = classes(capacity)
     of = np.searchsorted(tops, np.arange(len(counts)))
     many = np.bincount(of[1:capacity], counts[1:capacity], len(tops))
     many[tops <= FILL] = 0
@@ -191,10 +199,10 @@ def pack(counts: np.ndarray, capacity: int = CAPACITY) -> Plan:
     def open_(window: dict[int, int], times: int) -> None:
         room.setdefault(capacity - sum(a * b for a, b in window.items()), []).append((window, times))
 
-    tops = classes(capacity)
+    tops = classes(left, capacity)
     bottoms = np.concatenate(([1], tops[:-1] + 1))
-    for window, share in sorted(configurations(left, capacity), key=lambda x: -x[1]):
-        times = int(share)  # rounded down; the rest goes best-fit
+    for window, share in sorted(configurations(left, capacity, tops), key=lambda x: -x[1]):
+        times = int(share + 1e-6)  # rounded down; the rest goes best-fit
         while times:
             # the longest of each class that are left; as many equal windows as those allow
             own: dict[int, int] = {}
@@ -216,6 +224,12 @@ def pack(counts: np.ndarray, capacity: int = CAPACITY) -> Plan:
                     own[length] -= 1
                     own[longer] = own.get(longer, 0) + 1
                     spare -= longer - length
+            # what room is left takes more pieces, longest first; short ones come last, best-fit
+            for length in range(spare, FILL, -1):
+                n = min(spare // length, int(left[length]) - own.get(length, 0))
+                if n > 0:
+                    own[length] = own.get(length, 0) + n
+                    spare -= n * length
             own = {a: b for a, b in own.items() if b}
             now = min(times, *(int(left[a]) // b for a, b in own.items()))
             for a, b in own.items():
