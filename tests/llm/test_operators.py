@@ -409,6 +409,17 @@ def test_encoding():
         assert e.encode(t) == e._whole(t)
 
 
+def test_encoding_of_long_white_space(spark):
+    """The faster merger fails on a million of white space in a row."""
+    e = packing.Encoder(TOKENIZER)
+    texts = [" " * 1_000_000, "a" + "\n" * 1_000_000 + "b", "\u3000" * 1_000_000, "x" + " \t" * 600_000 + "y", "after it"]
+    for t in texts:
+        assert e.encode(t) == e._whole(t)
+    assert e.fast is not None
+    docs = dict(enumerate(texts[:2] + texts[-1:]))
+    check_packing(packing.pack_documents(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), TOKENIZER).collect(), docs)
+
+
 @pytest.mark.parametrize("n", [0, 1, 50, 3000])
 def test_plan(n):
     rng = np.random.default_rng(n)

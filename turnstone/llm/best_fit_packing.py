@@ -52,8 +52,9 @@ def _alphabet() -> dict[str, int]:
 
 class Encoder:
     """Text -> little-endian ids of a tokenizer file. A plain byte-level vocabulary whose merges are numbered in order is
-    run by a faster merger over the file's own vocabulary; a text with a special string, and any other kind of file, goes
-    to the tokenizers library, and so does everything if the two ever differ on the first CHECKED texts of a worker."""
+    run by a faster merger over the file's own vocabulary; a text with a special string or one that the merger gives up on
+    (white space of about a million characters in a row), and any other kind of file, goes to the tokenizers library, and
+    so does everything if the two ever differ on the first CHECKED texts of a worker."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -80,7 +81,13 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if self.fast is None or any(s in text for s in self.special):
             return self._whole(text)
-        ids = np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
+        try:
+            ids = np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
+        except BaseException as e:
+            # the merger's panics are no Exceptions, and their class has no public name
+            if not isinstance(e, Exception) and type(e).__name__ != "PanicException":
+                raise
+            return self._whole(text)
         if self.checked < CHECKED:
             self.checked += 1
             if ids != self._whole(text):
