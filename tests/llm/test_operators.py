@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import re
 import zlib
 
@@ -185,6 +186,27 @@ def test_licences(spark):
     assert license_scan.scan(files.where("1 = 0")).count() == 0
 
 
+COMMON = "/usr/share/common-licenses"
+
+
+@pytest.mark.skipif(not os.path.isdir(COMMON), reason="no texts to read")
+def test_licence_files(spark):
+    """Whole licence texts, reflowed and under a copyright line; short notices and other texts as before."""
+    names = {"GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause"}
+    rows, want = [], {}
+    for i, (name, license_) in enumerate(names.items()):
+        with open(f"{COMMON}/{name}", encoding="utf-8") as f:
+            text = "Copyright (c) 2020 Some Body and others\n\n" + " ".join(f.read().split())
+        rows += [(2 * i, f"{name}/LICENSE", text), (2 * i + 1, f"{name}/src/a.c", "int x;")]
+        want |= {2 * i: (license_, license_, None), 2 * i + 1: (None, license_, name)}
+    prose = "The committee met in the afternoon, and it was agreed that the members would receive the minutes of the meeting. " * 40
+    rows += [(100, "n/COPYING", "Released under the MIT License."), (101, "o/NOTICE", prose), (102, "r/readme.txt", rows[-2][2].partition("\n")[2]), (103, "s/LICENSE", None)]
+    want |= {100: ("MIT", "MIT", None), 101: (None, None, None), 102: (None, None, None), 103: (None, None, None)}
+    got = license_scan.scan(spark.createDataFrame(rows, "f_id long, path string, text string")).collect()
+    assert {r.f_id: (r.own_license, r.license, r.inherited_from) for r in got} == want
+    assert len(got) == len(rows)
+
+
 # 5
 
 
