@@ -40,3 +40,20 @@ def test_query(spark, sf, duck, name):
         assert sorted(names) == columns
         want = sorted(([plain(r[names.index(c)]) for c in columns] for r in found.fetchall()), key=repr)
         assert got == want
+
+
+def test_graph_of_all_documents(spark, tmp_path):
+    """Rooms of one, two and three wings, whose documents no label marks, enter the queries over the whole table."""
+    rows = [("a", "en"), ("a", "fr"), ("a", "fr"), ("src1", "en"), ("b", "fr"), ("b", "de"), ("c", "es"), ("d", "de"), ("d", "it"), ("e", "it")]
+    docs = [(i, "x", lang, room, 1) for i, (room, lang) in enumerate(rows)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    want = {
+        "tunnels": {("a", "en,fr", 3), ("b", "de,fr", 2), ("d", "de,it", 2)},
+        "tunnels_between": {("a",)},
+        "graph_stats": {(6, 3, 3)},
+        "traverse": {("src1", 0), ("a", 1), ("b", 2)},
+    }
+    for name, rows_ in want.items():
+        got = catalogue.QUERIES[name + "_all"](spark, str(tmp_path)).collect()
+        assert len(got) == len(rows_) and {tuple(r) for r in got} == rows_

@@ -426,6 +426,30 @@ def traverse(spark, sf):
     return graph.traverse(_toxic(spark, sf), "lang", "source", "src1", 2)
 
 
+def _whole(name: str) -> str:
+    return ORACLE_SQL[name].replace(_TOXIC, "documents")
+
+
+@query(_whole("tunnels"))
+def tunnels_all(spark, sf):
+    return graph.tunnels(table(spark, sf, "documents"), "lang", "source")
+
+
+@query(_whole("tunnels_between"))
+def tunnels_between_all(spark, sf):
+    return graph.tunnels_between(table(spark, sf, "documents"), "lang", "source", "en", "fr")
+
+
+@query(_whole("graph_stats"))
+def graph_stats_all(spark, sf):
+    return graph.graph_stats(table(spark, sf, "documents"), "lang", "source")
+
+
+@query(_whole("traverse"))
+def traverse_all(spark, sf):
+    return graph.traverse(table(spark, sf, "documents"), "lang", "source", "src1", 2)
+
+
 # --- incremental, health and sync -----------------------------------------------------------------------------------
 
 
