@@ -25,7 +25,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.partition("[")[0] != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"file://{tempfile.gettempdir()}/checkpoints"
 
@@ -60,8 +60,8 @@ def _clean() -> None:
     for spark, path in list(_staged):
         try:
             _delete(spark, path)
-        except Exception:  # the session may have ended; the shared folder's owner then clears it
-            return
+        except Exception:  # its session may have ended; the shared folder's owner then clears it
+            continue
 
 
 def slots(spark: SparkSession) -> int:
@@ -93,6 +93,33 @@ def only(df: DataFrame, **kinds: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`").cast(k).alias(c) for c, k in kinds.items()))
 
 
+def fresh(names: Iterable[str], prefix: str) -> str:
+    """A prefix, longer than the given one if need be, that no name begins with: columns under it clash with none."""
+    names = [n.lower() for n in names]
+    while any(n.startswith(prefix) for n in names):
+        prefix += "_"
+    return prefix
+
+
+#: A key that over one in so many rows have is joined by broadcast.
+HEAVY = 1000
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """The inner join of rows with table, which holds one row a key and in the column weight how many rows have it.
+
+    Keys with over 1 in HEAVY of all weight are fewer than HEAVY, whatever the input: they are broadcast, and their rows
+    are dealt by their whole contents instead of by key, so no key's rows meet in one task."""
+    values = [c for c in table.columns if c not in keys]
+    total = table.agg(F.sum(weight).alias("k_total"))  # one row, so the join below is no product
+    heavy = table.join(F.broadcast(total)).where(F.col(weight) * HEAVY > F.col("k_total")).select(*keys, F.struct(*values).alias("k_heavy"))
+    dealt = rows.join(F.broadcast(heavy), keys, "left")
+    dealt = dealt.withColumn("k_deal", F.when(F.col("k_heavy").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(*rows.columns).bitwiseOR(F.lit(1))))
+    light = table.select(*keys, F.struct(*values).alias("k_light"), F.lit(0).cast("long").alias("k_deal"))
+    found = dealt.join(light, [*keys, "k_deal"], "left").withColumn("k_found", F.coalesce("k_heavy", "k_light")).where("k_found is not null")
+    return found.select(*rows.columns, *(F.col("k_found")[v].alias(v) for v in values))
+
+
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """Connected components of edges (a, b), any comparable type: rows (v, component), one for each vertex, where
     component is the smallest vertex. Loops (a = b) make a vertex.

@@ -7,17 +7,20 @@ A full suffix array over a corpus moves each suffix's leading bytes, 200 times t
    corpus need no look. About one position in 50 is an anchor; each stands for a run of successive windows, and the
    bytes those cover are its string.
 2. Equal strings of anchors are counted first (partial sums before the shuffle, so hot passages collapse): where a
-   string occurs twice, all its windows do.
+   string occurs twice, all its windows do. Strings are equal when two 64-bit hashes with nothing in common are, that of
+   the K-gram and that of the whole string; everything else is compared by its bytes.
 3. What is left, strings that occur once and one of each class that repeats, are suffixes to sort: Spark samples
-   splitters and range-partitions them by their leading bytes, in order; each bucket sorts its windows by a multikey
-   quicksort (radix 8 bytes, groups of one drop out) and neighbours of equal 200 bytes are repeats. Equal leading bytes
-   are never split by a range, so a bucket's bounds need no look across; a K-gram of over HOT strings is instead cut
-   into its single windows, which are counted by content and so spread over buckets again.
+   splitters and range-partitions them by their leading bytes from the anchor on; each bucket takes them in that order,
+   sorts its windows by a multikey quicksort (radix 8 bytes, groups of one drop out), and neighbours of equal 200 bytes
+   are repeats. Equal leading bytes and K-grams are never split by a range, so a bucket's bounds need no look across.
+   Where one K-gram has over HOT strings, too many for a bucket, these are cut into their single windows instead, which
+   are counted by SHA-256 and so spread over all tasks again: the exact way for what a bucket cannot hold.
 4. Spans go back to their rows, which merge them, cut them out and hash what is left.
 
 Rows are numbered when the table is staged, so repeated doc_ids and repeated rows are separate texts (equal ones repeat
-each other). Null and empty texts have 0 bytes and hash as the empty string; texts under 200 bytes are left alone unless
-empty of windows, which they are; a null doc_id is carried through; extra columns are ignored."""
+each other). Null and empty texts have 0 bytes and hash as the empty string; texts under 200 bytes hold no window and are
+left alone; very long texts are scanned in overlapping cuts; a null doc_id is carried through; extra columns are ignored;
+an empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -26,11 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as scan
-from .common import binary, only, pieces, slots, stage, unstage
+from .common import binary, lookup, only, pieces, slots, stage, unstage
 
 #: Length of a repeat, and of the K-gram that anchors carry.
 LENGTH, KGRAM = 200, 100
@@ -45,14 +48,12 @@ _U = np.uint64
 def anchors(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = KGRAM) -> tuple[np.ndarray, ...]:
     """Of every row's windows: row, anchor, first and last window start (bytes from the row's start), hash of the
     K-gram, hash of the string from the first window's start to the last one's end."""
-    h = scan.Hashes(buf)
     if len(buf) < length:
         return tuple(np.zeros(0, np.int64) for _ in range(4)) + tuple(np.zeros(0, _U) for _ in range(2))
-    grams = np.arange(len(buf) - k + 1)
-    hashes = h.of(grams, grams + k)
+    hashes = scan.grams(buf, k)
     # least of each window of w grams, by hash, then by place: minima of blocks from the left and from the right
     w, n = length - k + 1, len(hashes)
-    keyed = (hashes & ~_U(0xFFFFFFF)) | grams.astype(_U)
+    keyed = (hashes & ~_U(0xFFFFFFF)) | np.arange(n, dtype=_U)
     padded = np.full(-(-n // w) * w, ~_U(0), _U)
     padded[:n] = keyed
     blocks = padded.reshape(-1, w)
@@ -68,7 +69,7 @@ def anchors(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int =
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(starts)) - 1
     row, anchor, lo, hi = row[first], best[first], starts[first], starts[last]
-    whole = h.of(lo, hi + length) ^ scan.mix((anchor - lo).astype(_U))
+    whole = scan.Hashes(buf, salt=1).of(lo, hi + length) ^ scan.mix((anchor - lo).astype(_U))
     base = offsets[row]
     return row, anchor - base, lo - base, hi - base, hashes[anchor], whole
 
@@ -214,34 +215,41 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
+def _runs(steps: Column) -> Column:
+    """lo, hi of the runs of successive numbers in a sorted array of at most LENGTH - KGRAM + 1."""
+    firsts = F.filter(steps, lambda x: ~F.array_contains(steps, x - 1))
+    lasts = F.filter(steps, lambda x: ~F.array_contains(steps, x + 1))
+    return F.zip_with(firsts, lasts, lambda a, b: F.struct(a.alias("lo"), b.alias("hi")))
+
+
 def suffix_dedup(docs: DataFrame, texts: bool = True, hot: int = HOT) -> DataFrame:
     """_CUT for every row of docs (doc_id, text); kept holds the bytes that are left (dropped without texts)."""
     spark = docs.sparkSession
     parts = slots(spark)
     table = stage(only(docs, doc_id="long", text="string").withColumn("rid", F.monotonically_increasing_id()))
-    found = table.select("rid", "text").mapInArrow(_find, _FOUND)
-    found = stage(found)
+    found = stage(table.select("rid", "text").mapInArrow(_find, _FOUND))
     grams = found.groupBy("gram").agg(F.count("*").alias("strings")).where("strings > 1")
-    suspects = stage(found.join(grams, "gram"))
-    classes = suspects.groupBy("gram", "whole").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "lo")).alias("one"), F.max("strings").alias("strings"))
+    suspects = stage(lookup(found, grams, ["gram"], "strings").drop("strings"))
+    classes = stage(suspects.groupBy("gram", "whole").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "lo", "anchor", "hi")).alias("one")))
     crowd = classes.groupBy("gram").agg(F.count("*").alias("classes")).where("classes > 1")
-    repeats = suspects.join(classes.where("copies > 1").select("gram", "whole"), ["gram", "whole"]).select("rid", "lo", "hi")
-    ones = classes.join(crowd, "gram").select("gram", F.col("one.rid").alias("rid"), F.col("one.lo").alias("lo"), (F.col("classes") > hot).alias("hot"))
-    ones = suspects.join(ones, ["gram", "rid", "lo"])
+    repeats = lookup(suspects, classes.where("copies > 1").select("gram", "whole", "copies"), ["gram", "whole"], "copies").select("rid", "lo", "hi")
+    ones = lookup(classes.select("gram", "one"), crowd, ["gram"], "classes").select("gram", "one.*", (F.col("classes") > hot).alias("hot"))
     wanted = ones.groupBy("rid").agg(F.collect_list(F.struct("anchor", "lo", "hi", "gram", "hot")).alias("wanted"))
     strings = stage(table.select("rid", "text").join(wanted, "rid").mapInArrow(_strings, _STRINGS))
     dealt = strings.where("not hot").drop("hot").withColumn("lead", F.expr("substring(string, cast(anchor - lo + 1 as int), 16)"))
-    runs = dealt.repartitionByRange(parts, "lead", "gram").sortWithinPartitions("gram").drop("lead").mapInArrow(_sort, _RUNS)
+    runs = dealt.repartitionByRange(parts, "lead", "gram").sortWithinPartitions("lead", "gram").drop("lead").mapInArrow(_sort, _RUNS)
 
-    windows = strings.where("hot").select("rid", "gram", "lo", "string", F.explode(F.expr(f"sequence(0, cast(octet_length(string) as int) - {LENGTH})")).alias("step"))
-    windows = windows.select("rid", (F.col("lo") + F.col("step")).alias("lo"), F.expr(f"unhex(sha2(substring(string, step + 1, {LENGTH}), 256))").alias("content"))
-    twice = windows.groupBy("content").agg(F.count("*").alias("n")).where("n > 1").select("content")
-    runs = runs.unionByName(windows.join(twice, "content").select("rid", "lo", F.col("lo").alias("hi")))
+    windows = strings.where("hot").select("rid", "lo", "string", F.explode(F.expr(f"sequence(0, cast(octet_length(string) as int) - {LENGTH})")).alias("step"))
+    windows = windows.select("rid", "lo", "step", F.expr(f"unhex(sha2(substring(string, step + 1, {LENGTH}), 256))").alias("content"))
+    twice = windows.groupBy("content").agg(F.count("*").alias("n")).where("n > 1")
+    steps = lookup(windows, twice, ["content"], "n").groupBy("rid", "lo").agg(F.array_sort(F.collect_list("step")).alias("steps"))
+    runs = runs.unionByName(steps.select("rid", "lo", F.explode(_runs(F.col("steps"))).alias("r")).select("rid", (F.col("lo") + F.col("r.lo")).alias("lo"), (F.col("lo") + F.col("r.hi")).alias("hi")))
 
+    # a text's runs are fewer than one in (LENGTH - KGRAM) / 2 of its bytes, unless it repeats itself at once
     spans = repeats.unionByName(runs).groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     out = table.join(spans, "rid", "left").select("doc_id", "text", "runs").mapInArrow(_cut, _CUT)
     out = stage(out if texts else out.drop("kept"))
-    unstage(table, found, suspects, strings)
+    unstage(table, found, suspects, classes, strings)
     return out
 
 

@@ -1,37 +1,28 @@
 """Whole batches of UTF-8 text at once in NumPy: word bounds and hashes of words, word windows and byte windows.
 
-A text's bytes b_0..b_n get the 64-bit prefix sums C of T[b_i] * R**i (T random, R odd), so the hash of bytes [s, e) is
-(C[e] - C[s]) * R**-s: the same for equal bytes wherever they stand, and one subtraction for any window."""
+A range of bytes is hashed eight bytes at a step, each step a bijection of the state mixed with the bytes, so different
+bytes have equal hashes by chance alone, whatever their pattern (a polynomial modulo a power of two has patterns that
+collide). Windows of one length at every place are hashed by doubling: the hash of 2n bytes is a mix of two of n."""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20260101))
-_TABLE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
-_R = U(0x9E3779B97F4A7C15)
-_R_INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_MULTIPLIERS = _rng.integers(1, 2**63, 64, dtype=np.uint64) * U(2) + U(1)
+_ODD = _rng.integers(1, 2**63, 64, dtype=np.uint64) * U(2) + U(1)
+#: Ranges of more bytes go one by one to BLAKE2, so a long range costs no steps for the short ones.
+LONG = 512
+#: The bytes that are in a range of which so many are left.
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers = [np.ones(1, U), np.ones(1, U)]
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """R**i and R**-i for i to n; kept, as batches are of like size."""
-    if len(_powers[0]) <= n:
-        for k, base in enumerate((_R, _R_INVERSE)):
-            p = np.full(n + 1, base, U)
-            p[0] = U(1)
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0], _powers[1]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
@@ -48,16 +39,47 @@ def view(column, at: int, to: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place as a number, the first lowest; beyond the end they are 0."""
+    padded = np.concatenate((buf, np.zeros(8, np.uint8)))
+    return np.ndarray((len(buf) + 1,), "<u8", padded.tobytes(), strides=(1,))
+
+
 class Hashes:
-    """Hashes of any byte windows of buf."""
+    """Hashes of any byte ranges of buf."""
 
-    def __init__(self, buf: np.ndarray) -> None:
-        p, self.inverse = _power(len(buf))
-        self.sums = np.zeros(len(buf) + 1, U)
-        np.cumsum(_TABLE[buf] * p[: len(buf)], out=self.sums[1:])
+    def __init__(self, buf: np.ndarray, salt: int = 0) -> None:
+        self.buf, self.eight, self.salt = buf, eights(buf), salt
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(U) * _MULTIPLIERS[-1])
+        size = end - start
+        out = mix(size.astype(U) * _ODD[62] + _ODD[63] + U(self.salt))
+        live, depth = np.flatnonzero(size <= LONG), 0
+        while len(live):
+            left = size[live] - depth
+            if left.min() <= 0:
+                live = live[left > 0]
+                continue
+            word = self.eight[start[live] + depth].astype(U) & _MASK[np.minimum(left, 8)]
+            out[live] = mix((out[live] ^ word) * _ODD[61])
+            depth += 8
+        for i in np.flatnonzero(size > LONG):
+            digest = hashlib.blake2b(self.buf[start[i] : end[i]], digest_size=8, key=self.salt.to_bytes(8, "little"))
+            out[i] = int.from_bytes(digest.digest(), "little")
+        return out
+
+
+def grams(buf: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k bytes (8 or more) from every place that has as many."""
+    n = len(buf) - k + 1
+    if n <= 0:
+        return np.zeros(0, U)
+    out, size = mix(eights(buf)[: len(buf) - 7] ^ _ODD[60]), 8
+    while size < k:
+        step = min(size, k - size)
+        out = mix(out[:-step] * _ODD[59] + out[step:])
+        size += step
+    return out
 
 
 class Words:
@@ -86,10 +108,10 @@ def windows(hashes: np.ndarray, k: int) -> np.ndarray:
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, U)
-    out = np.zeros(n, U)
+    out = np.full(n, k * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF, U)
     for j in range(k):
-        out += hashes[j : j + n] * _MULTIPLIERS[j]
-    return mix(out + U(k * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF))
+        out = mix(out * _ODD[58] + hashes[j : j + n])
+    return out
 
 
 def shingles(buf: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
