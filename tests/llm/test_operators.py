@@ -117,6 +117,15 @@ def test_urls(spark):
     assert url_filter.judge(pages.where("1 = 0")).count() == 0
 
 
+def test_lookup(spark):
+    """A hot key, common ones and missing ones, against a plain join."""
+    rows = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 5000).cast("long").alias("a"), F.col("id").alias("x"))
+    table = rows.groupBy("a").agg(F.count("*").alias("n"), F.max("x").alias("most")).where("a % 2 = 1")
+    want = {(r.a, r.x, r.n, r.most) for r in rows.join(table, "a").collect()}
+    got = common.lookup(rows, table, ["a"], "n")
+    assert got.columns == ["a", "x", "n", "most"] and {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+
+
 def test_components(spark):
     rng = np.random.default_rng(7)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (250, 2))] + [(i, i + 1) for i in range(1000, 1080)] + [(5000, i) for i in range(2000, 2100)]
@@ -164,6 +173,77 @@ def test_line_rules(spark):
     assert not by[3].kept
 
 
+def judged(text):
+    """Words in failing lines, and the text without them, by the rules one line at a time."""
+    q, lines, seen, lost, left = quality_rules, text.split("\n"), set(), 0, []
+    filled = sum(bool(words(x)) for x in lines)
+    for i, line in enumerate(lines):
+        w = words(line)
+        bad = line in seen
+        if w:
+            seen.add(line)
+            bad |= sum(c in "#*$%&|<>" for c in line) * q.SYMBOL_SHARE > len(line)
+            bad |= len(w) <= q.FRAGMENT and w[-1][-1] not in ".!?,;:)\"'" and filled > 1
+            bad |= sum(x in q.SEPARATOR_WORDS for x in w) >= q.SEPARATORS
+            low = re.sub("[A-Z]+", lambda m: m[0].lower(), line)
+            bad |= len(w) <= q.FURNITURE and any(re.search(rf"(?<![0-9a-z\x80-\U0010ffff]){re.escape(p)}(?![0-9a-z\x80-\U0010ffff])", low) for p in q.PHRASES)
+        if w and bad:
+            lost += len(w)
+        else:
+            left.append(line + "\n" * (i < len(lines) - 1))
+    return lost, "".join(left)
+
+
+def test_lost_words(spark, sf, odd):
+    """lost_words, kept and clean_text of whole tables and of lines on both sides of every rule."""
+    made = [
+        "He signed design upgrades and found the catalog in a drawer of the study.\nA dialog in the garden went on for hours, they said.",
+        "Please log in\nLog in to go on.\nclick here!\nCLICK HERE for more\nTous droits réservés 2024.\nWeiterlesen über\nLeer más",
+        "a | b | c\na | b\n" + "all rights reserved " * 10 + "\nshort line\nshort line,\n### $$$ x\n\n \nshort line,",
+        "übersign upé",
+        "one " * 30 + "\n" + "the second line is not long.\n" * 5,
+    ]
+    rows = documents(spark, sf).select("doc_id", "text").unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(made)], "doc_id long, text string"))
+    for r in quality_rules.clean_lines(rows).join(rows.withColumnRenamed("text", "raw"), "doc_id").collect():
+        lost, left = judged(r.raw or "")
+        assert (r.lost_words, r.clean_text) == (lost, left), r.doc_id
+        assert r.kept == (not r.base_failed and lost <= quality_rules.MAX_LOSS * r.n_words)
+
+
+def thue_morse(n):
+    """A string of 2**n letters and the string with the two letters changed for one another: sums of powers of an odd
+    number over them agree modulo 2**64 from 2**10 letters on."""
+    out = "a"
+    for _ in range(n):
+        out += out.translate({97: 98, 98: 97})
+    return out, out.translate({97: 98, 98: 97})
+
+
+@pytest.mark.parametrize("n", [8, 10, 12])
+def test_patterns_that_sums_of_powers_confuse(spark, n):
+    a, b = thue_morse(n)
+    made = [a, b, f"{a} x y", f"{b} x y", f"{a}\n{b}\n{a[::-1]}c", f"{a}c {b}c {a}d"]
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df, 3, 90, 100).collect()}
+    assert got == linked(list(enumerate(made)), 3, 90, 100) and len({c for _, c in got.values()}) == len(made)
+    assert all(r.n_dup_lines == 0 and r.n_repeat_words == 0 for r in quality_rules.clean_lines(df).collect())
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.suffix_dedup(df, texts=False).collect()}
+    assert got == dict(enumerate(cut([t.encode() for t in made])))
+
+
+def test_hashes_of_ranges():
+    """The same for equal bytes wherever they stand, up to and beyond the length that goes to BLAKE2."""
+    text = np.frombuffer(bytes(range(256)) * 5, np.uint8)
+    h = scan.Hashes(text)
+    for size in (0, 1, 7, 8, 9, 200, scan.LONG, scan.LONG + 1):
+        at = np.arange(0, 256)
+        one, two = h.of(at, at + size), h.of(at + 256, at + 256 + size)
+        assert (one == two).all() and len(set(one.tolist())) == (256 if size else 1)
+    for k in (8, 9, 16, 100, 200):
+        g = scan.grams(text, k)
+        assert len(g) == len(text) - k + 1 and (g[:256] == g[256:512]).all() and len(set(g.tolist())) == 256
+
+
 # 4
 
 

@@ -6,7 +6,8 @@ A line with a word fails when one of these holds:
 - punctuation: over 1 in SYMBOL_SHARE of its characters is one of `#*$%&|<>`, or it has at most FRAGMENT words and none
   of its last characters ends a sentence or clause while the document has other lines;
 - navigation: SEPARATORS or more of its words are bare separators (`|`, `>`, `/`, `-`, `*`, `·`, `»`, `•`);
-- boilerplate: it holds one of the fixed phrases, or it equals an earlier line of the document.
+- boilerplate: it has at most FURNITURE words and holds one of the fixed phrases of four languages, with no letter, digit
+  or other character of a word next to it, or it equals an earlier line of the document.
 
 A document is kept unless the base check failed (under 20 words, or over 30 of 100 words in 8-word windows that the text
 repeats) or its failing lines hold over MAX_LOSS of its words.
@@ -27,10 +28,10 @@ from . import textscan as scan
 from .common import binary, only, pieces
 
 PIECE = 2 << 20
-SYMBOL_SHARE, FRAGMENT, SEPARATORS, MAX_LOSS = 10, 3, 3, 0.5
+SYMBOL_SHARE, FRAGMENT, SEPARATORS, FURNITURE, MAX_LOSS = 10, 3, 3, 20, 0.5
 MIN_WORDS, WINDOW, MAX_REPEAT = 20, 8, 30
 
-# Phrases of page furniture, in lower case.
+# Phrases of page furniture, in lower case; English, French, German, Spanish.
 PHRASES = (
     "all rights reserved",
     "privacy policy",
@@ -48,6 +49,30 @@ PHRASES = (
     "share this",
     "back to top",
     "lorem ipsum",
+    "tous droits réservés",
+    "politique de confidentialité",
+    "mentions légales",
+    "conditions d'utilisation",
+    "accepter les cookies",
+    "cliquez ici",
+    "lire la suite",
+    "se connecter",
+    "haut de page",
+    "alle rechte vorbehalten",
+    "datenschutzerklärung",
+    "nutzungsbedingungen",
+    "cookies akzeptieren",
+    "hier klicken",
+    "weiterlesen",
+    "nach oben",
+    "todos los derechos reservados",
+    "política de privacidad",
+    "aviso legal",
+    "términos de uso",
+    "aceptar cookies",
+    "haga clic aquí",
+    "leer más",
+    "iniciar sesión",
 )
 # Characters that count as symbols, that end a clause, and that stand alone as separators.
 SYMBOLS = b"#*$%&|<>"
@@ -60,6 +85,8 @@ _END = np.zeros(256, bool)
 _END[list(CLAUSE_ENDS)] = True
 _CHARACTER = np.ones(256, bool)
 _CHARACTER[0x80:0xC0] = False
+_IN_WORD = np.zeros(256, bool)
+_IN_WORD[48:58] = _IN_WORD[65:91] = _IN_WORD[97:123] = _IN_WORD[0x80:] = True
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lost_words long, base_failed boolean, kept boolean, clean_text string"
 
@@ -126,8 +153,8 @@ def judge(buf: np.ndarray, offsets: np.ndarray, texts: bool) -> dict[str, np.nda
     for phrase in _PHRASE_BYTES:
         at = lower.find(phrase)
         while at >= 0:
-            i = int(np.searchsorted(start, at, "right")) - 1
-            if i >= 0 and at + len(phrase) <= end[i]:
+            i, to = int(np.searchsorted(start, at, "right")) - 1, at + len(phrase)
+            if i >= 0 and to <= end[i] and words[i] <= FURNITURE and not (at > start[i] and _IN_WORD[buf[at - 1]]) and not (to < end[i] and _IN_WORD[buf[to]]):
                 bad[i] = True
             at = lower.find(phrase, at + 1)
     bad |= later
