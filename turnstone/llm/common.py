@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -48,6 +48,16 @@ def unstage(*frames: DataFrame) -> None:
         _delete(df.sparkSession, df.staged_path)
 
 
+def settle(make: Callable[[], DataFrame]) -> DataFrame:
+    """The staged result of make, without the tables that make staged on the way. Not for several threads at once."""
+    before = {path for _, path in _staged}
+    out = stage(make())
+    for spark, path in list(_staged):
+        if path not in before and path != out.staged_path:
+            _delete(spark, path)
+    return out
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -115,7 +125,8 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> D
     heavy = table.join(F.broadcast(total)).where(F.col(weight) * HEAVY > F.col("k_total")).select(*keys, F.struct(*values).alias("k_heavy"))
     dealt = rows.join(F.broadcast(heavy), keys, "left")
     dealt = dealt.withColumn("k_deal", F.when(F.col("k_heavy").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(*rows.columns).bitwiseOR(F.lit(1))))
-    light = table.select(*keys, F.struct(*values).alias("k_light"), F.lit(0).cast("long").alias("k_deal"))
+    # 0, but no literal, which Catalyst would take out of the join's keys
+    light = table.select(*keys, F.struct(*values).alias("k_light"), F.least(F.col(weight), F.lit(0)).cast("long").alias("k_deal"))
     found = dealt.join(light, [*keys, "k_deal"], "left").withColumn("k_found", F.coalesce("k_heavy", "k_light")).where("k_found is not null")
     return found.select(*rows.columns, *(F.col("k_found")[v].alias(v) for v in values))
 
