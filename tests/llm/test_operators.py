@@ -124,6 +124,11 @@ def test_lookup(spark):
     want = {(r.a, r.x, r.n, r.most) for r in rows.join(table, "a").collect()}
     got = common.lookup(rows, table, ["a"], "n")
     assert got.columns == ["a", "x", "n", "most"] and {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    got = common.lookup(rows, table, ["a"], "n")
+    plan = got._jdf.queryExecution().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert re.search(r"hashpartitioning\(a#\d+L, k_deal#\d+L", plan)
 
 
 def test_components(spark):
@@ -266,6 +271,27 @@ def test_licences(spark):
     assert license_scan.scan(files.where("1 = 0")).count() == 0
 
 
+def test_headers_of_many_lines(spark):
+    """File notices in comment blocks, tags, and headers on odd rows."""
+    t = dict(license_scan.TEMPLATES)  # the last of each licence: the notice of files
+    block = lambda text, mark: "\n".join(f"{mark} {text[i : i + 70]}" for i in range(0, len(text), 70))
+    code = "\nint main() { return 0; }\n" * 20
+    rows = [(i, f"a{i}/x.c", f"{mark} Copyright 2020 Some Body\n{block(t[name], mark)}{code}") for i, (name, mark) in enumerate([("GPL-3.0", "//"), ("GPL-2.0", " *"), ("MIT", "#"), ("BSD-3-Clause", "--"), ("Apache-2.0", ";"), ("LGPL-3.0", "*"), ("MPL-2.0", "//"), ("BSD-2-Clause", "#")])]
+    want = ["GPL-3.0", "GPL-2.0", "MIT", "BSD-3-Clause", "Apache-2.0", "LGPL-3.0", "MPL-2.0", "BSD-2-Clause"]
+    rows += [(20, "b/x.py", "# SPDX-License-Identifier: BSD-3-Clause\nx = 1"), (21, "c/x.py", "/* spdx-license-identifier: Zlib */" + code), (22, "d/x", "This license plate is rusty, and the copyright page is torn.")]
+    rows += [(30, "b/x.py", "again"), (30, "b/x.py", "again"), (None, None, "Released under the MIT License."), (31, "z/y/x.py", None), (32, "", "# SPDX-License-Identifier: MIT")]
+    names = ("line", "n", "key", "held", "own_license", "license", "folder", "up", "k_heavy", "files", "t")
+    df = spark.createDataFrame(rows, "f_id long, path string, text string").select("*", *(F.lit(1).alias(n) for n in names))
+    got = collections.defaultdict(list)
+    for r in license_scan.scan(df).collect():
+        got[r.f_id].append((r.own_license, r.license, r.inherited_from))
+    assert [got[i] for i in range(8)] == [[(x, x, None)] for x in want]
+    assert got[20] == [("BSD-3-Clause", "BSD-3-Clause", None)] and got[21] == [("Zlib", "Zlib", None)]
+    assert got[22] == [(None, "MIT", "")] and got[32] == [("MIT", "MIT", None)]
+    # a file that is mostly its licence speaks for its folder, and one at the root for all that have none nearer
+    assert got[30] == [(None, "BSD-3-Clause", "b")] * 2 and got[31] == [(None, "MIT", "")] and len(got[None]) == 1
+
+
 COMMON = "/usr/share/common-licenses"
 
 
@@ -375,14 +401,40 @@ def test_copies(odd, none):
     assert exact_dedup.decide(none).count() == 0
 
 
+def test_columns_of_any_name_come_back(spark):
+    """Every name that a stage of the pipeline uses inside, as a column of the documents."""
+    inner = [f"{p}{c}" for p, cs in (("x_", ("sha", "chars", "maybe", "row", "bit", "map", "rid", "best", "size", "keep_id", "kept")), ("m_", ("size", "source", "id", "key", "bin", "plan", "source_size", "target", "epochs", "budget", "bound", "before", "in", "times", "quality"))) for c in cs]
+    inner += ["k_heavy", "k_light", "k_deal", "k_found", "k_total", "component_id", "label", "n", "words", "X_SHA2"]
+    df = spark.createDataFrame([(i, f"text number {i % 7} " * 30, "en", "ab"[i % 2], 1) for i in range(40)], SCHEMA)
+    df = df.select("*", *(F.concat(F.lit(f"{c}:"), "doc_id").alias(c) for c in inner))
+    rows = {r.doc_id: r for r in df.collect()}
+    for step in (exact_dedup.drop_copies, source_mixing.repeat_taken, jaccard_join.keep_one_of_each):
+        out = step(df)
+        assert out.columns == df.columns
+        found = out.collect()
+        assert found and all(r == rows[r.doc_id] for r in found), step
+    assert len(exact_dedup.drop_copies(df).collect()) == 7
+
+
 def test_filter_is_never_wrong(spark, sf):
     docs = documents(spark, sf)
-    maybe = exact_dedup.suspects(docs)
+    maybe = exact_dedup.suspects(common.stage(exact_dedup.with_hash(docs)))
     repeated = maybe.groupBy("x_sha").agg(F.count("*").alias("n"), F.min("x_maybe").alias("all")).where("n > 1")
     assert repeated.count() > 0 and repeated.where("not all").count() == 0
     assert maybe.where("x_maybe").count() < docs.count() / 2
 
 
+def test_hot_text(spark):
+    """A third of all rows is one text; its rows are dealt over tasks."""
+    df = spark.createDataFrame([(i, "hot text" + " " * (i % 4) if i % 3 == 0 else f"text {i // 2}") for i in range(6000)], "doc_id long, text string")
+    got = {r.doc_id: (r.x_keep_id, r.x_size, r.x_kept) for r in exact_dedup.decide(df, texts=False).collect()}
+    groups = collections.defaultdict(list)
+    for r in df.collect():
+        groups[r.text.replace(" ", "")].append((-len(r.text), r.doc_id))
+    want = {i: (min(g)[1], len(g), i == min(g)[1]) for g in groups.values() for _, i in g}
+    assert got == want
+
+
 # 8
 
 
