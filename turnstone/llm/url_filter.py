@@ -5,31 +5,43 @@ rule wins, allow before block at equal length. Urls that redirects (meta refresh
 connected components over those edges carry a block to all aliases that no rule decides; a url that a rule allows stays
 allowed, whatever its aliases are. Urls in no blocked component are allowed.
 
-A url's node is its host and the rest up to `#`, so scheme and fragment make no difference. Relative targets are resolved
-against their page. Up to FEW rules are one expression evaluated row by row, with no join; longer lists are a table that
-urls join by host suffix and path prefix of each length that a rule has (at most labels times lengths rows a url).
+Every `link` whose rel words hold canonical and every `meta` refresh of a page makes an edge, outside comments, scripts
+and styles. The JVM finds the tags; their attributes are read in Arrow batches, entities decoded, and the target resolved
+as RFC 3986 says against the page's url or its `base`: scheme, `//host`, `/path`, relative paths with dot segments, `?query`
+alone. Targets without a host (mailto, data, javascript) make none. A url's node is its host, its path without dot segments
+and its query, so scheme and fragment make no difference.
+
+Up to FEW rules are one expression evaluated row by row, with no join; longer lists are a table that urls join by host
+suffix and path prefix of each length that a rule has (at most labels times lengths rows a url). The results are the same.
 
 Nulls and edge cases: a null url, or one without ://, has empty host and path, fits no rule and has no aliases; a null
-html has no edges; page_ids may repeat; extra columns stay out of the way; an empty table gives an empty result."""
+html has no edges; page_ids may repeat, and so may urls; of two rules of equal length allow wins, then the greater by code
+point; extra columns stay out of the way; an empty table gives an empty result."""
 
 from __future__ import annotations
 
+import html as entities
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stage
+from .common import components, lookup, only, settle, stage
 
 #: The rules of the query: host/path, block or allow.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 FEW = 256
 
-# Patterns for Java and RE2 alike.
-CANONICAL = r"""(?is)<link\s[^>]*rel\s*=\s*["']?canonical["'\s>][^>]*"""
-REFRESH = r"""(?is)<meta\s[^>]*http-equiv\s*=\s*["']?refresh["'\s][^>]*"""
-HREF = r"""(?is)\shref\s*=\s*["']?([^"'\s>]+)"""
-TARGET = r"""(?is)url\s*=\s*["']?([^"'\s>]+)"""
+# Patterns of tags and what hides them (Java), of attributes and refresh contents (Python), of urls (both and RE2).
+HIDDEN = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>"
+TAGS = r"""(?is)<(?:link|meta|base)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+CONTENT = re.compile(r"""(?is)^\s*[0-9.]*\s*[;,\s]\s*(?:url\s*=\s*)?(?:"([^"]*)|'([^']*)|(.*?)\s*$)""")
+REFERENCE = re.compile(r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?")
 AFTER = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-NODE_REST = r"(?s)^.*?://[^/?#]*([^#]*)"
+QUERY = r"(?s)^.*?://[^?#]*(\?[^#]*)"
 
 
 def _lower(x: Column) -> Column:
@@ -44,11 +56,24 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, AFTER, 2), F.lit(""))
 
 
+def _undotted(path: Column) -> Column:
+    """Without `.` and `..` segments; what ends in one ends in a slash."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    kept = F.aggregate(
+        F.slice(parts, 2, F.size(parts)),
+        F.array().cast("array<string>"),
+        lambda s, x: F.when(x == "..", F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0)))).when(x == ".", s).otherwise(F.concat(s, F.array(x))),
+    )
+    # a last dot segment leaves its folder
+    return F.concat(F.lit("/"), F.array_join(F.concat(kept, F.when(last.isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))), "/"))
+
+
 def node_of(url: Column) -> Column:
     """Null where there is no host."""
-    host = host_of(url)
-    rest = F.regexp_extract(url, NODE_REST, 1)
-    return F.when(host != "", F.concat(host, F.when(rest == "", F.lit("/")).otherwise(rest)))
+    host, path = host_of(url), path_of(url)
+    path = F.when(path == "", F.lit("/")).when(path.contains("/."), _undotted(path)).otherwise(path)
+    return F.when(host != "", F.concat(host, path, F.regexp_extract(url, QUERY, 1)))
 
 
 def _split(rule: str) -> tuple[str, str]:
@@ -85,41 +110,90 @@ def with_rule(urls: DataFrame, rules=RULES, few: int = FEW) -> DataFrame:
     return (_by_expression if len(rules) <= few else _by_join)(urls, rules)
 
 
+def undotted(path: str) -> str:
+    out: list[str] = []
+    parts = path.split("/")[1:]
+    for x in parts:
+        if x == "..":
+            del out[-1:]
+        elif x != ".":
+            out.append(x)
+    return "/" + "/".join([*out, *[""] * (parts[-1] in (".", ".."))])
+
+
+def resolve(base: str, reference: str) -> str | None:
+    """The reference's url (with any scheme that has a host, without its fragment), None where it has no host."""
+    scheme, host, path, query = REFERENCE.match(re.sub(r"[\t\n\r]", "", reference.strip())).groups()
+    if scheme is None or (host is None and scheme.lower() in ("http", "https")):  # https:path is read as a path alone
+        from_scheme, from_host, from_path, from_query = REFERENCE.match(base).groups()
+        if host is None:
+            host = from_host
+            if not path:
+                path, query = from_path, from_query if query is None else query
+            elif not path.startswith("/"):
+                path = (from_path or "/").rpartition("/")[0] + "/" + path
+        scheme = scheme or from_scheme
+    if not host:
+        return None
+    path = undotted(path) if "/." in path else path
+    return f"{scheme}://{host}{path or '/'}" + ("" if query is None else "?" + query)
+
+
+def targets(url: str, tags: list[str]) -> list[str]:
+    """Where a page's canonical links and refreshes lead, from its tags."""
+    base, found = url, []
+    for tag in tags:
+        name, _, rest = tag[1:].partition(tag[5:6])
+        values: dict[str, str] = {}
+        for key, *value in ATTRIBUTE.findall(rest[:-1]):
+            values.setdefault(key.lower(), entities.unescape("".join(value)))
+        if name.lower() == "base" and values.get("href"):
+            base = resolve(url, values["href"]) or base if base == url else base
+        elif name.lower() == "link" and "canonical" in values.get("rel", "").lower().split():
+            found.append(values.get("href", ""))
+        elif name.lower() == "meta" and values.get("http-equiv", "").strip().lower() == "refresh" and (m := CONTENT.match(values.get("content", ""))):
+            found.append(next((x for x in m.groups() if x), ""))
+    return [to for x in found if x.strip() and (to := resolve(base, x))]
+
+
+def _targets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out: list[tuple[str, str]] = []
+        for url, tags in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
+            out += [(url, to) for to in targets(url, tags)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in (0, 1)], ["url", "target"])
+
+
 def edges(pages: DataFrame) -> DataFrame:
-    """a, b, url of b: one row for each redirect or canonical link of a page (url, html) to another url."""
-    html = F.col("html").cast("string")
-    found = F.array_compact(F.array(*(F.nullif(F.regexp_extract(F.regexp_extract(html, tag, 0), what, 1), F.lit("")) for tag, what in ((CANONICAL, HREF), (REFRESH, TARGET)))))
-    marked = pages.where(F.lower(html).contains("canonical") | F.lower(html).contains("refresh"))
-    out = marked.select("url", node_of(F.col("url")).alias("a"), F.explode(found).alias("to"))
-    scheme, host = F.regexp_extract("url", r"^(.*?)://", 1), host_of(F.col("url"))
-    folder = F.regexp_extract(F.when(path_of(F.col("url")) == "", F.lit("/")).otherwise(path_of(F.col("url"))), r"(?s)^(.*/)", 1)
-    whole = (
-        F.when(F.col("to").contains("://"), F.col("to"))
-        .when(F.col("to").startswith("//"), F.concat(scheme, F.lit(":"), "to"))
-        .when(F.col("to").startswith("/"), F.concat(scheme, F.lit("://"), host, "to"))
-        .otherwise(F.concat(scheme, F.lit("://"), host, folder, "to"))
-    )
-    out = out.select("a", whole.alias("target")).withColumn("b", node_of(F.col("target")))
+    """a, b: one row for each redirect or canonical link of a page (url, html) to another url, as nodes."""
+    marked = only(pages, url="string", html="string").where(F.col("html").rlike("(?i)canonical|refresh") & F.col("url").contains("://"))
+    tags = F.filter(F.regexp_extract_all(F.regexp_replace("html", HIDDEN, " "), F.lit(TAGS), F.lit(0)), lambda x: x.rlike("(?i)canonical|refresh|^<base"))
+    led = marked.select("url", tags.alias("tags")).where(F.exists("tags", lambda x: ~x.rlike("(?i)^<base"))).mapInArrow(_targets, "url string, target string")
+    out = led.select(node_of(F.col("url")).alias("a"), node_of(F.col("target")).alias("b"))
     return out.where("a is not null and b is not null and a <> b")
 
 
 def judge(pages: DataFrame, rules=RULES, few: int = FEW) -> DataFrame:
     """pages (page_id, url, html) -> page_id, host, path, rule, verdict."""
-    linked = edges(pages.select("url", "html")).select("a", "b").distinct()
+    pages = pages.select("page_id", F.col("url").cast("string").alias("url"), "html")
+    linked = edges(pages).distinct()
     groups = components(linked)
     nodes = groups.withColumn("url", F.concat(F.lit("x://"), "v"))
     told = with_rule(nodes.select("v", "component", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")), rules, few)
-    bad = told.groupBy("component").agg(F.max(F.coalesce(F.col("said") == "block", F.lit(False))).alias("bad")).where("bad").select("component")
-    blocked = stage(groups.join(bad, "component").select(F.col("v").alias("node")))
+    bad = told.groupBy("component").agg(F.max(F.coalesce(F.col("said") == "block", F.lit(False))).alias("bad"), F.count("*").alias("vertices"))
+    blocked = stage(lookup(groups, bad, ["component"], "vertices").where("bad").select(F.col("v").alias("node")))
     own = with_rule(pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), node_of(F.col("url")).alias("node")), rules, few)
-    own = own.join(blocked.withColumn("alias", F.lit(True)), "node", "left")
+    # a url may be that of very many pages; those without a host have no alias
+    urls = own.where("node is not null").groupBy("node").agg(F.count("*").alias("n")).join(blocked.withColumn("alias", F.lit(True)), "node", "left")
+    own = lookup(own.where("node is not null"), urls, ["node"], "n").drop("n").unionByName(own.where("node is null").withColumn("alias", F.lit(None).cast("boolean")))
     verdict = F.coalesce("said", F.when(F.col("alias"), F.lit("block")).otherwise(F.lit("allow")))
     return own.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
 
 
 def op2_url_filter(spark, sf_dir: str) -> DataFrame:
     """The verdict on every page's url."""
-    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return settle(lambda: judge(pages))
 
 
 def _q(x: str) -> str:
@@ -134,10 +208,6 @@ def _path(x: str) -> str:
     return f"coalesce(regexp_extract({x}, {_q(AFTER)}, 2), '')"
 
 
-def _node(x: str) -> str:
-    return f"CASE WHEN {_host(x)} <> '' THEN {_host(x)} || CASE WHEN regexp_extract({x}, {_q(NODE_REST)}, 1) = '' THEN '/' ELSE regexp_extract({x}, {_q(NODE_REST)}, 1) END END"
-
-
 def _rule(which: int) -> str:
     out = "CASE"
     for rule, said in sorted(RULES, key=lambda r: (-len(r[0]), r[1] != "allow")):
@@ -146,14 +216,16 @@ def _rule(which: int) -> str:
     return out + " END"
 
 
+#: For pages that hold no link but absolute ones (those of the test tables hold none): regular expressions find tags,
+#: and a recursion carries the block. tests/llm holds every kind of link against a resolver and a union-find of its own.
 ORACLE = f"""
-WITH RECURSIVE p AS (SELECT page_id, {_host("url")} AS host, {_path("url")} AS path, {_node("url")} AS node, regexp_extract(url, '^(.*?)://', 1) AS scheme,
-  unnest([regexp_extract(regexp_extract(html, {_q(CANONICAL)}), {_q(HREF)}, 1), regexp_extract(regexp_extract(html, {_q(REFRESH)}), {_q(TARGET)}, 1), '-']) AS link FROM pages),
-e AS (SELECT node AS a, CASE WHEN contains(link, '://') THEN link WHEN starts_with(link, '//') THEN scheme || ':' || link WHEN starts_with(link, '/') THEN scheme || '://' || host || link
-  ELSE scheme || '://' || host || regexp_extract(CASE WHEN path = '' THEN '/' ELSE path END, '(?s)^(.*/)', 1) || link END AS target FROM p WHERE link NOT IN ('', '-') AND node IS NOT NULL),
-l AS (SELECT a, {_node("target")} AS b FROM e),
-u AS (SELECT a, b FROM l WHERE b IS NOT NULL UNION SELECT b, a FROM l WHERE b IS NOT NULL),
+WITH RECURSIVE p AS (SELECT page_id, {_host("url")} AS host, {_path("url")} AS path, html,
+  CASE WHEN {_host("url")} <> '' THEN {_host("url")} || CASE WHEN {_path("url")} = '' THEN '/' ELSE {_path("url")} END || regexp_extract(url, {_q(QUERY)}, 1) END AS node FROM pages),
+t AS (SELECT node AS a, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\\s[^>]*(?:rel\\s*=\\s*["'']?canonical|http-equiv\\s*=\\s*["'']?refresh)[^>]*>')) AS tag FROM p WHERE node IS NOT NULL),
+l AS (SELECT a, regexp_extract(tag, '(?i)(?:href\\s*=|url\\s*=)\\s*["'']?([a-z]+://[^"''\\s>]+)', 1) AS url FROM t),
+e AS (SELECT a, {_host("url")} || CASE WHEN {_path("url")} = '' THEN '/' ELSE {_path("url")} END || regexp_extract(url, {_q(QUERY)}, 1) AS b FROM l WHERE url <> ''),
+u AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
 n AS (SELECT DISTINCT a AS node, {_host("'x://' || a")} AS host, {_path("'x://' || a")} AS path FROM u),
 r AS (SELECT node FROM n WHERE {_rule(1)} = 'block' UNION SELECT u.b FROM r JOIN u ON u.a = r.node)
-SELECT p.page_id, p.host, p.path, {_rule(0)} AS rule, coalesce({_rule(1)}, CASE WHEN p.node IN (SELECT node FROM r) THEN 'block' ELSE 'allow' END) AS verdict FROM p WHERE p.link = '-'
+SELECT page_id, host, path, {_rule(0)} AS rule, coalesce({_rule(1)}, CASE WHEN node IN (SELECT node FROM r) THEN 'block' ELSE 'allow' END) AS verdict FROM p
 """
