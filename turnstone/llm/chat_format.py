@@ -3,8 +3,8 @@
 A turn has a role and an array of parts (PART). A visitor over the parts, by type, turns them into one ordered text:
 text parts are escaped, an image, audio or document part becomes its placeholder mark, and its reference, place and
 expanded token count (what an encoder would put in its stead) are recorded. Turns of a conversation, by turn, are then
-written as `<|im_start|>role<|im_sep|>text<|im_end|>` and a line end; the spans of assistant texts (first code point,
-length) are the loss mask.
+written as `<|im_start|>role<|im_sep|>text<|im_end|>` and a line end; the spans of assistant texts are the loss mask, in
+code points (first from 1, length) and in UTF-8 bytes, by which a reader cuts them out without a walk from the start.
 
 Escaping is reversible: a backslash is doubled, and in every control string of CONTROLS a backslash follows the first
 character; taking one backslash away before any character undoes both. No control string can then occur inside a text,
@@ -15,7 +15,7 @@ contract; nothing else is gathered.
 
 Nulls and edge cases: null text is empty; a null role is written as an empty one; a null conversation id is a
 conversation of its own; null turns come first; equal turn numbers are ordered by role and text, so reruns agree;
-repeated rows are turns each; extra columns are ignored; an empty table gives an empty result."""
+repeated rows are turns each; a conversation's text is held whole in its row, at most 2 GB; extra columns are ignored; an empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -62,14 +62,17 @@ def visit(part: Column) -> Column:
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
-    """turns (conv_id, turn, role, parts) -> conv_id, formatted, loss_spans (start from 1, length), attachments (turn from
-    0, place in the turn from 0, type, ref, tokens) and expanded_tokens, a row a conversation."""
+    """turns (conv_id, turn, role, parts) -> conv_id, formatted, loss_spans (start from 1, length, byte_start from 1,
+    byte_length), attachments (turn from 0, place in the turn from 0, type, ref, tokens) and expanded_tokens, a row a
+    conversation."""
     own = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.transform(F.coalesce("parts", F.array().cast(T.ArrayType(PART))), visit).alias("parts"))
     own = own.withColumn("body", F.array_join(F.transform("parts", lambda p: p["text"]), ""))
     own = own.withColumn("head", F.concat(F.lit(START), escape(F.col("role")), F.lit(MIDDLE))).withColumn("line", F.concat("head", "body", F.lit(END + "\n")))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "body")
-    own = own.withColumn("n", F.row_number().over(order)).withColumn("begin", F.sum(F.length("line")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.length("line") + F.length("head") + 1)
-    row = F.struct("n", "line", "begin", F.length("body").alias("size"), (F.col("role") == LEARNT).alias("learnt"), "parts")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    begin = lambda size: F.sum(size("line")).over(upto) - size("line") + size("head") + 1
+    own = own.withColumn("n", F.row_number().over(order)).withColumn("begin", begin(F.length)).withColumn("byte", begin(F.octet_length))
+    row = F.struct("n", "line", "begin", F.length("body").alias("size"), "byte", F.octet_length("body").alias("bytes"), (F.col("role") == LEARNT).alias("learnt"), "parts")
     whole = own.groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
     attached = F.flatten(
         F.transform(
@@ -83,7 +86,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
     return whole.select(
         "conv_id",
         F.array_join(F.transform("rows", lambda r: r["line"]), "").alias("formatted"),
-        F.transform(F.filter("rows", lambda r: r["learnt"]), lambda r: F.struct(r["begin"].cast("int").alias("start"), r["size"].alias("length"))).alias("loss_spans"),
+        F.transform(F.filter("rows", lambda r: r["learnt"]), lambda r: F.struct(r["begin"].cast("int").alias("start"), r["size"].alias("length"), r["byte"].cast("int").alias("byte_start"), r["bytes"].alias("byte_length"))).alias("loss_spans"),
         attached.alias("attachments"),
     ).withColumn("expanded_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda s, a: s + a["tokens"]))
 
@@ -92,7 +95,9 @@ def read_back(chats: DataFrame) -> DataFrame:
     """The digest of formatted conversations, from formatted and loss_spans alone."""
     turns = F.filter(F.split("formatted", f"\\Q{START}\\E"), lambda x: x != "")
     parted = F.transform(turns, lambda x: F.concat(unescape(F.substring_index(x, MIDDLE, 1)), F.lit("\n"), unescape(F.substring_index(F.substring_index(x, MIDDLE, -1), END, 1)), F.lit("\n")))
-    learnt = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"], s["length"]))), "")
+    # the bytes are a lambda's variable, made once, not once a span
+    cuts = F.transform(F.array(F.col("formatted").cast("binary")), lambda b: F.transform("loss_spans", lambda s: F.substring(b, s["byte_start"], s["byte_length"]).cast("string")))[0]
+    learnt = F.array_join(F.transform(cuts, unescape), "")
     out = chats.select("conv_id", F.size(turns).cast("long").alias("n_turns"), F.array_join(parted, "").alias("all"), learnt.alias("learnt"), F.length("formatted").cast("long").alias("formatted_chars"))
     sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
     return out.select("conv_id", "n_turns", sha("all").alias("turns_sha256"), F.length("learnt").cast("long").alias("loss_chars"), sha("learnt").alias("loss_sha256"), "formatted_chars")
