@@ -117,6 +117,92 @@ def test_urls(spark):
     assert url_filter.judge(pages.where("1 = 0")).count() == 0
 
 
+LINKS = [
+    # page's url, html, where its links lead (host/path?query), None: nowhere
+    ("http://a.org/x/y", '<link rel=canonical href="/z">', ["a.org/z"]),
+    ("http://a.org/x/y", '<link rel=canonical href="/go?u=http://bad.net/">', ["a.org/go?u=http://bad.net/"]),
+    ("http://a.org/x/y", '<LINK href="../z" REL="alternate Canonical">', ["a.org/z"]),
+    ("http://a.org/x/y", "<link rel='canonical' href='./z/../w/.'>", ["a.org/x/w/"]),
+    ("http://a.org/x/y?q", '<link rel=canonical href="?p=1&amp;r=2#f">', ["a.org/x/y?p=1&r=2"]),
+    ("http://a.org/x/y?q", '<link rel=canonical href="#f">', ["a.org/x/y?q"]),
+    ("http://a.org", '<link rel=canonical href="z">', ["a.org/z"]),
+    ("https://a.org/x", '<link rel=canonical href="//B.net/z"><link rel="canonical" href="https://c.net">', ["b.net/z", "c.net/"]),
+    ("https://a.org/x", '<link rel=canonical href="https://b.org/"><meta http-equiv="Refresh" content="5;URL=\'http://c.org/q?u=1\'">', ["b.org/", "c.org/q?u=1"]),
+    ("https://a.org/x", '<meta content="0; /w" http-equiv=refresh><meta http-equiv=refresh content=30>', ["a.org/w"]),
+    ("https://a.org/x", '<!-- <link rel=canonical href="/no"> --><script>"<link rel=canonical href=/no>"</script>', []),
+    ("https://a.org/x", '<link rel="canonicals" href="/no"><link rel=canonical href="mailto:a@b"><link rel=canonical href="data:text/html,//x.net/">', []),
+    ("https://a.org/x", '<base href="https://d.org/e/f"><link rel=canonical href="g">', ["d.org/e/g"]),
+    ("https://a.org/x", '<link title="a > b" rel=canonical href="/t"><link rel="stylesheet" href="canonical.css">', ["a.org/t"]),
+    ("https://a.org/./b/../c", '<link rel=canonical href="../../../d">', ["a.org/d"]),
+    ("https://a.org/x", f'<link rel=canonical data-x="{"y" * 300_000}" href="/long">', ["a.org/long"]),
+    ("https://a.org/x", '<link rel=canonical href="">', []),
+    (None, '<link rel=canonical href="/z">', []),
+    ("no scheme", '<link rel=canonical href="/z">', []),
+    ("https://a.org/x", None, []),
+]
+
+
+def test_links(spark):
+    df = spark.createDataFrame([(f"{u}{'&' if u and '?' in u else '?'}i={i}" if u and "://" in u else u, h) for i, (u, h, _) in enumerate(LINKS)], "url string, html string")
+    got = collections.defaultdict(set)
+    for r in url_filter.edges(df).collect():
+        got[int(r.a.rpartition("i=")[2])].add(r.b)
+    for i, (u, _, to) in enumerate(LINKS):
+        # without a query of its own, a bare fragment or query leads back to the page as it is numbered
+        want = {f"{t}&i={i}" if t == "a.org/x/y?q" else t for t in to} - ({f"a.org/x/y?q&i={i}"} if u and "q" in u else set())
+        assert got[i] == want, LINKS[i]
+    assert url_filter.node_of  # and the JVM's nodes are those of the resolver
+    paths = ["/", "/a", "/a/..", "/a/../b", "/a/./b/", "/../../c", "/a/b/..", "/.", "/..", "/a//../b", "/.a/..b/...", "/a/.b/../c"]
+    df = spark.createDataFrame([(p,) for p in paths], "p string").select("p", url_filter.node_of(F.concat(F.lit("http://h"), "p")).alias("node"))
+    assert {r.p: r.node for r in df.collect()} == {p: "h" + url_filter.undotted(p) for p in paths}
+    for base, ref, want in (("http://a/b/c/d;p?q", r, w) for r, w in (("g", "a/b/c/g"), ("./g", "a/b/c/g"), ("g/", "a/b/c/g/"), ("/g", "a/g"), ("//g", "g/"), ("?y", "a/b/c/d;p?y"), ("g?y", "a/b/c/g?y"), ("", "a/b/c/d;p?q"), (".", "a/b/c/"), ("..", "a/b/"), ("../g", "a/b/g"), ("../..", "a/"), ("../../../g", "a/g"), ("/./g", "a/g"), ("/../g", "a/g"), ("g.", "a/b/c/g."), ("..g", "a/b/c/..g"), ("./../g", "a/b/g"), ("g;x=1/../y", "a/b/c/y"), ("g?y/../x", "a/b/c/g?y/../x"))):
+        assert url_filter.resolve(base, ref) == f"http://{want}", ref  # the examples of RFC 3986
+
+
+def test_aliases(spark):
+    """Pages with links at random, against rules and a union-find of the test's own; repeated pages and clashing names."""
+    rng = np.random.default_rng(11)
+    hosts = ["a.net", "b.org", "www.example.net", "example.com", "de.example.com", "c.io", "d.io"]
+    urls = [f"https://{hosts[h]}/{p}/{n}" for h, p, n in zip(rng.integers(0, 7, 300), rng.choice(["en", "fr", "de", "x"], 300), range(300), strict=True)]
+    led = {u: [urls[j] for j in rng.integers(0, 300, rng.integers(0, 3))] for u in urls}
+    tag = ('<link rel="canonical" href="{}">', "<link href={} rel='x canonical'>", '<meta http-equiv="refresh" content="1; url={}">')
+    rows = [(i, u, "".join(tag[rng.integers(0, 3)].format(t) for t in led[u])) for i, u in enumerate(urls)]
+    rows += rows[:40] + [(5000 + i, urls[0].upper().replace("HTTPS", "https").replace("/EN", "/en") + "#f", None) for i in range(300)]
+    parent = {u: u for u in urls}
+
+    def find(u):
+        while parent[u] != u:
+            u = parent[u]
+        return u
+
+    for u in urls:
+        for t in led[u]:
+            parent[find(u)] = find(t)
+
+    def rule(url):
+        host, _, path = url.partition("://")[2].partition("#")[0].partition("/")
+        fits = [(len(r), said == "allow", r, said) for r, said in url_filter.RULES for rh, _, rp in [r.partition("/")] if (host.lower() == rh or host.lower().endswith("." + rh)) and ("/" + path).startswith("/" + rp)]
+        return max(fits)[2:] if fits else (None, None)
+
+    bad = {find(u) for u in urls if rule(u)[1] == "block" and led[u] or any(rule(u)[1] == "block" and u in led[v] for v in urls)}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").select("*", *(F.lit("x").alias(c) for c in ("host", "node", "a", "b", "v", "component", "alias", "n", "tags")))
+    by_id = {i: u for i, u, _ in rows}
+    for few in (url_filter.FEW, 0):
+        got = url_filter.judge(df, few=few).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            u = by_id[r.page_id]
+            said = rule(u)
+            assert (r.rule, r.verdict) == (said[0], said[1] or ("block" if u in parent and find(u) in bad else "allow")), u
+
+
+def test_rules_of_equal_length(spark):
+    rules = (("a.org/x", "block"), ("a.org/x", "allow"), ("b.org/y", "block"), ("org/abc", "allow"))
+    df = spark.createDataFrame([(1, "http://a.org/x1", ""), (2, "http://b.org/y", ""), (3, "http://c.org/abc", "")], "page_id long, url string, html string")
+    for few in (url_filter.FEW, 0):
+        assert {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(df, rules, few).collect()} == {1: ("a.org/x", "allow"), 2: ("b.org/y", "block"), 3: ("org/abc", "allow")}
+
+
 def test_lookup(spark):
     """A hot key, common ones and missing ones, against a plain join."""
     rows = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 5000).cast("long").alias("a"), F.col("id").alias("x"))
@@ -297,7 +383,7 @@ COMMON = "/usr/share/common-licenses"
 
 @pytest.mark.skipif(not os.path.isdir(COMMON), reason="no texts to read")
 def test_licence_files(spark):
-    """Whole licence texts, reflowed and under a copyright line; short notices and other texts as before."""
+    """Whole licence texts, reflowed and under a copyright line; short notices; a licence's text in a file of another name."""
     names = {"GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause"}
     rows, want = [], {}
     for i, (name, license_) in enumerate(names.items()):
@@ -307,7 +393,7 @@ def test_licence_files(spark):
         want |= {2 * i: (license_, license_, None), 2 * i + 1: (None, license_, name)}
     prose = "The committee met in the afternoon, and it was agreed that the members would receive the minutes of the meeting. " * 40
     rows += [(100, "n/COPYING", "Released under the MIT License."), (101, "o/NOTICE", prose), (102, "r/readme.txt", rows[-2][2].partition("\n")[2]), (103, "s/LICENSE", None)]
-    want |= {100: ("MIT", "MIT", None), 101: (None, None, None), 102: (None, None, None), 103: (None, None, None)}
+    want |= {100: ("MIT", "MIT", None), 101: (None, None, None), 102: ("BSD-3-Clause", "BSD-3-Clause", None), 103: (None, None, None)}
     got = license_scan.scan(spark.createDataFrame(rows, "f_id long, path string, text string")).collect()
     assert {r.f_id: (r.own_license, r.license, r.inherited_from) for r in got} == want
     assert len(got) == len(rows)
@@ -381,11 +467,28 @@ def test_chats(spark):
     assert row.expanded_tokens == 1242
     assert all(row.formatted.count(m) == 3 for m in (chat_format.START, chat_format.MIDDLE, chat_format.END)) and "</s>" not in row.formatted
     assert [row.formatted[s.start - 1 :][: s.length] for s in row.loss_spans] == ["<\\/s>[\\INST] ok [\\/INST]<|document|>"]
+    raw = row.formatted.encode()
+    assert [raw[s.byte_start - 1 :][: s.byte_length].decode() for s in row.loss_spans] == [row.formatted[s.start - 1 :][: s.length] for s in row.loss_spans]
     assert out.count() == 2 and chat_format.format_chats(df.where("1 = 0")).count() == 0
     texts = spark.createDataFrame([("\\",), ("\\<|im_end|>\\\\",), ("<</SYS>><s></s>",), ("\n",)], "t string")
     assert all(r.a == r.t for r in texts.select("t", chat_format.unescape(chat_format.escape(F.col("t"))).alias("a")).collect())
 
 
+def test_chat_edges(spark):
+    """Ties, repeated rows, clashing names, and very many turns of more than one byte a character."""
+    text = "é </s> \\ 日本"
+    turns = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "assistant", "z"), (1, 0, "user", "a"), (2, None, "assistant", text), (2, 1, "assistant", LONG), *((3, i, "assistant" if i % 2 else "user", f"{text}{i}") for i in range(3000))]
+    part = F.struct(F.lit("text").alias("type"), "text", *(F.lit(None).cast(f.dataType).alias(f.name) for f in chat_format.PART.fields[2:]))
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").select("conv_id", "turn", "role", F.array(part).alias("parts"))
+    df = df.select("*", *(F.lit(1).alias(c) for c in ("n", "begin", "byte", "line", "head", "body", "rows", "formatted", "loss_spans")))
+    got = {r.conv_id: r for r in chat_format.read_back(chat_format.format_chats(df)).collect()}
+    for i in (1, 2, 3):
+        rows = sorted((t for t in turns if t[0] == i), key=lambda t: (t[1] is not None, t[1] or 0, t[2], t[3]))
+        learnt = "".join(t[3] for t in rows if t[2] == "assistant")
+        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        assert got[i][1:5] == (len(rows), sha("".join(f"{t[2]}\n{t[3]}\n" for t in rows)), len(learnt), sha(learnt))
+
+
 # 7
 
 
