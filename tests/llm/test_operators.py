@@ -440,6 +440,25 @@ def test_jaccard(spark, sf, k, num, leaf):
     assert got == linked(rows, k, num, 100)
 
 
+@pytest.mark.parametrize("leaf", [12, 2048])
+def test_jaccard_of_chains_and_crowds(spark, leaf):
+    """Texts that slide along one sequence, so that keys hold them all together and links only neighbours, or none; a
+    crowd of near copies far larger than a leaf, whose pairs mostly link; and texts just too far from it."""
+    rng = np.random.default_rng(9)
+    line = [f"s{i}" for i in rng.integers(0, 10**6, 2000)]
+    rows = [(i, " ".join(line[i * step : i * step + 60])) for step, at in ((3, 0), (6, 200)) for i in range(at, at + 120)]
+    base = [f"b{i}" for i in range(150)]
+    for i in range(260):
+        copy = list(base)
+        for at in rng.integers(0, 150, i % 4 if i < 240 else 9):
+            copy[at] = f"x{i}.{at}"
+        rows.append((1000 + i, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for k, num in ((3, 90), (5, 80)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df, k, num, 100, leaf_docs=leaf).collect()}
+        assert got == linked(rows, k, num, 100)
+
+
 def test_jaccard_edges(odd, none):
     rows = jaccard_join.jaccard_components(odd, 3, 90, 100).collect()
     assert len(rows) == len(ROWS)

@@ -120,15 +120,16 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> D
 
     Keys with over 1 in HEAVY of all weight are fewer than HEAVY, whatever the input: they are broadcast, and their rows
     are dealt by their whole contents instead of by key, so no key's rows meet in one task."""
+    p = fresh([*rows.columns, *table.columns], "k_")
     values = [c for c in table.columns if c not in keys]
-    total = table.agg(F.sum(weight).alias("k_total"))  # one row, so the join below is no product
-    heavy = table.join(F.broadcast(total)).where(F.col(weight) * HEAVY > F.col("k_total")).select(*keys, F.struct(*values).alias("k_heavy"))
+    total = table.agg(F.sum(weight).alias(f"{p}total"))  # one row, so the join below is no product
+    heavy = table.join(F.broadcast(total)).where(F.col(weight) * HEAVY > F.col(f"{p}total")).select(*keys, F.struct(*values).alias(f"{p}heavy"))
     dealt = rows.join(F.broadcast(heavy), keys, "left")
-    dealt = dealt.withColumn("k_deal", F.when(F.col("k_heavy").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(*rows.columns).bitwiseOR(F.lit(1))))
+    dealt = dealt.withColumn(f"{p}deal", F.when(F.col(f"{p}heavy").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(*rows.columns).bitwiseOR(F.lit(1))))
     # 0, but no literal, which Catalyst would take out of the join's keys
-    light = table.select(*keys, F.struct(*values).alias("k_light"), F.least(F.col(weight), F.lit(0)).cast("long").alias("k_deal"))
-    found = dealt.join(light, [*keys, "k_deal"], "left").withColumn("k_found", F.coalesce("k_heavy", "k_light")).where("k_found is not null")
-    return found.select(*rows.columns, *(F.col("k_found")[v].alias(v) for v in values))
+    light = table.select(*keys, F.struct(*values).alias(f"{p}light"), F.least(F.col(weight), F.lit(0)).cast("long").alias(f"{p}deal"))
+    found = dealt.join(light, [*keys, f"{p}deal"], "left").withColumn(f"{p}found", F.coalesce(f"{p}heavy", f"{p}light")).where(F.col(f"{p}found").isNotNull())
+    return found.select(*rows.columns, *(F.col(f"{p}found")[v].alias(v) for v in values))
 
 
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:

@@ -11,9 +11,15 @@ Method, a count-vector R-tree:
    such shingles is lossless; the sample moves the cost, not the result). Groups of two or more shingles are keys if over
    tau groups are such, else all filled groups are; a set with tau or fewer filled groups, mostly common lines, also
    gives the groups of all its shingles, and failing those too meets the others of its level that fail.
-3. Connected components of classes and keys (stars, not pairs) in a level are its trees: each becomes one R-tree, or,
-   when it is large, leaves of bounded size whose every pair of leaves is joined in a task of its own.
-4. In a tree the points are vectors of shingle counts by group. For a query, the sum of coordinate minima with a node's
+3. Connected components of classes and keys (stars, not pairs; keys that repeat within a batch are joined there, so a hot
+   key hardly shuffles) in a level are its trees. Each becomes one R-tree; a large one is dealt at random into leaves of
+   bounded size, of which each also gets the tree's few pivots, so what is connected becomes so through them.
+4. What a large tree may still hold are links between different components, and such a pair shares a key. Only keys of
+   more than one component go on: of each, the classes of its largest component (the one side) are compared with all
+   others, and the others among themselves, in leaves of bounded size; never one component's classes with each other. So
+   a group of near copies, however large, is dealt once or twice, and a tree that keys alone hold together costs its
+   keys, not its square.
+5. In a leaf the points are vectors of shingle counts by group. For a query, the sum of coordinate minima with a node's
    upper corner bounds the overlap with all points below it, then the sum with each point the overlap with that point.
    Pairs that pass and are not yet connected are verified on the sets; only links that connect go out.
 
@@ -34,12 +40,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as scan
-from .common import binary, components, only, pieces, slots, stage, unstage
+from .common import binary, components, lookup, only, pieces, slots, stage, unstage
 
 #: Bytes of text a worker expands at a time.
 PIECE = 1 << 20
-#: Documents and shingles in a leaf; larger trees are cut into leaves that are joined pair by pair.
-LEAF_DOCS, LEAF_SHINGLES = 6144, 6_000_000
+#: Documents and shingles in a leaf, and about how many pivots a tree of several leaves has.
+LEAF_DOCS, LEAF_SHINGLES, PIVOTS = 1024, 1_000_000, 64
 #: The sample that tells frequent shingles: documents and their characters, documents that make one frequent, and how many.
 SAMPLE, SAMPLE_CHARS, MANY, MOST = 12_000, 20_000, 3, 500_000
 #: Coordinates of a point, and points in a node.
@@ -129,8 +135,9 @@ def _lists(values: np.ndarray, first: np.ndarray) -> pa.Array:
 Batches = Iterator[pa.RecordBatch]
 _SETS = "doc_id long, n long, k1 long, k2 long, items array<long>"
 _CLASSES = "doc_id long, n long, k1 long, k2 long, level int"
-_KEYS = "v long, key long"
-_WANTED = "tree long, leaves int, k1 long, items array<long>"
+_KEYS = "v long, deal long, key long, lo long"
+_PLACE = "block long, first int, last int, own int, label long"
+_WANTED = f"{_PLACE}, k1 long, items array<long>"
 
 
 def _shingled(batches: Batches, k: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -166,31 +173,49 @@ def vertices(k1: np.ndarray, level: np.ndarray) -> np.ndarray:
 
 
 def _keys(k: int, num: int, den: int, frequent: np.ndarray) -> Callable[[Batches], Batches]:
+    """A row for each vertex and key, dealt by key. Where a batch holds a key more than once, only its least vertex is; all
+    of them also go out with the key and that vertex, dealt by vertex."""
+
     def run(batches: Batches) -> Batches:
-        for _, h, first, k1, _ in _shingled(batches, k):
-            level, both = signatures(h, first, num, den, frequent)
-            for up, (key, at) in enumerate(both):
-                v = np.repeat(vertices(k1, level + up), np.diff(at))
-                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(key.view(np.int64))], ["v", "key"])
+        for batch in batches:
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            for _, h, first, k1, _ in _shingled(iter([batch]), k):
+                level, both = signatures(h, first, num, den, frequent)
+                found += [(key.view(np.int64), np.repeat(vertices(k1, level + up), np.diff(at))) for up, (key, at) in enumerate(both)]
+            key, v = (np.concatenate([np.zeros(0, np.int64), *(x[i] for x in found)]) for i in (0, 1))
+            order = np.lexsort((v, key))
+            key, v = key[order], v[order]
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            first = np.flatnonzero(new)
+            many = np.diff(np.append(first, len(key)))
+            crowd = np.repeat(many, many) > 1
+            lo = np.repeat(v[first], many)[crowd]
+            # vertices together, which compresses best
+            alone = first[np.argsort(v[first], kind="stable")]
+            yield pa.RecordBatch.from_arrays([pa.array(v[alone]), pa.array(key[alone]), pa.nulls(len(alone), pa.int64()), pa.nulls(len(alone), pa.int64())], ["v", "deal", "key", "lo"])
+            yield pa.RecordBatch.from_arrays([pa.array(v[crowd]), pa.array(v[crowd]), pa.array(key[crowd]), pa.array(lo)], ["v", "deal", "key", "lo"])
 
     return run
 
 
 def _wanted(k: int) -> Callable[[Batches], Batches]:
-    """doc_id, text, wanted (array of k1, k2, tree, leaves) -> the sets of the wanted classes, for each of their trees."""
+    """doc_id, text, wanted (array of k1, k2 and a place) -> the sets of the wanted classes, for each of their places."""
+    names = [x.split()[0] for x in _PLACE.split(", ")]
 
     def run(batches: Batches) -> Batches:
         for rows, h, first, k1, k2 in _shingled(batches, k):
-            out: list[list] = [[], [], [], []]
+            places, of = [], []
             for i, wanted in enumerate(rows.column(2).to_pylist()):
-                for w in wanted:
-                    if (w["k1"], w["k2"]) == (k1[i], k2[i]):
-                        for x, y in zip(out, (w["tree"], w["leaves"], w["k1"], i), strict=True):
-                            x.append(y)
-            sizes = np.array([first[i + 1] - first[i] for i in out[3]], np.int64)
-            items = np.concatenate([np.zeros(0, _U), *(h[first[i] : first[i + 1]] for i in out[3])])
-            lists = _lists(items, np.concatenate(([0], np.cumsum(sizes))))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), lists], ["tree", "leaves", "k1", "items"])
+                own = [w for w in wanted if (w["k1"], w["k2"]) == (k1[i], k2[i])]
+                places += own
+                of += [i] * len(own)
+            for at in range(0, len(of), 1000):  # a set may have many places
+                some = of[at : at + 1000]
+                sizes = np.array([first[i + 1] - first[i] for i in some], np.int64)
+                items = np.concatenate([np.zeros(0, _U), *(h[first[i] : first[i + 1]] for i in some)])
+                own = [pa.array([w[c] for w in places[at : at + 1000]], pa.int32() if c in ("first", "last", "own") else pa.int64()) for c in names]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(k1[some]), _lists(items, np.concatenate(([0], np.cumsum(sizes))))], [*names, "k1", "items"])
 
     return run
 
@@ -203,9 +228,9 @@ def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
     return np.sort(np.array([r.h for r in often.orderBy(F.desc("n"), "h").limit(MOST).collect()], np.int64).view(_U))
 
 
-def tree_links(keys: np.ndarray, sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> Iterator[tuple[int, int]]:
+def tree_links(keys: np.ndarray, sets: list[np.ndarray], side: np.ndarray, label: np.ndarray, num: int, den: int) -> Iterator[tuple[int, int]]:
     """Links that connect what num/den connects among the given sets, by an R-tree over their count vectors; sets of two
-    sides are joined across, as each side has a task of its own."""
+    sides are joined across alone, and sets of equal labels are connected already."""
     n = np.array([len(s) for s in sets])
     points = np.zeros((len(sets), COORDINATES), np.int32)
     for i, s in enumerate(sets):
@@ -213,10 +238,10 @@ def tree_links(keys: np.ndarray, sets: list[np.ndarray], side: np.ndarray, num:
     # packed by size, then by the first coordinates, as sort-tile-recursive packing orders its leaves
     order = np.lexsort((points[:, 1], points[:, 0], n))
     keys, n, points, side, sets = keys[order], n[order], points[order], side[order], [sets[i] for i in order]
+    label = np.unique(label, return_inverse=True)[1][order]
     two = bool(side.any()) and not side.all()
     corner = np.array([points[i : i + NODE].max(0) for i in range(0, len(sets), NODE)])
     least = n[::NODE]
-    label = np.arange(len(sets))
     for i in range(1, len(sets)):
         nodes = np.arange((i + NODE - 1) // NODE)
         nodes = nodes[(den + num) * np.minimum(corner[nodes], points[i]).sum(1) >= num * (n[i] + least[nodes])]
@@ -226,7 +251,8 @@ def tree_links(keys: np.ndarray, sets: list[np.ndarray], side: np.ndarray, num:
         near = near[near < i]
         if two:
             near = near[side[near] != side[i]]
-        near = near[(n[near] * den >= n[i] * num) & ((den + num) * np.minimum(points[near], points[i]).sum(1) >= num * (n[near] + n[i]))]
+        near = near[(label[near] != label[i]) & (n[near] * den >= n[i] * num)]
+        near = near[(den + num) * np.minimum(points[near], points[i]).sum(1) >= num * (n[near] + n[i])]
         for j in near[::-1]:
             if label[i] == label[j]:
                 continue
@@ -239,24 +265,25 @@ def tree_links(keys: np.ndarray, sets: list[np.ndarray], side: np.ndarray, num:
 
 
 def _trees(num: int, den: int) -> Callable[[Batches], Batches]:
-    """Rows tree, i, j, leaf, k1, items, sorted by the first three -> links a, b."""
+    """Rows block, i, j, own, label, k1, items, sorted by the first three -> links a, b."""
 
-    def links(key: tuple[int, int, int], rows: dict[int, tuple[np.ndarray, bool]]) -> Iterator[tuple[int, int]]:
+    def links(key: tuple[int, int, int], rows: dict[int, tuple[np.ndarray, bool, int]]) -> Iterator[tuple[int, int]]:
         if len(rows) > 1:
-            yield from tree_links(np.array(list(rows), np.int64), [x for x, _ in rows.values()], np.array([y for _, y in rows.values()]), num, den)
+            sets, side, label = zip(*rows.values(), strict=True)
+            yield from tree_links(np.array(list(rows), np.int64), list(sets), np.array(side), np.array(label, np.int64), num, den)
 
     def run(batches: Batches) -> Batches:
         at, rows, out = None, {}, []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in range(5)]
-            items = batch.column(5)
+            columns = [batch.column(c).to_pylist() for c in range(6)]
+            items = batch.column(6)
             values = items.values.to_numpy(zero_copy_only=False).view(np.uint64)
             bounds = items.offsets.to_numpy()
             for r, key in enumerate(zip(*columns[:3], strict=True)):
                 if key != at:
                     out += links(at, rows)
                     at, rows = key, {}
-                rows.setdefault(columns[4][r], (values[bounds[r] : bounds[r + 1]].copy(), columns[3][r] == key[1] and key[1] != key[2]))
+                rows.setdefault(columns[5][r], (values[bounds[r] : bounds[r + 1]].copy(), columns[3][r] == key[1] and key[1] != key[2], columns[4][r]))
             if len(out) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
                 out = []
@@ -267,37 +294,76 @@ def _trees(num: int, den: int) -> Callable[[Batches], Batches]:
     return run
 
 
+def _links(docs: DataFrame, places: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links a, b among places (k1, k2, rep and _PLACE): a class meets those of its block that own what is between its
+    first and last."""
+    place = [x.split()[0] for x in _PLACE.split(", ")]
+    wanted = places.groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list(F.struct("k1", "k2", *place)).alias("wanted"))
+    # a fixed share of the corpus is wanted: merged at every size, so the plan of a small input is that of a large one
+    sets = docs.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "wanted").mapInArrow(_wanted(k), _WANTED)
+    dealt = sets.select("*", F.explode(F.sequence("first", "last")).alias("other"))
+    dealt = dealt.select("block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "label", "k1", "items")
+    return dealt.repartition(slots(docs.sparkSession), "block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(_trees(num, den), "a long, b long")
+
+
+def _leaves(docs, shingles, leaf_docs: int, leaf_shingles: int):
+    return F.greatest(F.ceil(docs / leaf_docs), F.ceil(shingles / leaf_shingles), F.lit(1)).cast("int")
+
+
 def jaccard_components(docs: DataFrame, k: int, num: int, den: int, leaf_docs: int = LEAF_DOCS, leaf_shingles: int = LEAF_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text): component_id is the smallest doc_id that
     links of a similarity of at least num/den reach."""
     parts = slots(docs.sparkSession)
     docs = only(docs, doc_id="long", text="string")
     found = stage(docs.mapInArrow(_classes(k, num, den), _CLASSES))
-    classes = found.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n", "level").agg(F.min("doc_id").alias("rep"))
+    # copies of one text are many rows, of which a class is one
+    classes = found.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n", "level").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    frames = [found]
 
-    rows = docs.where("doc_id is not null").mapInArrow(_keys(k, num, den, frequent_shingles(docs, k)), _KEYS).repartition(parts, "key")
-    blocks = rows.groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo < hi")
-    stars = rows.join(blocks.select("key", "lo"), "key").where("v <> lo").select(F.col("lo").alias("a"), F.col("v").alias("b")).distinct()
-    trees = components(stars)
+    rows = docs.where("doc_id is not null").mapInArrow(_keys(k, num, den, frequent_shingles(docs, k)), _KEYS).repartition(parts, "deal")
+    blocks = rows.groupBy("deal").agg(F.min("v").alias("first"), F.max("v").alias("last")).where("first < last").select("deal", "first")
+    shared = rows.join(blocks, "deal", "left").where("first is not null or lo is not null")
+    shared = stage(shared.select("v", F.coalesce("key", "deal").alias("key"), F.coalesce("lo", "first").alias("lo")))
+    trees = components(shared.where("v <> lo").select(F.col("lo").alias("a"), F.col("v").alias("b")))
+    frames += [shared, trees]
 
     places = classes.select("k1", "k2", "n", "rep", F.explode(_both(F.col("k1"), F.col("level"))).alias("v"))
-    members = stage(places.join(trees.select("v", F.col("component").alias("tree")), "v").drop("v"))
-    sizes = members.groupBy("tree").agg(F.greatest(F.ceil(F.count("*") / leaf_docs), F.ceil(F.sum("n") / leaf_shingles)).cast("int").alias("leaves"))
-    wanted = members.join(sizes, "tree").groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list(F.struct("k1", "k2", "tree", "leaves")).alias("wanted"))
-    # a fixed share of the corpus is wanted: merged at every size, so the plan of a small input is that of a large one
-    sets = docs.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "wanted").mapInArrow(_wanted(k), _WANTED)
-    leaf, other = F.pmod(F.xxhash64("k1"), "leaves").cast("int"), F.col("other")
-    dealt = sets.select("tree", "k1", "items", leaf.alias("leaf"), F.explode(F.sequence(F.lit(0), F.col("leaves") - 1)).alias("other"))
-    dealt = dealt.select("tree", F.least("leaf", other).alias("i"), F.greatest("leaf", other).alias("j"), F.col("leaf"), "k1", "items")
-    links = dealt.repartition(parts, "tree", "i", "j").sortWithinPartitions("tree", "i", "j").mapInArrow(_trees(num, den), "a long, b long")
+    members = stage(places.join(trees.select("v", F.col("component").alias("tree")), "v"))
+    sizes = stage(members.groupBy("tree").agg(_leaves(F.count("*"), F.sum("n"), leaf_docs, leaf_shingles).alias("leaves"), F.count("*").alias("members")))
+    frames += [members, sizes]
+    own = F.pmod(F.xxhash64("k1"), "leaves").cast("int")
+    pivot = (F.col("leaves") > 1) & (F.pmod(F.xxhash64(F.lit(1), "k1"), F.col("leaves") * max(1, leaf_docs // PIVOTS)) == 0)
+    first = lookup(members, sizes, ["tree"], "members").select("k1", "k2", "rep", F.col("tree").alias("block"), "leaves", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("leaves") - 1)).otherwise(F.array(own))).alias("own"))
+    links = _links(docs, first.select("k1", "k2", "rep", "block", F.col("own").alias("first"), F.col("own").alias("last"), "own", F.col("k1").alias("label")), k, num, den)
     joined = components(links)
+    frames.append(joined)
+
+    large = sizes.where("leaves > 1")
+    if not large.isEmpty():
+        edges = joined.select(F.col("v").alias("a"), F.col("component").alias("b"))
+        label = F.coalesce("component", "k1").alias("label")
+        some = members.join(large.select("tree"), "tree", "left_semi").select("v", "k1", "k2", "n", "rep")
+        some = some.join(joined.withColumnRenamed("v", "k1"), "k1", "left").select("v", "k1", "k2", "n", "rep", label)
+        keyed = stage(shared.select("v", "key").distinct().join(some, "v"))
+        frames.append(keyed)
+        each = keyed.groupBy("key", "label").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+        # the largest component of each key is the one side
+        sides = each.groupBy("key").agg(F.max(F.struct("m", "label", "s")).alias("top"), F.sum("m").alias("m"), F.sum("s").alias("s"), F.count("*").alias("labels"))
+        sides = sides.select("key", "m", "labels", F.col("top.label").alias("top"), _leaves(F.col("top.m"), F.col("top.s"), leaf_docs, leaf_shingles).alias("p"), _leaves(F.col("m") - F.col("top.m"), F.col("s") - F.col("top.s"), leaf_docs, leaf_shingles).alias("q"))
+        mixed = lookup(keyed, sides, ["key"], "m").where("labels > 1")
+        one, spot = F.col("label") == F.col("top"), F.xxhash64("k1")
+        own = F.when(one, F.pmod(spot, "p")).otherwise(F.col("p") + F.pmod(spot, "q")).cast("int")
+        second = mixed.select("k1", "k2", "rep", F.col("key").alias("block"), F.when(one, F.col("p")).otherwise(0).alias("first"), (F.col("p") + F.col("q") - 1).alias("last"), own.alias("own"), "label")
+        joined = components(edges.unionByName(_links(docs, second, k, num, den)))
+        frames.append(joined)
 
     linked = joined.select(F.col("v").alias("k1"), "component").join(classes.select("k1", "rep"), "k1")
     linked = linked.select("k1", "component").distinct().join(linked.groupBy("component").agg(F.min("rep").alias("root")), "component").select("k1", "root")
-    labels = classes.join(linked, "k1", "left").select("k1", "k2", "n", F.coalesce("root", "rep").alias("label"))
-    out = found.select("doc_id", "n", "k1", "k2").join(labels, ["k1", "k2", "n"], "left")
-    out = stage(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id")))
-    unstage(found, trees, members, joined)
+    labels = classes.join(linked, "k1", "left").select("k1", "k2", "n", "copies", F.coalesce("root", "rep").alias("label"))
+    told = lookup(found.where("n > 0 and doc_id is not null"), labels, ["k1", "k2", "n"], "copies").select("doc_id", "n", "label")
+    out = told.unionByName(found.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("label")))
+    out = stage(out.select("doc_id", F.col("n").alias("n_shingles"), F.col("label").alias("component_id")))
+    unstage(*frames)
     return out
 
 
