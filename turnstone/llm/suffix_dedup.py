@@ -37,8 +37,8 @@ from .common import binary, lookup, only, pieces, slots, stage, unstage
 
 #: Length of a repeat, and of the K-gram that anchors carry.
 LENGTH, KGRAM = 200, 100
-#: Window starts that a worker expands at a time.
-PIECE = 2 << 20
+#: Window starts that a worker expands at a time, and bytes of strings that it sorts at a time.
+PIECE, SORTED = 1 << 18, 1 << 20
 #: Strings of one K-gram that a bucket sorts together; beyond it windows are counted one by one.
 HOT = 20_000
 
@@ -171,7 +171,7 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("rid", "anchor", "lo", "gram", "string")]
         for record in zip(*columns, strict=True):
-            if size > PIECE and record[3] != held[3][-1]:
+            if size > SORTED and record[3] != held[3][-1]:
                 if (found := flush(*held)) is not None:
                     yield found
                 held, size = [[], [], [], [], []], 0
