@@ -631,7 +631,7 @@ def test_kernel():
     u = units(" ".join(names))
     table = toxicity.features(u.letters[: u.first[-2]], u.first[:-1])
     got = toxicity.kernel(u.letters, u.first, table)
-    want = [[subsequence_kernel(a, b) for b in names[:-1]] for a in names]
+    want = [[subsequence_kernel(a, b) ** toxicity.POWER for b in names[:-1]] for a in names]
     assert np.allclose(got, want, atol=1e-5)
 
 
@@ -664,15 +664,42 @@ def test_toxicity(spark, sf, odd, none):
     score = lambda t: float(model.score(model.worst(units(t), 1))[0])
     assert all(score(f"the {w} reads a book") >= 0.5 for w in ("idiot", "i.d.i.o.t", "id1ot", "m o r o n", "w0rthless", "pathe-tic"))
     assert all(score(t) < 0.5 for t in ("", "the ocean is calm", *clean))
-    # the folded table gives the values that the words' own vectors give
+    # what is scored at once is what each word scores alone
     u = units("the idiot and the banana")
-    assert np.isclose(model.worst(u, 1)[0], max(model.floor, model.values(u.letters, u.first).max()), atol=1e-4)
+    alone = [model.values(u.letters[a:b], np.array([0, b - a]))[0] for a, b in zip(u.first, u.first[1:], strict=False)]
+    assert np.isclose(model.worst(u, 1)[0], max(model.floor, max(alone)), atol=1e-4)
     rows = toxicity.drop_toxic(odd, model)
     assert rows.columns == odd.columns and rows.count() == len(ROWS) and toxicity.drop_toxic(none, model).count() == 0
     never = toxicity.fit(none.select("doc_id", "text"), df.select("doc_id", "toxic").where("1 = 0"))
     assert toxicity.score(df, never).where("score > 1e-9").count() == 0
 
 
+INSULTS = "idiot moron loser clown scum trash stupid pathetic worthless disgusting fool jerk creep coward vermin parasite imbecile dimwit scoundrel numbskull".split()
+
+
+def test_inserted_letters(spark):
+    """A letter inserted at each place of 20 insults, and sentences of clean words alone, held-out ones among them."""
+    rng = np.random.default_rng(4)
+    syllables = ["the", "an", "er", "ing", "on", "re", "at", "en", "th", "or", "es", "ed", "is", "it", "al", "ar", "st", "to", "nt", "ng", "se", "ha", "as", "ou", "io", "le", "ve", "co", "me", "de"]
+    vocabulary = sorted({"".join(rng.choice(syllables, rng.integers(1, 4))) for _ in range(3000)} - set(INSULTS))
+    sentence = lambda: " ".join(rng.choice(vocabulary, 12)).capitalize() + "."
+    rows = []
+    for i in range(1500):
+        said = [sentence() for _ in range(5)]
+        if i % 4 == 0:
+            said[2] = f"You are a {rng.choice(INSULTS)} and a {rng.choice(INSULTS)}."
+        rows.append((i, " ".join(said), int(i % 4 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    spoilt = [f"She said {w[:j]}{c}{w[j:]} to him" for w in INSULTS for j in range(1, len(w)) for c in rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 3, replace=False)]
+    score = lambda texts: model.score(model.worst(units(*texts), len(texts)))
+    assert (score(spoilt) >= 0.5).mean() >= 0.9
+    clean = [sentence() for _ in range(1000)]
+    assert (score(clean) >= 0.5).mean() <= 0.02
+    held = [r for r in toxicity.score(df, model).collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert np.mean([(r.score >= 0.5) == bool(r.toxic) for r in held]) >= 0.95
+
+
 # 10
 
 TOKENIZER = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")

@@ -1,27 +1,31 @@
 """Toxicity: a support vector machine over a gapped subsequence string kernel, with Nystroem landmarks.
 
 The kernel counts the three-letter subsequences two strings share, each weighted by DECAY to the power of its span in
-either string, spans up to SPAN letters, and is normalised. Strings are words of folded letters: case and accents go,
+either string, spans up to SPAN letters, is normalised, and taken to the power POWER. With a DECAY of 1 a gap costs nothing
+within the span, so a letter inserted anywhere keeps all subsequences of a word and only adds some: idixot is as near to
+idiot as ixdiot, and nearer than words that merely share a part. Strings are words of folded letters: case and accents go,
 digits and signs that stand for letters become them, other signs inside a word are skipped, and single letters in a row
-are one word, so i.d.i.o.t, id1ot, "i d i o t" and idixot all lie near idiot. As languages tell words apart by accents, a
-word with an accented vowel is also read a second time, with such vowels as letters of their own.
+are one word, so i.d.i.o.t, id1ot and "i d i o t" are idiot. As languages tell words apart by accents, a word with an
+accented vowel is also read a second time, with such vowels as letters of their own.
 
-Training (in one task, over a bounded sample of labelled rows) works on sentences: those of clean documents are
-negative; of those of a toxic document, the ones with a telling word are positive, and so are those
-that the machine of the round before calls toxic; telling words also come with a letter inserted. A sentence is judged by its worst word. Features are the kernel
-with the landmarks (telling words, apart from each other, common clean words, and in each round the clean words nearest to the bound) times the inverse root of their Gram
-matrix; the machine has a squared hinge loss and is solved by Newton steps; a logistic curve makes its value a score.
+Training (in one task, over a bounded sample of labelled rows) works on sentences, each of which counts once however many
+copies documents hold (unless there are fewer of them than documents, which then count): those of clean documents are negative; of those of a toxic document, the ones with a telling word
+are positive, and so are those that the machine of the round before calls toxic; telling words also come with a letter
+inserted at each place, unless clean words are as near to them. A sentence is judged by its worst word. Features are the
+kernel with the landmarks (telling words, apart from each other, common clean words, and in each round the clean words that
+cost most) times the inverse root of their Gram matrix; the machine has a squared hinge loss and is solved by Newton
+steps; its bound is the lowest with about the fewest errors, and a logistic curve makes its value a score.
 
-Scoring: the machine is linear in the subsequences, so all landmarks fold into one table with an entry for each
-subsequence, and whole batches are scored in NumPy. A word's norm is at least that of a word without repeats of a
-subsequence; words whose value stays under the floor even then are not looked at further, the others get their exact
-norm, so the maximum above the floor is exact.
+Scoring looks at every distinct word of a batch once: its subsequences that some landmark has, times the landmarks' table,
+give its kernel with all of them.
 
 Bounds: MAX_TOXIC and MAX_CLEAN documents of at most MAX_CHARS characters train the machine; everything is scored whole.
 Rows whose crc32(doc_id as text) mod 5 is 0 never train. labels, lang, source and doc_id are no input of a score.
 
 Nulls and edge cases: null and empty texts score as a text without words, at the floor; a null doc_id is scored and not
-held out; repeated labels of a document count as toxic if one is; without labels of both kinds every score is next to 0."""
+held out; repeated rows score alike; repeated labels of a document count as toxic if one is; without labels of both kinds,
+or without a telling word, every score is next to 0; extra columns stay and are not looked at; an empty table gives an
+empty result. Very long texts are scored whole, on their own."""
 
 from __future__ import annotations
 
@@ -39,21 +43,24 @@ from . import textscan as scan
 from .common import binary, pieces
 
 MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1500, 2000, 6000
-DECAY, SPAN = 0.7, 6
-LANDMARKS, COMMON, HARD = 64, 16, 32
-ROUNDS, COST = 4, 4.0
-#: Standard errors by which a word must be commoner in toxic documents to be telling.
-TELLS = 4.5
-#: Times as many toxic as clean documents that must hold a word before it can make a sentence positive.
-RARE = 20
-#: The machine's value that scores a half is no higher than this.
-MOST_BOUND = 0.4
+DECAY, SPAN, POWER = 1.0, 6, 2
+#: Words that are looked at together.
+WORDS = 4000
+LANDMARKS, COMMON, HARD = 64, 16, 64
+ROUNDS, COST = 4, 8.0
+#: Standard errors by which a word must be commoner in sentences of toxic documents to be telling.
+TELLS = 6.0
+#: Times as many sentences of toxic as of clean documents that must hold a word before it can make a sentence positive.
+RARE = 40
+#: The machine's value that scores a half is no higher than MOST_BOUND; what a flagged clean document counts there.
+MOST_BOUND, FALSE = 1.0, 2.0
 #: Kernel value from which a clean word is like a telling one.
-LIKE = 0.15
+LIKE = 0.02
 #: Other clean words that the machine sees, at least, where there are as many.
 BIAS = 5000
-#: Weight of a telling word with an inserted letter counts as.
-SPOILT = 1.0
+#: Ways to insert a letter at a place, weight of a telling word with a letter inserted, and share of the clean words that
+#: may be as near to the telling word.
+INSERTED, SPOILT, NEAR = 1, 5.0, 0.00002
 PIECE = 2 << 20
 
 _GAPS = [(d, e) for d in range(1, SPAN) for e in range(1, SPAN) if d + e < SPAN]
@@ -148,16 +155,20 @@ def _take(letters: np.ndarray, first: np.ndarray, which: np.ndarray) -> tuple[np
 
 
 def kernel(letters: np.ndarray, first: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Normalised kernel of words with the columns of table (normed feature vectors)."""
+    """Normalised kernel of words with the columns of table (normed feature vectors), to the power POWER."""
     n, out = len(first) - 1, np.zeros((len(first) - 1, table.shape[1]), np.float32)
-    for at in range(0, n, 2000):
-        which = np.arange(at, min(n, at + 2000))
+    place = np.cumsum(table.any(1)) * table.any(1)
+    rows = np.concatenate((np.zeros((1, table.shape[1]), np.float32), table[place > 0]))
+    for at in range(0, n, WORDS):
+        which = np.arange(at, min(n, at + WORDS))
         word, code, weight = _entries(*_take(letters, first, which))
         norm = np.sqrt(np.bincount(word, weight**2, len(which)))
+        held = np.flatnonzero(place[code])  # subsequences that no column has add nothing
+        word, code, weight = word[held], place[code[held]], weight[held]
         begin = np.flatnonzero(np.diff(word, prepend=-1))
         if len(word):
-            out[at + word[begin]] = np.add.reduceat(weight[:, None].astype(np.float32) * table[code], begin) / norm[word[begin], None]
-    return out
+            out[at + word[begin]] = np.add.reduceat(weight[:, None].astype(np.float32) * rows[code], begin) / norm[word[begin], None]
+    return out**POWER
 
 
 def features(letters: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -171,42 +182,34 @@ def features(letters: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Value of a word: the sum over its subsequences of weight times table, over its norm, plus bias. Score of a text
-    whose worst word has value m: 1 / (1 + exp(-(slope * m + shift))), where m is at least floor."""
+    """Value of a word: its kernel with the landmarks (columns of table), weighed, plus bias. Score of a text whose worst
+    word has value m: 1 / (1 + exp(-(slope * m + shift))), where m is at least floor."""
 
     table: np.ndarray
+    weights: np.ndarray
     bias: float
     slope: float
     shift: float
     floor: float
 
     def worst(self, units: Units, rows: int) -> np.ndarray:
-        """The largest value over each row's words, at least floor."""
+        """The largest value over each row's words, at least floor; every distinct word is looked at once."""
         out = np.full(rows, self.floor)
-        if not len(units.row):
+        if not len(units.row) or not len(self.weights):
             return out
-        table = self.table.astype(np.float32)
-        sums, norms = np.zeros(len(units.letters), np.float32), np.zeros(len(units.letters), np.float32)
-        for spots, code, weight in subsequences(units.letters, units.first):
-            sums[spots] += table[code] * np.float32(weight)
-            norms[spots] += np.float32(weight**2)
-        sums, norms = (np.add.reduceat(x, units.first[:-1]) for x in (sums, norms))
-        most = np.where(sums > 0, sums / np.sqrt(np.maximum(norms, 1e-9)), 0) + self.bias + 1e-3
-        look = np.flatnonzero(most > self.floor)
-        if len(look):
-            np.maximum.at(out, units.row[look], self.values(*_take(units.letters, units.first, look)))
+        hashes = scan.Hashes(units.letters.astype(np.uint8)).of(units.first[:-1], units.first[1:])
+        _, at, word = np.unique(hashes, return_index=True, return_inverse=True)
+        np.maximum.at(out, units.row, self.values(*_take(units.letters, units.first, at))[word])
         return out
 
     def values(self, letters: np.ndarray, first: np.ndarray) -> np.ndarray:
-        word, code, weight = _entries(letters, first)
-        norm = np.sqrt(np.bincount(word, weight**2, len(first) - 1))
-        return np.bincount(word, weight * self.table[code], len(first) - 1) / np.maximum(norm, 1e-9) + self.bias
+        return kernel(letters, first, self.table) @ self.weights.astype(np.float32) + np.float32(self.bias)
 
     def score(self, worst: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * worst + self.shift, -60, 60)))
 
 
-NEVER = Model(np.zeros(_CODES), 0.0, 0.0, -np.inf, 0.0)
+NEVER = Model(np.zeros((_CODES, 0), np.float32), np.zeros(0), 0.0, 0.0, -np.inf, 0.0)
 
 
 def _newton(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
@@ -244,13 +247,15 @@ def _logistic(m: np.ndarray, y: np.ndarray) -> float:
     return a
 
 
-def _insertions(letters: np.ndarray, first: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each of the words with one letter more, at each place inside it in turn."""
-    out = []
-    for i in which:
+def _insertions(letters: np.ndarray, first: np.ndarray, which: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each of the words with one letter more, at each place inside it, in INSERTED ways, and which of them it was."""
+    out, of = [], []
+    for k, i in enumerate(which):
         word = letters[first[i] : first[i + 1]]
-        out += [np.insert(word, j, 1 + (7 * int(i) + 11 * j) % 26) for j in range(1, len(word))]
-    return np.concatenate([*out, np.zeros(0, np.int32)]), np.concatenate(([0], np.cumsum([len(x) for x in out], dtype=np.int64)))
+        new = [np.insert(word, j, 1 + (7 * int(i) + 11 * j + 5 * n) % 26) for j in range(1, len(word)) for n in range(INSERTED)]
+        out += new
+        of += [k] * len(new)
+    return np.concatenate([*out, np.zeros(0, np.int32)]), np.concatenate(([0], np.cumsum([len(x) for x in out], dtype=np.int64))), np.array(of, np.int64)
 
 
 def train(texts: list[bytes], toxic: np.ndarray) -> Model:
@@ -271,10 +276,20 @@ def train(texts: list[bytes], toxic: np.ndarray) -> Model:
     _, at, word = np.unique(h, return_index=True, return_inverse=True)
     letters, first = _take(units.letters, units.first, at)
     letters = letters.astype(np.int32)
-    pairs = np.unique(word * len(texts) + units.row)
-    in_toxic = np.bincount(pairs // len(texts), toxic[pairs % len(texts)], len(at))
-    in_clean = np.bincount(pairs // len(texts), ~toxic[pairs % len(texts)], len(at))
-    n1, n0 = toxic.sum(), (~toxic).sum()
+    # a sentence counts once, however many copies of it documents of its kind hold
+    said, place = np.unique(sentence, return_inverse=True)
+    sums = np.zeros(len(said), np.uint64)
+    np.add.at(sums, place, scan.mix(h ^ np.uint64(0x9E3779B97F4A7C15)))
+    kind = np.zeros(len(said), bool)
+    kind[place] = toxic[units.row]
+    _, once, same = np.unique(sums ^ kind.astype(np.uint64), return_index=True, return_inverse=True)
+    kind, counted = kind[once], same[place]
+    if len(once) < len(texts):  # a few sentences make up all documents: these are counted
+        kind, counted = toxic, units.row
+    pairs = np.unique(word * len(kind) + counted)
+    in_toxic = np.bincount(pairs // len(kind), kind[pairs % len(kind)], len(at))
+    in_clean = np.bincount(pairs // len(kind), ~kind[pairs % len(kind)], len(at))
+    n1, n0 = max(kind.sum(), 1), max((~kind).sum(), 1)
     p = (in_toxic + in_clean) / (n1 + n0)
     tells = (in_toxic / n1 - in_clean / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
     usable = np.diff(first) >= 3
@@ -313,16 +328,20 @@ def train(texts: list[bytes], toxic: np.ndarray) -> Model:
     every = np.flatnonzero(in_clean > 0)
     spread = np.zeros(len(at), bool)
     spread[every[:: max(1, len(every) // BIAS)]] = True
+    inserted = _insertions(letters, first, positive)
     for _ in range(ROUNDS):
         table = features(*_take(letters, first, np.array(marks)))
-        value, vector = np.linalg.eigh((table.T @ table).astype(float))
+        value, vector = np.linalg.eigh((table.T @ table).astype(float) ** POWER)
         root = vector / np.sqrt(np.maximum(value, 1e-3)) @ vector.T
         alike = kernel(letters, first, table)
         # clean words like no telling one hardly move the machine; some of them hold the bias
         clean = np.flatnonzero((in_clean > 0) & ((alike[:, : len(positive)].max(1) > LIKE) | spread))
-        x = alike @ root.astype(np.float32)
+        x, alike_ = alike @ root.astype(np.float32), alike
         del alike
-        spoilt = kernel(*_insertions(letters, first, np.array(positive)), table) @ root.astype(np.float32)
+        # a telling word with a letter inserted counts as one unless clean documents hold words as near to it
+        near_clean = np.sort(np.where(in_clean[:, None] > 0, alike_[:, : len(positive)], 0), 0)[-1 - int(NEAR * (in_clean > 0).sum())]
+        spoilt, owner = kernel(*inserted[:2], table), inserted[2]
+        spoilt = spoilt[spoilt[np.arange(len(owner)), owner] > near_clean[owner]] @ root.astype(np.float32)
         v = np.where(known[words], np.maximum(value_of[words], 1e-3), value_of[words])
         order = np.lexsort((-v, sentences))
         lead = order[np.diff(sentences[order], prepend=-1) > 0]  # each sentence's worst word
@@ -333,17 +352,18 @@ def train(texts: list[bytes], toxic: np.ndarray) -> Model:
         cost = COST * np.concatenate((np.sqrt(times), np.full(len(spoilt), SPOILT), np.sqrt(in_clean[clean])))
         w = _newton(xs, np.concatenate((np.ones(len(some) + len(spoilt)), -np.ones(len(clean)))), cost)
         value_of = x @ w[:-1].astype(np.float32) + np.float32(w[-1])
-        # the clean words that come nearest to the bound are landmarks of the next round
-        near = every[np.argsort(-value_of[every], kind="stable")[:256]]
-        marks = marks + [i for i in apart(near[usable[near] & (value_of[near] > -1)], HARD, 0.9) if i not in marks]
-    folded = table @ (root @ w[:-1])
+        # the clean words that cost the machine most are landmarks of the next round
+        loss = np.sqrt(in_clean[every]) * np.maximum(0, 1 + value_of[every]) ** 2
+        hard = every[np.argsort(-loss, kind="stable")[:512]]
+        marks = marks + [i for i in apart(hard[usable[hard] & (value_of[hard] > -1)], HARD, 0.9) if i not in marks]
     worst = np.full(len(texts), value_of.min())
     np.maximum.at(worst, units.row, value_of[word])
-    # the bound lies midway between the worst clean documents and the mildest toxic ones that the machine knows
-    low, high = np.quantile(worst[~toxic], 0.999), np.quantile(worst[toxic & (worst > 0)], 0.02) if (toxic & (worst > 0)).any() else 0.0
-    bound = float(np.clip((low + high) / 2, 0, MOST_BOUND))
+    # the lowest bound at which about the least is wrong, a clean document that is flagged counting FALSE times
+    bounds = np.linspace(0, MOST_BOUND, 101)
+    wrong = np.array([(worst[toxic] < t).mean() + FALSE * (worst[~toxic] >= t).mean() for t in bounds])
+    bound = float(bounds[np.flatnonzero(wrong <= wrong.min() + 0.002)[0]])
     slope = _logistic(worst - bound, toxic)
-    return Model(folded, float(w[-1]), slope, -slope * bound, float(max(np.log(1e-3) / slope + bound, w[-1])))
+    return Model(table, root @ w[:-1], float(w[-1]), slope, -slope * bound, float(max(np.log(1e-3) / slope + bound, w[-1])))
 
 
 def held_out(doc_id: str = "doc_id"):
