@@ -6,6 +6,7 @@ import decimal
 import duckdb
 import pytest
 
+from turnstone.operators import graph
 from turnstone.plans import catalogue
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -42,18 +43,16 @@ def test_query(spark, sf, duck, name):
         assert got == want
 
 
-def test_graph_of_all_documents(spark, tmp_path):
-    """Rooms of one, two and three wings, whose documents no label marks, enter the queries over the whole table."""
-    rows = [("a", "en"), ("a", "fr"), ("a", "fr"), ("src1", "en"), ("b", "fr"), ("b", "de"), ("c", "es"), ("d", "de"), ("d", "it"), ("e", "it")]
-    docs = [(i, "x", lang, room, 1) for i, (room, lang) in enumerate(rows)]
-    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(0, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    want = {
-        "tunnels": {("a", "en,fr", 3), ("b", "de,fr", 2), ("d", "de,it", 2)},
-        "tunnels_between": {("a",)},
-        "graph_stats": {(6, 3, 3)},
-        "traverse": {("src1", 0), ("a", 1), ("b", 2)},
-    }
-    for name, rows_ in want.items():
-        got = catalogue.QUERIES[name + "_all"](spark, str(tmp_path)).collect()
-        assert len(got) == len(rows_) and {tuple(r) for r in got} == rows_
+def test_graph_of_rooms(spark):
+    """Rooms of one, two and three wings."""
+    rows = [("a", "en"), ("a", "fr"), ("a", "fr"), ("s", "en"), ("b", "fr"), ("b", "de"), ("c", "es"), ("d", "de"), ("d", "it"), ("e", "it"), ("f", None)]
+    d = spark.createDataFrame([(i, room, wing, f"h{i}", f"t{i}") for i, (room, wing) in enumerate(rows)], "id long, room string, wing string, hall string, filed_at string")
+    got = {(r.room, tuple(r.wings), tuple(r.halls), r["count"], r.recent) for r in graph.tunnels(d, "wing", "room", "hall", "filed_at").collect()}
+    assert got == {("a", ("en", "fr"), ("h0", "h1", "h2"), 3, "t2"), ("b", ("de", "fr"), ("h4", "h5"), 2, "t5"), ("d", ("de", "it"), ("h7", "h8"), 2, "t8")}
+    assert [r.room for r in graph.tunnels_between(d, "wing", "room", "en", "fr").collect()] == ["a"]
+    row = graph.graph_stats(d, "wing", "room", 2).first()
+    assert (row.total_rooms, row.tunnel_rooms, row.total_edges, row.rooms_per_wing) == (6, 3, 3, {"en": 2, "fr": 2, "de": 2, "es": 1, "it": 2})
+    assert [(r.room, r.wings, r["count"]) for r in row.top_tunnels] == [("a", ["en", "fr"], 3), ("b", ["de", "fr"], 2)]
+    assert {tuple(r) for r in graph.traverse(d, "wing", "room", "s", 2).collect()} == {("s", 0), ("a", 1), ("b", 2)}
+    empty = graph.graph_stats(d.where("1 = 0"), "wing", "room").first()
+    assert (empty.total_rooms, empty.total_edges, empty.rooms_per_wing, empty.top_tunnels) == (0, 0, {}, [])

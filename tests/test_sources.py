@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from turnstone.sources import chats, store
+from turnstone.sources import chats, readers, store
 from turnstone.streaming import ingest
 
 SESSION = """{"type":"human","content":"first question"}
@@ -93,14 +93,95 @@ def test_resolve(spark):
     assert {r.path: r.found for r in chats.resolve(wanted, known).collect()} == {"/gone/a.md": "/x/a.md", "/x/b.md": "/x/b.md", "/gone/c.md": None}
 
 
+def test_paths_are_those_that_other_readers_open(spark, tmp_path):
+    names = ["My note.md", "50%.md", "a+b.md", "ñandú [1].md"]
+    (tmp_path / "sub dir").mkdir()
+    for n in names:
+        (tmp_path / "sub dir" / n).write_text(NOTE)
+    found = chats.files(spark, str(tmp_path), "*.md")
+    paths = sorted(r.path for r in found.collect())
+    assert paths == sorted(f"{tmp_path}/sub dir/{n}" for n in names) and all(store.exists(spark, p) for p in paths)
+    plain = NOTE.replace('title: "A note: with colon"\n', "")
+    rows = chats.parse_notes(found.withColumn("value", F.lit(plain))).collect()
+    assert sorted(r.title for r in rows) == sorted(n.removesuffix(".md") for n in names) and {r.directory for r in rows} == {"sub dir"}
+    for n in names:
+        assert readers.locate(spark, f"/gone/{n}", [str(tmp_path)]) == f"{tmp_path}/sub dir/{n}"
+
+
+def test_scans(spark, tmp_path):
+    for at in ("a/chats/session-1.json", "a/b/chats/session-2.json", "a/chats/other.json", "a/session-3.json", "second/x/chats/session-4.json"):
+        (tmp_path / at).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / at).write_text("{}")
+    roots = [str(tmp_path / "gone"), str(tmp_path)]
+    names = lambda **k: {(r.root, r.path.rsplit("/", 1)[1]) for r in chats.scan(spark, roots, **k).collect()}
+    assert names(glob="session-*.json", under="chats", depth=2) == {(1, "session-1.json")}
+    assert names(glob="*.json", under="chats") == {(1, "session-1.json"), (1, "session-2.json"), (1, "other.json"), (1, "session-4.json")}
+    assert {r.path.rsplit("/", 1)[1] for r in chats.scan(spark, [f"file://{tmp_path}/second"], "session-*.json", "chats", 2).collect()} == {"session-4.json"}
+    assert chats.scan(spark, roots[:1], "*").count() == 0
+    assert chats.first_existing(spark, None, roots[0], roots[1], roots[0]) == roots[1] and chats.first_existing(spark, None, roots[0]) == roots[0] and chats.first_existing(spark, "given", roots[1]) == "given"
+
+
+def test_the_last_conversation_of_an_id_counts(spark):
+    talk = '{"id":%s,"title":"%s","mapping":{"m":{"message":{"author":{"role":"user"},"content":{"parts":["%s"]},"create_time":1.0}}}}'
+    text = "[" + ",".join(talk % x for x in [('"c1"', "old", "one"), ('"c2"', "other", "two"), ('"c1"', "new", "three"), ("null", "n", "four"), ('""', "n", "five")]) + "]"
+    got = [(r.id, r.title, r.text, r["index"]) for r in chats.export_turns(whole(spark, "/e.json", text)).collect()]
+    assert sorted(got, key=str) == sorted([("c1", "new", "three", 0), ("c2", "other", "two", 0), (None, "n", "four", 0), ("", "n", "five", 0)], key=str)
+
+
+def test_texts_of_lists(spark):
+    line = '{"role":"user","content":["plain",{"type":"tool","text":"kept"},{"x":1}]}\n{"role":"assistant","content":[{"type":"text","text":"a"},"b"]}'
+    (row,) = readers.parse_roles(whole(spark, "/r.jsonl", line)).collect()
+    assert (row.user_input, row.ai_response) == ("plain kept", "a b")
+
+
 def test_upsert_is_idempotent(spark, tmp_path):
     at = f"file://{tmp_path}/store"
     rows = spark.createDataFrame([(1, 1, "a"), (2, 1, "b"), (1, 2, "c")], "id long, batch int, v string")
     for _ in range(2):
         assert store.upsert(at, rows, "p") == 3
     store.upsert(at, spark.createDataFrame([(9, 1, "z")], "id long, batch int, v string"), "q")
-    got = {(r.persona, r.id, r.v) for r in store.collection(spark, at).collect()}
-    assert got == {("p", 1, "c"), ("p", 2, "b"), ("q", 9, "z")}
+    got = sorted((r.persona, r.id, r.v) for r in store.collection(spark, at).collect())
+    assert got == [("p", 1, "c"), ("p", 2, "b"), ("q", 9, "z")]
+    assert store.personas(spark, at) == ["p", "q"]
+
+
+def test_upserts_merge_and_survive_a_crash(spark, tmp_path, monkeypatch):
+    at = f"file://{tmp_path}/store"
+    kind = "id long, batch int, v string"
+    store.create(spark, at, "p", "id long, v string")
+    assert store.collection(spark, at, "p").count() == 0
+    for i in range(12):
+        store.upsert(at, spark.createDataFrame([(i, 0, f"v{i}"), (100, 0, f"last{i}")], kind), "p")
+    want = {**{i: f"v{i}" for i in range(12)}, 100: "last11"}
+    read = lambda: {r.id: r.v for r in store.collection(spark, at, "p").collect()}
+    assert read() == want and store.collection(spark, at, "p").count() == 13
+
+    def down(*_):
+        raise OSError("down")
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "_publish", down)
+        try:
+            store.upsert(at, spark.createDataFrame([(1, 0, "lost")], kind), "p")
+        except OSError:
+            pass
+    assert read() == want
+    held = store.collection(spark, at, "p")
+    store.upsert(at, spark.createDataFrame([(1, 0, "new")], kind), "p")
+    assert {r.id: r.v for r in held.collect()} == want  # a reader that began before sees the old collection
+    assert store.vacuum(spark, at, "p") > 0 and read() == {**want, 1: "new"}
+
+
+def test_rows_of_an_upsert_run_once(spark, tmp_path):
+    ran = spark.sparkContext.accumulator(0)
+
+    def note(batches):
+        for batch in batches:
+            ran.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(7).selectExpr("id", "0 AS batch").mapInArrow(note, "id long, batch int")
+    assert store.upsert(f"file://{tmp_path}/store", rows, "p") == 7 and ran.value == 7
 
 
 def test_drops_are_taken_once(spark, tmp_path):

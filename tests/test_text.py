@@ -39,12 +39,30 @@ def test_preview(spark, n, want):
 
 
 def test_labels(spark):
-    row = one(spark, x.infer_label(F.lit("/x/Second_era/a"), ("first", "second-era"), "none"), x.normalise_label(F.lit(" Second_Era "), ("second-era",), "none"), x.normalise_label(F.lit("bad"), ("second-era",), "none"), x.source_label(F.lit("")), x.source_label(F.lit("/a/b.md")), x.coerce_id(F.lit("12345")), x.coerce_id(F.lit("018f-x")))
-    assert tuple(row) == ("second-era", "second-era", "none", "source pending", "b.md", 12345, None)
+    row = one(spark, x.infer_label(F.lit("/x/Second_era/a"), ("first", "second-era"), "none"), x.normalise_label(F.lit(" Second_Era "), ("second-era",), "none"), x.normalise_label(F.lit("bad"), ("second-era",), "none"), x.source_label(F.lit("")), x.source_label(F.lit("/a/b.md")))
+    assert tuple(row) == ("second-era", "second-era", "none", "source pending", "b.md")
+    ids = [x.coerce_id(F.lit(i).cast("string")) for i in ("0012345", "018f-x", "9" * 25, None)]
+    got = one(spark, *(F.to_json(i) for i in ids))
+    assert tuple(got) == ("12345", '"018f-x"', "9" * 25, None)
+    eras = one(spark, *(x.configured_label(e, F.lit("/x/first/a"), ("first", "second-era"), "none") for e in ("Second_Era", "bad", None, "")))
+    assert tuple(eras) == ("second-era", "none", "first", "first")
 
 
 def test_redaction(spark):
-    assert one(spark, x.redact(F.lit("OPENAI_API_KEY=abcdefghijklmnop sk-" + "a" * 24)))[0] == "OPENAI_API_KEY=REDACTED sk-REDACTED"
+    texts = {
+        'OPENAI_API_KEY="abcdefghijklmnop" sk-' + "a" * 20: 'OPENAI_API_KEY=REDACTED" sk-REDACTED',
+        "sk-" + "a" * 19: "sk-" + "a" * 19,
+        "sk-proj-" + "a" * 30: "sk-proj-" + "a" * 30,
+        "Anthropic-Api-Key : x-y_z1234567 on": "ANTHROPIC_API_KEY=REDACTED on",
+        "AIzaSy" + "b" * 20: "AIzaSyREDACTED",
+        'token = "abc"': 'token = "abc"',
+    }
+    assert list(one(spark, *(x.redact(F.lit(t)) for t in texts))) == list(texts.values())
+    # the patterns as they stand match only where backslashes are in the text
+    key = "OPENAI_API_KEY=abcdefghijklmnop"
+    odd = "OPENAI_API_KEY\\s=\\'abcdefghijklmnop"
+    assert one(spark, x.redact(F.lit(key), x.LITERAL_SECRETS))[0] == key
+    assert one(spark, x.redact(F.lit('token = "abc"'), (*x.SECRETS, x.TOKEN_ASSIGNMENT)))[0] == 'token="REDACTED"'
 
 
 @pytest.mark.parametrize(("n", "want"), [(10, 210), (100, 500), (1000, 1100)])

@@ -17,14 +17,22 @@ RESPONSE_CHARS, THINKING_CHARS, DOCUMENT_ID_CHARS = 2000, 500, 2048
 PREVIEW_CHARS, NEEDLE_CHARS, HAYSTACK_CHARS = 220, 200, 500
 RESULT_INPUT_CHARS, RESULT_RESPONSE_CHARS = 500, 1000
 MIN_RESPONSE_CHARS = 20
-# What counts as a secret, and what it becomes.
+PROMPT_CHARS, EXCERPT_CHARS, SHORT_ID_CHARS = 8000, 150, 18
+# What counts as a secret, and what it becomes. Two patterns stand as they are meant, since in LITERAL_SECRETS
+# their doubled backslashes match no ordinary assignment.
 SECRETS = (
-    (r"sk-[A-Za-z0-9_-]{20,}", "sk-REDACTED"),
-    (r"(?i)ANTHROPIC_API_KEY\s*=\s*\S+", "ANTHROPIC_API_KEY=REDACTED"),
-    (r"(?i)OPENAI_API_KEY\s*=\s*\S+", "OPENAI_API_KEY=REDACTED"),
+    (r"sk-[A-Za-z0-9]{20,}", "sk-REDACTED"),
+    (r"(?i)anthropic[_-]?api[_-]?key\s*[:=]\s*['\"]?[A-Za-z0-9_-]{10,}", "ANTHROPIC_API_KEY=REDACTED"),
+    (r"(?i)openai[_-]?api[_-]?key\s*[:=]\s*['\"]?[A-Za-z0-9_-]{10,}", "OPENAI_API_KEY=REDACTED"),
     (r"AIzaSy[A-Za-z0-9_-]{20,}", "AIzaSyREDACTED"),
 )
-#: A generic assignment of a quoted token, on top of the fixed patterns.
+LITERAL_SECRETS = (
+    SECRETS[0],
+    (r"(?i)anthropic[_-]?api[_-]?key\\s*[:=]\\s*['\\\"]?[A-Za-z0-9_-]{10,}", "ANTHROPIC_API_KEY=REDACTED"),
+    (r"(?i)openai[_-]?api[_-]?key\\s*[:=]\\s*['\\\"]?[A-Za-z0-9_-]{10,}", "OPENAI_API_KEY=REDACTED"),
+    SECRETS[3],
+)
+#: A generic assignment of a quoted token, for those who want more than the fixed patterns.
 TOKEN_ASSIGNMENT = (r'(?i)(token|secret|password|api_key)\s*=\s*"[^"]+"', '$1="REDACTED"')
 
 
@@ -53,8 +61,9 @@ def document_id(source: Column, title: Column, body: Column) -> Column:
 
 
 def coerce_id(x: Column) -> Column:
-    """Digits as a number, else null: the caller keeps the string."""
-    return F.when(x.rlike("^[0-9]+$"), x.try_cast("bigint"))
+    """Digits as a number, anything else as it is: a VARIANT."""
+    number = x.try_cast("decimal(38,0)")
+    return F.when(x.rlike("^[0-9]{1,38}$"), F.coalesce(x.try_cast("bigint").cast("variant"), number.cast("variant"))).otherwise(x.cast("variant"))
 
 
 def preview(x: Column, chars: int = PREVIEW_CHARS) -> Column:
@@ -82,6 +91,12 @@ def infer_label(path: Column, ordered: Sequence[str], default: str) -> Column:
     return reduce(lambda rest, label: F.when(clean.contains(label), F.lit(label)).otherwise(rest), reversed(ordered), F.lit(default))
 
 
+def configured_label(given: str | None, path: Column, ordered: Sequence[str], default: str) -> Column:
+    """A label that is configured counts, or the default where it is none of the allowed; only without one does the path
+    tell."""
+    return normalise_label(F.lit(given), ordered, default) if given else infer_label(path, ordered, default)
+
+
 def embed_text(user: Column, answer: Column, name: str = "Assistant", thinking: Column | None = None, answer_chars: int | None = RESPONSE_CHARS) -> Column:
     cut = answer if answer_chars is None else F.substring(answer, 1, answer_chars)
     out = F.concat(F.lit("User: "), user, F.lit(f"\n{name}: "), cut)
@@ -90,7 +105,7 @@ def embed_text(user: Column, answer: Column, name: str = "Assistant", thinking:
     return F.concat(out, F.when(F.coalesce(thinking, F.lit("")) != "", F.concat(F.lit("\nThinking: "), F.substring(thinking, 1, THINKING_CHARS))).otherwise(F.lit("")))
 
 
-def redact(x: Column, patterns: Sequence[tuple[str, str]] = (*SECRETS, TOKEN_ASSIGNMENT)) -> Column:
+def redact(x: Column, patterns: Sequence[tuple[str, str]] = SECRETS) -> Column:
     return reduce(lambda y, p: F.regexp_replace(y, *p), patterns, x)
 
 
@@ -116,6 +131,15 @@ def percent(score: Column) -> Column:
     return F.concat(F.format_number(F.bround(score * 100, 1), 1), F.lit("%"))
 
 
+def grouped(count: Column) -> Column:
+    """28930 as 28,930."""
+    return F.format_number(count, 0)
+
+
+def short_id(id_: Column) -> Column:
+    return F.substring(id_.cast("string"), 1, SHORT_ID_CHARS)
+
+
 def day(stamp: Column) -> Column:
     """The date of epoch seconds or an ISO stamp, whichever the string is; null where it is neither."""
     seconds = F.timestamp_seconds(stamp.try_cast("double"))

@@ -28,6 +28,14 @@ def invalidate(facts: DataFrame, subject: str, predicate: str, object_: str, at:
     return facts.withColumn("valid_to", F.when(hit, at).otherwise(F.col("valid_to")))
 
 
+def invalidate_all(facts: DataFrame, gone: DataFrame, at: str = "at") -> DataFrame:
+    """The same for many facts at once: gone (subject, predicate, object and a time, the earliest of several counts)."""
+    key = ["subject", "predicate", "object"]
+    ends = gone.groupBy(*key).agg(F.min(at).alias("end_"))
+    closed = F.when(F.col("valid_to").isNull(), F.col("end_")).otherwise(F.col("valid_to"))
+    return facts.join(ends, key, "left").withColumn("valid_to", closed).select(facts.columns)
+
+
 def add(facts: DataFrame, new: DataFrame, *key: str) -> DataFrame:
     """facts and those of new that are not current already."""
     key = key or ("subject", "predicate", "object")
@@ -41,20 +49,30 @@ def fact_stats(facts: DataFrame) -> DataFrame:
     return entities.join(F.broadcast(rest))  # one row each
 
 
-def tunnels(drawers: DataFrame, wing: str, room: str) -> DataFrame:
-    """Rooms that two wings or more share."""
-    rooms = drawers.groupBy(room, wing).agg(F.count("*").alias("n")).groupBy(room).agg(F.array_sort(F.collect_list(wing)).alias("wings"), F.sum("n").alias("n"))
-    return rooms.where(F.size("wings") >= 2).select(F.col(room).alias("room"), F.array_join("wings", ",").alias("wings"), "n")
+def tunnels(drawers: DataFrame, wing: str, room: str, hall: str | None = None, filed: str | None = None) -> DataFrame:
+    """Rooms that two wings or more share: their wings, halls, number of drawers, and when the last was filed."""
+    halls = F.col(hall) if hall else F.lit(None).cast("string")
+    last = F.max(filed) if filed else F.lit(None).cast("string")
+    rooms = drawers.groupBy(F.col(room).alias("room")).agg(F.array_sort(F.collect_set(wing)).alias("wings"), F.array_sort(F.collect_set(halls)).alias("halls"), F.count_if(F.col(wing).isNotNull()).alias("count"), last.alias("recent"))
+    return rooms.where(F.size("wings") >= 2)
 
 
 def tunnels_between(drawers: DataFrame, wing: str, room: str, a: str, b: str) -> DataFrame:
     return drawers.where(F.col(wing) == a).select(room).intersect(drawers.where(F.col(wing) == b).select(room))
 
 
-def graph_stats(drawers: DataFrame, wing: str, room: str) -> DataFrame:
-    rooms = drawers.select(room, wing).distinct().groupBy(room).agg(F.count("*").alias("w"))
-    pairs = F.sum(F.col("w") * (F.col("w") - 1) / 2).cast("bigint")
-    return rooms.agg(F.count("*").alias("total_rooms"), F.count_if(F.col("w") >= 2).alias("tunnel_rooms"), pairs.alias("total_edges"))
+def graph_stats(drawers: DataFrame, wing: str, room: str, top: int = 10) -> DataFrame:
+    """One row: rooms, those that wings share, pairs of wings that rooms join, rooms of each wing (a map), and the rooms of
+    most wings, then of most drawers, then by name."""
+    both = drawers.where(F.col(wing).isNotNull()).groupBy(F.col(room).alias("room"), F.col(wing).alias("wing")).agg(F.count("*").alias("n"))
+    rooms = both.groupBy("room").agg(F.array_sort(F.collect_list("wing")).alias("wings"), F.sum("n").alias("count"))
+    w = F.size("wings")
+    totals = rooms.agg(F.count("*").alias("total_rooms"), F.count_if(w >= 2).alias("tunnel_rooms"), F.coalesce(F.sum(w * (w - 1) / 2), F.lit(0)).cast("bigint").alias("total_edges"))
+    wings = both.groupBy("wing").agg(F.count("*").alias("rooms")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("wing", "rooms")))).alias("rooms_per_wing"))
+    first = rooms.where(w >= 2).orderBy(F.desc(w), F.desc("count"), "room").limit(top)
+    order = F.struct((-w).alias("w"), (-F.col("count")).alias("n"), "room", "wings", "count")
+    most = first.agg(F.transform(F.array_sort(F.collect_list(order)), lambda r: F.struct(r["room"].alias("room"), r["wings"].alias("wings"), r["count"].alias("count"))).alias("top_tunnels"))
+    return totals.join(F.broadcast(wings)).join(F.broadcast(most))  # one row each
 
 
 def traverse(drawers: DataFrame, wing: str, room: str, start: str, depth: int) -> DataFrame:

@@ -17,6 +17,8 @@ from turnstone.sources import chats, readers, store
 
 LEAST_QUERY_CHARS = 2
 MOST_HITS, MOST_CONTEXT = 50, 20
+# Fixed value: what a persona is told about memories of its own.
+NOTE = "These are YOUR OWN memories, {}. You said these things in the past."
 
 
 @dataclass(frozen=True)
@@ -54,16 +56,20 @@ class Memories:
         if not 1 <= limit <= MOST_HITS:
             raise ValueError(f"limit is 1 to {MOST_HITS}")
         points = self.points(persona)
-        asked = self.spark.createDataFrame([(query,)], "q string").select(self.embedder(F.col("q"))).first()[0]
+        asked = self._vector(query)
         where = None if era in (None, "all") else F.col("era") == era
         hits = search.top_k(points, asked, limit, where, "id")
         given = hits.select("*", F.col("source_file").alias("given_source"))
-        out = search.project(given, F.col("id"), F.col("user_input"), F.col("ai_response"), F.col("given_source"), "conversation_id", "title", "era", x.first_filled(F.col("timestamp"), F.col("created")).alias("timestamp"))
+        stamp = x.first_filled(*(F.col(c) for c in ("timestamp", "created", "updated")))
+        out = search.project(given, F.col("id"), F.col("user_input"), F.col("ai_response"), F.col("given_source"), "conversation_id", "title", "vault", "era", stamp.alias("timestamp"), conversation=F.col("conversation_id"))
         return out.orderBy(F.desc("score"), F.col("point_id").cast("bigint"))
 
+    def _vector(self, text: str) -> list[float]:
+        return self.spark.createDataFrame([(text,)], "q string").select(self.embedder(F.col("q"))).first()[0]
+
     def remember(self, query: str, my_persona: str, limit: int = 5) -> DataFrame:
         """summon, told to the persona itself."""
-        note = f"These are your own memories, {self.persona(my_persona).title}: you said these things."
+        note = NOTE.format(self.persona(my_persona).title)
         return self.summon(query, my_persona, limit).withColumn("note", F.lit(note))
 
     def rehydrate(self, query: str, persona: str, limit: int = 5) -> DataFrame:
@@ -72,14 +78,22 @@ class Memories:
         title = f"{p.title}\n\n{p.description}" if p.description else p.title
         return search.prompt(self.summon(query, persona, limit), title, p.key.capitalize(), query)
 
-    def retrieve_full(self, point_id: int | None = None, persona: str | None = None, context_turns: int = 5, source_file: str | None = None, search_text: str | None = None) -> DataFrame:
+    def invoke(self, query: str, persona: str, limit: int = 5) -> DataFrame:
+        """One row: the prompt of the command line, over whole memories, and a listing with excerpts."""
+        p = self.persona(persona)
+        asked = self._vector(query)
+        hits = search.top_k(self.points(persona), asked, limit, None, "id")
+        whole = hits.select(F.col("id").cast("string").alias("point_id"), "score", F.coalesce("user_input", F.lit("Unknown")).alias("user_input"), F.coalesce("ai_response", F.lit("...")).alias("ai_response"))
+        return search.plain_prompt(whole, p.title, p.key.capitalize(), query)
+
+    def retrieve_full(self, point_id: int | str | None = None, persona: str | None = None, context_turns: int = 5, source_file: str | None = None, search_text: str | None = None) -> DataFrame:
         """One row: the turns around a memory in its source, found by its id or by file and text; error says what is
         missing."""
         if not 1 <= context_turns <= MOST_CONTEXT:
             raise ValueError(f"context_turns is 1 to {MOST_CONTEXT}")
         conversation = None
         if point_id is not None:
-            found = self.points(persona or "").where(F.col("id") == point_id).select("source_file", "conversation_id", "user_input").first()
+            found = self.points(persona or "").where(F.col("id").cast("string") == str(point_id).lstrip("0")).select("source_file", "conversation_id", "user_input").first()
             if found is None:
                 return self._error("point_not_found")
             source_file, conversation, search_text = found
@@ -103,7 +117,7 @@ class Memories:
     def stats(self) -> DataFrame:
         """Each persona's points, and whether its collection is there; the last row is the total (persona null)."""
         registry = self.spark.createDataFrame([(p.key, p.title) for p in self.personas], "persona string, title string")
-        points = store.collection(self.spark, self.table).select("persona") if store.exists(self.spark, self.table) else registry.select("persona").limit(0)
+        points = store.collection(self.spark, self.table).select("persona") if store.personas(self.spark, self.table) else registry.select("persona").limit(0)
         by = ops.collection_stats(points, registry, "persona")
         total = by.agg(F.lit(None).cast("string").alias("persona"), F.lit("total").alias("title"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.max("available").alias("available"))
         return by.select("persona", "title", "n", "available").unionByName(total)
@@ -115,7 +129,7 @@ class Memories:
         return store.upsert(self.table, readers.points_of_all(whole, embedder=self.embedder, **options), key)
 
     def _whole(self, path: str) -> DataFrame:
-        return self.spark.read.text(path, wholetext=True).select(F.lit(path).alias("path"), "value")
+        return self.spark.read.text(store.literal(path), wholetext=True).select(F.lit(path).alias("path"), "value")
 
     _ROW = "source_type string, source_file string, total_turns long, matched_turn_index long, context_range array<long>, turns array<struct<index:long,role:string,content:string>>, error string"
 

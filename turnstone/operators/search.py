@@ -1,7 +1,7 @@
 """Vector search and what is built from its hits.
 
-One query is an array literal, so a scan scores in place and TakeOrderedAndProject keeps k rows a task; many queries are
-scored in blocks with one matrix product a batch. Collections are a partition column, so a persona prunes files."""
+Queries are scored with one matrix product a batch; only the vectors go to Python, and TakeOrderedAndProject keeps k rows a
+task. Collections are a partition column, so a persona prunes files."""
 
 from __future__ import annotations
 
@@ -14,20 +14,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from turnstone.functions import text as x
-from turnstone.functions.vectors import cosine
+from turnstone.functions.vectors import cosines, matrix
 
 
 def top_k(points: DataFrame, query: Sequence[float], k: int, where: Column | None = None, id_: str = "vec_id", vector: str = "embedding", digits: int = 4) -> DataFrame:
     """The k points most alike, ties by id, after the filter."""
     rows = points if where is None else points.where(where)
-    q = F.array(*(F.lit(float(v)) for v in query))
-    return rows.withColumn("score", F.round(cosine(F.col(vector), q), digits)).orderBy(F.desc("score"), id_).limit(k)
+    return rows.withColumn("score", F.round(cosines(query)(F.col(vector)), digits)).orderBy(F.desc_nulls_last("score"), id_).limit(k)
 
 
 def top_k_by_group(points: DataFrame, query: Sequence[float], k: int, group: str, id_: str = "vec_id", vector: str = "embedding", digits: int = 4) -> DataFrame:
-    q = F.array(*(F.lit(float(v)) for v in query))
-    scored = points.select(id_, group, F.round(cosine(F.col(vector), q), digits).alias("score"))
-    w = Window.partitionBy(group).orderBy(F.desc("score"), id_)
+    scored = points.select(id_, group, F.round(cosines(query)(F.col(vector)), digits).alias("score"))
+    w = Window.partitionBy(group).orderBy(F.desc_nulls_last("score"), id_)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -40,16 +38,16 @@ def search_block(points: DataFrame, queries: DataFrame, k: int, id_: str = "vec_
     it = queries.select(id_, vector).toLocalIterator()
     while chunk := [r for _, r in zip(range(block), it, strict=False)]:
         ids = np.array([r[0] for r in chunk])
-        matrix = np.array([r[1] for r in chunk], float)
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+        asked = np.array([r[1] for r in chunk], float)
+        asked /= np.maximum(np.linalg.norm(asked, axis=1, keepdims=True), 1e-300)
 
-        def score(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, matrix: np.ndarray = matrix) -> Iterator[pa.RecordBatch]:
+        def score(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, matrix_: np.ndarray = asked) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                own = batch.column(0).to_numpy()
-                v = np.stack(batch.column(1).to_numpy(zero_copy_only=False))
-                s = np.round(v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300) @ matrix.T, 4)
+                v, there = matrix(batch.column(1), matrix_.shape[1])
+                own = batch.column(0).to_numpy()[there]
+                s = np.round(v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300) @ matrix_.T, 4)
                 s[own[:, None] == ids[None, :]] = -np.inf
                 best = np.lexsort((np.broadcast_to(own[:, None], s.shape), -s), axis=0)[:k]
                 q = np.broadcast_to(np.arange(len(ids)), best.shape)
@@ -64,9 +62,15 @@ def search_block(points: DataFrame, queries: DataFrame, k: int, id_: str = "vec_
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def project(hits: DataFrame, id_: Column, user: Column, answer: Column, source: Column, *more: Column | str) -> DataFrame:
-    """The fields of a result, and more."""
-    full = x.first_filled(source).isNotNull()
+def by_id(points: DataFrame, wanted: DataFrame, id_: str = "id") -> DataFrame:
+    """The wanted ids with their points, and point_not_found as error where there is none."""
+    found = points.withColumn("there_", F.lit(True)).join(wanted.select(id_).distinct(), id_, "right")
+    return found.withColumn("error", F.when(F.col("there_").isNull(), "point_not_found")).drop("there_")
+
+
+def project(hits: DataFrame, id_: Column, user: Column, answer: Column, source: Column, *more: Column | str, conversation: Column | None = None) -> DataFrame:
+    """The fields of a result, and more; its full context is there to be read where a source or a conversation is named."""
+    full = x.first_filled(source, *([] if conversation is None else [conversation])).isNotNull()
     return hits.select(id_.cast("string").alias("point_id"), "score", F.substring(F.coalesce(user, F.lit("Unknown")), 1, x.RESULT_INPUT_CHARS).alias("user_input"), F.substring(F.coalesce(answer, F.lit("...")), 1, x.RESULT_RESPONSE_CHARS).alias("ai_response"), F.coalesce(source, F.lit("unknown")).alias("source_file"), x.source_label(source).alias("source_label"), full.alias("has_full_context"), *more)
 
 
@@ -78,6 +82,16 @@ def prompt(hits: DataFrame, title: str, persona: str, question: str, id_: str =
     return rows.select(F.concat(F.lit(f"# {title}\n\n"), body, F.lit(f"\nCurrent query: {question}")).alias("prompt"))
 
 
+def plain_prompt(memories: DataFrame, title: str, persona: str, question: str) -> DataFrame:
+    """One row: the prompt of the command line, with memories (score, point_id, user_input, ai_response) whole, and
+    listing, a line and an excerpt for each."""
+    block = F.concat(F.lit("User: "), "user_input", F.lit(f"\n{persona}: "), "ai_response", F.lit("\n---\n"))
+    line = F.concat(F.lit("[Score: "), F.format_string("%.2f", F.round(F.col("score"), 2)), F.lit(f"]\n{persona}: "), F.substring("ai_response", 1, x.EXCERPT_CHARS), F.lit("...\n"))
+    rows = memories.agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("point_id").alias("i"), block.alias("b"), line.alias("l")))).alias("rows"))
+    join = lambda c: F.array_join(F.transform("rows", lambda r: r[c]), "")
+    return rows.select(F.concat(F.lit(f"You are {title}. These are your memories:\n\n"), join("b"), F.lit(f"\nCurrent query: {question}")).alias("prompt"), join("l").alias("listing"))
+
+
 def recall_at_k(neighbours: DataFrame, relevant: Column, k: int) -> DataFrame:
     """Share of queries with a relevant hit among the first k, and the mean share of relevant hits."""
     hits = neighbours.where(F.col("rank") <= k).groupBy("query_id").agg(F.max(relevant.cast("int")).alias("any"), F.avg(relevant.cast("double")).alias("share"))
@@ -93,7 +107,6 @@ def ndcg(neighbours: DataFrame, gain: Column, k: int) -> DataFrame:
 def hybrid(points: DataFrame, query: Sequence[float], words: Sequence[str], k: int, keyword_weight: float = 0.3, id_: str = "vec_id", vector: str = "embedding", text: str = "text", digits: int = 4) -> DataFrame:
     """Cosine plus the weighted share of the query's words that the text holds: the k best, ties by id."""
     wanted = sorted({w.lower() for w in words})
-    q = F.array(*(F.lit(float(v)) for v in query))
     has = F.size(F.array_intersect(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\W+"), F.array(*map(F.lit, wanted)))) / F.lit(max(len(wanted), 1))
-    score = F.round((1 - keyword_weight) * cosine(F.col(vector), q) + keyword_weight * has, digits)
-    return points.withColumn("score", score).orderBy(F.desc("score"), id_).limit(k)
+    score = F.round((1 - keyword_weight) * cosines(query)(F.col(vector)) + keyword_weight * has, digits)
+    return points.withColumn("score", score).orderBy(F.desc_nulls_last("score"), id_).limit(k)

@@ -41,6 +41,18 @@ def move(tasks: DataFrame, wanted: DataFrame) -> DataFrame:
     return tasks.join(one, "task_id", "left").select(*rest, F.coalesce("w.status", "status").alias("status"), log.alias("log"))
 
 
+def boards(tasks: DataFrame, by: Sequence[str] = ("assignee", "project"), status: str = "status") -> DataFrame:
+    """The dashboards in one pass: board (all, or the column counted by), key, active (neither done nor cancelled) and n."""
+    live = F.when(F.col(status).isin("done", "cancelled"), 0).otherwise(1)
+    rows = tasks.select(*by, live.alias("live_"))
+    out = rows.groupingSets([[], *[[c] for c in by]], *by).agg(F.grouping_id().alias("g_"), F.sum("live_").cast("bigint").alias("active"), F.count("*").alias("n"))
+    board, key = F.lit("all"), F.lit(None).cast("string")
+    for i, c in enumerate(by):
+        own = F.col("g_") == (1 << len(by)) - 1 - (1 << len(by) - 1 - i)
+        board, key = F.when(own, c).otherwise(board), F.when(own, F.col(c).cast("string")).otherwise(key)
+    return out.select(board.alias("board"), key.alias("key"), "active", "n")
+
+
 def named(files: DataFrame, path: str = "path") -> DataFrame:
     """Adds stamp, node and kind from names like 2026-01-02-150405-node-kind.md; null where a name has another form. The
     kind is what follows the last hyphen."""

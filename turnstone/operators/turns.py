@@ -44,16 +44,29 @@ def match_exact(turns: DataFrame, key: str, index: str, needle: str, content: st
 def match_fuzzy(turns: DataFrame, key: str, index: str, needle: str, content: str = "text") -> DataFrame:
     """The exact match, or else the turn most alike by Ratcliff-Obershelp ratio (first of equals)."""
 
-    def ratios(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    wanted = needle.lower()[: x.NEEDLE_CHARS]
+
+    def ratios(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         from difflib import SequenceMatcher
 
-        for batch in batches:
-            yield batch.map(lambda t: SequenceMatcher(None, needle.lower()[: x.NEEDLE_CHARS], (t or "").lower()[: x.HAYSTACK_CHARS]).ratio())
+        best: dict[str, float] = {}
+        for keys, texts in batches:
+            out = []
+            for key, text in zip(keys, texts, strict=True):
+                matcher = SequenceMatcher(None, wanted, (text or "").lower()[: x.HAYSTACK_CHARS])
+                # bounds by length and by letters; what cannot beat its conversation's best so far is not compared
+                least = best.get(key, -1.0)
+                ratio = -1.0 if matcher.real_quick_ratio() < least or matcher.quick_ratio() < least else matcher.ratio()
+                best[key] = max(least, ratio)
+                out.append(ratio)
+            if len(best) > 100_000:
+                best.clear()
+            yield pd.Series(out, dtype=float)
 
     ratio = F.pandas_udf(ratios, "double")
     exact = match_exact(turns, key, index, needle, content)
     missing = turns.join(exact.where("matched is null").select(key), key)
-    fuzzy = missing.withColumn("ratio", ratio(F.col(content))).groupBy(key).agg(F.max(F.struct("ratio", -F.col(index))).alias("m"))
+    fuzzy = missing.withColumn("ratio", ratio(F.col(key).cast("string"), F.col(content))).groupBy(key).agg(F.max(F.struct("ratio", -F.col(index))).alias("m"))
     best = F.coalesce("matched", -F.col("m.col2"))
     return exact.join(fuzzy, key, "left").select(key, best.alias("matched"), F.coalesce(F.col("m.ratio"), F.lit(1.0)).alias("ratio"))
 

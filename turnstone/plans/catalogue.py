@@ -5,6 +5,10 @@ diary entries and facts, pages source paths."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +18,8 @@ from pyspark.sql.window import Window
 from turnstone.functions import text as x
 from turnstone.functions.vectors import hashed_embedder
 from turnstone.operators import drawers, graph, ops, search, tasks, turns
-from turnstone.sources import chats, readers
+from turnstone.operators.memory import Memories, Persona
+from turnstone.sources import chats, readers, store
 from turnstone.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,7 +95,7 @@ def dedup_latest(spark, sf):
 
 @query("SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END AS reader_role FROM conversations")
 def role_map(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", "user").otherwise("assistant").alias("reader_role"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", readers.reader_role(F.col("role")).alias("reader_role"))
 
 
 @query("SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN turn % 3 = 0 THEN 0 ELSE turn::DOUBLE END, turn) - 1)::INT AS index FROM conversations")
@@ -159,18 +164,22 @@ _FLAT = r"regexp_replace(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'), '^
 
 @query(f"SELECT doc_id, CASE WHEN length({_FLAT}) <= 220 THEN {_FLAT} ELSE rtrim(left({_FLAT}, 217), ' ') || '...' END AS preview FROM documents")
 def preview(spark, sf):
-    return drawers.summary(table(spark, sf, "documents"), "doc_id", "text")
+    return table(spark, sf, "documents").select("doc_id", x.preview(F.col("text")).alias("preview"))
 
 
 _REDACT = "text"
-for _pattern, _to in (*x.SECRETS, x.TOKEN_ASSIGNMENT):
-    _REDACT = f"regexp_replace({_REDACT}, '{_pattern}', '{_to.replace('$1', chr(92) + '1')}', 'g')"
+for _pattern, _to in (("sk-[A-Za-z0-9]{20,}", "sk-REDACTED"), ("(?i)anthropic[_-]?api[_-]?key\\s*[:=]\\s*[''\"]?[A-Za-z0-9_-]{10,}", "ANTHROPIC_API_KEY=REDACTED"), ("(?i)openai[_-]?api[_-]?key\\s*[:=]\\s*[''\"]?[A-Za-z0-9_-]{10,}", "OPENAI_API_KEY=REDACTED"), ("AIzaSy[A-Za-z0-9_-]{20,}", "AIzaSyREDACTED"), ('(?i)(token|secret|password|api_key)\\s*=\\s*"[^"]+"', '\\1="REDACTED"')):
+    _REDACT = f"regexp_replace({_REDACT}, '{_pattern}', '{_to}', 'g')"
+#: Texts that hold every kind of secret, made from a document's own id.
+_KEYED = "SELECT doc_id, text || ' OpenAI-API-Key: \"k' || lpad(doc_id::VARCHAR, 12, 'x') || '\" sk-' || repeat('a', (doc_id % 30)::INT) || ' AIzaSy' || repeat('Z', (doc_id % 25)::INT) || ' anthropic_api_key=' || lpad(doc_id::VARCHAR, 9 + (doc_id % 3)::INT, 'q') AS text FROM documents"
 
 
-@query(f"SELECT doc_id, md5({_REDACT}) AS redacted, {_REDACT} <> text AS changed FROM documents")
+@query(f"SELECT doc_id, md5({_REDACT}) AS redacted, {_REDACT} <> text AS changed FROM ({_KEYED})")
 def redact(spark, sf):
-    clean = x.redact(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", F.md5(clean).alias("redacted"), (clean != F.col("text")).alias("changed"))
+    n = F.col("doc_id")
+    keyed = F.concat("text", F.lit(' OpenAI-API-Key: "k'), F.lpad(n.cast("string"), 12, "x"), F.lit('" sk-'), F.repeat(F.lit("a"), (n % 30).cast("int")), F.lit(" AIzaSy"), F.repeat(F.lit("Z"), (n % 25).cast("int")), F.lit(" anthropic_api_key="), F.lpad(n.cast("string"), (n % 3 + 9).cast("int"), F.lit("q")))
+    clean = x.redact(F.col("text"), (*x.SECRETS, x.TOKEN_ASSIGNMENT))
+    return table(spark, sf, "documents").select("doc_id", keyed.alias("text")).select("doc_id", F.md5(clean).alias("redacted"), (clean != F.col("text")).alias("changed"))
 
 
 @query(f"SELECT conv_id, turn, {_STRIP.format(c='user_text')} AS user_content, {_STRIP.format(c='assistant_text')} AS assistant_content FROM ({_ALL})")
@@ -244,21 +253,35 @@ def search_projection(spark, sf):
     return _hits(spark, sf)
 
 
-@query()
+def _two_places(c: str) -> str:
+    return f"format('{{:.2f}}', round({c}, 2))"
+
+
+@query(f"SELECT '# Archive' || chr(10) || chr(10) || string_agg('[Relevance: ' || {_two_places('score')} || ']' || chr(10) || 'User: ' || user_input || chr(10) || 'Assistant: ' || ai_response || chr(10), chr(10) ORDER BY score DESC, point_id) || chr(10) || 'Current query: what was said' AS prompt FROM ({_HITS})")
 def rehydration_prompt(spark, sf):
     return search.prompt(_hits(spark, sf), "Archive", "Assistant", "what was said")
 
 
+_WHOLE_HITS = f"SELECT vec_id::VARCHAR AS point_id, score, lang AS user_input, text AS ai_response FROM (SELECT vec_id, {_SCORE} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 5) JOIN documents ON doc_id = vec_id"
+
+
+@query(f"SELECT 'You are Archive. These are your memories:' || chr(10) || chr(10) || string_agg('User: ' || user_input || chr(10) || 'Assistant: ' || ai_response || chr(10) || '---' || chr(10), '' ORDER BY score DESC, point_id) || chr(10) || 'Current query: what was said' AS prompt, string_agg('[Score: ' || {_two_places('score')} || ']' || chr(10) || 'Assistant: ' || left(ai_response, 150) || '...' || chr(10), '' ORDER BY score DESC, point_id) AS listing FROM ({_WHOLE_HITS})")
+def command_line_prompt(spark, sf):
+    top = search.top_k(table(spark, sf, "embeddings"), _vector(spark, sf), 5).select(F.col("vec_id").alias("doc_id"), "score")
+    docs = table(spark, sf, "documents").join(F.broadcast(top), "doc_id")
+    return search.plain_prompt(docs.select(F.col("doc_id").cast("string").alias("point_id"), "score", F.col("lang").alias("user_input"), F.col("text").alias("ai_response")), "Archive", "Assistant", "what was said")
+
+
 @query("SELECT vec_id, label FROM embeddings WHERE vec_id = 7")
 def retrieve_by_id(spark, sf):
-    return table(spark, sf, "embeddings").where(F.col("vec_id") == 7).select("vec_id", "label")
+    wanted = spark.createDataFrame([(7,)], "vec_id long")
+    return search.by_id(table(spark, sf, "embeddings"), wanted, "vec_id").select("vec_id", "label")
 
 
 @query("SELECT w.vec_id, CASE WHEN e.vec_id IS NULL THEN 'point_not_found' END AS error FROM (VALUES (7::BIGINT), (-7::BIGINT)) w(vec_id) LEFT JOIN embeddings e USING (vec_id)")
 def point_not_found(spark, sf):
     wanted = spark.createDataFrame([(7,), (-7,)], "vec_id long")
-    known = table(spark, sf, "embeddings").select("vec_id", F.lit(True).alias("there"))
-    return wanted.join(known, "vec_id", "left").select("vec_id", F.when(F.col("there").isNull(), "point_not_found").alias("error"))
+    return search.by_id(table(spark, sf, "embeddings"), wanted, "vec_id").select("vec_id", "error")
 
 
 # --- collections and drawers ----------------------------------------------------------------------------------------
@@ -311,6 +334,59 @@ def dashboard_summary(spark, sf):
     return drawers.dashboard(table(spark, sf, "documents"), "lang", "source")
 
 
+#: Documents as drawers: rooms by source and length, so that they do not all span all wings.
+_DRAWERS = "(SELECT 'd' || doc_id AS id, text AS document, lang AS wing, source || '-' || (n_chars % 59) AS room, '/f/' || source || '/' || (doc_id % 50) || '.md' AS source_file, (doc_id % 5)::INT AS chunk_index, CASE WHEN doc_id % 7 <> 0 THEN lpad((n_chars % 1000)::VARCHAR, 4, '0') END AS filed_at, CASE WHEN doc_id % 2 = 0 THEN 'even' END AS added_by, doc_id FROM documents)"
+
+
+def _drawers(spark, sf):
+    n = F.col("doc_id")
+    return table(spark, sf, "documents").select(
+        F.concat(F.lit("d"), n).alias("id"), F.col("text").alias("document"), F.col("lang").alias("wing"), F.concat("source", F.lit("-"), F.col("n_chars") % 59).alias("room"), F.concat(F.lit("/f/"), "source", F.lit("/"), n % 50, F.lit(".md")).alias("source_file"),
+        (n % 5).cast("int").alias("chunk_index"), F.when(n % 7 != 0, F.lpad((F.col("n_chars") % 1000).cast("string"), 4, "0")).alias("filed_at"), F.when(n % 2 == 0, "even").alias("added_by"), "doc_id",
+    )
+
+
+_FLAT_DOCUMENT = _FLAT.replace("coalesce(text", "coalesce(document")
+_SUMMARY = f"id, coalesce(wing, '') AS wing, coalesce(room, '') AS room, coalesce(source_file, '') AS source_file, split_part(coalesce(source_file, ''), '/', -1) AS source_name, chunk_index, filed_at, added_by, CASE WHEN length({_FLAT_DOCUMENT}) <= 220 THEN {_FLAT_DOCUMENT} ELSE rtrim(left({_FLAT_DOCUMENT}, 217), ' ') || '...' END AS preview"
+
+
+@query(f"SELECT {_SUMMARY} FROM {_DRAWERS}")
+def drawer_summaries(spark, sf):
+    return drawers.summary(_drawers(spark, sf), "id", "document")
+
+
+@query(f"SELECT 'en' AS wing, 'src1-3' AS room, 1 AS offset, 3 AS limit, (SELECT count(*) FROM {_DRAWERS} WHERE wing = 'en' AND room = 'src1-3') AS total, coalesce((SELECT string_agg(id || ' ' || source_name || ' ' || preview, '|' ORDER BY coalesce(filed_at, '') DESC, id) FROM (SELECT {_SUMMARY} FROM {_DRAWERS} WHERE wing = 'en' AND room = 'src1-3' ORDER BY coalesce(filed_at, '') DESC, id LIMIT 3 OFFSET 1)), '') AS items")
+def browse_with_total(spark, sf):
+    out = drawers.browse(_drawers(spark, sf), "en", "src1-3", 3, 1)
+    return out.withColumn("items", F.array_join(F.transform("items", lambda r: F.concat_ws(" ", r["id"], r["source_name"], r["preview"])), "|"))
+
+
+def _top(by: str) -> str:
+    return f"(SELECT string_agg({by} || '=' || n, ',' ORDER BY n DESC, {by}) FROM (SELECT {by}, count(*) AS n FROM {_DRAWERS} GROUP BY {by} ORDER BY n DESC, {by} LIMIT 6))"
+
+
+@query(f"SELECT (SELECT count(*) FROM documents) AS drawers, (SELECT count(DISTINCT wing) FROM {_DRAWERS}) AS wings, (SELECT count(DISTINCT room) FROM {_DRAWERS}) AS rooms, {_top('wing')} AS top_wings, {_top('room')} AS top_rooms, (SELECT string_agg(id, ',' ORDER BY coalesce(filed_at, '') DESC, id) FROM (SELECT * FROM {_DRAWERS} ORDER BY coalesce(filed_at, '') DESC, id LIMIT 6)) AS recent, (SELECT count(*) FROM (SELECT room FROM {_DRAWERS} GROUP BY room HAVING count(DISTINCT wing) >= 2)) AS tunnels")
+def overview(spark, sf):
+    out = drawers.overview(_drawers(spark, sf))
+    named = lambda c: F.array_join(F.transform(c, lambda r: F.concat(r["name"], F.lit("="), r["count"])), ",").alias(c)
+    return out.select("drawers", "wings", "rooms", named("top_wings"), named("top_rooms"), F.array_join(F.transform("recent_drawers", lambda r: r["id"]), ",").alias("recent"), F.col("graph.tunnel_rooms").alias("tunnels"))
+
+
+@query(f"SELECT id, wing, room, source_file, split_part(source_file, '/', -1) AS source_name, similarity, md5(content) AS content FROM (SELECT d.id, wing, room, source_file, document AS content, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 3) AS similarity FROM {_DRAWERS} d JOIN embeddings ON vec_id = doc_id WHERE wing = 'fr') ORDER BY similarity DESC, id LIMIT 10")
+def drawer_search(spark, sf):
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    found = drawers.search(_drawers(spark, sf).join(vectors, "doc_id"), _vector(spark, sf), wing="fr")
+    return found.select("id", "wing", "room", "source_file", "source_name", "similarity", F.md5("content").alias("content"))
+
+
+@query(f"SELECT id, doc_id % 3 = 0 AS success, CASE WHEN doc_id % 3 <> 0 THEN 'duplicate' END AS reason FROM {_DRAWERS}")
+def file_drawers(spark, sf):
+    """Contents of which two in three are filed already; a third is new."""
+    all_ = _drawers(spark, sf).withColumn("document", F.concat("document", F.lit(" "), "id"))
+    filed, new = all_.where("doc_id % 3 <> 0"), all_.select("id", "document")
+    return drawers.answers(filed, new, "id", "document")
+
+
 _FILED = "(SELECT doc_id, lang, source, CASE WHEN doc_id % 7 <> 0 THEN lpad((n_chars % 1000)::VARCHAR, 4, '0') END AS filed_at FROM documents)"
 
 
@@ -347,11 +423,11 @@ def check_duplicate(spark, sf):
 # --- diary, facts and tunnels ---------------------------------------------------------------------------------------
 
 
-@query("SELECT event_id, event_type, value FROM events WHERE user_id = (SELECT min(user_id) FROM events) ORDER BY ts DESC, event_id LIMIT 10")
+@query("SELECT event_type AS topic, content FROM (SELECT *, 'e' || event_id AS content FROM events WHERE user_id = 7) ORDER BY strftime(ts, '%Y-%m-%dT%H:%M:%S') DESC, event_type, content LIMIT 10")
 def diary_last_n(spark, sf):
-    e = table(spark, sf, "events")
-    one = e.agg(F.min("user_id").alias("user_id"))
-    return e.join(F.broadcast(one), "user_id").orderBy(F.desc("ts"), "event_id").limit(10).select("event_id", "event_type", "value")
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    diary = table(spark, sf, "events").select(F.concat(F.lit("u"), "user_id").alias("agent"), stamp.alias("timestamp"), F.col("event_type").alias("topic"), F.concat(F.lit("e"), "event_id").alias("content"))
+    return drawers.read_diary(diary, "u7").select("topic", "content")
 
 
 _FACTS = "(SELECT 'u' || user_id AS subject, event_type AS predicate, 'k' || json_extract_string(props, '$.k') AS object, ts AS valid_from, lead(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS valid_to FROM events)"
@@ -393,67 +469,46 @@ def kg_stats(spark, sf):
 @query(f"SELECT subject, predicate, object, count(*) FILTER (valid_to IS NULL AND NOT (subject = 'u3' AND predicate = 'click')) AS current FROM {_FACTS} GROUP BY ALL")
 def kg_invalidate(spark, sf):
     facts = _facts(spark, sf)
-    objects = [r[0] for r in facts.where("subject = 'u3' and predicate = 'click' and valid_to is null").select("object").distinct().collect()]
-    for o in objects:
-        facts = graph.invalidate(facts, "u3", "click", o, F.col("valid_from"))
-    return facts.groupBy("subject", "predicate", "object").agg(F.count_if(F.col("valid_to").isNull()).alias("current"))
-
-
-_TOXIC = "(SELECT d.* FROM documents d JOIN (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1) USING (doc_id))"
-
-
-def _toxic(spark, sf):
-    return table(spark, sf, "documents").join(table(spark, sf, "labels").where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    gone = facts.where("subject = 'u3' and predicate = 'click'").select("subject", "predicate", "object", F.col("valid_from").alias("at"))
+    return graph.invalidate_all(facts, gone).groupBy("subject", "predicate", "object").agg(F.count_if(F.col("valid_to").isNull()).alias("current"))
 
 
-@query(f"SELECT source AS room, string_agg(lang, ',' ORDER BY lang) AS wings, sum(n)::BIGINT AS n FROM (SELECT source, lang, count(*) AS n FROM {_TOXIC} GROUP BY ALL) GROUP BY source HAVING count(*) >= 2")
+@query(f"SELECT room, string_agg(DISTINCT wing, ',' ORDER BY wing) AS wings, string_agg(DISTINCT coalesce(added_by, ''), ',' ORDER BY coalesce(added_by, '')) AS halls, count(*) AS count, max(filed_at) AS recent FROM {_DRAWERS} GROUP BY room HAVING count(DISTINCT wing) >= 2")
 def tunnels(spark, sf):
-    return graph.tunnels(_toxic(spark, sf), "lang", "source")
+    rows = _drawers(spark, sf).withColumn("hall", F.coalesce("added_by", F.lit("")))
+    return graph.tunnels(rows, "wing", "room", "hall", "filed_at").select("room", F.array_join("wings", ",").alias("wings"), F.array_join("halls", ",").alias("halls"), "count", "recent")
 
 
-@query(f"SELECT source FROM {_TOXIC} WHERE lang = 'en' INTERSECT SELECT source FROM {_TOXIC} WHERE lang = 'fr'")
+@query(f"SELECT room FROM {_DRAWERS} WHERE wing = 'en' INTERSECT SELECT room FROM {_DRAWERS} WHERE wing = 'fr'")
 def tunnels_between(spark, sf):
-    return graph.tunnels_between(_toxic(spark, sf), "lang", "source", "en", "fr")
+    return graph.tunnels_between(_drawers(spark, sf), "wing", "room", "en", "fr")
 
 
-@query(f"SELECT count(*) AS total_rooms, count(*) FILTER (w >= 2) AS tunnel_rooms, sum(w * (w - 1) / 2)::BIGINT AS total_edges FROM (SELECT source, count(DISTINCT lang) AS w FROM {_TOXIC} GROUP BY source)")
+@query(f"SELECT count(*) AS total_rooms, count(*) FILTER (w >= 2) AS tunnel_rooms, sum(w * (w - 1) / 2)::BIGINT AS total_edges, (SELECT string_agg(wing || '=' || n, ',' ORDER BY wing) FROM (SELECT wing, count(DISTINCT room) AS n FROM {_DRAWERS} GROUP BY wing)) AS rooms_per_wing, (SELECT string_agg(room || ':' || wings || ':' || n, ' ' ORDER BY w DESC, n DESC, room) FROM (SELECT room, count(DISTINCT wing) AS w, count(*) AS n, string_agg(DISTINCT wing, ',' ORDER BY wing) AS wings FROM {_DRAWERS} GROUP BY room HAVING w >= 2 ORDER BY w DESC, n DESC, room LIMIT 10)) AS top_tunnels FROM (SELECT room, count(DISTINCT wing) AS w FROM {_DRAWERS} GROUP BY room)")
 def graph_stats(spark, sf):
-    return graph.graph_stats(_toxic(spark, sf), "lang", "source")
+    out = graph.graph_stats(_drawers(spark, sf), "wing", "room")
+    per_wing = F.array_join(F.transform(F.array_sort(F.map_entries("rooms_per_wing")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    top = F.array_join(F.transform("top_tunnels", lambda r: F.concat(r["room"], F.lit(":"), F.array_join(r["wings"], ","), F.lit(":"), r["count"])), " ")
+    return out.select("total_rooms", "tunnel_rooms", "total_edges", per_wing.alias("rooms_per_wing"), F.nullif(top, F.lit("")).alias("top_tunnels"))
 
 
-@query(f"WITH RECURSIVE l AS (SELECT DISTINCT source AS room, lang FROM {_TOXIC}), r AS (SELECT 'src1' AS room, 0 AS hops UNION SELECT b.room, hops + 1 FROM r JOIN l a ON a.room = r.room JOIN l b ON b.lang = a.lang WHERE hops < 2) SELECT room, min(hops)::INT AS hops FROM r GROUP BY room")
-def traverse(spark, sf):
-    return graph.traverse(_toxic(spark, sf), "lang", "source", "src1", 2)
-
-
-def _whole(name: str) -> str:
-    return ORACLE_SQL[name].replace(_TOXIC, "documents")
-
-
-@query(_whole("tunnels"))
-def tunnels_all(spark, sf):
-    return graph.tunnels(table(spark, sf, "documents"), "lang", "source")
+#: Wings finer than rooms, so that not all are reached at once.
+_FINE = f"(SELECT DISTINCT room, wing || (doc_id % 11) AS wing FROM {_DRAWERS})"
 
 
-@query(_whole("tunnels_between"))
-def tunnels_between_all(spark, sf):
-    return graph.tunnels_between(table(spark, sf, "documents"), "lang", "source", "en", "fr")
-
-
-@query(_whole("graph_stats"))
-def graph_stats_all(spark, sf):
-    return graph.graph_stats(table(spark, sf, "documents"), "lang", "source")
+@query(f"WITH RECURSIVE l AS {_FINE}, r AS (SELECT (SELECT min(room) FROM l) AS room, 0 AS hops UNION SELECT b.room, hops + 1 FROM r JOIN l a ON a.room = r.room JOIN l b ON b.wing = a.wing WHERE hops < 2) SELECT room, min(hops)::INT AS hops FROM r GROUP BY room")
+def traverse(spark, sf):
+    rows = _drawers(spark, sf).select("room", F.concat("wing", F.col("doc_id") % 11).alias("wing"))
+    return graph.traverse(rows, "wing", "room", rows.agg(F.min("room")).first()[0], 2)
 
 
-@query(_whole("traverse"))
-def traverse_all(spark, sf):
-    return graph.traverse(table(spark, sf, "documents"), "lang", "source", "src1", 2)
+# --- incremental, health and sync -----------------------------------------------------------------------------------
 
 
-# --- incremental, health and sync -----------------------------------------------------------------------------------
+_WORDS = " || ':' || ".join(f"sum(('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT)::VARCHAR" for i in range(4))
 
 
-@query("SELECT lang AS source, md5(string_agg(source || '/' || doc_id || ':' || n_chars, '' ORDER BY source || '/' || doc_id || ':' || n_chars)) AS fingerprint FROM documents GROUP BY lang")
+@query(f"SELECT source, md5(count(*) || ':' || {_WORDS}) AS fingerprint FROM (SELECT lang AS source, md5(source || '/' || doc_id || ':' || n_chars) AS h FROM documents) GROUP BY source")
 def fingerprint(spark, sf):
     d = table(spark, sf, "documents").withColumn("path", F.concat_ws("/", "source", F.col("doc_id").cast("string")))
     return ops.fingerprint(d.select(F.col("lang").alias("source"), "path", "n_chars"), F.col("path"), F.col("n_chars"), "source")
@@ -478,23 +533,31 @@ def unacked(spark, sf):
     return ops.unacknowledged(e.where("event_type = 'view'").drop("event_type"), e.where("event_type = 'click'").select("block"), "block")
 
 
+@query("SELECT 'conversations,documents,embeddings' AS layers, (SELECT count(*) FROM conversations) + (SELECT count(*) FROM documents) + (SELECT count(*) FROM embeddings) AS total, false AS ok")
+def health_summary(spark, sf):
+    names = ("documents", "conversations", "embeddings")
+    one = lambda t: table(spark, sf, t).agg(F.lit(t).alias("layer"), (F.count("*") > 0).alias("available"), F.count("*").alias("total"), F.lit(f"/{t}").alias("path"))
+    rows = one(names[0]).unionByName(one(names[1])).unionByName(one(names[2]))
+    out = ops.health(rows, (*names, "absent"))
+    return out.select(F.array_join(F.transform("layers", lambda r: r["layer"]), ",").alias("layers"), F.aggregate("layers", F.lit(0).cast("bigint"), lambda n, r: n + r["total"]).alias("total"), "ok")
+
+
 @query("SELECT doc_id, ('L' || (doc_id % 5 + 1)) AS level FROM documents WHERE doc_id % 5 + 1 <= 3")
 def access_filter(spark, sf):
-    levels = spark.createDataFrame([(f"L{i}", i) for i in range(1, 6)], "level string, rank int")
     d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("L"), (F.col("doc_id") % 5 + 1).cast("string")).alias("level"))
-    return d.join(levels.where("rank <= 3"), "level").select("doc_id", "level")
+    return ops.visible(d, "L3")
 
 
-@query("SELECT event_type, user_id % 10 AS project, count(*) AS n FROM events GROUP BY GROUPING SETS ((event_type), (user_id % 10), ())")
-def dashboards(spark, sf):
-    table(spark, sf, "events").selectExpr("event_type", "user_id % 10 AS project").createOrReplaceTempView("turnstone_tasks")
-    return spark.sql("SELECT event_type, project, count(*) AS n FROM turnstone_tasks GROUP BY GROUPING SETS ((event_type), (project), ())")
+@query("SELECT doc_id, 'L' || greatest(doc_id % 5 + 1, CASE WHEN doc_id % 6 < 5 THEN doc_id % 6 + 1 ELSE 0 END) AS level FROM documents")
+def access_elevation(spark, sf):
+    n = F.col("doc_id")
+    d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("L"), (n % 5 + 1).cast("string")).alias("level"))
+    return ops.elevate(d, F.concat(F.lit("L"), (n % 6 + 1).cast("string")))
 
 
 @query("SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 48 HOURS")
 def session_48h(spark, sf):
-    e = table(spark, sf, "events")
-    return e.join(F.broadcast(e.agg(F.max("ts").alias("last")))).where("ts >= last - INTERVAL 48 HOURS").select("event_id")
+    return ops.recent(table(spark, sf, "events"), "ts").select("event_id")
 
 
 @query("WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, floor(epoch(min(ts)))::BIGINT AS start_s, count(*) AS n FROM s GROUP BY user_id, s")
@@ -503,10 +566,17 @@ def event_sessions(spark, sf):
     return ingest.sessions(e).select("user_id", F.unix_seconds("start").alias("start_s"), "n")
 
 
-@query()
+def _hashed(rows: str, dimensions: int) -> str:
+    """id, dim, v of the hashed bag of words of rows (id, text)."""
+    return f"(SELECT id, h % {dimensions} AS dim, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS v FROM (SELECT id, ('0x' || substr(md5(w), 1, 8))::BIGINT AS h FROM (SELECT id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '\\s+')) AS w FROM {rows}) WHERE w <> '') GROUP BY ALL)"
+
+
+@query(f"WITH h AS {_hashed('(SELECT doc_id AS id, text FROM documents)', 64)} SELECT doc_id, (SELECT string_agg(CASE WHEN coalesce(v, 0) > 0 THEN '+' WHEN coalesce(v, 0) < 0 THEN '-' ELSE '0' END, '' ORDER BY range) FROM range(64) LEFT JOIN h ON h.id = doc_id AND h.dim = range) AS signs, (SELECT count(*) > 0 FROM h WHERE h.id = doc_id AND v <> 0) AS filled FROM documents")
 def hashed_embeddings(spark, sf):
-    d = table(spark, sf, "documents")
-    return d.select("doc_id", hashed_embedder(64)(F.col("text")).alias("embedding"))
+    d = table(spark, sf, "documents").select("doc_id", hashed_embedder(64)(F.col("text")).alias("v"))
+    signs = F.array_join(F.transform("v", lambda e: F.when(e > 0, "+").when(e < 0, "-").otherwise("0")), "")
+    norm = F.aggregate("v", F.lit(0.0), lambda s, e: s + e.cast("double") * e.cast("double"))
+    return d.select("doc_id", signs.alias("signs"), (F.round(norm, 4) == 1).alias("filled"))
 
 
 # --- parsers, over lines made from the turns ------------------------------------------------------------------------
@@ -638,6 +708,11 @@ def task_doctor(spark, sf):
     return tasks.doctor(_tasks(spark, sf), spark.range(9).select(F.col("id").alias("project")))
 
 
+@query(f"SELECT CASE WHEN grouping(assignee) = 0 THEN 'assignee' WHEN grouping(project) = 0 THEN 'project' ELSE 'all' END AS board, CASE WHEN grouping(assignee) = 0 THEN assignee WHEN grouping(project) = 0 THEN project::VARCHAR END AS key, count(*) FILTER (status NOT IN ('done', 'cancelled'))::BIGINT AS active, count(*) AS n FROM {_TASKS} GROUP BY GROUPING SETS ((assignee), (project), ())")
+def dashboards(spark, sf):
+    return tasks.boards(_tasks(spark, sf))
+
+
 @query("SELECT event_id, ts AS stamp, 'n-' || (user_id % 5) AS node, event_type AS kind FROM (SELECT event_id, date_trunc('second', ts) AS ts, user_id, event_type FROM events)")
 def file_names(spark, sf):
     e = table(spark, sf, "events")
@@ -664,13 +739,128 @@ def unusable_keys(spark, sf):
     return table(spark, sf, "pages").select("page_id", x.unusable_key(F.col("url"), ("blog",)).alias("bad"))
 
 
-def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    """Turns -> pairs -> ids and vectors -> the pairs most like the first one."""
+# --- files, stores and what is shown of them ------------------------------------------------------------------------
+
+
+def _folder(spark) -> str:
+    """A new folder that driver and executors share."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = f"file://{tempfile.gettempdir()}"
+    path = f"{at.rstrip('/')}/turnstone-catalogue-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+_made: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _made:
+        with contextlib.suppress(Exception):  # its session may have ended
+            p, fs = store._fs(spark, path)
+            fs.delete(p, True)
+
+
+@query(f"SELECT 'c ' || conv_id || '+%é' AS talk, 'claude_jsonl' AS format, user_text AS user_input, assistant_text AS ai_response, true AS there FROM ({_ALL})")
+def read_session_files(spark, sf):
+    """Sessions written as files, in folders whose names hold spaces, signs and accents, found and read again."""
+    folder = _folder(spark)
+    lined = _jsonl(spark, sf, F.to_json(F.struct("role", F.col("text").alias("content"))))
+    talk = F.concat(F.lit("c "), F.regexp_extract("path", r"(\d+)\.jsonl$", 1), F.lit("+%é"))
+    lined.select(talk.alias("talk"), "value").write.partitionBy("talk").text(folder)
+    whole = chats.scan(spark, [f"{folder}/absent", folder], "part-*", depth=1).withColumn("path", F.concat("path", F.lit(".jsonl")))
+    own = F.url_decode(F.regexp_replace(F.regexp_extract("path", r"talk=([^/]+)/", 1), r"\+", "%2B"))
+    told = chats.detect_format(whole).join(chats.parse_sessions(whole), "path")
+    some = whole.agg(F.min("path")).first()[0].removesuffix(".jsonl")
+    return told.select(own.alias("talk"), "format", "user_input", "ai_response", F.lit(store.exists(spark, some)).alias("there"))
+
+
+_EMBEDDED = f"SELECT {_sql_id("'conversations'", 'conv_id::VARCHAR', "''", 'user_text', 'assistant_text')} AS id, user_text, assistant_text, 'User: ' || user_text || chr(10) || 'Assistant: ' || left(assistant_text, 2000) AS text FROM ({_ALL}) WHERE length(assistant_text) >= 20"
+_LIKE = "(SELECT h.id, sum(h.v * coalesce(q.v, 0)) / (sqrt(sum(h.v * h.v)) * (SELECT sqrt(sum(v * v)) FROM q)) AS cosine FROM h LEFT JOIN q USING (dim) GROUP BY h.id)"
+
+
+def _points(spark, sf):
     pairs = turns.long_enough(_pairs(spark, sf))
     body = x.embed_text(F.col("user_text"), F.col("assistant_text"))
-    points = pairs.select(x.memory_id(F.lit("conversations"), F.col("conv_id"), F.col("user_text"), F.col("assistant_text")).alias("vec_id"), "user_text", "assistant_text", F.lit("conversations").alias("source"), hashed_embedder()(body).alias("embedding"))
+    return pairs.select(x.memory_id(F.lit("conversations"), F.col("conv_id"), F.col("user_text"), F.col("assistant_text")).alias("id"), "user_text", "assistant_text", body.alias("full_text"))
+
+
+@query(f"WITH p AS ({_EMBEDDED}), h AS (SELECT DISTINCT * FROM {_hashed('p', 384)}), q AS (SELECT dim, v FROM h WHERE id = (SELECT min(id) FROM p)) SELECT id::VARCHAR AS point_id, round(cosine, 4) AS score, left(user_text, 500) AS user_input, left(assistant_text, 1000) AS ai_response, 'conversations' AS source_file, 'conversations' AS source_label, true AS has_full_context FROM p JOIN {_LIKE} USING (id) ORDER BY score DESC, id LIMIT 5")
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns -> pairs -> ids and vectors -> the pairs most like the first one."""
+    points = _points(spark, sf).select(F.col("id").alias("vec_id"), "user_text", "assistant_text", F.lit("conversations").alias("source"), hashed_embedder()(F.col("full_text")).alias("embedding"))
     question = points.orderBy("vec_id").select("embedding").first()[0]
     return search.project(search.top_k(points, question, 5), F.col("vec_id"), F.col("user_text"), F.col("assistant_text"), F.col("source"))
 
 
-QUERIES["flagship"] = flagship
+@query(f"WITH p AS ({_EMBEDDED}), h AS {_hashed('p', 384)}, q AS (SELECT dim, v FROM {_hashed("(SELECT 0 AS id, 'plan the trip to the coast' AS text)", 384)}) SELECT id::VARCHAR AS point_id, round(cosine, 4) AS score, left(user_text, 500) AS user_input, 'ann' AS persona, (SELECT count(DISTINCT id) FROM p) AS stored, (SELECT count(*) FROM p) AS seen FROM (SELECT DISTINCT id, user_text FROM p) JOIN {_LIKE} USING (id) ORDER BY score DESC, id LIMIT 5")
+def memory_summon(spark, sf):
+    """Pairs kept in a store in three upserts, the last of which repeats the first, and summoned by a persona."""
+    rows = _points(spark, sf).select("id", F.col("user_text").alias("user_input"), F.col("assistant_text").alias("ai_response"), hashed_embedder()(F.col("full_text")).alias("embedding"), F.lit(0).alias("batch"), F.lit("conversations").alias("source_file"), *(F.lit(None).cast("string").alias(c) for c in ("conversation_id", "title", "vault", "era", "timestamp", "created", "updated")))
+    memories = Memories(spark, _folder(spark), [Persona("ann", "Ann"), Persona("bob", "Bob")])
+    odd = F.pmod("id", F.lit(2)) == 1
+    seen = [store.upsert(memories.table, rows.where(part), "ann") for part in (odd, ~odd, odd)]
+    stored = memories.points("ann").count()
+    return memories.summon("plan the trip to the coast", "Ann").select("point_id", "score", "user_input", F.lit("ann").alias("persona"), F.lit(stored).cast("bigint").alias("stored"), F.lit(seen[0] + seen[1]).cast("bigint").alias("seen"))
+
+
+@query(f"SELECT {_STRIP.format(c='user_text')} AS user_content, {_STRIP.format(c='assistant_text')} AS assistant_content, conv_id FROM ({_ALL})")
+def export_jsonl(spark, sf):
+    """Training rows written as JSON lines and read again; either side under any of its names."""
+    n = F.col("turn") % 3
+    named = _pairs(spark, sf).select("conv_id", F.when(n == 0, F.col("user_text")).otherwise("").alias("user_input"), F.when(n != 0, F.col("user_text")).alias("user"), F.when(n == 1, F.col("assistant_text")).alias("assistant"), F.when(n == 2, F.col("assistant_text")).alias("ai_response"), F.when(n == 0, F.col("assistant_text")).alias("ai"))
+    path = _folder(spark)
+    store.export_jsonl(ops.training_rows(named, *ops.sides(named), {"conv_id": F.col("conv_id")}, ()), path)
+    back = spark.read.schema("messages array<struct<role:string,content:string>>, meta struct<conv_id:bigint>").json(path)
+    return back.select(F.col("messages")[0]["content"].alias("user_content"), F.col("messages")[1]["content"].alias("assistant_content"), "meta.conv_id")
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN page_id::VARCHAR ELSE 'p-' || page_id END AS id, CASE WHEN page_id % 3 = 0 THEN 'BIGINT' ELSE 'STRING' END AS kind FROM pages")
+def coerce_ids(spark, sf):
+    given = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("00"), "page_id")).otherwise(F.concat(F.lit("p-"), "page_id"))
+    id_ = x.coerce_id(given)
+    return table(spark, sf, "pages").select("page_id", F.try_variant_get(id_, "$", "string").alias("id"), F.schema_of_variant(id_).alias("kind"))
+
+
+@query("SELECT page_id, 'example.net' AS given, 'other' AS wrong, CASE WHEN contains(replace(lower(url), '_', '-'), 'blog') THEN 'blog' WHEN contains(replace(lower(url), '_', '-'), 'example.net') THEN 'example.net' ELSE 'other' END AS none FROM pages")
+def era_override(spark, sf):
+    era = lambda given: x.configured_label(given, F.col("url"), ("blog", "example.net"), "other")
+    return table(spark, sf, "pages").select("page_id", era(" Example.NET ").alias("given"), era("nonsense").alias("wrong"), era(None).alias("none"))
+
+
+@query("SELECT event_id, format('{:.1f}', round(value % 1 * 1000) / 10) || '%' AS share, format('{:,}', event_id * 1000) AS many, strftime(ts, '%Y-%m-%d') AS day, left('event-' || lpad(event_id::VARCHAR, 20, '0'), 18) AS short FROM events")
+def display(spark, sf):
+    e = table(spark, sf, "events")
+    share = F.round(F.col("value") % 1 * 1000) / 1000
+    long_id = F.concat(F.lit("event-"), F.lpad(F.col("event_id").cast("string"), 20, "0"))
+    return e.select("event_id", x.percent(share).alias("share"), x.grouped(F.col("event_id") * 1000).alias("many"), x.day(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).alias("day"), x.short_id(long_id).alias("short"))
+
+
+@query("SELECT '/v/' || source || '/' || doc_id || '.md' AS path, CASE WHEN contains('/v/' || source || '/', 'src1') THEN 'src1' WHEN contains('/v/' || source || '/', 'src') AND source = 'src2' THEN 'src2' ELSE 'unknown' END AS vault, 'note' AS type, '2026-01-0' || (doc_id % 9 + 1) AS updated, '2026-01-0' || (doc_id % 9 + 1) AS shown FROM documents WHERE length(" + _STRIP.format(c="text") + ") >= 20")
+def note_fields(spark, sf):
+    d = table(spark, sf, "documents").where("doc_id is not null")
+    head = F.concat(F.lit("---\ntype: note\nupdated: 2026-01-0"), F.col("doc_id") % 9 + 1, F.lit("\n---\n"))
+    notes = d.select(F.concat(F.lit("/v/"), "source", F.lit("/"), "doc_id", F.lit(".md")).alias("path"), F.concat(head, "text").alias("value"))
+    out = chats.parse_notes(notes, ("src1", "src2"))
+    return out.select("path", "vault", "type", "updated", x.first_filled(F.col("created"), F.col("updated")).alias("shown"))
+
+
+@query("SELECT page_id, 'src' || (page_id % 3) AS label, page_id % 3 < 2 AS known FROM pages")
+def persona_lookup(spark, sf):
+    registry = spark.createDataFrame([("src0", "Zero"), ("src1", "One")], "key string, title string")
+    rows = table(spark, sf, "pages").select("page_id", F.concat(F.lit("src"), F.col("page_id") % 3).alias("key"))
+    return rows.join(F.broadcast(registry), "key", "left").select("page_id", F.col("key").alias("label"), F.col("title").isNotNull().alias("known"))
+
+
+@query("SELECT url AS path, CASE WHEN page_id % 2 = 0 THEN url WHEN page_id % 4 = 1 THEN '/moved/' || split_part(url, '/', -1) || page_id END AS found FROM pages")
+def resolve_paths(spark, sf):
+    """Files that are where they were, files that moved and are found by name, and files that are gone."""
+    pages = table(spark, sf, "pages")
+    name = F.substring_index("url", "/", -1)
+    wanted = pages.select(F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.concat("url", "page_id")).alias("path"), "url", "page_id")
+    known = pages.where("page_id % 2 = 0").select(F.lit(0).alias("root"), F.col("url").alias("path")).unionByName(pages.where("page_id % 4 = 1").select(F.lit(1).alias("root"), F.concat(F.lit("/moved/"), name, "page_id").alias("path")))
+    return chats.resolve(wanted.select("path").distinct(), known).join(wanted, "path").select(F.col("url").alias("path"), "found")

@@ -5,6 +5,10 @@ size bounds a task, not the archive's. JSON is VARIANT where shapes vary and a M
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,10 +18,46 @@ from turnstone.functions import text as x
 HEAD_CHARS = 200
 
 
+def plain_path(uri: Column) -> Column:
+    """A file's URI as its path; a plus sign stands for itself there."""
+    return F.regexp_replace(F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))), "^file:(//)?(?=/)", "")
+
+
+def scan(spark: SparkSession, roots: Sequence[str], glob: str, under: str | None = None, depth: int | None = None, **options: object) -> DataFrame:
+    """files of all roots that exist, with the place of the root (the first is 0): of folders named under alone, and exactly
+    depth folders below the root, where given. Sessions of the model's command line are scan(roots, "session-*.json",
+    under="chats", depth=2), those of the package reader scan(roots, "*.json", under="chats")."""
+    from turnstone.sources.store import exists
+
+    parts = []
+    for i, root in enumerate(roots):
+        if exists(spark, root):
+            found = files(spark, root, glob, **options).withColumn("root", F.lit(i))
+            own = re.sub("^file:(//)?(?=/)", "", root).rstrip("/")
+            below = F.split(F.expr(f"substring(path, {len(own) + 2})"), "/")
+            if under is not None:
+                found = found.where(F.try_element_at(F.split("path", "/"), F.lit(-2)) == under)
+            parts.append(found if depth is None else found.where(F.size(below) == depth + 1))
+    if not parts:
+        return spark.createDataFrame([], "path string, value string, bytes long, changed timestamp, root int")
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def first_existing(spark: SparkSession, given: str | None, *candidates: str) -> str:
+    """What is configured, else the first candidate that exists, else the first. Candidates count once, in order."""
+    from turnstone.sources.store import exists
+
+    if given:
+        return given
+    ordered = list(dict.fromkeys(candidates))
+    return next((c for c in ordered if exists(spark, c)), ordered[0])
+
+
 def files(spark: SparkSession, folder: str, glob: str, recursive: bool = True, least_bytes: int = 0, hidden: bool = True) -> DataFrame:
-    """path, value (the whole file), bytes, changed."""
+    """path, value (the whole file), bytes, changed. A path is what other readers open: not encoded, and of the local file
+    system without its scheme."""
     df = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", glob).text(folder, wholetext=True)
-    df = df.select(F.col("_metadata.file_path").alias("path"), "value", F.col("_metadata.file_size").alias("bytes"), F.col("_metadata.file_modification_time").alias("changed"))
+    df = df.select(plain_path(F.col("_metadata.file_path")).alias("path"), "value", F.col("_metadata.file_size").alias("bytes"), F.col("_metadata.file_modification_time").alias("changed"))
     df = df.where(F.col("bytes") >= least_bytes)
     return df if hidden else df.where(~F.exists(F.split("path", "/"), lambda p: p.startswith(".")))
 
@@ -34,10 +74,14 @@ def _s(v: str, path: str) -> Column:
 
 def _content(v: str, path: str, kinds: tuple[str, ...] | None = ("text",), glue: str = " ") -> Column:
     """Text at path: a string, or the texts of its blocks of the given kinds."""
-    blocks = F.try_variant_get(F.col(v), path, "array<struct<type:string,text:string>>")
-    keep = F.filter(blocks, lambda b: (b["type"].isin(*kinds) if kinds else F.lit(True)) & (F.coalesce(b["text"], F.lit("")) != ""))
+    items = F.try_variant_get(F.col(v), path, "array<variant>")
+    field = lambda b, name: F.try_variant_get(b, f"$.{name}", "string")
+    # without kinds a list's plain strings count too
+    plain = lambda b: F.when(F.schema_of_variant(b) == "STRING", F.try_variant_get(b, "$", "string"))
+    said = lambda b: F.when(field(b, "type").isin(*kinds), field(b, "text")) if kinds else F.coalesce(plain(b), field(b, "text"))
+    keep = F.filter(F.transform(items, said), lambda t: F.coalesce(t, F.lit("")) != "")
     is_list = F.schema_of_variant(F.try_variant_get(F.col(v), path, "variant")).startswith("ARRAY")
-    return F.when(is_list, F.array_join(F.transform(keep, lambda b: b["text"]), glue)).otherwise(_s(v, path))
+    return F.when(is_list, F.array_join(keep, glue)).otherwise(_s(v, path))
 
 
 def parse_sessions(whole: DataFrame) -> DataFrame:
@@ -89,24 +133,30 @@ _EXPORT = "array<struct<id:string,title:string,create_time:double,mapping:map<st
 
 def export_turns(whole: DataFrame) -> DataFrame:
     """Export arrays: messages of each conversation with text, by time (null first), ties in the order of the file."""
-    rows = whole.select("path", F.explode(F.from_json("value", _EXPORT)).alias("c")).select("path", "c.id", "c.title", F.posexplode(F.map_entries("c.mapping")).alias("pos", "e"))
+    talks = whole.select("path", F.posexplode(F.from_json("value", _EXPORT)).alias("place", "c"))
+    # of conversations of one id the last counts; those without an id are each their own
+    talks = talks.withColumn("talk", F.coalesce(x.first_filled(F.col("c.id")), F.concat(F.lit("\x1f"), F.col("place").cast("string"))))
+    last = F.row_number().over(Window.partitionBy("path", "talk").orderBy(F.desc("place")))
+    talks = talks.withColumn("last", last).where("last = 1")
+    rows = talks.select("path", "c.id", "c.title", F.posexplode(F.map_entries("c.mapping")).alias("pos", "e"), "talk")
     # a part is text only if it is a string itself
     strings = F.filter(F.col("e.value.message.content.parts"), lambda p: F.schema_of_variant(p) == "STRING")
     body = F.array_join(F.transform(strings, lambda p: F.try_variant_get(p, "$", "string")), "")
-    turns = rows.select("path", "id", "title", "pos", F.col("e.value.message.author.role").alias("role"), body.alias("text"), F.coalesce("e.value.message.create_time", F.lit(0.0)).alias("time")).where(x.strip(F.col("text")) != "")
-    w = Window.partitionBy("path", "id").orderBy("time", "pos")
+    turns = rows.select("path", "id", "title", "pos", F.col("e.value.message.author.role").alias("role"), body.alias("text"), F.coalesce("e.value.message.create_time", F.lit(0.0)).alias("time"), "talk").where(x.strip(F.col("text")) != "")
+    w = Window.partitionBy("path", "talk").orderBy("time", "pos")
     return turns.withColumn("index", F.row_number().over(w) - 1).drop("pos")
 
 
 def parse_export(whole: DataFrame) -> DataFrame:
     turns = export_turns(whole)
-    w = Window.partitionBy("path", "id").orderBy("index")
+    w = Window.partitionBy("path", "talk").orderBy("index")
     turns = turns.withColumn("n", F.lead("role").over(w)).withColumn("ai_response", F.lead("text").over(w))
     return turns.where("role = 'user' and n = 'assistant'").select("path", F.col("id").alias("conversation_id"), "title", "index", F.col("text").alias("user_input"), "ai_response")
 
 
-def parse_notes(whole: DataFrame) -> DataFrame:
-    """Markdown with front matter: keys of plain lines, quotes taken off; tags cut at commas; the stem as title."""
+def parse_notes(whole: DataFrame, vaults: Sequence[str] = ()) -> DataFrame:
+    """Markdown with front matter: keys of plain lines, quotes taken off; tags cut at commas; the stem as title; the vault
+    is the first of the given names that the path contains."""
     parts = F.split("value", "---", 3)
     has = F.col("value").startswith("---") & (F.size(parts) == 3)
     keyed = F.filter(F.split(F.try_element_at(parts, F.lit(2)), "\n"), lambda line: line.contains(":") & ~F.ltrim(line).startswith("-"))
@@ -117,7 +167,8 @@ def parse_notes(whole: DataFrame) -> DataFrame:
     get = lambda k: F.coalesce(F.try_element_at("m", F.lit(k)), F.lit(""))
     stem = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
     tags = F.filter(F.transform(F.split(get("tags"), ","), x.strip), lambda t: t != "")
-    return rows.select("path", x.first_filled(get("title"), stem).alias("title"), tags.alias("tags"), get("status").alias("status"), get("created").alias("created"), F.try_element_at(F.split("path", "/"), F.lit(-2)).alias("directory"), "body").where(F.length("body") >= x.MIN_RESPONSE_CHARS)
+    vault = reduce(lambda rest, v: F.when(F.col("path").contains(v), v).otherwise(rest), reversed(vaults), F.lit("unknown"))
+    return rows.select("path", x.first_filled(get("title"), stem).alias("title"), tags.alias("tags"), get("status").alias("status"), get("type").alias("type"), get("created").alias("created"), get("updated").alias("updated"), vault.alias("vault"), F.try_element_at(F.split("path", "/"), F.lit(-2)).alias("directory"), "body").where(F.length("body") >= x.MIN_RESPONSE_CHARS)
 
 
 def with_format(whole: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -24,6 +24,11 @@ def _turns(rows: DataFrame) -> DataFrame:
     return rows.select("path", F.col("index").cast("long").alias("index"), "role", "content", *extra)
 
 
+def reader_role(kind: Column) -> Column:
+    """Whoever is not the user is the assistant."""
+    return F.when(kind == "user", "user").otherwise("assistant")
+
+
 def from_pairs(pairs: DataFrame, order: str) -> DataFrame:
     """Two turns a pair, numbered through each file; pairs with a blank side do not count."""
     filled = pairs.where((x.strip(F.col("user_input")) != "") & (x.strip(F.col("ai_response")) != ""))
@@ -44,7 +49,7 @@ def message_turns(whole: DataFrame) -> DataFrame:
     said = F.array_join(F.transform("m.thoughts", lambda t: F.coalesce(t["description"], t["subject"], F.lit(""))), " | ")
     body = F.coalesce("m.content", F.lit(""))
     thinking = F.when(F.coalesce(said, F.lit("")) != "", F.concat(F.lit("\n[Thinking: "), said, F.lit("]"))).otherwise("")
-    role = F.when(F.coalesce("m.type", "m.role") == "user", "user").otherwise("assistant")
+    role = reader_role(F.coalesce("m.type", "m.role"))
     return _turns(rows.select("path", "conversation_id", "index", role.alias("role"), F.concat(body, thinking).alias("content")))
 
 
@@ -88,9 +93,9 @@ def parse_roles(whole: DataFrame, asks: Sequence[str] = ("human", "user"), answe
     return rows.where("user_input <> '' and ai_response <> ''")
 
 
-def note_pairs(whole: DataFrame) -> DataFrame:
+def note_pairs(whole: DataFrame, vaults: Sequence[str] = ()) -> DataFrame:
     """A note as a pair: its title asks, its body answers."""
-    return chats.parse_notes(whole).withColumnsRenamed({"body": "ai_response"}).withColumn("user_input", F.col("title"))
+    return chats.parse_notes(whole, vaults).withColumnsRenamed({"body": "ai_response"}).withColumn("user_input", F.col("title"))
 
 
 PAIRS: dict[str, tuple[Callable[[DataFrame], DataFrame], str | None]] = {
@@ -102,15 +107,16 @@ PAIRS: dict[str, tuple[Callable[[DataFrame], DataFrame], str | None]] = {
 }
 #: Formats whose answers have a least length, and whose answers are embedded whole.
 _SHORT_ALLOWED, _WHOLE_ANSWER = {"openai_json"}, {"openai_json"}
-_PAYLOAD = ("conversation_id", "session_id", "title", "thinking", "timestamp", "status", "created", "directory")
+_PAYLOAD = ("conversation_id", "session_id", "title", "thinking", "timestamp", "status", "type", "created", "updated", "vault", "directory")
 
 
-def points(whole: DataFrame, format_: str, name: str = "Assistant", embedder: Embedder | None = None, eras: Sequence[str] = (), default_era: str = "unknown") -> DataFrame:
+def points(whole: DataFrame, format_: str, name: str = "Assistant", embedder: Embedder | None = None, eras: Sequence[str] = (), default_era: str = "unknown", era: str | None = None, vaults: Sequence[str] = (), questions_alone: bool = False) -> DataFrame:
     """Files of one format as points: id, embedding, the text embedded, and one payload for all formats (null where a
-    format lacks a field). batch is the order within a file, for the store's upsert."""
+    format lacks a field). batch is the order within a file, for the store's upsert. An era that is given counts before the
+    path; questions_alone embeds the question of a pair and not its answer, and sets no least length."""
     parse, order = PAIRS[format_]
-    rows = parse(whole)
-    if format_ not in _SHORT_ALLOWED:
+    rows = parse(whole) if format_ != "markdown" else note_pairs(whole, vaults)
+    if format_ not in _SHORT_ALLOWED and not questions_alone:
         rows = rows.where(F.length("ai_response") >= x.MIN_RESPONSE_CHARS)
     have = set(rows.columns)
     payload = [(F.col(c) if c in have else F.lit(None)).cast("string").alias(c) for c in _PAYLOAD]
@@ -121,9 +127,11 @@ def points(whole: DataFrame, format_: str, name: str = "Assistant", embedder: Em
     else:
         text = x.embed_text(user, answer, name, F.col("thinking") if "thinking" in have else None, None if format_ in _WHOLE_ANSWER else x.RESPONSE_CHARS)
         id_ = x.memory_id(F.col("path"), F.col("conversation_id") if "conversation_id" in have else F.lit(""), user, answer)
+    if questions_alone:
+        text = user
     tags = (F.col("tags") if "tags" in have else F.lit(None)).cast("array<string>").alias("tags")
     batch = (F.col(order) if order else F.lit(0)).cast("long").alias("batch")
-    rows = rows.select(id_.alias("id"), batch, user, answer, F.col("path").alias("source_file"), *payload, tags, x.infer_label(F.col("path"), eras, default_era).alias("era"), text.alias("full_text"))
+    rows = rows.select(id_.alias("id"), batch, user, answer, F.col("path").alias("source_file"), *payload, tags, x.configured_label(era, F.col("path"), eras, default_era).alias("era"), text.alias("full_text"))
     return rows.withColumn("embedding", (embedder or hashed_embedder())(F.col("full_text")))
 
 
@@ -150,16 +158,16 @@ def settings(whole: DataFrame, *keys: str) -> DataFrame:
 
 def locate(spark: SparkSession, path: str, roots: Sequence[str] = ()) -> str | None:
     """The path itself if it is there, or else the first file of its name under the roots, in their order."""
-    from turnstone.sources.store import exists
+    from turnstone.sources.store import exists, literal
 
     if exists(spark, path):
         return path
     name = path.rsplit("/", 1)[-1]
     for root in roots:
         if name and exists(spark, root):
-            listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(root)
+            listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", literal(name)).load(literal(root))
             if found := listed.agg(F.min("path")).first()[0]:  # only names are read
-                return found
+                return found.removeprefix("file://").removeprefix("file:")
     return None
 
 

@@ -1,14 +1,24 @@
-"""Collections as Parquet, a folder for each persona: create, upsert by id, read, export."""
+"""Collections as Parquet: create, upsert by id, read, delete, compact, export.
+
+A collection is a folder of segments and numbered manifests. Each upsert writes one segment, of the new rows alone, and
+then a manifest that lists all segments in order; the highest manifest counts, and it appears by one rename, so a crash at
+any point leaves the collection as it was, and readers see all of an upsert or nothing. A row of a later segment replaces
+that of the same id in earlier ones. After SEGMENTS upserts they are merged into one. One writer a collection: a second one
+that makes the same manifest fails and may try again."""
 
 from __future__ import annotations
 
+import json
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from turnstone.operators.ops import latest
 
+SEGMENTS = 8
+
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -21,30 +31,101 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def literal(path: str) -> str:
+    """For readers that take patterns: this very path."""
+    return "".join("\\" + c if c in "{}[]*?\\" else c for c in path)
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    p, fs = _fs(spark, folder)
+    return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def _folder(table: str, persona: str) -> str:
+    return f"{table}/{persona}"
+
+
+def _manifest(spark: SparkSession, folder: str) -> tuple[int, dict]:
+    found = [n for n in names(spark, folder) if n.startswith("manifest-")]
+    if not found:
+        return 0, {"segments": [], "id": "id"}
+    text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils
+    p, fs = _fs(spark, f"{folder}/{found[-1]}")
+    stream = fs.open(p)
+    try:
+        return int(found[-1].removeprefix("manifest-")), json.loads(text.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def _publish(spark: SparkSession, folder: str, number: int, content: dict) -> None:
+    beside, fs = _fs(spark, f"{folder}/_writing-{uuid.uuid4().hex}")
+    stream = fs.create(beside, False)
+    stream.write(json.dumps(content).encode())
+    stream.close()
+    at = _fs(spark, f"{folder}/manifest-{number:012d}")[0]
+    if fs.exists(at) or not fs.rename(beside, at):
+        fs.delete(beside, False)
+        raise RuntimeError(f"another writer changed {folder}: nothing of this upsert counts, try again")
+
+
+def _read(spark: SparkSession, folder: str, manifest: dict) -> DataFrame:
+    """Each segment without the ids of the later ones."""
+    parts, later = [], None
+    for segment in reversed(manifest["segments"]):
+        rows = spark.read.parquet(f"{folder}/{segment}")
+        parts.append(rows if later is None else rows.join(later, manifest["id"], "left_anti"))
+        own = rows.select(manifest["id"])
+        later = own if later is None else later.unionByName(own)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def create(spark: SparkSession, table: str, persona: str, schema: str, id_: str = "id") -> None:
+    """An empty collection, if there is none."""
+    if not exists(spark, _folder(table, persona)):
+        upsert(table, spark.createDataFrame([], schema + ", batch int"), persona, id_)
+
+
 def upsert(table: str, rows: DataFrame, persona: str, id_: str = "id") -> int:
     """Writes rows into a persona's collection: the same id is replaced, nothing else goes; rows come with a batch order
-    column `batch`, the last of an id wins. Returns the rows seen before ids were made unique. The collection is rewritten
-    beside itself and swapped in, so readers see the old or the new one, and only that collection is read."""
+    column `batch`, the last of an id wins. Returns the rows seen before ids were made unique. rows runs once."""
     spark = rows.sparkSession
-    folder = f"{table}/persona={persona}"
-    seen = rows.count()
-    new = latest(rows, id_, "batch")
-    if exists(spark, folder):
-        old = spark.read.parquet(folder)
-        new = old.join(new.select(id_), id_, "left_anti").unionByName(new, allowMissingColumns=True)
-    beside = f"{table}/_writing-{uuid.uuid4().hex}"
-    new.write.parquet(beside)
-    at, fs = _fs(spark, folder)
-    if fs.exists(at):
-        fs.delete(at, True)
-    fs.mkdirs(at.getParent())
-    fs.rename(_fs(spark, beside)[0], at)
-    return seen
+    folder = _folder(table, persona)
+    number, manifest = _manifest(spark, folder)
+    seen = Observation()
+    segment = f"segment-{uuid.uuid4().hex}"
+    latest(rows.observe(seen, F.count(F.lit(1)).alias("n")), id_, "batch").write.parquet(f"{folder}/{segment}")
+    new = {"segments": [*manifest["segments"], segment], "id": id_}
+    if len(new["segments"]) > SEGMENTS:
+        merged = f"segment-{uuid.uuid4().hex}"
+        _read(spark, folder, new).write.parquet(f"{folder}/{merged}")
+        new["segments"] = [merged]
+    _publish(spark, folder, number + 1, new)
+    return seen.get["n"]
+
+
+def vacuum(spark: SparkSession, table: str, persona: str) -> int:
+    """Deletes what the last manifest does not list, and returns how many folders and files went; readers that began
+    before it was published must be done."""
+    folder = _folder(table, persona)
+    number, manifest = _manifest(spark, folder)
+    keep = {*manifest["segments"], f"manifest-{number:012d}"}
+    gone = [n for n in names(spark, folder) if n not in keep]
+    for n in gone:
+        p, fs = _fs(spark, f"{folder}/{n}")
+        fs.delete(p, True)
+    return len(gone)
+
+
+def personas(spark: SparkSession, table: str) -> list[str]:
+    return [n for n in names(spark, table) if _manifest(spark, _folder(table, n))[0]]
 
 
 def collection(spark: SparkSession, table: str, persona: str | None = None) -> DataFrame:
-    df = spark.read.parquet(table)
-    return df if persona is None else df.where(F.col("persona") == persona)
+    """All rows of a persona, or of all, with the persona's name."""
+    some = [persona] if persona is not None else personas(spark, table)
+    parts = [_read(spark, _folder(table, p), _manifest(spark, _folder(table, p))[1]).withColumn("persona", F.lit(p)) for p in some]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def export_jsonl(rows: DataFrame, path: str, most: int = 0) -> None:
