@@ -16,8 +16,8 @@ kernel with the landmarks (telling words, apart from each other, common clean wo
 cost most) times the inverse root of their Gram matrix; the machine has a squared hinge loss and is solved by Newton
 steps; its bound is the lowest with about the fewest errors, and a logistic curve makes its value a score.
 
-Scoring looks at every distinct word of a batch once: its subsequences that some landmark has, times the landmarks' table,
-give its kernel with all of them.
+Scoring looks at every distinct word of a task once. A bound from two sums over its subsequences tells whether its value can
+be over the floor; if so, its subsequences that some landmark has, times the landmarks' table, give its kernel with all.
 
 Bounds: MAX_TOXIC and MAX_CLEAN documents of at most MAX_CHARS characters train the machine; everything is scored whole.
 Rows whose crc32(doc_id as text) mod 5 is 0 never train. labels, lang, source and doc_id are no input of a score.
@@ -32,6 +32,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +45,10 @@ from .common import binary, pieces
 
 MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1500, 2000, 6000
 DECAY, SPAN, POWER = 1.0, 6, 2
-#: Words that are looked at together.
-WORDS = 4000
+#: Distinct words whose values a task keeps.
+MOST_KNOWN = 1_000_000
+#: Words that are looked at together, and the score under which texts are not told apart.
+WORDS, FLOOR = 1000, 0.05
 LANDMARKS, COMMON, HARD = 64, 16, 64
 ROUNDS, COST = 4, 8.0
 #: Standard errors by which a word must be commoner in sentences of toxic documents to be telling.
@@ -156,19 +159,28 @@ def _take(letters: np.ndarray, first: np.ndarray, which: np.ndarray) -> tuple[np
 
 def kernel(letters: np.ndarray, first: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Normalised kernel of words with the columns of table (normed feature vectors), to the power POWER."""
-    n, out = len(first) - 1, np.zeros((len(first) - 1, table.shape[1]), np.float32)
+    out = np.zeros((len(first) - 1, table.shape[1]), np.float32)
+    for at, part in kernels(letters, first, table):
+        out[at : at + len(part)] = part
+    return out
+
+
+def kernels(letters: np.ndarray, first: np.ndarray, table: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The same, WORDS words at a time."""
+    n = len(first) - 1
     place = np.cumsum(table.any(1)) * table.any(1)
     rows = np.concatenate((np.zeros((1, table.shape[1]), np.float32), table[place > 0]))
     for at in range(0, n, WORDS):
         which = np.arange(at, min(n, at + WORDS))
+        out = np.zeros((len(which), table.shape[1]), np.float32)
         word, code, weight = _entries(*_take(letters, first, which))
         norm = np.sqrt(np.bincount(word, weight**2, len(which)))
         held = np.flatnonzero(place[code])  # subsequences that no column has add nothing
         word, code, weight = word[held], place[code[held]], weight[held]
         begin = np.flatnonzero(np.diff(word, prepend=-1))
         if len(word):
-            out[at + word[begin]] = np.add.reduceat(weight[:, None].astype(np.float32) * rows[code], begin) / norm[word[begin], None]
-    return out**POWER
+            out[word[begin]] = np.add.reduceat(weight[:, None].astype(np.float32) * rows[code], begin) / norm[word[begin], None]
+        yield at, out**POWER
 
 
 def features(letters: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -180,36 +192,97 @@ def features(letters: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+class Known:
+    """Values of words by hash, at most MOST_KNOWN: beyond that it starts anew."""
+
+    def __init__(self) -> None:
+        self.hashes, self.values = np.zeros(0, np.uint64), np.zeros(0)
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.zeros(len(hashes), bool)
+        return self.hashes[np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)] == hashes
+
+    def add(self, hashes: np.ndarray, values: np.ndarray) -> None:
+        hashes, values = np.concatenate((self.hashes, hashes)), np.concatenate((self.values, values))
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.values = hashes[order], values[order]
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        out = self.values[np.searchsorted(self.hashes, hashes)]
+        if len(self.hashes) > MOST_KNOWN:
+            self.hashes, self.values = np.zeros(0, np.uint64), np.zeros(0)
+        return out
+
+
 @dataclass
 class Model:
-    """Value of a word: its kernel with the landmarks (columns of table), weighed, plus bias. Score of a text whose worst
-    word has value m: 1 / (1 + exp(-(slope * m + shift))), where m is at least floor."""
+    """Value of a word: its kernel with the landmarks (columns of table, of which codes are the rows that hold anything, and
+    entries what they hold), weighed, plus bias. Score of a text whose worst word has value m:
+    1 / (1 + exp(-(slope * m + shift))), where m is at least floor."""
 
-    table: np.ndarray
+    codes: np.ndarray
+    entries: np.ndarray
     weights: np.ndarray
     bias: float
     slope: float
     shift: float
     floor: float
 
-    def worst(self, units: Units, rows: int) -> np.ndarray:
-        """The largest value over each row's words, at least floor; every distinct word is looked at once."""
+    @cached_property
+    def table(self) -> np.ndarray:
+        out = np.zeros((_CODES, len(self.weights)), np.float32)
+        out[self.codes] = self.entries
+        return out
+
+    def worst(self, units: Units, rows: int, known: Known | None = None) -> np.ndarray:
+        """The largest value over each row's words, at least floor; every distinct word is looked at once, and not again if
+        it is known."""
         out = np.full(rows, self.floor)
         if not len(units.row) or not len(self.weights):
             return out
+        known = Known() if known is None else known
         hashes = scan.Hashes(units.letters.astype(np.uint8)).of(units.first[:-1], units.first[1:])
-        _, at, word = np.unique(hashes, return_index=True, return_inverse=True)
-        np.maximum.at(out, units.row, self.values(*_take(units.letters, units.first, at))[word])
+        distinct, at, word = np.unique(hashes, return_index=True, return_inverse=True)
+        new = np.flatnonzero(~known.holds(distinct))
+        if len(new):
+            known.add(distinct[new], self.least(*_take(units.letters, units.first, at[new])))
+        np.maximum.at(out, units.row, known.of(distinct)[word])
+        return out
+
+    def least(self, letters: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Values of words, those that cannot be over the floor at the floor. No kernel is more than the sum over a word's
+        subsequences of the largest entry that a landmark of positive weight has, over the word's norm, and the weighed sum
+        of powers of kernels no more than the largest kernel times that of powers one less, without negative weights; a
+        norm is no less than that of a word without repeats of a subsequence."""
+        own = self.weights > 0
+        most = self.table[:, own].max(1, initial=0).astype(np.float32)
+        fold = (self.table[:, own] @ self.weights[own].astype(np.float32)).astype(np.float32)
+        n = len(letters)
+        tops, sums, norms = np.zeros(n, np.float32), np.zeros(n, np.float32), np.zeros(n, np.float32)
+        for spots, code, weight in subsequences(letters, first):
+            tops[spots] += most[code] * np.float32(weight)
+            sums[spots] += fold[code] * np.float32(weight)
+            norms[spots] += np.float32(weight**2)
+        tops, sums, norms = (np.add.reduceat(x, first[:-1]) for x in (tops, sums, norms))
+        norms = np.sqrt(np.maximum(norms, np.float32(1e-9)))
+        bound = np.minimum(tops / norms, 1) ** (POWER - 1) * sums / norms + self.bias + 1e-3
+        out = np.full(len(first) - 1, self.floor)
+        look = np.flatnonzero(bound > self.floor)
+        out[look] = np.maximum(self.values(*_take(letters, first, look)), self.floor)
         return out
 
     def values(self, letters: np.ndarray, first: np.ndarray) -> np.ndarray:
-        return kernel(letters, first, self.table) @ self.weights.astype(np.float32) + np.float32(self.bias)
+        weights, out = self.weights.astype(np.float32), np.zeros(len(first) - 1, np.float32)
+        for at, part in kernels(letters, first, self.table):
+            out[at : at + len(part)] = part @ weights
+        return out + np.float32(self.bias)
 
     def score(self, worst: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * worst + self.shift, -60, 60)))
 
 
-NEVER = Model(np.zeros((_CODES, 0), np.float32), np.zeros(0), 0.0, 0.0, -np.inf, 0.0)
+NEVER = Model(np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros(0), 0.0, 0.0, -np.inf, 0.0)
 
 
 def _newton(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
@@ -221,9 +294,14 @@ def _newton(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
 
     now = loss(w)
     for _ in range(60):
-        near = y * (x @ w.astype(x.dtype)) < 1
-        a, c = x[near].astype(float), cost[near]
-        step = np.linalg.solve((a.T * c) @ a + np.diag(ridge), ridge * w - (a.T * c) @ (y[near] - a @ w))
+        near = np.flatnonzero(y * (x @ w.astype(x.dtype)) < 1)
+        square, slope = np.diag(ridge), ridge * w
+        for at in range(0, len(near), 8192):
+            some = near[at : at + 8192]
+            a = x[some].astype(float)
+            ac = a.T * cost[some]
+            square, slope = square + ac @ a, slope - ac @ (y[some] - a @ w)
+        step = np.linalg.solve(square, slope)
         scale = 1.0
         while (then := loss(w - scale * step)) > now and scale > 1e-4:
             scale /= 2
@@ -333,13 +411,17 @@ def train(texts: list[bytes], toxic: np.ndarray) -> Model:
         table = features(*_take(letters, first, np.array(marks)))
         value, vector = np.linalg.eigh((table.T @ table).astype(float) ** POWER)
         root = vector / np.sqrt(np.maximum(value, 1e-3)) @ vector.T
-        alike = kernel(letters, first, table)
+        x, alike = np.zeros((len(at), len(marks)), np.float32), np.zeros((len(at), len(positive)), np.float32)
+        for begin, part in kernels(letters, first, table):
+            x[begin : begin + len(part)] = part @ root.astype(np.float32)
+            alike[begin : begin + len(part)] = part[:, : len(positive)]
         # clean words like no telling one hardly move the machine; some of them hold the bias
-        clean = np.flatnonzero((in_clean > 0) & ((alike[:, : len(positive)].max(1) > LIKE) | spread))
-        x, alike_ = alike @ root.astype(np.float32), alike
-        del alike
+        clean = np.flatnonzero((in_clean > 0) & ((alike.max(1) > LIKE) | spread))
         # a telling word with a letter inserted counts as one unless clean documents hold words as near to it
-        near_clean = np.sort(np.where(in_clean[:, None] > 0, alike_[:, : len(positive)], 0), 0)[-1 - int(NEAR * (in_clean > 0).sum())]
+        alike[in_clean == 0] = 0
+        alike.partition(len(at) - 1 - int(NEAR * (in_clean > 0).sum()), 0)
+        near_clean = alike[len(at) - 1 - int(NEAR * (in_clean > 0).sum())].copy()
+        del alike
         spoilt, owner = kernel(*inserted[:2], table), inserted[2]
         spoilt = spoilt[spoilt[np.arange(len(owner)), owner] > near_clean[owner]] @ root.astype(np.float32)
         v = np.where(known[words], np.maximum(value_of[words], 1e-3), value_of[words])
@@ -363,7 +445,8 @@ def train(texts: list[bytes], toxic: np.ndarray) -> Model:
     wrong = np.array([(worst[toxic] < t).mean() + FALSE * (worst[~toxic] >= t).mean() for t in bounds])
     bound = float(bounds[np.flatnonzero(wrong <= wrong.min() + 0.002)[0]])
     slope = _logistic(worst - bound, toxic)
-    return Model(table, root @ w[:-1], float(w[-1]), slope, -slope * bound, float(max(np.log(1e-3) / slope + bound, w[-1])))
+    codes = np.flatnonzero(table.any(1))
+    return Model(codes, table[codes], root @ w[:-1], float(w[-1]), slope, -slope * bound, float(max(np.log(FLOOR) / slope + bound, w[-1])))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -403,11 +486,12 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     text = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known()
         for batch in batches:
             column = binary(batch, "text")
             found = [np.zeros(0)]
             for at, to in pieces(column, PIECE):
-                found.append(model.score(model.worst(readings(*scan.view(column, at, to)), to - at)))
+                found.append(model.score(model.worst(readings(*scan.view(column, at, to)), to - at, known)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found))], [*columns, name])
 
     assert text >= 0 and name not in columns
