@@ -136,7 +136,8 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """Connected components of edges (a, b), any comparable type: rows (v, component), one for each vertex, where
     component is the smallest vertex. Loops (a = b) make a vertex.
 
-    Contraction: in each round every vertex joins the neighbour of least random priority, edges are rewritten to the
+    Contraction: in each round every vertex joins the neighbour of least priority, which is random but for the first round,
+    where the vertex itself is it, so stars around a least vertex contract at once; edges are rewritten to the
     joined vertices and made distinct, so they shrink by a constant factor; the joins are then undone from the last
     round to the first. Minima are pre-aggregated, a hot vertex is a skewed join that AQE splits, and every round is
     staged, so no lineage grows and nothing of the graph reaches the driver but one flag a round."""
@@ -149,8 +150,9 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         if live.isEmpty():
             break
         both = live.select("a", "b").unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = both.groupBy("a").agg(F.min(F.struct(F.xxhash64(F.lit(salt), "b").alias("h"), F.col("b").alias("b"))).alias("m"))
-        own = F.struct(F.xxhash64(F.lit(salt), "a").alias("h"), F.col("a").alias("b"))
+        priority = lambda c: F.struct((F.xxhash64(F.lit(salt), c) if salt else F.lit(0).cast("long")).alias("h"), F.col(c).alias("b"))  # noqa: B023, E731
+        near = both.groupBy("a").agg(F.min(priority("b")).alias("m"))
+        own = priority("a")
         join = stage(near.select(F.col("a").alias("v"), F.least(own, "m")["b"].alias("to")))
         joins.append(join)
         left, right = (join.select(F.col("v").alias(c), F.col("to").alias(f"to_{c}")) for c in ("a", "b"))

@@ -14,11 +14,11 @@ Method, a count-vector R-tree:
 3. Connected components of classes and keys (stars, not pairs; keys that repeat within a batch are joined there, so a hot
    key hardly shuffles) in a level are its trees. Each becomes one R-tree; a large one is dealt at random into leaves of
    bounded size, of which each also gets the tree's few pivots, so what is connected becomes so through them.
-4. What a large tree may still hold are links between different components, and such a pair shares a key. Only keys of
-   more than one component go on: of each, the classes of its largest component (the one side) are compared with all
-   others, and the others among themselves, in leaves of bounded size; never one component's classes with each other. So
-   a group of near copies, however large, is dealt once or twice, and a tree that keys alone hold together costs its
-   keys, not its square.
+4. What a large tree may still hold are links between different components, and such a pair shares a key. So the tree as
+   one block, or each of its keys of more than one component as a block, whichever moves fewer sets, is dealt again: the
+   classes of a block's largest component are compared with all others, and the others among themselves, in leaves of
+   bounded size; never one component's classes with each other. A group of near copies, however large, is thus dealt
+   twice, and a tree that keys alone hold together costs its keys, not its square.
 5. In a leaf the points are vectors of shingle counts by group. For a query, the sum of coordinate minima with a node's
    upper corner bounds the overlap with all points below it, then the sum with each point the overlap with that point.
    Pairs that pass and are not yet connected are verified on the sets; only links that connect go out.
@@ -38,6 +38,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import textscan as scan
 from .common import binary, components, lookup, only, pieces, slots, stage, unstage
@@ -45,7 +46,7 @@ from .common import binary, components, lookup, only, pieces, slots, stage, unst
 #: Bytes of text a worker expands at a time.
 PIECE = 1 << 20
 #: Documents and shingles in a leaf, and about how many pivots a tree of several leaves has.
-LEAF_DOCS, LEAF_SHINGLES, PIVOTS = 1024, 1_000_000, 64
+LEAF_DOCS, LEAF_SHINGLES, PIVOTS = 2048, 2_000_000, 64
 #: The sample that tells frequent shingles: documents and their characters, documents that make one frequent, and how many.
 SAMPLE, SAMPLE_CHARS, MANY, MOST = 12_000, 20_000, 3, 500_000
 #: Coordinates of a point, and points in a node.
@@ -174,7 +175,7 @@ def vertices(k1: np.ndarray, level: np.ndarray) -> np.ndarray:
 
 def _keys(k: int, num: int, den: int, frequent: np.ndarray) -> Callable[[Batches], Batches]:
     """A row for each vertex and key, dealt by key. Where a batch holds a key more than once, only its least vertex is; all
-    of them also go out with the key and that vertex, dealt by vertex."""
+    of them also go out with the key and that vertex, dealt at random."""
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
@@ -186,6 +187,8 @@ def _keys(k: int, num: int, den: int, frequent: np.ndarray) -> Callable[[Batches
             order = np.lexsort((v, key))
             key, v = key[order], v[order]
             new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (v[1:] != v[:-1])  # copies of a text
+            key, v, new = key[new], v[new], np.ones(int(new.sum()), bool)
             new[1:] = key[1:] != key[:-1]
             first = np.flatnonzero(new)
             many = np.diff(np.append(first, len(key)))
@@ -194,7 +197,8 @@ def _keys(k: int, num: int, den: int, frequent: np.ndarray) -> Callable[[Batches
             # vertices together, which compresses best
             alone = first[np.argsort(v[first], kind="stable")]
             yield pa.RecordBatch.from_arrays([pa.array(v[alone]), pa.array(key[alone]), pa.nulls(len(alone), pa.int64()), pa.nulls(len(alone), pa.int64())], ["v", "deal", "key", "lo"])
-            yield pa.RecordBatch.from_arrays([pa.array(v[crowd]), pa.array(v[crowd]), pa.array(key[crowd]), pa.array(lo)], ["v", "deal", "key", "lo"])
+            deal = scan.mix(v[crowd].view(_U) ^ scan.mix(key[crowd].view(_U))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(v[crowd]), pa.array(deal), pa.array(key[crowd]), pa.array(lo)], ["v", "deal", "key", "lo"])
 
     return run
 
@@ -310,6 +314,25 @@ def _leaves(docs, shingles, leaf_docs: int, leaf_shingles: int):
     return F.greatest(F.ceil(docs / leaf_docs), F.ceil(shingles / leaf_shingles), F.lit(1)).cast("int")
 
 
+def _sides(rows: DataFrame, block: str, leaf_docs: int, leaf_shingles: int) -> DataFrame:
+    """For each block of rows (label, n) with more than one component: members m, the largest component top, its leaves p,
+    the leaves of all others q, and how many sets move if the others meet it and each other."""
+    each = rows.groupBy(block, "label").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+    both = each.groupBy(block).agg(F.max(F.struct("m", "label", "s")).alias("top"), F.sum("m").alias("m"), F.sum("s").alias("s"), F.count("*").alias("labels"))
+    p = _leaves(F.col("top.m"), F.col("top.s"), leaf_docs, leaf_shingles)
+    q = _leaves(F.col("m") - F.col("top.m"), F.col("s") - F.col("top.s"), leaf_docs, leaf_shingles)
+    sides = both.select(block, "m", "labels", F.col("top.label").alias("top"), F.col("top.m").alias("one"), p.alias("p"), q.alias("q"))
+    return sides.withColumn("sets", F.when(F.col("labels") > 1, F.col("one") * F.col("q") + (F.col("m") - F.col("one")) * (F.col("p") + F.col("q"))).otherwise(0)).drop("one")
+
+
+def _places(rows: DataFrame, sides: DataFrame, block: str) -> DataFrame:
+    """Where the classes of blocks with more than one component go: the largest component's meet all others."""
+    mixed = lookup(rows, sides, [block], "m").where("labels > 1")
+    one, spot = F.col("label") == F.col("top"), F.xxhash64("k1")
+    own = F.when(one, F.pmod(spot, "p")).otherwise(F.col("p") + F.pmod(spot, "q")).cast("int")
+    return mixed.select("k1", "k2", "rep", F.col(block).alias("block"), F.when(one, F.col("p")).otherwise(0).alias("first"), (F.col("p") + F.col("q") - 1).alias("last"), own.alias("own"), "label")
+
+
 def jaccard_components(docs: DataFrame, k: int, num: int, den: int, leaf_docs: int = LEAF_DOCS, leaf_shingles: int = LEAF_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text): component_id is the smallest doc_id that
     links of a similarity of at least num/den reach."""
@@ -321,8 +344,9 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, leaf_docs: i
     frames = [found]
 
     rows = docs.where("doc_id is not null").mapInArrow(_keys(k, num, den, frequent_shingles(docs, k)), _KEYS).repartition(parts, "deal")
-    blocks = rows.groupBy("deal").agg(F.min("v").alias("first"), F.max("v").alias("last")).where("first < last").select("deal", "first")
-    shared = rows.join(blocks, "deal", "left").where("first is not null or lo is not null")
+    # a batch sends a key once, so no key's rows are many; one exchange serves both their bounds and themselves
+    own = Window.partitionBy("deal")
+    shared = rows.select("*", F.min("v").over(own).alias("first"), F.max("v").over(own).alias("last")).where("first < last or lo is not null")
     shared = stage(shared.select("v", F.coalesce("key", "deal").alias("key"), F.coalesce("lo", "first").alias("lo")))
     trees = components(shared.where("v <> lo").select(F.col("lo").alias("a"), F.col("v").alias("b")))
     frames += [shared, trees]
@@ -341,19 +365,18 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, leaf_docs: i
     large = sizes.where("leaves > 1")
     if not large.isEmpty():
         edges = joined.select(F.col("v").alias("a"), F.col("component").alias("b"))
-        label = F.coalesce("component", "k1").alias("label")
-        some = members.join(large.select("tree"), "tree", "left_semi").select("v", "k1", "k2", "n", "rep")
-        some = some.join(joined.withColumnRenamed("v", "k1"), "k1", "left").select("v", "k1", "k2", "n", "rep", label)
+        some = members.join(large.select("tree"), "tree", "left_semi").join(joined.withColumnRenamed("v", "k1"), "k1", "left")
+        some = stage(some.select("v", "tree", "k1", "k2", "n", "rep", F.coalesce("component", "k1").alias("label")))
         keyed = stage(shared.select("v", "key").distinct().join(some, "v"))
-        frames.append(keyed)
-        each = keyed.groupBy("key", "label").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
-        # the largest component of each key is the one side
-        sides = each.groupBy("key").agg(F.max(F.struct("m", "label", "s")).alias("top"), F.sum("m").alias("m"), F.sum("s").alias("s"), F.count("*").alias("labels"))
-        sides = sides.select("key", "m", "labels", F.col("top.label").alias("top"), _leaves(F.col("top.m"), F.col("top.s"), leaf_docs, leaf_shingles).alias("p"), _leaves(F.col("m") - F.col("top.m"), F.col("s") - F.col("top.s"), leaf_docs, leaf_shingles).alias("q"))
-        mixed = lookup(keyed, sides, ["key"], "m").where("labels > 1")
-        one, spot = F.col("label") == F.col("top"), F.xxhash64("k1")
-        own = F.when(one, F.pmod(spot, "p")).otherwise(F.col("p") + F.pmod(spot, "q")).cast("int")
-        second = mixed.select("k1", "k2", "rep", F.col("key").alias("block"), F.when(one, F.col("p")).otherwise(0).alias("first"), (F.col("p") + F.col("q") - 1).alias("last"), own.alias("own"), "label")
+        frames += [some, keyed]
+        # a tree is done as one block or key by key, whichever moves fewer sets
+        whole = _sides(some, "tree", leaf_docs, leaf_shingles)
+        cost = keyed.groupBy("tree").agg(F.count("*").alias("rows"))
+        whole = stage(whole.join(cost, "tree").withColumn("whole", F.col("sets") <= F.col("rows")))
+        frames.append(whole)
+        by_key = keyed.join(whole.where("not whole").select("tree"), "tree", "left_semi")
+        second = _places(some, whole.where("whole").drop("rows", "whole", "sets"), "tree")
+        second = second.unionByName(_places(by_key, _sides(by_key, "key", leaf_docs, leaf_shingles).drop("sets"), "key"))
         joined = components(edges.unionByName(_links(docs, second, k, num, den)))
         frames.append(joined)
 
