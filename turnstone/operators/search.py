@@ -98,10 +98,16 @@ def recall_at_k(neighbours: DataFrame, relevant: Column, k: int) -> DataFrame:
     return hits.agg(F.round(F.avg("any"), 4).alias("recall"), F.round(F.avg("share"), 4).alias("precision"))
 
 
-def ndcg(neighbours: DataFrame, gain: Column, k: int) -> DataFrame:
-    rows = neighbours.where(F.col("rank") <= k).select("query_id", (gain.cast("double") / F.log2(F.col("rank") + 1)).alias("dcg"), F.lit(1.0).alias("one"), "rank")
-    by = rows.groupBy("query_id").agg(F.sum("dcg").alias("dcg"), F.sum(F.col("one") / F.log2(F.col("rank") + 1)).alias("ideal"))
-    return by.agg(F.round(F.avg(F.col("dcg") / F.col("ideal")), 4).alias("ndcg"))
+def ndcg(neighbours: DataFrame, gain: Column, k: int, relevant: DataFrame | None = None) -> DataFrame:
+    """Mean over queries of gains discounted by rank over those of the best order: the gains found, sorted, or, where
+    relevant (query_id, total) tells how many points are, gains of one at the first ranks of as many."""
+    rows = neighbours.where(F.col("rank") <= k).select("query_id", gain.cast("double").alias("gain"), "rank")
+    discounted = lambda g, at: g / F.log2(at + 1)
+    by = rows.groupBy("query_id").agg(F.sum(discounted(F.col("gain"), F.col("rank"))).alias("dcg"), F.sort_array(F.collect_list("gain"), False).alias("best"))  # at most k
+    if relevant is not None:
+        by = by.join(relevant, "query_id").withColumn("best", F.array_repeat(F.lit(1.0), F.least(F.col("total"), F.lit(k)).cast("int")))
+    ideal = F.aggregate(F.transform("best", lambda g, i: discounted(g, i + 1)), F.lit(0.0), lambda s, g: s + g)
+    return by.agg(F.round(F.avg(F.when(ideal > 0, F.col("dcg") / ideal).otherwise(0.0)), 4).alias("ndcg"))
 
 
 def hybrid(points: DataFrame, query: Sequence[float], words: Sequence[str], k: int, keyword_weight: float = 0.3, id_: str = "vec_id", vector: str = "embedding", text: str = "text", digits: int = 4) -> DataFrame:

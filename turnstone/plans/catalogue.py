@@ -234,9 +234,14 @@ def recall_at_k(spark, sf):
     return search.recall_at_k(_neighbours(spark, sf), F.col("asked") == F.col("found"), 10)
 
 
-@query(f"SELECT round(avg(d / i), 4) AS ndcg FROM (SELECT sum((asked = found)::INT / log2(rank + 1)) AS d, sum(1 / log2(rank + 1)) AS i FROM ({_RANKED}) GROUP BY query_id)")
+_IDEAL = "(SELECT sum(1 / log2(range + 1)) FROM range(1, 11) WHERE range <= (SELECT count(*) - 1 FROM embeddings l WHERE l.label = asked))"
+
+
+@query(f"SELECT round(avg(CASE WHEN i > 0 THEN d / i ELSE 0 END), 4) AS ndcg FROM (SELECT sum((asked = found)::INT / log2(rank + 1)) AS d, max({_IDEAL}) AS i FROM ({_RANKED}) GROUP BY query_id)")
 def ndcg(spark, sf):
-    return search.ndcg(_neighbours(spark, sf), (F.col("asked") == F.col("found")).cast("int"), 10)
+    e = table(spark, sf, "embeddings")
+    total = e.join(e.groupBy("label").agg((F.count("*") - 1).alias("total")), "label").select(F.col("vec_id").alias("query_id"), "total")
+    return search.ndcg(_neighbours(spark, sf), (F.col("asked") == F.col("found")).cast("int"), 10, total)
 
 
 def _hits(spark, sf):
