@@ -1,6 +1,6 @@
 """Exact dedup in two passes over a Bloom filter, with DataFrame functions alone.
 
-Pass 1 hashes every text, once, and sets PROBES bits for each; a bit that two rows or more set goes into a bitmap (rows
+Pass 1 hashes every text and sets PROBES bits for each; a bit that two rows or more set goes into a bitmap (rows
 of 32768 bits). What shuffles here is each row's places, as numbers, and neither texts nor hashes; a hot text's places
 collapse in the partial counts. A place set by two rows of different partitions is in neither's own bitmap, so bitmaps
 of partitions alone, combined by OR, could not tell such bits. Pass 2 tests every row's bits: a row with a bit that no
@@ -58,10 +58,10 @@ def shared_bits(hashed: DataFrame, sha: str, bits: int) -> DataFrame:
     return twice.select(F.expr("bitmap_bucket_number(place)").alias("row"), F.expr("bitmap_bit_position(place)").alias("bit")).groupBy("row").agg(F.expr("bitmap_construct_agg(bit)").alias("bitmap"))
 
 
-def suspects(hashed: DataFrame, p: str = "x_") -> DataFrame:
-    """hashed (staged, with p + sha) with p + maybe: whether the filter holds all bits of a row."""
-    bits = bits_for(hashed.count())
-    bitmap = stage(shared_bits(hashed, f"{p}sha", bits))
+def suspects(hashed: DataFrame, hashes: DataFrame, p: str = "x_") -> DataFrame:
+    """hashed with p + maybe: whether the filter of hashes (staged, p + sha) holds all bits of a row."""
+    bits = bits_for(hashes.count())
+    bitmap = stage(shared_bits(hashes, f"{p}sha", bits))
     out = hashed.withColumn(f"{p}maybe", F.lit(True))
     for n in range(PROBES):
         row, bit, map_ = f"{p}row", f"{p}bit", f"{p}map"
@@ -80,9 +80,10 @@ def decide(docs: DataFrame, p: str = "x_", texts: bool = True) -> DataFrame:
     column of docs may begin with p."""
     if fresh(docs.columns, p) != p:
         raise ValueError(f"a column begins with {p}")
-    hashed = with_hash(docs, p)
-    # texts are hashed once: both passes and the decision read the staged table, pass 1 the hashes alone
-    found = suspects(stage(hashed if texts else hashed.drop("text")), p)
+    # without texts, both passes and the decision read a staged table; with texts, staging them would cost as much disk as
+    # they take, so pass 1 stages the hashes alone and pass 2 hashes again
+    hashed = with_hash(docs, p) if texts else stage(with_hash(docs, p).drop("text"))
+    found = suspects(hashed, stage(hashed.select(f"{p}sha")) if texts else hashed, p)
     alone = found.where(~F.col(f"{p}maybe")).withColumns({f"{p}keep_id": F.col("doc_id"), f"{p}size": F.lit(1).cast("long"), f"{p}kept": F.lit(True)})
     maybe = stage(found.where(f"{p}maybe").withColumn(f"{p}rid", F.monotonically_increasing_id()))
     best = F.struct((-F.col(f"{p}chars")).alias("c"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col(f"{p}rid").alias("r"))
