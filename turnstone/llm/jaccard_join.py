@@ -49,6 +49,8 @@ PIECE = 1 << 20
 LEAF_DOCS, LEAF_SHINGLES, PIVOTS = 2048, 2_000_000, 64
 #: The sample that tells frequent shingles: documents and their characters, documents that make one frequent, and how many.
 SAMPLE, SAMPLE_CHARS, MANY, MOST = 12_000, 20_000, 3, 500_000
+#: Places (of some 60 bytes) in large trees that are broadcast.
+FEW = 100_000
 #: Coordinates of a point, and points in a node.
 COORDINATES, NODE = 128, 32
 
@@ -173,9 +175,26 @@ def vertices(k1: np.ndarray, level: np.ndarray) -> np.ndarray:
     return scan.mix(k1.view(_U) + scan.mix(level.astype(_U) + _U(0x2545F4914F6CDD1D))).view(np.int64)
 
 
+def _roots(v: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """For each row the least vertex that its own reaches through groups (rows of a group stand together)."""
+    if not len(v):
+        return v
+    vertex, place = np.unique(v, return_inverse=True)
+    starts = np.flatnonzero(np.diff(group, prepend=group[0] - 1))
+    size = np.diff(np.append(starts, len(v)))
+    label = np.arange(len(vertex))
+    while True:
+        least = label.copy()
+        np.minimum.at(least, place, np.repeat(np.minimum.reduceat(label[place], starts), size))
+        least = least[least]
+        if (least == label).all():
+            return vertex[label[place]]
+        label = least
+
+
 def _keys(k: int, num: int, den: int, frequent: np.ndarray) -> Callable[[Batches], Batches]:
     """A row for each vertex and key, dealt by key. Where a batch holds a key more than once, only its least vertex is; all
-    of them also go out with the key and that vertex, dealt at random."""
+    of them also go out with the key and the least vertex that keys of the batch connect them with, dealt at random."""
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
@@ -193,7 +212,7 @@ def _keys(k: int, num: int, den: int, frequent: np.ndarray) -> Callable[[Batches
             first = np.flatnonzero(new)
             many = np.diff(np.append(first, len(key)))
             crowd = np.repeat(many, many) > 1
-            lo = np.repeat(v[first], many)[crowd]
+            lo = _roots(v[crowd], np.cumsum(new)[crowd])
             # vertices together, which compresses best
             alone = first[np.argsort(v[first], kind="stable")]
             yield pa.RecordBatch.from_arrays([pa.array(v[alone]), pa.array(key[alone]), pa.nulls(len(alone), pa.int64()), pa.nulls(len(alone), pa.int64())], ["v", "deal", "key", "lo"])
@@ -229,7 +248,7 @@ def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
     ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     some = docs.where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(ids), "doc_id").select("doc_id", "text").mapInArrow(_sets(k), _SETS)
     often = some.select(F.explode("items").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= MANY)
-    return np.sort(np.array([r.h for r in often.orderBy(F.desc("n"), "h").limit(MOST).collect()], np.int64).view(_U))
+    return np.sort(often.orderBy(F.desc("n"), "h").limit(MOST).select("h").toArrow().column("h").to_numpy().astype(np.int64).view(_U))
 
 
 def tree_links(keys: np.ndarray, sets: list[np.ndarray], side: np.ndarray, label: np.ndarray, num: int, den: int) -> Iterator[tuple[int, int]]:
@@ -298,13 +317,13 @@ def _trees(num: int, den: int) -> Callable[[Batches], Batches]:
     return run
 
 
-def _links(docs: DataFrame, places: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _links(docs: DataFrame, places: DataFrame, k: int, num: int, den: int, few: bool = False) -> DataFrame:
     """Links a, b among places (k1, k2, rep and _PLACE): a class meets those of its block that own what is between its
     first and last."""
     place = [x.split()[0] for x in _PLACE.split(", ")]
     wanted = places.groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list(F.struct("k1", "k2", *place)).alias("wanted"))
     # a fixed share of the corpus is wanted: merged at every size, so the plan of a small input is that of a large one
-    sets = docs.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "wanted").mapInArrow(_wanted(k), _WANTED)
+    sets = docs.join(F.broadcast(wanted) if few else wanted.hint("merge"), "doc_id").select("doc_id", "text", "wanted").mapInArrow(_wanted(k), _WANTED)
     dealt = sets.select("*", F.explode(F.sequence("first", "last")).alias("other"))
     dealt = dealt.select("block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "label", "k1", "items")
     return dealt.repartition(slots(docs.sparkSession), "block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(_trees(num, den), "a long, b long")
@@ -348,7 +367,7 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, leaf_docs: i
     own = Window.partitionBy("deal")
     shared = rows.select("*", F.min("v").over(own).alias("first"), F.max("v").over(own).alias("last")).where("first < last or lo is not null")
     shared = stage(shared.select("v", F.coalesce("key", "deal").alias("key"), F.coalesce("lo", "first").alias("lo")))
-    trees = components(shared.where("v <> lo").select(F.col("lo").alias("a"), F.col("v").alias("b")))
+    trees = components(shared.where("v <> lo").select(F.col("lo").alias("a"), F.col("v").alias("b")).distinct())
     frames += [shared, trees]
 
     places = classes.select("k1", "k2", "n", "rep", F.explode(_both(F.col("k1"), F.col("level"))).alias("v"))
@@ -358,7 +377,8 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, leaf_docs: i
     own = F.pmod(F.xxhash64("k1"), "leaves").cast("int")
     pivot = (F.col("leaves") > 1) & (F.pmod(F.xxhash64(F.lit(1), "k1"), F.col("leaves") * max(1, leaf_docs // PIVOTS)) == 0)
     first = lookup(members, sizes, ["tree"], "members").select("k1", "k2", "rep", F.col("tree").alias("block"), "leaves", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("leaves") - 1)).otherwise(F.array(own))).alias("own"))
-    links = _links(docs, first.select("k1", "k2", "rep", "block", F.col("own").alias("first"), F.col("own").alias("last"), "own", F.col("k1").alias("label")), k, num, den)
+    first = first.select("k1", "k2", "rep", "block", F.col("own").alias("first"), F.col("own").alias("last"), "own", F.col("k1").alias("label"))
+    links = _links(docs, first, k, num, den)
     joined = components(links)
     frames.append(joined)
 
@@ -367,7 +387,7 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, leaf_docs: i
         edges = joined.select(F.col("v").alias("a"), F.col("component").alias("b"))
         some = members.join(large.select("tree"), "tree", "left_semi").join(joined.withColumnRenamed("v", "k1"), "k1", "left")
         some = stage(some.select("v", "tree", "k1", "k2", "n", "rep", F.coalesce("component", "k1").alias("label")))
-        keyed = stage(shared.select("v", "key").distinct().join(some, "v"))
+        keyed = stage(shared.select("v", "key").join(some, "v").distinct())
         frames += [some, keyed]
         # a tree is done as one block or key by key, whichever moves fewer sets
         whole = _sides(some, "tree", leaf_docs, leaf_shingles)
@@ -377,7 +397,10 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, leaf_docs: i
         by_key = keyed.join(whole.where("not whole").select("tree"), "tree", "left_semi")
         second = _places(some, whole.where("whole").drop("rows", "whole", "sets"), "tree")
         second = second.unionByName(_places(by_key, _sides(by_key, "key", leaf_docs, leaf_shingles).drop("sets"), "key"))
-        joined = components(edges.unionByName(_links(docs, second, k, num, den)))
+        second = stage(second)
+        frames.append(second)
+        # up to FEW places are broadcast, so the texts do not shuffle again for them
+        joined = components(edges.unionByName(_links(docs, second, k, num, den, second.count() <= FEW)))
         frames.append(joined)
 
     linked = joined.select(F.col("v").alias("k1"), "component").join(classes.select("k1", "rep"), "k1")
