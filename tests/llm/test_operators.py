@@ -540,7 +540,8 @@ def test_columns_of_any_name_come_back(spark):
 
 def test_filter_is_never_wrong(spark, sf):
     docs = documents(spark, sf)
-    maybe = exact_dedup.suspects(common.stage(exact_dedup.with_hash(docs)))
+    hashed = common.stage(exact_dedup.with_hash(docs))
+    maybe = exact_dedup.suspects(hashed, hashed)
     repeated = maybe.groupBy("x_sha").agg(F.count("*").alias("n"), F.min("x_maybe").alias("all")).where("n > 1")
     assert repeated.count() > 0 and repeated.where("not all").count() == 0
     assert maybe.where("x_maybe").count() < docs.count() / 2
@@ -807,3 +808,28 @@ def test_pipeline(spark, sf):
     rows = pipeline.run(spark, sf).collect()
     check_packing(rows, dict(mixed))
     assert len([r for r in rows if r.piece == 0]) == len(mixed)
+
+
+def test_pipeline_of_odd_tables(spark, odd, none, tmp_path):
+    """Nulls, blank, repeated and very long texts with columns of any names, labels that tell nothing, and no rows."""
+    import corpus_pipeline as pipeline
+
+    for name, docs in (("odd", odd), ("none", none)):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        now = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for _, step in pipeline.STAGES[:-1]:
+            now = common.stage(step(spark, now, f"{tmp_path}/{name}"))
+            assert now.columns == docs.columns
+        rows = pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        kept = {r.doc_id: r.text for r in now.collect()}
+        assert set(kept) == ({None, 6, 7} if name == "odd" else set())
+        check_packing(rows, kept)
+
+
+def test_nothing_staged_is_left(spark, sf):
+    """What a query stages on its way is gone with its result there."""
+    for name in ("op1_source_mixing", "op2_url_filter", "op4_license_scan", "op7_exact_dedup"):
+        before = len(common._staged)
+        entry.queries()[name](spark, sf)
+        assert len(common._staged) == before + 1, name
