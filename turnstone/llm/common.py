@@ -30,11 +30,16 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/checkpoints"
 
 
+def track(spark: SparkSession, path: str) -> None:
+    """From now on settle() and the end of the driver delete the path, as they do what stage() writes."""
+    _staged.append((spark, path))
+
+
 def stage(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Writes df once to the shared folder and reads it back: lineage ends here and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/turnstone-{uuid.uuid4().hex}"
-    _staged.append((spark, path))
+    track(spark, path)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@ whole tables), the line rules and the packing (any numbers are right) are held a
 
 from __future__ import annotations
 
-from . import best_fit_packing, chat_format, code_compression, exact_dedup, jaccard_join, license_scan, quality_rules, source_mixing, suffix_dedup, toxicity, url_filter
+from . import best_fit_packing, chat_format, code_compression, exact_dedup, hard_negatives, jaccard_join, license_scan, quality_rules, source_mixing, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     f.__name__: f
@@ -20,6 +20,7 @@ QUERIES = {
         suffix_dedup.op8_suffix_dedup,
         toxicity.op9_toxicity,
         best_fit_packing.op10_best_fit_packing,
+        hard_negatives.op11_hard_negatives,
         code_compression.op12_vector_codes,
     )
 }
@@ -30,5 +31,6 @@ ORACLE_SQL = {
     "op4_license_scan": license_scan.ORACLE,
     "op6_chat_format": chat_format.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
+    "op11_hard_negatives": hard_negatives.ORACLE,
     "op12_vector_codes": code_compression.ORACLE,
 }
