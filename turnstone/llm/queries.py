@@ -5,7 +5,7 @@ whole tables), the line rules and the packing (any numbers are right) are held a
 
 from __future__ import annotations
 
-from . import best_fit_packing, chat_format, code_compression, exact_dedup, hard_negatives, jaccard_join, license_scan, quality_rules, source_mixing, suffix_dedup, toxicity, url_filter
+from . import best_fit_packing, chat_format, code_compression, embedding_dedup, exact_dedup, hard_negatives, jaccard_join, license_scan, quality_rules, source_mixing, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     f.__name__: f
@@ -22,6 +22,7 @@ QUERIES = {
         best_fit_packing.op10_best_fit_packing,
         hard_negatives.op11_hard_negatives,
         code_compression.op12_vector_codes,
+        embedding_dedup.op13_embedding_dedup,
     )
 }
 
@@ -33,4 +34,5 @@ ORACLE_SQL = {
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op11_hard_negatives": hard_negatives.ORACLE,
     "op12_vector_codes": code_compression.ORACLE,
+    "op13_embedding_dedup": embedding_dedup.ORACLE,
 }
