@@ -56,7 +56,7 @@ def documents(spark, sf):
 def test_sql(spark, sf, name):
     c = duckdb.connect()
     c.execute("SET python_enable_replacements = false")
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     df = entry.queries()[name](spark, sf)
     found = c.execute(entry.oracle_sql()[name])
