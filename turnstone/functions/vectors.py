@@ -16,17 +16,6 @@ DIMENSIONS = 384
 Embedder = Callable[[Column], Column]
 
 
-def dot(a: Column, b: Column) -> Column:
-    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """Folded in array order in double precision; null for a zero vector."""
-    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norms > 0, dot(a, b) / norms)
-
-
 def matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The rows of a list column that have the given width, in double precision, and which rows these are."""
     own = np.asarray(column.value_lengths().fill_null(-1)) == width
@@ -52,9 +41,8 @@ def cosines(query: Sequence[float]) -> Callable[[Column], Column]:
     return score
 
 
-def hashed_embedder(dimensions: int = DIMENSIONS) -> Embedder:
-    """Hashed bag of words with signs, unit norm: the same text has the same vector in every run. The JVM cuts and hashes
-    words; a batch is counted at once."""
+def hashed_counts(dimensions: int = DIMENSIONS) -> Callable[[Column], Column]:
+    """Hashes of words as a vector of signed counts, unit norm; a batch is counted at once."""
 
     @F.arrow_udf("array<float>")
     def count(hashes: pa.Array) -> pa.Array:
@@ -65,6 +53,14 @@ def hashed_embedder(dimensions: int = DIMENSIONS) -> Embedder:
         out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
         return pa.ListArray.from_arrays(pa.array(np.arange(len(hashes) + 1, dtype=np.int32) * dimensions), pa.array(out.ravel().astype(np.float32)))
 
+    return count
+
+
+def hashed_embedder(dimensions: int = DIMENSIONS) -> Embedder:
+    """Hashed bag of words with signs, unit norm: the same text has the same vector in every run. The JVM cuts and hashes
+    words; a batch is counted at once."""
+    count = hashed_counts(dimensions)
+
     def embed(text: Column) -> Column:
         words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
         return count(F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint")))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from turnstone.sources import scratch
+
 
 def as_of(facts: DataFrame, at: Column) -> DataFrame:
     """Facts that hold at a time: from valid_from on, until before valid_to."""
@@ -76,11 +78,23 @@ def graph_stats(drawers: DataFrame, wing: str, room: str, top: int = 10) -> Data
 
 
 def traverse(drawers: DataFrame, wing: str, room: str, start: str, depth: int) -> DataFrame:
-    """Rooms reached from a room by at most depth steps over shared wings, and in how many."""
-    links = drawers.select(F.col(room).alias("room"), F.col(wing).alias("wing")).distinct()
-    seen = links.sparkSession.createDataFrame([(start, 0)], "room string, hops int")
-    for _ in range(depth):
-        wings = seen.join(links, "room").groupBy("wing").agg(F.min("hops").alias("hops"))
-        step = wings.join(links, "wing").select("room", (F.col("hops") + 1).alias("hops"))
-        seen = seen.unionByName(step).groupBy("room").agg(F.min("hops").alias("hops"))
-    return seen
+    """Rooms reached from a room by at most depth steps over shared wings, and in how many.
+
+    A frontier walks: each round joins only the rooms that the last one reached, over wings not walked before, and appends the
+    rooms that are new to one table. A round's plan is the same at any depth, and what does not reach further ends it."""
+    spark = drawers.sparkSession
+    links = scratch.stage(drawers.where(F.col(wing).isNotNull()).select(F.col(room).alias("room"), F.col(wing).alias("wing")).distinct())
+    rooms, wings = scratch.folder(spark), scratch.folder(spark)
+    read = lambda path, schema: spark.read.schema(schema).parquet(path)
+    spark.createDataFrame([(start, 0)], "room string, hops int").write.parquet(rooms)
+    spark.createDataFrame([], "wing string, hops int").write.parquet(wings)
+    for hop in range(1, depth + 1):
+        seen, walked = read(rooms, "room string, hops int"), read(wings, "wing string, hops int")
+        new = seen.where(F.col("hops") == hop - 1).join(links, "room").select("wing").distinct().join(walked, "wing", "left_anti")
+        new.select(F.col("wing").cast("string").alias("wing"), F.lit(hop).alias("hops")).write.mode("append").parquet(wings)
+        step = read(wings, "wing string, hops int").where(F.col("hops") == hop).join(links, "wing").select("room").distinct().join(seen, "room", "left_anti")
+        reached = Observation()
+        step.select(F.col("room").cast("string").alias("room"), F.lit(hop).alias("hops")).observe(reached, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(rooms)
+        if not reached.get["n"]:
+            break
+    return read(rooms, "room string, hops int")

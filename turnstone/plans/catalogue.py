@@ -5,10 +5,6 @@ diary entries and facts, pages source paths."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +15,7 @@ from turnstone.functions import text as x
 from turnstone.functions.vectors import hashed_embedder
 from turnstone.operators import drawers, graph, ops, search, tasks, turns
 from turnstone.operators.memory import Memories, Persona
-from turnstone.sources import chats, readers, store
+from turnstone.sources import chats, readers, scratch, store
 from turnstone.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -747,27 +743,7 @@ def unusable_keys(spark, sf):
 # --- files, stores and what is shown of them ------------------------------------------------------------------------
 
 
-def _folder(spark) -> str:
-    """A new folder that driver and executors share."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if spark.sparkContext.master.partition("[")[0] != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = f"file://{tempfile.gettempdir()}"
-    path = f"{at.rstrip('/')}/turnstone-catalogue-{uuid.uuid4().hex}"
-    _made.append((spark, path))
-    return path
-
-
-_made: list[tuple[SparkSession, str]] = []
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _made:
-        with contextlib.suppress(Exception):  # its session may have ended
-            p, fs = store._fs(spark, path)
-            fs.delete(p, True)
+_folder = scratch.folder
 
 
 @query(f"SELECT 'c ' || conv_id || '+%é' AS talk, 'claude_jsonl' AS format, user_text AS user_input, assistant_text AS ai_response, true AS there FROM ({_ALL})")
@@ -869,3 +845,6 @@ def resolve_paths(spark, sf):
     wanted = pages.select(F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.concat("url", "page_id")).alias("path"), "url", "page_id")
     known = pages.where("page_id % 2 = 0").select(F.lit(0).alias("root"), F.col("url").alias("path")).unionByName(pages.where("page_id % 4 = 1").select(F.lit(1).alias("root"), F.concat(F.lit("/moved/"), name, "page_id").alias("path")))
     return chats.resolve(wanted.select("path").distinct(), known).join(wanted, "path").select(F.col("url").alias("path"), "found")
+
+
+from turnstone.plans import retrieval, surface, temporal  # noqa: E402, F401  they add their queries to those above
