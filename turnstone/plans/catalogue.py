@@ -847,4 +847,4 @@ def resolve_paths(spark, sf):
     return chats.resolve(wanted.select("path").distinct(), known).join(wanted, "path").select(F.col("url").alias("path"), "found")
 
 
-from turnstone.plans import retrieval, surface, temporal  # noqa: E402, F401  they add their queries to those above
+from turnstone.plans import live, retrieval, surface, temporal  # noqa: E402, F401  they add their queries to those above
