@@ -83,7 +83,7 @@ def traverse(drawers: DataFrame, wing: str, room: str, start: str, depth: int) -
     A frontier walks: each round joins only the rooms that the last one reached, over wings not walked before, and appends the
     rooms that are new to one table. A round's plan is the same at any depth, and what does not reach further ends it."""
     spark = drawers.sparkSession
-    links = scratch.stage(drawers.where(F.col(wing).isNotNull()).select(F.col(room).alias("room"), F.col(wing).alias("wing")).distinct())
+    links = scratch.stage(drawers.where(F.col(wing).isNotNull() & F.col(room).isNotNull()).select(F.col(room).alias("room"), F.col(wing).alias("wing")).distinct())
     rooms, wings = scratch.folder(spark), scratch.folder(spark)
     read = lambda path, schema: spark.read.schema(schema).parquet(path)
     spark.createDataFrame([(start, 0)], "room string, hops int").write.parquet(rooms)

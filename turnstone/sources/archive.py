@@ -9,7 +9,7 @@ readers.file_turns(spark.read.format("chat_archive").load(root)) are an archive'
   changed since. Spark's own file source remembers names, and misses it.
 
 Options: glob (* by default), under (the name of a file's folder), depth (folders below the root), hidden (true by default: also
-paths with a part that begins with a dot), maxBytes (of files that one task reads, 64 MB by default). path is a URI that
+paths with a part that begins with a dot, which Spark's own readers skip), maxBytes (of files that one task reads, 64 MB by default). path is a URI that
 pyarrow's file systems open, or a local path that driver and executors share.
 
 A file that goes between listing and reading is left out; one that is not UTF-8 is read with replacement characters."""
@@ -88,7 +88,7 @@ class _Archive:
                 held, size = [], 0
             held.append(f)
             size += f[1]
-        return [*out, Files(tuple(held))] if held else out
+        return [*out, Files(tuple(held))] if held or not out else out
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         """A batch for each file, so a task holds one at a time."""

@@ -102,6 +102,8 @@ def _vector_sum(v: pa.Array) -> list[float] | None:
 
 
 def _cosine(a: pa.Array, b: pa.Array) -> pa.Array:
+    if pa.types.is_null(a.type) or pa.types.is_null(b.type):
+        return pa.nulls(len(a), pa.float64())
     out = np.full(len(a), np.nan)
     same = np.asarray(a.value_lengths().fill_null(-1)) == np.asarray(b.value_lengths().fill_null(-2))
     for width in set(np.asarray(a.value_lengths().fill_null(0))[same].tolist()) - {0}:
