@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,6 +108,11 @@ def only(df: DataFrame, **kinds: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`").cast(k).alias(c) for c, k in kinds.items()))
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns, whatever their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def fresh(names: Iterable[str], prefix: str) -> str:
     """A prefix, longer than the given one if need be, that no name begins with: columns under it clash with none."""
     names = [n.lower() for n in names]
@@ -130,11 +135,11 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> D
     total = table.agg(F.sum(weight).alias(f"{p}total"))  # one row, so the join below is no product
     heavy = table.join(F.broadcast(total)).where(F.col(weight) * HEAVY > F.col(f"{p}total")).select(*keys, F.struct(*values).alias(f"{p}heavy"))
     dealt = rows.join(F.broadcast(heavy), keys, "left")
-    dealt = dealt.withColumn(f"{p}deal", F.when(F.col(f"{p}heavy").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(*rows.columns).bitwiseOR(F.lit(1))))
+    dealt = dealt.withColumn(f"{p}deal", F.when(F.col(f"{p}heavy").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(*columns_of(rows)).bitwiseOR(F.lit(1))))
     # 0, but no literal, which Catalyst would take out of the join's keys
     light = table.select(*keys, F.struct(*values).alias(f"{p}light"), F.least(F.col(weight), F.lit(0)).cast("long").alias(f"{p}deal"))
     found = dealt.join(light, [*keys, f"{p}deal"], "left").withColumn(f"{p}found", F.coalesce(f"{p}heavy", f"{p}light")).where(F.col(f"{p}found").isNotNull())
-    return found.select(*rows.columns, *(F.col(f"{p}found")[v].alias(v) for v in values))
+    return found.select(*columns_of(rows), *(F.col(f"{p}found")[v].alias(v) for v in values))
 
 
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:

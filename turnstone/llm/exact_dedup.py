@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, fresh, lookup, settle, stage
+from .common import SPACE_CLASS, columns_of, fresh, lookup, settle, stage
 
 PROBES = 2
 BITS_A_ROW = 16
@@ -96,7 +96,7 @@ def decide(docs: DataFrame, p: str = "x_", texts: bool = True) -> DataFrame:
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows that stay, columns as they are."""
     p = fresh(docs.columns, "x_")
-    return decide(docs, p).where(f"{p}kept").select(docs.columns)
+    return decide(docs, p).where(f"{p}kept").select(columns_of(docs))
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:

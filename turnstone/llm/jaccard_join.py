@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textscan as scan
-from .common import binary, components, lookup, only, pieces, slots, stage, unstage
+from .common import binary, columns_of, components, lookup, only, pieces, slots, stage, unstage
 
 #: Bytes of text a worker expands at a time.
 PIECE = 1 << 20
@@ -427,7 +427,7 @@ def _both(k1, level):
 def keep_one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs without the rows whose component has a smaller doc_id; all columns stay. Rows of a null doc_id stay."""
     label = jaccard_components(docs, k, num, den).where("doc_id <> component_id").select(F.col("doc_id").alias("doc_id")).distinct()
-    return docs.join(label, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(label, "doc_id", "left_anti").select(columns_of(docs))
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:

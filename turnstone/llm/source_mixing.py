@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, fresh, settle, stage
+from .common import WORD, columns_of, fresh, settle, stage
 
 EPOCHS = 3
 WEIGHTS = (1, 2, 3)
@@ -101,7 +101,7 @@ def repeat_taken(docs: DataFrame) -> DataFrame:
     """docs as the mix takes them: a row for each time, none for those left out; columns as they are."""
     p = fresh(docs.columns, "m_")
     times = f"{p}times"
-    return mix(docs, p=p).where(f"{times} > 0").withColumn(times, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(docs.columns)
+    return mix(docs, p=p).where(f"{times} > 0").withColumn(times, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(columns_of(docs))
 
 
 ORACLE = f"""

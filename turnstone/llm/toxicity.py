@@ -483,19 +483,22 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """docs (text and any columns) with the score of each row."""
     columns = docs.columns
-    text = columns.index("text")
+    assert "text" in columns and name not in columns
+    # numbered names, as a name with a dot in it cannot be asked for
+    plain = [f"c{i}" for i in range(len(columns))]
+    text = plain[columns.index("text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known()
         for batch in batches:
-            column = binary(batch, "text")
+            column = binary(batch, text)
             found = [np.zeros(0)]
             for at, to in pieces(column, PIECE):
                 found.append(model.score(model.worst(readings(*scan.view(column, at, to)), to - at, known)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found))], [*columns, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found))], [*plain, "score"])
 
-    assert text >= 0 and name not in columns
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    kinds = [T.StructField(p, f.dataType, f.nullable) for p, f in zip(plain, docs.schema.fields, strict=True)]
+    return docs.toDF(*plain).mapInArrow(run, T.StructType([*kinds, T.StructField("score", T.DoubleType())])).toDF(*columns, name)
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:

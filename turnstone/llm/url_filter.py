@@ -6,10 +6,10 @@ connected components over those edges carry a block to all aliases that no rule
 allowed, whatever its aliases are. Urls in no blocked component are allowed.
 
 Every `link` whose rel words hold canonical and every `meta` refresh of a page makes an edge, outside comments, scripts
-and styles. The JVM finds the tags; their attributes are read in Arrow batches, entities decoded, and the target resolved
-as RFC 3986 says against the page's url or its `base`: scheme, `//host`, `/path`, relative paths with dot segments, `?query`
+and styles. The JVM finds pages that mention either; these are read in Arrow batches, once from front to end (a comment,
+script or tag that never closes ends the page, as HTML says), entities decoded, and the target resolved as RFC 3986 says against the page's url or its `base`: scheme, `//host`, `/path`, relative paths with dot segments, `?query`
 alone. Targets without a host (mailto, data, javascript) make none. A url's node is its host, its path without dot segments
-and its query, so scheme and fragment make no difference.
+and its query, so scheme and fragment make no difference. Ports and percent-encoded bytes count as they are written.
 
 Up to FEW rules are one expression evaluated row by row, with no join; longer lists are a table that urls join by host
 suffix and path prefix of each length that a rule has (at most labels times lengths rows a url). The results are the same.
@@ -35,10 +35,11 @@ RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 FEW = 256
 
 # Patterns of tags and what hides them (Java), of attributes and refresh contents (Python), of urls (both and RE2).
-HIDDEN = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>"
-TAGS = r"""(?is)<(?:link|meta|base)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+OPENS = re.compile(r"(?i)<(?:!--|(script|style|link|meta|base)\b)")
+ENDS = {"script": re.compile(r"(?i)</script\s*>"), "style": re.compile(r"(?i)</style\s*>")}
+STOP = re.compile(r"""[>"']""")
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
-CONTENT = re.compile(r"""(?is)^\s*[0-9.]*\s*[;,\s]\s*(?:url\s*=\s*)?(?:"([^"]*)|'([^']*)|(.*?)\s*$)""")
+CONTENT = re.compile(r"""(?is)^\s*[0-9.]*\s*[;,\s]\s*(?:url\s*=\s*)?(?:"([^"]*)|'([^']*)|(.*)$)""")
 REFERENCE = re.compile(r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?")
 AFTER = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 QUERY = r"(?s)^.*?://[^?#]*(\?[^#]*)"
@@ -139,6 +140,29 @@ def resolve(base: str, reference: str) -> str | None:
     return f"{scheme}://{host}{path or '/'}" + ("" if query is None else "?" + query)
 
 
+def tags_of(html: str) -> list[str]:
+    """link, meta and base tags outside comments, scripts and styles. Each place is passed once."""
+    found, at = [], 0
+    while m := OPENS.search(html, at):
+        name = (m[1] or "").lower()
+        if not name or name in ENDS:
+            end = html.find("-->", m.end()) + 3 if not name else (e.end() if (e := ENDS[name].search(html, m.end())) else 2)
+            if end == 2:
+                return found
+            at = end
+            continue
+        at = m.end()
+        while (stop := STOP.search(html, at)) and stop[0] != ">":
+            at = html.find(stop[0], stop.end()) + 1
+            if not at:
+                return found
+        if not stop:
+            return found
+        at = stop.end()
+        found.append(html[m.start() : at])
+    return found
+
+
 def targets(url: str, tags: list[str]) -> list[str]:
     """Where a page's canonical links and refreshes lead, from its tags."""
     base, found = url, []
@@ -151,7 +175,7 @@ def targets(url: str, tags: list[str]) -> list[str]:
             base = resolve(url, values["href"]) or base if base == url else base
         elif name.lower() == "link" and "canonical" in values.get("rel", "").lower().split():
             found.append(values.get("href", ""))
-        elif name.lower() == "meta" and values.get("http-equiv", "").strip().lower() == "refresh" and (m := CONTENT.match(values.get("content", ""))):
+        elif name.lower() == "meta" and values.get("http-equiv", "").strip().lower() == "refresh" and (m := CONTENT.match(values.get("content", "").strip())):
             found.append(next((x for x in m.groups() if x), ""))
     return [to for x in found if x.strip() and (to := resolve(base, x))]
 
@@ -159,16 +183,15 @@ def targets(url: str, tags: list[str]) -> list[str]:
 def _targets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[tuple[str, str]] = []
-        for url, tags in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
-            out += [(url, to) for to in targets(url, tags)]
+        for url, html in zip(batch.column(0), batch.column(1), strict=True):  # one page at a time as a Python string
+            out += [(url.as_py(), to) for to in targets(url.as_py(), tags_of(html.as_py()))]
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in (0, 1)], ["url", "target"])
 
 
 def edges(pages: DataFrame) -> DataFrame:
     """a, b: one row for each redirect or canonical link of a page (url, html) to another url, as nodes."""
     marked = only(pages, url="string", html="string").where(F.col("html").rlike("(?i)canonical|refresh") & F.col("url").contains("://"))
-    tags = F.filter(F.regexp_extract_all(F.regexp_replace("html", HIDDEN, " "), F.lit(TAGS), F.lit(0)), lambda x: x.rlike("(?i)canonical|refresh|^<base"))
-    led = marked.select("url", tags.alias("tags")).where(F.exists("tags", lambda x: ~x.rlike("(?i)^<base"))).mapInArrow(_targets, "url string, target string")
+    led = marked.mapInArrow(_targets, "url string, target string")
     out = led.select(node_of(F.col("url")).alias("a"), node_of(F.col("target")).alias("b"))
     return out.where("a is not null and b is not null and a <> b")
 
