@@ -200,3 +200,20 @@ def test_changed(spark):
     assert state.count() == 2
     moved = files.withColumn("changed", F.when(F.col("path") == "/a/2", 3).otherwise(F.col("changed")))
     assert [r.source for r in ingest.changed(moved, state).collect()] == ["a"]
+
+
+def test_two_writers_of_one_manifest(spark, tmp_path):
+    """The second fails and nothing of it counts; a manifest that a crash left half written is passed over, also by vacuum."""
+    at = f"file://{tmp_path}/s"
+    rows = lambda i: spark.createDataFrame([(i, 0, f"v{i}")], "id long, batch int, text string")
+    store.upsert(at, rows(1), "p")
+    number, content = store._manifest(spark, f"{at}/p")
+    store._publish(spark, f"{at}/p", number + 1, content)
+    with pytest.raises(RuntimeError, match="another writer"):
+        store._publish(spark, f"{at}/p", number + 1, {"segments": [], "id": "id"})
+    (tmp_path / "s/p" / f"manifest-{number + 2:012d}").write_text('{"segm')
+    assert [r.id for r in store.collection(spark, at, "p").collect()] == [1]
+    store.upsert(at, rows(2), "p")
+    (tmp_path / "s/p" / f"manifest-{number + 4:012d}").write_text("")
+    store.vacuum(spark, at, "p")
+    assert sorted(r.id for r in store.collection(spark, at, "p").collect()) == [1, 2]

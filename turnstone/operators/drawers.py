@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnstone.functions import text as x
+from turnstone.functions.vectors import Embedder
 from turnstone.operators import graph
 from turnstone.operators import search as vectors
 from turnstone.sources import store
@@ -136,16 +137,18 @@ def drawer_id(wing: Column, room: Column, content: Column) -> Column:
 
 
 #: Columns of a collection of drawers.
-DRAWER = "id string, document string, wing string, room string, source_file string, chunk_index int, added_by string, filed_at string"
+DRAWER = "id string, document string, wing string, room string, source_file string, chunk_index int, added_by string, filed_at string, embedding array<float>"
 
 
-def file_drawer(spark: SparkSession, table: str, wing: str, room: str, content: str, source_file: str | None = None, added_by: str = "web", now: Column | None = None) -> DataFrame:
-    """Appends a drawer to a store unless one of the same content is there. One row: success, drawer_id (of the one that
-    is there, otherwise of the new one) and reason."""
+def file_drawer(spark: SparkSession, table: str, wing: str, room: str, content: str, source_file: str | None = None, added_by: str = "web", now: Column | None = None, embedder: Embedder | None = None) -> DataFrame:
+    """Appends a drawer, with its vector where there is an embedder, to a store unless one of the same content is there. One
+    row: success, drawer_id (of the one that is there, otherwise of the new one) and reason."""
     if not (wing and room and content and added_by):
         raise ValueError("wing, room, content and added_by are not empty")
     stamp = F.date_format(F.current_timestamp() if now is None else now, "yyyy-MM-dd'T'HH:mm:ss")
     new = spark.range(1).select(drawer_id(F.lit(wing), F.lit(room), F.lit(content)).alias("id"), F.lit(content).alias("document"), F.lit(wing).alias("wing"), F.lit(room).alias("room"), F.lit(source_file).cast("string").alias("source_file"), F.lit(0).alias("chunk_index"), F.lit(added_by).alias("added_by"), stamp.alias("filed_at"))
+    if embedder is not None:
+        new = new.withColumn("embedding", embedder(F.col("document")).cast("array<float>"))
     answer = "success boolean, drawer_id string, reason string"
     if store.exists(spark, f"{table}/drawers"):
         same = store.collection(spark, table, "drawers").where(F.sha2("document", 256) == F.sha2(F.lit(content), 256)).agg(F.min("id").alias("id")).first().id

@@ -28,6 +28,14 @@ class Persona:
     description: str = ""
 
 
+def with_persona(rows: DataFrame, key: str, personas: Sequence[Persona]) -> DataFrame:
+    """rows with persona_title and persona_description of the persona that key names, whatever its case; null where there is
+    none. The registry is the driver's own list, so it is broadcast."""
+    names = {"k_": [p.key.lower() for p in personas], "persona_title": [p.title for p in personas], "persona_description": [p.description for p in personas]}
+    table = rows.sparkSession.createDataFrame(list(zip(*names.values(), strict=True)), "k_ string, persona_title string, persona_description string")
+    return rows.withColumn("k_", F.lower(F.col(key))).join(F.broadcast(table), "k_", "left").drop("k_")
+
+
 @dataclass
 class Memories:
     """table: the store's folder; personas: who has a collection; roots: where files that moved are looked for; export:

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from turnstone.functions import text as x
 from turnstone.functions.vectors import hashed_embedder
 from turnstone.operators import drawers, graph, ops, search, tasks, turns
-from turnstone.operators.memory import Memories, Persona
+from turnstone.operators.memory import Memories, Persona, with_persona
 from turnstone.sources import chats, readers, scratch, store
 from turnstone.streaming import ingest
 
@@ -832,9 +832,9 @@ def note_fields(spark, sf):
 
 @query("SELECT page_id, 'src' || (page_id % 3) AS label, page_id % 3 < 2 AS known FROM pages")
 def persona_lookup(spark, sf):
-    registry = spark.createDataFrame([("src0", "Zero"), ("src1", "One")], "key string, title string")
-    rows = table(spark, sf, "pages").select("page_id", F.concat(F.lit("src"), F.col("page_id") % 3).alias("key"))
-    return rows.join(F.broadcast(registry), "key", "left").select("page_id", F.col("key").alias("label"), F.col("title").isNotNull().alias("known"))
+    rows = table(spark, sf, "pages").select("page_id", F.concat(F.lit("src"), F.col("page_id") % 3).alias("label"))
+    told = with_persona(rows, "label", [Persona("src0", "Zero"), Persona("Src1", "One")])
+    return told.select("page_id", "label", F.col("persona_title").isNotNull().alias("known"))
 
 
 @query("SELECT url AS path, CASE WHEN page_id % 2 = 0 THEN url WHEN page_id % 4 = 1 THEN '/moved/' || split_part(url, '/', -1) || page_id END AS found FROM pages")

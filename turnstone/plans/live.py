@@ -1,4 +1,4 @@
-"""Streams, their log, the archive source and sketches, bound to the test tables."""
+"""Streams, their log, the archive source, files that repeat or change, and sketches, bound to the test tables."""
 
 from __future__ import annotations
 
@@ -7,9 +7,9 @@ import time
 from pyspark.sql import functions as F
 
 from turnstone.operators import sketches
-from turnstone.plans.catalogue import _ALL, _jsonl, query, table
-from turnstone.sources import archive, readers, scratch, store
-from turnstone.streaming import progress, windows
+from turnstone.plans.catalogue import _ALL, _FILLED, _export, _jsonl, ORACLE_SQL, QUERIES, query, table
+from turnstone.sources import archive, chats, readers, scratch, store
+from turnstone.streaming import ingest, progress, windows
 
 _EVENT = "event_id long, ts timestamp, user_id long, event_type string, value double"
 
@@ -109,3 +109,32 @@ def sketch_overview(spark, sf):
     exact = d.agg(*(F.count_distinct(c).alias(c) for c in _COLUMNS)).select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("exact")) for c in _COLUMNS))))
     near = F.abs(F.col("distinct") - F.col("exact")) <= F.greatest(F.lit(1), 5 * sketches.ERROR * F.col("exact"))
     return sketches.read(spark, path).join(exact, "column").select("column", "rows", "filled", near.alias("close"))
+
+
+@query(f"SELECT conv_id::VARCHAR AS conversation_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS index, role, text AS content FROM {_FILLED}")
+def last_conversation_of_an_id(spark, sf):
+    """Exports that hold every conversation twice: the last of an id counts."""
+    whole = _export(spark, sf)
+    old = F.regexp_replace("value", '"title":"t', '"title":"old')
+    inner = lambda c: F.substring(c, F.lit(2), F.length(c) - 2)
+    twice = whole.select("path", F.concat(F.lit("["), inner(old), F.lit(","), inner(F.col("value")), F.lit("]")).alias("value"))
+    rows = chats.export_turns(twice).where(F.col("title").startswith("t"))
+    return rows.select(F.col("id").alias("conversation_id"), "index", "role", F.col("text").alias("content"))
+
+
+@query(f"SELECT conv_id, user_text || ' user' AS user_input, assistant_text || ' assistant' AS ai_response FROM ({_ALL})")
+def text_of_any_block(spark, sf):
+    """Contents that are lists of plain strings and of blocks of an unknown kind."""
+    block = F.concat(F.lit('{"type":"note","text":"'), "role", F.lit('"}'))
+    line = F.concat(F.lit('{"type":"'), "role", F.lit('","content":['), F.to_json(F.array("text")).substr(F.lit(2), F.length(F.to_json(F.array("text"))) - 2), F.lit(',7,{"type":"image"},'), block, F.lit("]}"))
+    rows = readers.parse_roles(_jsonl(spark, sf, line))
+    return rows.select(F.regexp_extract("path", r"(\d+)\.jsonl$", 1).cast("long").alias("conv_id"), "user_input", "ai_response")
+
+
+@query(ORACLE_SQL["fingerprint"])
+def state_saved(spark, sf):
+    """Fingerprints of all sources saved as the state of a sync, over an older state, and read again."""
+    path = scratch.folder(spark)
+    ingest.save_state(spark, path, {"old": "x"})
+    ingest.save_state(spark, path, {r.source: r.fingerprint for r in QUERIES["fingerprint"](spark, sf).collect() if r.source is not None})
+    return spark.createDataFrame(list(ingest.read_state(spark, path).items()), "source string, fingerprint string")

@@ -63,8 +63,11 @@ class Service:
     def search(self, q: str, wing: str | None, room: str | None, limit: int) -> DataFrame:
         if not q:
             raise ValueError("q is not empty")
-        embed = self.memories.embedder
-        rows = self.drawers.withColumn("embedding", embed(F.col("document")))
+        rows, embed = self.drawers, self.memories.embedder
+        # drawers have their vectors from when they were filed; only older ones without any are embedded now
+        there = F.col("embedding") if "embedding" in rows.columns else F.lit(None).cast("array<float>")
+        old = rows.where(there.isNull()).withColumn("embedding", embed(F.col("document")).cast("array<float>"))
+        rows = old if "embedding" not in rows.columns else rows.where(there.isNotNull()).unionByName(old)
         return drawers.search(rows, self.memories._vector(q), wing, room, limit)
 
     def find(self, id_: str) -> DataFrame:
@@ -96,7 +99,7 @@ ROUTES: tuple[Route, ...] = (
     ("GET", "/api/drawers/recent", lambda s, v: drawers.summary(drawers.page(s.drawers, "id", _int(v, "limit", 6)), "id", "document"), False),
     ("GET", "/api/drawers/{id}", lambda s, v: s.find(v["id"]), False),
     ("GET", "/api/search", lambda s, v: s.search(v.get("q", ""), v.get("wing"), v.get("room"), _int(v, "limit", 10)), False),
-    ("POST", "/api/drawers", lambda s, v: drawers.file_drawer(s.spark, s.table, v.get("wing", ""), v.get("room", ""), v.get("content", ""), v.get("source_file"), v.get("added_by", "web")), True),
+    ("POST", "/api/drawers", lambda s, v: drawers.file_drawer(s.spark, s.table, v.get("wing", ""), v.get("room", ""), v.get("content", ""), v.get("source_file"), v.get("added_by", "web"), embedder=s.memories.embedder), True),
     ("GET", "/api/diary/{agent}", lambda s, v: drawers.read_diary(s.rows("diary", DIARY), v["agent"], _int(v, "last_n", 10)), False),
     ("POST", "/api/diary", lambda s, v: drawers.file_diary(s.spark, s.table, v.get("agent_name", ""), v.get("entry", ""), v.get("topic", "general")), True),
     ("GET", "/api/knowledge/stats", lambda s, v: graph.fact_stats(s.facts), True),

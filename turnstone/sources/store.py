@@ -45,28 +45,37 @@ def _folder(table: str, persona: str) -> str:
     return f"{table}/{persona}"
 
 
+def _latest(spark: SparkSession, folder: str) -> tuple[str, dict]:
+    """Name and content of the last whole manifest; one that is not whole is of a writer that crashed or is at it."""
+    text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils
+    for name in reversed([n for n in names(spark, folder) if n.startswith("manifest-")]):
+        p, fs = _fs(spark, f"{folder}/{name}")
+        stream = fs.open(p)
+        try:
+            return name, json.loads(text.toString(stream, "UTF-8"))
+        except json.JSONDecodeError:
+            continue
+        finally:
+            stream.close()
+    return "", {"segments": [], "id": "id"}
+
+
 def _manifest(spark: SparkSession, folder: str) -> tuple[int, dict]:
+    """The number of the last manifest, whole or not, and the content of the last whole one."""
     found = [n for n in names(spark, folder) if n.startswith("manifest-")]
-    if not found:
-        return 0, {"segments": [], "id": "id"}
-    text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils
-    p, fs = _fs(spark, f"{folder}/{found[-1]}")
-    stream = fs.open(p)
-    try:
-        return int(found[-1].removeprefix("manifest-")), json.loads(text.toString(stream, "UTF-8"))
-    finally:
-        stream.close()
+    return int(found[-1].removeprefix("manifest-")) if found else 0, _latest(spark, folder)[1]
 
 
 def _publish(spark: SparkSession, folder: str, number: int, content: dict) -> None:
-    beside, fs = _fs(spark, f"{folder}/_writing-{uuid.uuid4().hex}")
-    stream = fs.create(beside, False)
+    """A manifest is made by an exclusive create, so of two writers of one number one fails; readers pass over one that is not
+    whole."""
+    at, fs = _fs(spark, f"{folder}/manifest-{number:012d}")
+    try:
+        stream = fs.create(at, False)
+    except Exception as e:
+        raise RuntimeError(f"another writer changed {folder}: nothing of this upsert counts, try again") from e
     stream.write(json.dumps(content).encode())
     stream.close()
-    at = _fs(spark, f"{folder}/manifest-{number:012d}")[0]
-    if fs.exists(at) or not fs.rename(beside, at):
-        fs.delete(beside, False)
-        raise RuntimeError(f"another writer changed {folder}: nothing of this upsert counts, try again")
 
 
 def _read(spark: SparkSession, folder: str, manifest: dict) -> DataFrame:
@@ -108,9 +117,8 @@ def vacuum(spark: SparkSession, table: str, persona: str) -> int:
     """Deletes what the last manifest does not list, and returns how many folders and files went; readers that began
     before it was published must be done."""
     folder = _folder(table, persona)
-    number, manifest = _manifest(spark, folder)
-    keep = {*manifest["segments"], f"manifest-{number:012d}"}
-    gone = [n for n in names(spark, folder) if n not in keep]
+    last, manifest = _latest(spark, folder)
+    gone = [n for n in names(spark, folder) if n not in manifest["segments"] and not n.startswith("manifest-") or n.startswith("manifest-") and n < last]
     for n in gone:
         p, fs = _fs(spark, f"{folder}/{n}")
         fs.delete(p, True)
