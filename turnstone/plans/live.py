@@ -119,7 +119,7 @@ def last_conversation_of_an_id(spark, sf):
     inner = lambda c: F.substring(c, F.lit(2), F.length(c) - 2)
     twice = whole.select("path", F.concat(F.lit("["), inner(old), F.lit(","), inner(F.col("value")), F.lit("]")).alias("value"))
     rows = chats.export_turns(twice).where(F.col("title").startswith("t"))
-    return rows.select(F.col("id").alias("conversation_id"), "index", "role", F.col("text").alias("content"))
+    return rows.select(F.col("id").alias("conversation_id"), F.col("index").cast("long").alias("index"), "role", F.col("text").alias("content"))
 
 
 @query(f"SELECT conv_id, user_text || ' user' AS user_input, assistant_text || ' assistant' AS ai_response FROM ({_ALL})")
