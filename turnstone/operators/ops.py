@@ -20,7 +20,7 @@ def totals(points: DataFrame, key: str) -> DataFrame:
     return points.rollup(key).agg(F.count("*").alias("n"))
 
 
-#: Names that the sides of a pair go by in payloads, in order of preference.
+# Names that the sides of a pair go by in payloads, in order of preference.
 USER_FIELDS, ANSWER_FIELDS = ("user_input", "user"), ("valther", "assistant", "alexko_response", "ai_response", "ai")
 
 
