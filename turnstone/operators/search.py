@@ -33,11 +33,11 @@ def search_block(points: DataFrame, queries: DataFrame, k: int, id_: str = "vec_
     """query_id, id, score, rank: the k points most alike to each query but itself. Queries go out in blocks of bounded
     size, each a scan that keeps k rows a task and query before anything shuffles."""
     spark = points.sparkSession
-    rows = points.select(F.col(id_).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    rows = points.select(F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     found = None
     it = queries.select(id_, vector).toLocalIterator()
     while chunk := [r for _, r in zip(range(block), it, strict=False)]:
-        ids = np.array([r[0] for r in chunk])
+        ids = np.array([r[0] for r in chunk], np.int64)
         asked = np.array([r[1] for r in chunk], float)
         asked /= np.maximum(np.linalg.norm(asked, axis=1, keepdims=True), 1e-300)
 
