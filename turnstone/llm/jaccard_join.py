@@ -38,7 +38,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import textscan as scan
 from .common import binary, columns_of, components, lookup, only, pieces, slots, stage, unstage
@@ -49,8 +48,8 @@ PIECE = 1 << 20
 LEAF_DOCS, LEAF_SHINGLES, PIVOTS = 2048, 2_000_000, 64
 #: The sample that tells frequent shingles: documents and their characters, documents that make one frequent, and how many.
 SAMPLE, SAMPLE_CHARS, MANY, MOST = 12_000, 20_000, 3, 500_000
-#: Places (of some 60 bytes) in large trees that are broadcast.
-FEW = 100_000
+#: Keys in a packed row.
+PACKED = 1 << 16
 #: Coordinates of a point, and points in a node.
 COORDINATES, NODE = 128, 32
 
@@ -138,9 +137,8 @@ def _lists(values: np.ndarray, first: np.ndarray) -> pa.Array:
 Batches = Iterator[pa.RecordBatch]
 _SETS = "doc_id long, n long, k1 long, k2 long, items array<long>"
 _CLASSES = "doc_id long, n long, k1 long, k2 long, level int"
-_KEYS = "v long, deal long, key long, lo long"
-_PLACE = "block long, first int, last int, own int, label long"
-_WANTED = f"{_PLACE}, k1 long, items array<long>"
+_KEYS = "v long, key long, lo long"
+_PACKED = "deal int, key binary, v binary, times binary, lo binary"
 
 
 def _shingled(batches: Batches, k: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -192,9 +190,41 @@ def _roots(v: np.ndarray, group: np.ndarray) -> np.ndarray:
         label = least
 
 
-def _keys(k: int, num: int, den: int, frequent: np.ndarray) -> Callable[[Batches], Batches]:
-    """A row for each vertex and key, dealt by key. Where a batch holds a key more than once, only its least vertex is; all
-    of them also go out with the key and the least vertex that keys of the batch connect them with, dealt at random."""
+def _packs(deal: np.ndarray, v: np.ndarray, key: np.ndarray, lo: np.ndarray | None) -> pa.RecordBatch:
+    """_PACKED: the rows of each deal as the bytes of their columns, a vertex of successive rows once with its times."""
+    order = np.lexsort((v, deal))
+    deal, v, key = deal[order], v[order], key[order]
+    new = np.ones(len(v), bool)
+    new[1:] = deal[1:] != deal[:-1]
+    starts = np.flatnonzero(new)
+    bounds = [(x, min(x + PACKED, b)) for a, b in zip(starts, np.append(starts, len(v))[1:], strict=True) for x in range(a, b, PACKED)]
+    vertices_, times = [], []
+    for a, b in bounds:
+        first = np.flatnonzero(np.diff(v[a:b], prepend=v[a] - 1))
+        vertices_.append(v[a:b][first].tobytes())
+        times.append(np.diff(np.append(first, b - a)).astype(np.int32).tobytes())
+    least = [b""] * len(bounds) if lo is None else [lo[order[a:b]].tobytes() for a, b in bounds]
+    kinds = (pa.int32(), *[pa.binary()] * 4)
+    columns = ([int(deal[a]) for a, _ in bounds], [key[a:b].tobytes() for a, b in bounds], vertices_, times, least)
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["deal", "key", "v", "times", "lo"])
+
+
+def _unpack(batches: Batches) -> Batches:
+    """_PACKED -> _KEYS; lo is null where it was not given."""
+    for batch in batches:
+        for key, v, times, lo in zip(*(batch.column(c).to_pylist() for c in range(1, 5)), strict=True):
+            key, v, lo = (np.frombuffer(x, np.int64) for x in (key, v, lo))
+            least = pa.array(lo) if len(lo) else pa.nulls(len(key), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(v, np.frombuffer(times, np.int32))), pa.array(key), least], ["v", "key", "lo"])
+
+
+def _keys(k: int, num: int, den: int, frequent: np.ndarray, parts: int) -> Callable[[Batches], Batches]:
+    """The vertices of each key, dealt by key into parts and packed. Where a batch holds a key more than once, only its least
+    vertex is dealt so; all of them also go out with the key and the least vertex that keys of the batch connect them with,
+    dealt at random."""
+
+    def part(x: np.ndarray) -> np.ndarray:
+        return ((scan.mix(x ^ _U(0x8EBC6AF09C88C6E3)) >> _U(20)) % _U(parts)).astype(np.int32)
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
@@ -213,34 +243,39 @@ def _keys(k: int, num: int, den: int, frequent: np.ndarray) -> Callable[[Batches
             many = np.diff(np.append(first, len(key)))
             crowd = np.repeat(many, many) > 1
             lo = _roots(v[crowd], np.cumsum(new)[crowd])
-            # vertices together, which compresses best
-            alone = first[np.argsort(v[first], kind="stable")]
-            yield pa.RecordBatch.from_arrays([pa.array(v[alone]), pa.array(key[alone]), pa.nulls(len(alone), pa.int64()), pa.nulls(len(alone), pa.int64())], ["v", "deal", "key", "lo"])
-            deal = scan.mix(v[crowd].view(_U) ^ scan.mix(key[crowd].view(_U))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(v[crowd]), pa.array(deal), pa.array(key[crowd]), pa.array(lo)], ["v", "deal", "key", "lo"])
+            yield _packs(part(key[first].view(_U)), v[first], key[first], None)
+            yield _packs(part(v[crowd].view(_U) ^ scan.mix(key[crowd].view(_U))), v[crowd], key[crowd], lo)
 
     return run
 
 
-def _wanted(k: int) -> Callable[[Batches], Batches]:
-    """doc_id, text, wanted (array of k1, k2 and a place) -> the sets of the wanted classes, for each of their places."""
-    names = [x.split()[0] for x in _PLACE.split(", ")]
-
-    def run(batches: Batches) -> Batches:
-        for rows, h, first, k1, k2 in _shingled(batches, k):
-            places, of = [], []
-            for i, wanted in enumerate(rows.column(2).to_pylist()):
-                own = [w for w in wanted if (w["k1"], w["k2"]) == (k1[i], k2[i])]
-                places += own
-                of += [i] * len(own)
-            for at in range(0, len(of), 1000):  # a set may have many places
-                some = of[at : at + 1000]
-                sizes = np.array([first[i + 1] - first[i] for i in some], np.int64)
-                items = np.concatenate([np.zeros(0, _U), *(h[first[i] : first[i + 1]] for i in some)])
-                own = [pa.array([w[c] for w in places[at : at + 1000]], pa.int32() if c in ("first", "last", "own") else pa.int64()) for c in names]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(k1[some]), _lists(items, np.concatenate(([0], np.cumsum(sizes))))], [*names, "k1", "items"])
-
-    return run
+def _shared(batches: Batches) -> Batches:
+    """_KEYS sorted by key and v -> the rows of keys of more than one vertex, with the least one as lo, and those that have
+    lo already. A key may go on in the next batch; nothing of it is held but its least vertex."""
+    at = None  # the last key, its least vertex, and whether that one is out
+    for batch in batches:
+        lo = batch.column(2)
+        told = lo.is_valid().to_numpy(zero_copy_only=False)
+        v, key, lo = (x.to_numpy(zero_copy_only=False) for x in (batch.column(0), batch.column(1), lo.fill_null(0)))
+        rows = [(v[told], key[told], lo[told])]
+        v, key = v[~told], key[~told]
+        if len(v):
+            if at:
+                key, v = np.concatenate(([at[0]], key)), np.concatenate(([at[1]], v))
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            starts = np.flatnonzero(new)
+            least = np.repeat(v[starts], np.diff(np.append(starts, len(key))))
+            out = v != least
+            crowd = np.logical_or.reduceat(out, starts)
+            out[starts] = crowd
+            told_first = bool(at and at[2])
+            if told_first:
+                out[0] = False
+            at = (key[starts[-1]], v[starts[-1]], bool(crowd[-1]) or (told_first and len(starts) == 1))
+            rows.append((v[out], key[out], least[out]))
+        for columns in rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["v", "key", "lo"])
 
 
 def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
@@ -287,8 +322,9 @@ def tree_links(keys: np.ndarray, sets: list[np.ndarray], side: np.ndarray, label
                 yield int(keys[i]), int(keys[j])
 
 
-def _trees(num: int, den: int) -> Callable[[Batches], Batches]:
-    """Rows block, i, j, own, label, k1, items, sorted by the first three -> links a, b."""
+def _trees(k: int, num: int, den: int) -> Callable[[Batches], Batches]:
+    """Rows block, i, j, own, label, k1, k2, text, sorted by the first three -> links a, b. A text of other keys, of a row
+    that repeats the doc_id, is passed over."""
 
     def links(key: tuple[int, int, int], rows: dict[int, tuple[np.ndarray, bool, int]]) -> Iterator[tuple[int, int]]:
         if len(rows) > 1:
@@ -297,16 +333,16 @@ def _trees(num: int, den: int) -> Callable[[Batches], Batches]:
 
     def run(batches: Batches) -> Batches:
         at, rows, out = None, {}, []
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in range(6)]
-            items = batch.column(6)
-            values = items.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            bounds = items.offsets.to_numpy()
-            for r, key in enumerate(zip(*columns[:3], strict=True)):
+        for some, h, first, k1, k2 in _shingled(batches, k):
+            block, i, j, own, label, own_k1, own_k2 = (some.column(c).to_numpy(zero_copy_only=False).tolist() for c in range(7))
+            right = (k1 == np.array(own_k1, np.int64)) & (k2 == np.array(own_k2, np.int64))
+            for r in np.flatnonzero(right).tolist():
+                key = (block[r], i[r], j[r])
                 if key != at:
                     out += links(at, rows)
                     at, rows = key, {}
-                rows.setdefault(columns[5][r], (values[bounds[r] : bounds[r + 1]].copy(), columns[3][r] == key[1] and key[1] != key[2], columns[4][r]))
+                if own_k1[r] not in rows:
+                    rows[own_k1[r]] = (h[first[r] : first[r + 1]].copy(), own[r] == j[r] and i[r] != j[r], label[r])
             if len(out) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
                 out = []
@@ -317,16 +353,13 @@ def _trees(num: int, den: int) -> Callable[[Batches], Batches]:
     return run
 
 
-def _links(docs: DataFrame, places: DataFrame, k: int, num: int, den: int, few: bool = False) -> DataFrame:
-    """Links a, b among places (k1, k2, rep and _PLACE): a class meets those of its block that own what is between its
-    first and last."""
-    place = [x.split()[0] for x in _PLACE.split(", ")]
-    wanted = places.groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list(F.struct("k1", "k2", *place)).alias("wanted"))
-    # a fixed share of the corpus is wanted: merged at every size, so the plan of a small input is that of a large one
-    sets = docs.join(F.broadcast(wanted) if few else wanted.hint("merge"), "doc_id").select("doc_id", "text", "wanted").mapInArrow(_wanted(k), _WANTED)
-    dealt = sets.select("*", F.explode(F.sequence("first", "last")).alias("other"))
-    dealt = dealt.select("block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "label", "k1", "items")
-    return dealt.repartition(slots(docs.sparkSession), "block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(_trees(num, den), "a long, b long")
+def _links(texts: DataFrame, places: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links a, b among places (k1, k2, block, first, last, own, label): a class meets those of its block that own what is
+    between its first and last. Texts are dealt, not their sets, which are larger and do not compress."""
+    # a fixed share of the corpus has places: merged at every size, so the plan of a small input is that of a large one
+    dealt = texts.hint("merge").join(places, ["k1", "k2"]).select("*", F.explode(F.sequence("first", "last")).alias("other"))
+    dealt = dealt.select("block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "label", "k1", "k2", "text")
+    return dealt.repartition(slots(texts.sparkSession), "block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(_trees(k, num, den), "a long, b long")
 
 
 def _leaves(docs, shingles, leaf_docs: int, leaf_shingles: int):
@@ -349,7 +382,7 @@ def _places(rows: DataFrame, sides: DataFrame, block: str) -> DataFrame:
     mixed = lookup(rows, sides, [block], "m").where("labels > 1")
     one, spot = F.col("label") == F.col("top"), F.xxhash64("k1")
     own = F.when(one, F.pmod(spot, "p")).otherwise(F.col("p") + F.pmod(spot, "q")).cast("int")
-    return mixed.select("k1", "k2", "rep", F.col(block).alias("block"), F.when(one, F.col("p")).otherwise(0).alias("first"), (F.col("p") + F.col("q") - 1).alias("last"), own.alias("own"), "label")
+    return mixed.select("k1", "k2", F.col(block).alias("block"), F.when(one, F.col("p")).otherwise(0).alias("first"), (F.col("p") + F.col("q") - 1).alias("last"), own.alias("own"), "label")
 
 
 def jaccard_components(docs: DataFrame, k: int, num: int, den: int, leaf_docs: int = LEAF_DOCS, leaf_shingles: int = LEAF_SHINGLES) -> DataFrame:
@@ -362,11 +395,9 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, leaf_docs: i
     classes = found.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n", "level").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     frames = [found]
 
-    rows = docs.where("doc_id is not null").mapInArrow(_keys(k, num, den, frequent_shingles(docs, k)), _KEYS).repartition(parts, "deal")
-    # a batch sends a key once, so no key's rows are many; one exchange serves both their bounds and themselves
-    own = Window.partitionBy("deal")
-    shared = rows.select("*", F.min("v").over(own).alias("first"), F.max("v").over(own).alias("last")).where("first < last or lo is not null")
-    shared = stage(shared.select("v", F.coalesce("key", "deal").alias("key"), F.coalesce("lo", "first").alias("lo")))
+    rows = docs.where("doc_id is not null").mapInArrow(_keys(k, num, den, frequent_shingles(docs, k), parts), _PACKED).repartitionById(parts, "deal")
+    # a batch sends a key once, so no key's rows are many
+    shared = stage(rows.mapInArrow(_unpack, _KEYS).sortWithinPartitions("key", "v").mapInArrow(_shared, _KEYS))
     trees = components(shared.where("v <> lo").select(F.col("lo").alias("a"), F.col("v").alias("b")).distinct())
     frames += [shared, trees]
 
@@ -374,19 +405,21 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, leaf_docs: i
     members = stage(places.join(trees.select("v", F.col("component").alias("tree")), "v"))
     sizes = stage(members.groupBy("tree").agg(_leaves(F.count("*"), F.sum("n"), leaf_docs, leaf_shingles).alias("leaves"), F.count("*").alias("members")))
     frames += [members, sizes]
+    # the texts of all trees, kept for both deals
+    texts = stage(docs.join(members.select(F.col("rep").alias("doc_id"), "k1", "k2").distinct().hint("merge"), "doc_id").select("k1", "k2", "text"))
+    frames.append(texts)
     own = F.pmod(F.xxhash64("k1"), "leaves").cast("int")
     pivot = (F.col("leaves") > 1) & (F.pmod(F.xxhash64(F.lit(1), "k1"), F.col("leaves") * max(1, leaf_docs // PIVOTS)) == 0)
-    first = lookup(members, sizes, ["tree"], "members").select("k1", "k2", "rep", F.col("tree").alias("block"), "leaves", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("leaves") - 1)).otherwise(F.array(own))).alias("own"))
-    first = first.select("k1", "k2", "rep", "block", F.col("own").alias("first"), F.col("own").alias("last"), "own", F.col("k1").alias("label"))
-    links = _links(docs, first, k, num, den)
-    joined = components(links)
+    first = lookup(members, sizes, ["tree"], "members").select("k1", "k2", F.col("tree").alias("block"), "leaves", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("leaves") - 1)).otherwise(F.array(own))).alias("own"))
+    first = first.select("k1", "k2", "block", F.col("own").alias("first"), F.col("own").alias("last"), "own", F.col("k1").alias("label"))
+    joined = components(_links(texts, first, k, num, den))
     frames.append(joined)
 
     large = sizes.where("leaves > 1")
     if not large.isEmpty():
         edges = joined.select(F.col("v").alias("a"), F.col("component").alias("b"))
         some = members.join(large.select("tree"), "tree", "left_semi").join(joined.withColumnRenamed("v", "k1"), "k1", "left")
-        some = stage(some.select("v", "tree", "k1", "k2", "n", "rep", F.coalesce("component", "k1").alias("label")))
+        some = stage(some.select("v", "tree", "k1", "k2", "n", F.coalesce("component", "k1").alias("label")))
         keyed = stage(shared.select("v", "key").join(some, "v").distinct())
         frames += [some, keyed]
         # a tree is done as one block or key by key, whichever moves fewer sets
@@ -399,8 +432,7 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, leaf_docs: i
         second = second.unionByName(_places(by_key, _sides(by_key, "key", leaf_docs, leaf_shingles).drop("sets"), "key"))
         second = stage(second)
         frames.append(second)
-        # up to FEW places are broadcast, so the texts do not shuffle again for them
-        joined = components(edges.unionByName(_links(docs, second, k, num, den, second.count() <= FEW)))
+        joined = components(edges.unionByName(_links(texts, second, k, num, den)))
         frames.append(joined)
 
     linked = joined.select(F.col("v").alias("k1"), "component").join(classes.select("k1", "rep"), "k1")
