@@ -48,8 +48,8 @@ PIECE = 1 << 20
 LEAF_DOCS, LEAF_SHINGLES, PIVOTS = 2048, 2_000_000, 64
 #: The sample that tells frequent shingles: documents and their characters, documents that make one frequent, and how many.
 SAMPLE, SAMPLE_CHARS, MANY, MOST = 12_000, 20_000, 3, 500_000
-#: Keys in a packed row.
-PACKED = 1 << 16
+#: Keys in a packed row, and deals of a partition, each of which is held in memory alone.
+PACKED, DEALS = 1 << 16, 8
 #: Coordinates of a point, and points in a node.
 COORDINATES, NODE = 128, 32
 
@@ -209,22 +209,13 @@ def _packs(deal: np.ndarray, v: np.ndarray, key: np.ndarray, lo: np.ndarray | No
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["deal", "key", "v", "times", "lo"])
 
 
-def _unpack(batches: Batches) -> Batches:
-    """_PACKED -> _KEYS; lo is null where it was not given."""
-    for batch in batches:
-        for key, v, times, lo in zip(*(batch.column(c).to_pylist() for c in range(1, 5)), strict=True):
-            key, v, lo = (np.frombuffer(x, np.int64) for x in (key, v, lo))
-            least = pa.array(lo) if len(lo) else pa.nulls(len(key), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(v, np.frombuffer(times, np.int32))), pa.array(key), least], ["v", "key", "lo"])
-
-
-def _keys(k: int, num: int, den: int, frequent: np.ndarray, parts: int) -> Callable[[Batches], Batches]:
-    """The vertices of each key, dealt by key into parts and packed. Where a batch holds a key more than once, only its least
+def _keys(k: int, num: int, den: int, frequent: np.ndarray, deals: int) -> Callable[[Batches], Batches]:
+    """The vertices of each key, dealt by key and packed. Where a batch holds a key more than once, only its least
     vertex is dealt so; all of them also go out with the key and the least vertex that keys of the batch connect them with,
     dealt at random."""
 
     def part(x: np.ndarray) -> np.ndarray:
-        return ((scan.mix(x ^ _U(0x8EBC6AF09C88C6E3)) >> _U(20)) % _U(parts)).astype(np.int32)
+        return ((scan.mix(x ^ _U(0x8EBC6AF09C88C6E3)) >> _U(20)) % _U(deals)).astype(np.int32)
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
@@ -250,32 +241,36 @@ def _keys(k: int, num: int, den: int, frequent: np.ndarray, parts: int) -> Calla
 
 
 def _shared(batches: Batches) -> Batches:
-    """_KEYS sorted by key and v -> the rows of keys of more than one vertex, with the least one as lo, and those that have
-    lo already. A key may go on in the next batch; nothing of it is held but its least vertex."""
-    at = None  # the last key, its least vertex, and whether that one is out
+    """_PACKED sorted by deal -> _KEYS of the keys of more than one vertex, with the least one as lo, and of the rows that
+    have lo already."""
+
+    def told(*columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["v", "key", "lo"])
+
+    def crowds(rows: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        v, key = (np.concatenate([np.zeros(0, np.int64), *(r[i] for r in rows)]) for i in (0, 1))
+        order = np.lexsort((v, key))
+        v, key = v[order], key[order]
+        new = np.ones(len(v), bool)
+        new[1:] = key[1:] != key[:-1]
+        of = np.cumsum(new) - 1
+        least = v[new][of]
+        crowd = np.bincount(of[v != least], minlength=int(new.sum()))[of] > 0
+        return told(v[crowd], key[crowd], least[crowd])
+
+    at, rows = None, []
     for batch in batches:
-        lo = batch.column(2)
-        told = lo.is_valid().to_numpy(zero_copy_only=False)
-        v, key, lo = (x.to_numpy(zero_copy_only=False) for x in (batch.column(0), batch.column(1), lo.fill_null(0)))
-        rows = [(v[told], key[told], lo[told])]
-        v, key = v[~told], key[~told]
-        if len(v):
-            if at:
-                key, v = np.concatenate(([at[0]], key)), np.concatenate(([at[1]], v))
-            new = np.ones(len(key), bool)
-            new[1:] = key[1:] != key[:-1]
-            starts = np.flatnonzero(new)
-            least = np.repeat(v[starts], np.diff(np.append(starts, len(key))))
-            out = v != least
-            crowd = np.logical_or.reduceat(out, starts)
-            out[starts] = crowd
-            told_first = bool(at and at[2])
-            if told_first:
-                out[0] = False
-            at = (key[starts[-1]], v[starts[-1]], bool(crowd[-1]) or (told_first and len(starts) == 1))
-            rows.append((v[out], key[out], least[out]))
-        for columns in rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["v", "key", "lo"])
+        for r in range(batch.num_rows):
+            deal, key, v, times, lo = (column[r].as_py() for column in batch.columns)
+            key, v = np.frombuffer(key, np.int64), np.repeat(np.frombuffer(v, np.int64), np.frombuffer(times, np.int32))
+            if lo:
+                yield told(v, key, np.frombuffer(lo, np.int64))
+                continue
+            if deal != at:
+                yield crowds(rows)
+                at, rows = deal, []
+            rows.append((v, key))
+    yield crowds(rows)
 
 
 def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
@@ -395,9 +390,9 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, leaf_docs: i
     classes = found.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n", "level").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     frames = [found]
 
-    rows = docs.where("doc_id is not null").mapInArrow(_keys(k, num, den, frequent_shingles(docs, k), parts), _PACKED).repartitionById(parts, "deal")
+    rows = docs.where("doc_id is not null").mapInArrow(_keys(k, num, den, frequent_shingles(docs, k), parts * DEALS), _PACKED)
     # a batch sends a key once, so no key's rows are many
-    shared = stage(rows.mapInArrow(_unpack, _KEYS).sortWithinPartitions("key", "v").mapInArrow(_shared, _KEYS))
+    shared = stage(rows.repartitionById(parts, F.col("deal") % parts).sortWithinPartitions("deal").mapInArrow(_shared, _KEYS))
     trees = components(shared.where("v <> lo").select(F.col("lo").alias("a"), F.col("v").alias("b")).distinct())
     frames += [shared, trees]
 
