@@ -200,7 +200,7 @@ def _packs(deal: np.ndarray, v: np.ndarray, key: np.ndarray, lo: np.ndarray | No
     bounds = [(x, min(x + PACKED, b)) for a, b in zip(starts, np.append(starts, len(v))[1:], strict=True) for x in range(a, b, PACKED)]
     vertices_, times = [], []
     for a, b in bounds:
-        first = np.flatnonzero(np.diff(v[a:b], prepend=v[a] - 1))
+        first = np.flatnonzero(np.diff(v[a:b], prepend=~v[a]))
         vertices_.append(v[a:b][first].tobytes())
         times.append(np.diff(np.append(first, b - a)).astype(np.int32).tobytes())
     least = [b""] * len(bounds) if lo is None else [lo[order[a:b]].tobytes() for a, b in bounds]
