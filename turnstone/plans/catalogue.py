@@ -440,8 +440,13 @@ def _facts(spark, sf):
     return table(spark, sf, "events").select(F.concat(F.lit("u"), "user_id").alias("subject"), F.col("event_type").alias("predicate"), F.concat(F.lit("k"), F.get_json_object("props", "$.k")).alias("object"), F.col("ts").alias("valid_from"), F.lead("ts").over(w).alias("valid_to"))
 
 
+def _seconds(at):
+    """Whole seconds nearest to a time, halves to the even one, as the SQL's cast of an epoch rounds."""
+    return F.rint(F.unix_micros(at.cast("timestamp")) / 1_000_000)
+
+
 def _middle(facts):
-    return facts.agg(F.min("valid_from").alias("a"), F.max("valid_from").alias("b")).select((F.unix_seconds(F.col("a").cast("timestamp")) / 2 + F.unix_seconds(F.col("b").cast("timestamp")) / 2).cast("bigint").alias("s"))
+    return facts.agg(F.min("valid_from").alias("a"), F.max("valid_from").alias("b")).select(F.rint(_seconds(F.col("a")) / 2 + _seconds(F.col("b")) / 2).cast("bigint").alias("s"))
 
 
 @query(f"SELECT subject, predicate, object FROM {_FACTS}, (SELECT make_timestamp(((epoch(min(ts))::BIGINT / 2 + epoch(max(ts))::BIGINT / 2)::BIGINT) * 1000000) AS t FROM events) WHERE valid_from <= t AND (valid_to IS NULL OR valid_to > t)")
