@@ -7,7 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from turnstone.operators import sketches
-from turnstone.plans.catalogue import _ALL, _FILLED, _export, _jsonl, ORACLE_SQL, QUERIES, query, table
+from turnstone.plans.catalogue import _ALL, _FILLED, _export, _jsonl, _seconds, ORACLE_SQL, QUERIES, query, table
 from turnstone.sources import archive, chats, readers, scratch, store
 from turnstone.streaming import ingest, progress, windows
 
@@ -45,7 +45,7 @@ _MIDDLE = "(SELECT make_timestamp((epoch(min(ts))::BIGINT + epoch(max(ts))::BIGI
 def event_windows_late(spark, sf):
     """The later half comes first, so that what comes from a day before it is late: it is counted, and in no window."""
     e = _events(spark, sf)
-    middle = e.agg(F.timestamp_seconds(F.floor((F.unix_seconds(F.min("ts")) + F.unix_seconds(F.max("ts"))) / 2)).alias("m")).first().m
+    middle = e.agg(F.timestamp_seconds(((_seconds(F.min("ts")) + _seconds(F.max("ts"))) / 2).cast("bigint")).alias("m")).first().m
     folder = scratch.folder(spark)
     later, even = F.col("ts") >= middle, F.col("event_id") % 2 == 0
     # two rounds, as a round drops by the watermark that the one before it began with
