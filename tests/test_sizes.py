@@ -33,3 +33,11 @@ def test_times_that_round(spark, tmp_path, name, last):
     rows = [(i, start + datetime.timedelta(seconds=s), i % 3, "view", 1.0, '{"k": %d}' % i) for i, s in enumerate(at)]
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
     assert agree(spark, tmp_path, name)
+
+
+def test_names_of_other_urls(spark, tmp_path):
+    """Pages whose number, or name and number, is the name of another page's url; one without a url."""
+    urls = [(1, "http://a/en/7/"), (2, "http://a/en/1"), (3, "http://a/en/72"), (4, "http://b/fr/723"), (5, "http://a/en/x"), (6, None), (7, "http://b/fr/72"), (8, "http://a/en/x5"), (13, "http://c/de/"), (21, "http://c/de/1"), (23, "http://a/en/7")]
+    spark.createDataFrame(urls, "page_id long, url string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    rows = agree(spark, tmp_path, "resolve_paths")
+    assert ("http://a/en/72", None) in rows and ("http://c/de/", "/moved/13") in rows and (None, None) in rows

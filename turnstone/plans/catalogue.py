@@ -847,9 +847,12 @@ def resolve_paths(spark, sf):
     """Files that are where they were, files that moved and are found by name, and files that are gone."""
     pages = table(spark, sf, "pages")
     name = F.substring_index("url", "/", -1)
-    wanted = pages.select(F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.concat("url", "page_id")).alias("path"), "url", "page_id")
-    known = pages.where("page_id % 2 = 0").select(F.lit(0).alias("root"), F.col("url").alias("path")).unionByName(pages.where("page_id % 4 = 1").select(F.lit(1).alias("root"), F.concat(F.lit("/moved/"), name, "page_id").alias("path")))
-    return chats.resolve(wanted.select("path").distinct(), known).join(wanted, "path").select(F.col("url").alias("path"), "found")
+    # what moved and what is gone was in folders of its own, and no file has a name like that of a gone one: urls end in numbers too
+    moved, gone = F.concat(F.lit("/was/"), "url", "page_id"), F.concat(F.lit("/gone/"), "url", "page_id", F.lit(".gone"))
+    wanted = pages.select(F.when(F.col("page_id") % 2 == 0, F.col("url")).when(F.col("page_id") % 4 == 1, moved).otherwise(gone).alias("path"), "url")
+    # the folder that files move to is the first root, so a name is that of a moved file before it is another url's
+    known = pages.where("page_id % 4 = 1").select(F.lit(0).alias("root"), F.concat(F.lit("/moved/"), name, "page_id").alias("path")).unionByName(pages.where("page_id % 2 = 0").select(F.lit(1).alias("root"), F.col("url").alias("path")))
+    return wanted.join(chats.resolve(wanted.select("path").distinct(), known), "path", "left").select(F.col("url").alias("path"), "found")
 
 
 from turnstone.plans import live, retrieval, surface, temporal  # noqa: E402, F401  they add their queries to those above
