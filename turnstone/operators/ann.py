@@ -42,7 +42,9 @@ class Ivf:
         return len(self.centroids)
 
     def probes(self, asked: np.ndarray, nprobe: int) -> np.ndarray:
-        """For each query the nprobe lists of nearest centroids, the nearest first."""
+        """For each query the nprobe lists of nearest centroids, the nearest first; none for queries of another width."""
+        if asked.shape[1] != self.centroids.shape[1]:
+            return np.zeros((len(asked), 0), np.int64)
         return np.argsort(-(_unit(asked) @ self.centroids.T), axis=1, kind="stable")[:, :nprobe]
 
 
