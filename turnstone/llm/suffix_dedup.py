@@ -230,6 +230,7 @@ def suffix_dedup(docs: DataFrame, texts: bool = True, hot: int = HOT) -> DataFra
     found = stage(table.select("rid", "text").mapInArrow(_find, _FOUND))
     grams = found.groupBy("gram").agg(F.count("*").alias("strings")).where("strings > 1")
     suspects = stage(lookup(found, grams, ["gram"], "strings").drop("strings"))
+    unstage(found)
     classes = stage(suspects.groupBy("gram", "whole").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "lo", "anchor", "hi")).alias("one")))
     crowd = classes.groupBy("gram").agg(F.count("*").alias("classes")).where("classes > 1")
     repeats = lookup(suspects, classes.where("copies > 1").select("gram", "whole", "copies"), ["gram", "whole"], "copies").select("rid", "lo", "hi")
@@ -249,7 +250,7 @@ def suffix_dedup(docs: DataFrame, texts: bool = True, hot: int = HOT) -> DataFra
     spans = repeats.unionByName(runs).groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     out = table.join(spans, "rid", "left").select("doc_id", "text", "runs").mapInArrow(_cut, _CUT)
     out = stage(out if texts else out.drop("kept"))
-    unstage(table, found, suspects, classes, strings)
+    unstage(table, suspects, classes, strings)
     return out
 
 
