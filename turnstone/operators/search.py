@@ -29,9 +29,38 @@ def top_k_by_group(points: DataFrame, query: Sequence[float], k: int, group: str
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def search_block(points: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id", vector: str = "embedding", block: int = 4096) -> DataFrame:
+class Best:
+    """The k best (id, score) of each of many queries, ties by id, of scores that come in parts: a task holds k rows a query and
+    one part."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.k, self.queries = k, queries
+        self.q, self.ids, self.scores = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        #: Of each query what a score must reach.
+        self.floor = np.full(queries, -np.inf)
+
+    def add(self, q: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        if not len(q):
+            return
+        q, ids, scores = np.concatenate((self.q, q)), np.concatenate((self.ids, ids)), np.concatenate((self.scores, scores))
+        order = np.lexsort((ids, -scores, q))
+        q, ids, scores = q[order], ids[order], scores[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, np.arange(self.queries))[q]
+        full = rank == self.k - 1
+        self.floor[q[full]] = scores[full]
+        self.q, self.ids, self.scores = (x[rank < self.k] for x in (q, ids, scores))
+
+    def batches(self, query_ids: pa.Array, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+        """query_id, id, score of what is kept."""
+        for i in range(0, len(self.q), rows):
+            part = slice(i, i + rows)
+            yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(self.q[part])), pa.array(self.ids[part]), pa.array(self.scores[part])], ["query_id", "id", "score"])
+
+
+def search_block(points: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id", vector: str = "embedding", block: int = 4096, cells: int = 1 << 20) -> DataFrame:
     """query_id, id, score, rank: the k points most alike to each query but itself. Queries go out in blocks of bounded
-    size, each a scan that keeps k rows a task and query before anything shuffles."""
+    size, each a scan that keeps k rows a task and query before anything shuffles; a task scores at most so many cells, points by
+    queries, at a time."""
     spark = points.sparkSession
     rows = points.select(F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     found = None
@@ -42,17 +71,17 @@ def search_block(points: DataFrame, queries: DataFrame, k: int, id_: str = "vec_
         asked /= np.maximum(np.linalg.norm(asked, axis=1, keepdims=True), 1e-300)
 
         def score(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, matrix_: np.ndarray = asked) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                v, there = matrix(batch.column(1), matrix_.shape[1])
-                own = batch.column(0).to_numpy()[there]
-                s = np.round(v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300) @ matrix_.T, 4)
-                s[own[:, None] == ids[None, :]] = -np.inf
-                best = np.lexsort((np.broadcast_to(own[:, None], s.shape), -s), axis=0)[:k]
-                q = np.broadcast_to(np.arange(len(ids)), best.shape)
-                keep = np.isfinite(s[best, q])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q[keep]]), pa.array(own[best[keep]]), pa.array(s[best, q][keep])], ["query_id", "id", "score"])
+            best, step = Best(len(ids), k), max(1, cells // len(ids))
+            for whole in batches:
+                for at in range(0, whole.num_rows, step):
+                    batch = whole.slice(at, step)
+                    v, there = matrix(batch.column(1), matrix_.shape[1])
+                    own = batch.column(0).to_numpy()[there]
+                    s = np.round(v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300) @ matrix_.T, 4)
+                    s[own[:, None] == ids[None, :]] = -np.inf
+                    at_, q = np.nonzero((s >= best.floor) & np.isfinite(s))
+                    best.add(q, own[at_], s[at_, q])
+            yield from best.batches(pa.array(ids))
 
         part = rows.mapInArrow(score, "query_id long, id long, score double")
         found = part if found is None else found.unionByName(part)
