@@ -1,11 +1,11 @@
 """What larger tables showed: times that round, names that are urls' names as well, queries that meet every text."""
 
 import datetime
-import re
 
 import duckdb
 import pytest
 
+from turnstone.operators import keyword
 from turnstone.plans import catalogue
 
 
@@ -41,3 +41,13 @@ def test_names_of_other_urls(spark, tmp_path):
     spark.createDataFrame(urls, "page_id long, url string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
     rows = agree(spark, tmp_path, "resolve_paths")
     assert ("http://a/en/72", None) in rows and ("http://c/de/", "/moved/13") in rows and (None, None) in rows
+
+
+def test_best_rows_of_a_task(spark):
+    """Of a query whose term every text holds, a task hands on k rows and no more; ids that repeat count once."""
+    texts = spark.range(0, 3000, 1, 2).selectExpr("id", "concat('the ', if(id % 7 = 0, 'cat', 'dog')) AS text")
+    queries = spark.createDataFrame([(1, "the"), (2, "the cat")], "query_id long, text string")
+    found = keyword.bm25(keyword.index(texts.union(texts.where("id = 14"))), queries, 3)
+    assert [(r.query_id, r.id) for r in found.orderBy("query_id", "rank").collect()] == [(1, 14), (1, 0), (1, 1), (2, 14), (2, 0), (2, 7)]
+    # no scores are summed by query and text after a shuffle
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()

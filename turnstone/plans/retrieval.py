@@ -96,9 +96,13 @@ _REPORT = " UNION ALL ".join(
 def ranking_report(spark, sf):
     """Recall and NDCG at 10 of the semantic, the keyword and the fused ranking; rows of the same label are relevant."""
     semantic, words, fused = _rankings(spark, sf)
-    e = table(spark, sf, "embeddings")
-    relevant = _asked(spark, sf).select(F.col("vec_id").alias("query_id"), "label").join(e.select(F.col("vec_id").alias("id"), "label"), "label").where("id <> query_id").select("query_id", "id")
-    return keyword.report(10, scratch.stage(relevant), semantic=semantic, keyword=words, fused=fused)
+    e, fused = table(spark, sf, "embeddings"), scratch.stage(fused)
+    # all rows of a query's label would be pairs as the square of the table: only those that a ranking holds are joined
+    asked = _asked(spark, sf).select(F.col("vec_id").alias("query_id"), "label")
+    totals = asked.join(e.groupBy("label").agg((F.count("*") - 1).alias("wanted")), "label").where("wanted > 0").select("query_id", "wanted")
+    pairs = semantic.select("query_id", "id").unionByName(words.select("query_id", "id")).unionByName(fused.select("query_id", "id")).distinct()
+    relevant = pairs.where("id <> query_id").join(asked, "query_id").join(e.select(F.col("vec_id").alias("id"), "label"), ["id", "label"]).select("query_id", "id")
+    return keyword.report(10, scratch.stage(relevant), scratch.stage(totals), semantic=semantic, keyword=words, fused=fused)
 
 
 # --- near duplicates ------------------------------------------------------------------------------------------------
