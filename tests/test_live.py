@@ -44,6 +44,31 @@ def test_same_turns_as_the_readers(spark, folder):
     assert turns(load(spark, f"file://{folder}", hidden="false")) == turns(own)
 
 
+def test_files_written_as_named(spark, tmp_path):
+    archive.register(spark)
+    rows = [("a b+%é/one.jsonl", "x\n"), ("two.jsonl", None), ("a b+%é/../three", "y")]
+    write = lambda rows: spark.createDataFrame(rows, "path string, value string").write.format("chat_archive").mode("append").save(str(tmp_path / "kept"))
+    write(rows[:2])
+    write([("two.jsonl", "again")])
+    found = {str(p.relative_to(tmp_path / "kept")): p.read_text() for p in (tmp_path / "kept").rglob("*") if p.is_file()}
+    assert found == {"a b+%é/one.jsonl": "x\n", "two.jsonl": "again"}  # no marks, checksums or halves beside them
+    for bad in (rows[2], ("/etc/x", "y"), (None, "y")):
+        with pytest.raises(Exception, match="not a path below"):
+            write([bad])
+
+
+def test_few_tasks_list_many_folders(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"d{i}").mkdir()
+        (tmp_path / f"d{i}" / "s.jsonl").write_text("{}")
+    spark.sparkContext.setJobGroup("listing", "listing")
+    found = chats.files(spark, str(tmp_path), "*.jsonl")
+    told = spark.sparkContext.statusTracker()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = [told.getStageInfo(s) for j in told.getJobIdsForGroup("listing") for s in told.getJobInfo(j).stageIds]
+    assert found.count() == 300 and 0 < sum(s.numTasks for s in stages) <= chats.LISTERS * spark.sparkContext.defaultParallelism < 300
+
+
 def test_options(spark, folder):
     assert names(load(spark, folder, glob="*.jsonl", hidden="false")) == ["empty.jsonl", "one.jsonl", "two.jsonl"]
     assert names(load(spark, folder, under="chats")) == ["session-1.json"] and names(load(spark, folder, depth=2)) == ["session-1.json"]

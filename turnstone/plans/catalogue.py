@@ -15,7 +15,7 @@ from turnstone.functions import text as x
 from turnstone.functions.vectors import hashed_embedder
 from turnstone.operators import drawers, graph, ops, search, tasks, turns
 from turnstone.operators.memory import Memories, Persona, with_persona
-from turnstone.sources import chats, readers, scratch, store
+from turnstone.sources import archive, chats, readers, scratch, store
 from turnstone.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -756,12 +756,13 @@ def read_session_files(spark, sf):
     """Sessions written as files, in folders whose names hold spaces, signs and accents, found and read again."""
     folder = _folder(spark)
     lined = _jsonl(spark, sf, F.to_json(F.struct("role", F.col("text").alias("content"))))
-    talk = F.concat(F.lit("c "), F.regexp_extract("path", r"(\d+)\.jsonl$", 1), F.lit("+%é"))
-    lined.select(talk.alias("talk"), "value").write.partitionBy("talk").text(folder)
-    whole = chats.scan(spark, [f"{folder}/absent", folder], "part-*", depth=1).withColumn("path", F.concat("path", F.lit(".jsonl")))
+    name = F.concat(F.lit("talk=c "), F.regexp_extract("path", r"(\d+)\.jsonl$", 1), F.lit("+%25é/session.jsonl"))
+    archive.register(spark)
+    lined.select(name.alias("path"), "value").write.format("chat_archive").mode("append").save(folder)
+    whole = scratch.stage(chats.scan(spark, [f"{folder}/absent", folder], "*.jsonl", depth=1))  # a file is opened once
     own = F.url_decode(F.regexp_replace(F.regexp_extract("path", r"talk=([^/]+)/", 1), r"\+", "%2B"))
     told = chats.detect_format(whole).join(chats.parse_sessions(whole), "path")
-    some = whole.agg(F.min("path")).first()[0].removesuffix(".jsonl")
+    some = whole.agg(F.min("path")).first()[0]
     return told.select(own.alias("talk"), "format", "user_input", "ai_response", F.lit(store.exists(spark, some)).alias("there"))
 
 

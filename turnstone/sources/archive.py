@@ -7,6 +7,9 @@ readers.file_turns(spark.read.format("chat_archive").load(root)) are an archive'
   match are never opened.
 - as a stream, a file that is written again is read again: the offset is a time of change, and a round takes what
   changed since. Spark's own file source remembers names, and misses it.
+- df.write.format("chat_archive").mode("append").save(root) writes a file for each row (path below the root, value), under the
+  name given and from the row's task: Spark's writers by partition name files themselves, and on a local file system start a
+  process for each file and folder. A file that is there is replaced, whole or not at all.
 
 Options: glob (* by default), under (the name of a file's folder), depth (folders below the root), hidden (true by default: also
 paths with a part that begins with a dot, which Spark's own readers skip), maxBytes (of files that one task reads, 64 MB by default). path is a URI that
@@ -18,13 +21,14 @@ from __future__ import annotations
 
 import fnmatch
 import posixpath
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringStartsWith
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringStartsWith, WriterCommitMessage
 
 SCHEMA = "path string, value string, bytes long, changed timestamp"
 _BY = {EqualTo: lambda a, b: a == b, GreaterThan: lambda a, b: a > b, GreaterThanOrEqual: lambda a, b: a >= b, LessThan: lambda a, b: a < b, LessThanOrEqual: lambda a, b: a <= b, In: lambda a, b: a in b, StringStartsWith: lambda a, b: a.startswith(b)}
@@ -137,6 +141,33 @@ class ArchiveStream(_Archive, DataSourceStreamReader):
         pass
 
 
+class ArchiveWriter(DataSourceArrowWriter):
+    """Files written by tasks; a task that runs twice writes the same files again."""
+
+    def __init__(self, options: dict[str, str]) -> None:
+        self.root = options.get("path", "")
+        if not self.root:
+            raise ValueError("chat_archive needs a path")
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        where, root = _open(self.root)
+        made = set()
+        for batch in iterator:
+            for path, value in zip(batch.column("path").to_pylist(), batch.column("value").to_pylist(), strict=True):
+                if not path or path.startswith("/") or ".." in path.split("/"):
+                    raise ValueError(f"not a path below the archive: {path!r}")
+                at = f"{root}/{path}"
+                above = posixpath.dirname(at)
+                if above not in made:
+                    where.create_dir(above, recursive=True)
+                    made.add(above)
+                part = f"{above}/.{uuid.uuid4().hex}"
+                with where.open_output_stream(part) as stream:
+                    stream.write((value or "").encode())
+                where.move(part, at)
+        return WriterCommitMessage()
+
+
 class ChatArchive(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -148,6 +179,11 @@ class ChatArchive(DataSource):
     def reader(self, schema: object) -> ArchiveReader:
         return ArchiveReader(self.options)
 
+    def writer(self, schema: object, overwrite: bool) -> ArchiveWriter:
+        if overwrite:
+            raise ValueError("chat_archive is appended to")
+        return ArchiveWriter(self.options)
+
     def streamReader(self, schema: object) -> ArchiveStream:  # noqa: N802
         return ArchiveStream(self.options)
 

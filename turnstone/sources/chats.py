@@ -5,8 +5,9 @@ size bounds a task, not the archive's. JSON is VARIANT where shapes vary and a M
 
 from __future__ import annotations
 
+import contextlib
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,20 @@ from pyspark.sql.window import Window
 from turnstone.functions import text as x
 
 HEAD_CHARS = 200
+#: Tasks a core that list folders.
+LISTERS = 4
+
+
+@contextlib.contextmanager
+def _listed_by(spark: SparkSession, tasks: int) -> Iterator[None]:
+    """Many folders are listed by so many tasks at most; Spark's own bound, one a folder up to 10,000, costs more than they do."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(int(before), tasks))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def plain_path(uri: Column) -> Column:
@@ -56,7 +71,8 @@ def first_existing(spark: SparkSession, given: str | None, *candidates: str) ->
 def files(spark: SparkSession, folder: str, glob: str, recursive: bool = True, least_bytes: int = 0, hidden: bool = True) -> DataFrame:
     """path, value (the whole file), bytes, changed. A path is what other readers open: not encoded, and of the local file
     system without its scheme."""
-    df = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", glob).text(folder, wholetext=True)
+    with _listed_by(spark, LISTERS * spark.sparkContext.defaultParallelism):
+        df = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", glob).text(folder, wholetext=True)
     df = df.select(plain_path(F.col("_metadata.file_path")).alias("path"), "value", F.col("_metadata.file_size").alias("bytes"), F.col("_metadata.file_modification_time").alias("changed"))
     df = df.where(F.col("bytes") >= least_bytes)
     return df if hidden else df.where(~F.exists(F.split("path", "/"), lambda p: p.startswith(".")))
