@@ -89,10 +89,11 @@ def archive_turns(spark, sf):
     archive.register(spark)
     folder = scratch.folder(spark)
     lined = _jsonl(spark, sf, F.to_json(F.struct("role", F.col("text").alias("content"))))
-    lined.select(F.regexp_extract("path", r"(\d+)\.jsonl$", 1).alias("talk"), "value").write.partitionBy("talk").text(folder)
-    whole = spark.read.format("chat_archive").option("glob", "part-*").load(folder).where("bytes > 0")
+    name = F.concat(F.lit("talk="), F.regexp_extract("path", r"(\d+)\.jsonl$", 1), F.lit("/session.jsonl"))
+    lined.select(name.alias("path"), "value").write.format("chat_archive").mode("append").save(folder)
+    whole = spark.read.format("chat_archive").option("glob", "*.jsonl").load(folder).where("bytes > 0")
     talk = F.regexp_extract("path", r"talk=(\d+)/", 1)
-    turns = readers.file_turns(whole.withColumn("path", F.concat("path", F.lit(".jsonl"))), ["claude_jsonl"])
+    turns = readers.file_turns(whole, ["claude_jsonl"])
     return turns.select(talk.cast("long").alias("conv_id"), "index", "role", "content")
 
 
