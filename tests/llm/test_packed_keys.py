@@ -32,3 +32,16 @@ def test_shared_keys(monkeypatch):
 
 def test_no_keys():
     assert sum(b.num_rows for b in join._shared(iter([]))) == 0
+
+
+def test_packs_stay_small_in_many_deals():
+    """A row costs what tells its key and vertex in its deal, however few rows of a vertex a deal has."""
+    rng = np.random.default_rng(1)
+    deal = np.repeat(np.arange(400, dtype=np.int32), 500)
+    key = join.named(deal, rng.integers(-(1 << 63), (1 << 63) - 1, len(deal)))
+    v = join.vertices(rng.integers(0, 1 << 62, 2000), np.ones(2000, np.int64))[rng.integers(0, 2000, len(deal))]
+    packed = join._packs(deal, v, key, None)
+    assert sum(len(x) for c in ("key", "v", "times") for x in packed.column(c).to_pylist()) < 13 * len(deal)
+    twice = pa.Table.from_batches([packed, join._packs(deal, v + 1, key, None)]).sort_by("deal").to_batches()
+    got = {row for b in join._shared(iter(twice)) for row in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+    assert got == {(a + up, k, a) for a, k in zip(v.tolist(), key.tolist(), strict=True) for up in (0, 1)}

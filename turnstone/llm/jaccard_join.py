@@ -50,6 +50,8 @@ LEAF_DOCS, LEAF_SHINGLES, PIVOTS = 2048, 2_000_000, 64
 SAMPLE, SAMPLE_CHARS, MANY, MOST = 12_000, 20_000, 3, 500_000
 #: Keys in a packed row, and deals of a partition, each of which is held in memory alone.
 PACKED, DEALS = 1 << 16, 8
+#: Bits that keys of one deal and vertices differ in: what is equal by chance is compared for nothing, and no more.
+BITS = 40
 #: Coordinates of a point, and points in a node.
 COORDINATES, NODE = 128, 32
 
@@ -138,7 +140,7 @@ Batches = Iterator[pa.RecordBatch]
 _SETS = "doc_id long, n long, k1 long, k2 long, items array<long>"
 _CLASSES = "doc_id long, n long, k1 long, k2 long, level int"
 _KEYS = "v long, key long, lo long"
-_PACKED = "deal int, key binary, v binary, times binary, lo binary"
+_PACKED = "deal int, n int, m int, key binary, v binary, times binary, lo binary"
 
 
 def _shingled(batches: Batches, k: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -169,8 +171,24 @@ def _classes(k: int, num: int, den: int) -> Callable[[Batches], Batches]:
 
 
 def vertices(k1: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """A class is a vertex of its own in either of its levels."""
-    return scan.mix(k1.view(_U) + scan.mix(level.astype(_U) + _U(0x2545F4914F6CDD1D))).view(np.int64)
+    """A class is a vertex of its own in either of its levels; classes of one vertex by chance are in one tree."""
+    return (scan.mix(k1.view(_U) + scan.mix(level.astype(_U) + _U(0x2545F4914F6CDD1D))) >> _U(64 - BITS)).view(np.int64)
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    """Numbers as the least of them, and the bytes that their distances to it need."""
+    least = x.min()
+    far = x.view(_U) - least.view(_U)
+    width = max(1, (int(far.max()).bit_length() + 7) // 8)
+    return least.tobytes() + far.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _wide(data: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        planes = np.frombuffer(data, np.uint8, offset=8).reshape(-1, n)
+        out[:, : len(planes)] = planes.T
+    return (out.view(_U).ravel() + np.frombuffer(data, _U, 1)).view(np.int64)
 
 
 def _roots(v: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -191,22 +209,30 @@ def _roots(v: np.ndarray, group: np.ndarray) -> np.ndarray:
 
 
 def _packs(deal: np.ndarray, v: np.ndarray, key: np.ndarray, lo: np.ndarray | None) -> pa.RecordBatch:
-    """_PACKED: the rows of each deal as the bytes of their columns, a vertex of successive rows once with its times."""
+    """_PACKED: the n rows of each deal as the bytes of their columns, a vertex of successive rows once, as its distance to
+    the one before, with its times; m are they."""
     order = np.lexsort((v, deal))
     deal, v, key = deal[order], v[order], key[order]
     new = np.ones(len(v), bool)
     new[1:] = deal[1:] != deal[:-1]
     starts = np.flatnonzero(new)
     bounds = [(x, min(x + PACKED, b)) for a, b in zip(starts, np.append(starts, len(v))[1:], strict=True) for x in range(a, b, PACKED)]
-    vertices_, times = [], []
+    keys, vertices_, times, many = [], [], [], []
     for a, b in bounds:
         first = np.flatnonzero(np.diff(v[a:b], prepend=~v[a]))
-        vertices_.append(v[a:b][first].tobytes())
-        times.append(np.diff(np.append(first, b - a)).astype(np.int32).tobytes())
+        keys.append(_narrow(key[a:b]))
+        vertices_.append(v[a : a + 1].tobytes() + _narrow(np.diff(v[a:b][first], prepend=v[a])))
+        times.append(_narrow(np.diff(np.append(first, b - a))))
+        many.append(len(first))
     least = [b""] * len(bounds) if lo is None else [lo[order[a:b]].tobytes() for a, b in bounds]
-    kinds = (pa.int32(), *[pa.binary()] * 4)
-    columns = ([int(deal[a]) for a, _ in bounds], [key[a:b].tobytes() for a, b in bounds], vertices_, times, least)
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["deal", "key", "v", "times", "lo"])
+    kinds = (*[pa.int32()] * 3, *[pa.binary()] * 4)
+    columns = ([int(deal[a]) for a, _ in bounds], [b - a for a, b in bounds], many, keys, vertices_, times, least)
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["deal", "n", "m", "key", "v", "times", "lo"])
+
+
+def named(deal: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """BITS of a key with its deal above them, so keys of different deals differ and those of one are near each other."""
+    return (deal.astype(np.int64) << BITS) | key & ((1 << BITS) - 1)
 
 
 def _keys(k: int, num: int, den: int, frequent: np.ndarray, deals: int) -> Callable[[Batches], Batches]:
@@ -234,8 +260,10 @@ def _keys(k: int, num: int, den: int, frequent: np.ndarray, deals: int) -> Calla
             many = np.diff(np.append(first, len(key)))
             crowd = np.repeat(many, many) > 1
             lo = _roots(v[crowd], np.cumsum(new)[crowd])
-            yield _packs(part(key[first].view(_U)), v[first], key[first], None)
-            yield _packs(part(v[crowd].view(_U) ^ scan.mix(key[crowd].view(_U))), v[crowd], key[crowd], lo)
+            deal = part(key.view(_U))
+            name = named(deal, key)
+            yield _packs(deal[first], v[first], name[first], None)
+            yield _packs(part(v[crowd].view(_U) ^ scan.mix(key[crowd].view(_U))), v[crowd], name[crowd], lo)
 
     return run
 
@@ -261,8 +289,8 @@ def _shared(batches: Batches) -> Batches:
     at, rows = None, []
     for batch in batches:
         for r in range(batch.num_rows):
-            deal, key, v, times, lo = (column[r].as_py() for column in batch.columns)
-            key, v = np.frombuffer(key, np.int64), np.repeat(np.frombuffer(v, np.int64), np.frombuffer(times, np.int32))
+            deal, n, m, key, v, times, lo = (column[r].as_py() for column in batch.columns)
+            key, v = _wide(key, n), np.repeat(np.frombuffer(v, np.int64, 1) + np.cumsum(_wide(v[8:], m)), _wide(times, m))
             if lo:
                 yield told(v, key, np.frombuffer(lo, np.int64))
                 continue
