@@ -428,12 +428,14 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, leaf_docs: i
     members = stage(places.join(trees.select("v", F.col("component").alias("tree")), "v"))
     sizes = stage(members.groupBy("tree").agg(_leaves(F.count("*"), F.sum("n"), leaf_docs, leaf_shingles).alias("leaves"), F.count("*").alias("members")))
     frames += [members, sizes]
-    # the texts of all trees, kept for both deals
-    texts = stage(docs.join(members.select(F.col("rep").alias("doc_id"), "k1", "k2").distinct().hint("merge"), "doc_id").select("k1", "k2", "text"))
+    # the texts of all trees, kept for both deals; the second needs those of large trees alone
+    dealt = lookup(members, sizes, ["tree"], "members")
+    held = dealt.groupBy(F.col("rep").alias("doc_id"), "k1", "k2").agg(F.max(F.col("leaves") > 1).alias("large"))
+    texts = stage(docs.join(held.hint("merge"), "doc_id").select("k1", "k2", "text", "large"))
     frames.append(texts)
     own = F.pmod(F.xxhash64("k1"), "leaves").cast("int")
     pivot = (F.col("leaves") > 1) & (F.pmod(F.xxhash64(F.lit(1), "k1"), F.col("leaves") * max(1, leaf_docs // PIVOTS)) == 0)
-    first = lookup(members, sizes, ["tree"], "members").select("k1", "k2", F.col("tree").alias("block"), "leaves", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("leaves") - 1)).otherwise(F.array(own))).alias("own"))
+    first = dealt.select("k1", "k2", F.col("tree").alias("block"), "leaves", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("leaves") - 1)).otherwise(F.array(own))).alias("own"))
     first = first.select("k1", "k2", "block", F.col("own").alias("first"), F.col("own").alias("last"), "own", F.col("k1").alias("label"))
     joined = components(_links(texts, first, k, num, den))
     frames.append(joined)
@@ -455,7 +457,7 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, leaf_docs: i
         second = second.unionByName(_places(by_key, _sides(by_key, "key", leaf_docs, leaf_shingles).drop("sets"), "key"))
         second = stage(second)
         frames.append(second)
-        joined = components(edges.unionByName(_links(texts, second, k, num, den)))
+        joined = components(edges.unionByName(_links(texts.where("large"), second, k, num, den)))
         frames.append(joined)
 
     linked = joined.select(F.col("v").alias("k1"), "component").join(classes.select("k1", "rep"), "k1")
