@@ -5,7 +5,7 @@ import datetime
 import duckdb
 import pytest
 
-from turnstone.operators import keyword
+from turnstone.operators import keyword, neardup
 from turnstone.plans import catalogue
 
 
@@ -51,3 +51,18 @@ def test_best_rows_of_a_task(spark):
     assert [(r.query_id, r.id) for r in found.orderBy("query_id", "rank").collect()] == [(1, 14), (1, 0), (1, 1), (2, 14), (2, 0), (2, 7)]
     # no scores are summed by query and text after a shuffle
     assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def most_rows(plan):
+    """Of the nodes of a plan that has run."""
+    kind, metric = plan.getClass().getSimpleName(), plan.metrics().get("numOutputRows")
+    below = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+    return max([metric.get().value() if metric.isDefined() else 0, *map(most_rows, below)])
+
+
+def test_texts_of_one_template(spark):
+    """Near copies of a template, 300 filed and 100 new: as many rows as texts, not as pairs; one is filed already."""
+    texts = spark.range(400).selectExpr("id", "concat(array_join(transform(sequence(1, 100), i -> concat('w', i)), ' '), ' x', if(id = 8, 7, id)) AS text")
+    found = neardup.near_duplicates(texts.where("id % 4 = 0"), texts.where("id % 4 > 0"))
+    assert sorted(map(tuple, found.collect())) == [(i, 7, 1.0) if i == 8 else (i, 1, round(96 / 98, 6)) for i in range(0, 400, 4)]
+    assert most_rows(found._jdf.queryExecution().executedPlan()) <= 400
