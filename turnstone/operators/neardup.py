@@ -3,7 +3,7 @@
 A text's shingles are its runs of WORDS words (the whole sequence where it has fewer), as 64-bit hashes. Texts of equal sets are
 one class, so copies never multiply; of a class only its least id is compared. BANDS bands of ROWS minima each make a class's
 keys: two sets of similarity s share one with probability 1 - (1 - s ^ ROWS) ^ BANDS, 0.9998 at 0.8. A new class that is filed
-already is done; any other meets the filed classes that have a key of its block, and is verified on the sets.
+already is done; any other that shares a key meets the filed classes that have a key of its block, and is verified on the sets.
 
 One pass over the texts leaves hashes and keys alone; the texts of what shares a key are read again. No pairs are made: new
 classes are dealt into blocks of bounded size, the filed classes of a block into parts of about HOT, to each of which the block
@@ -201,17 +201,22 @@ def near_duplicates(new: DataFrame, filed: DataFrame, least: float = 0.8, id_: s
     signed = scratch.stage(both.mapInArrow(_sign, f"id {both.schema['id'].dataType.simpleString()}, filed boolean, h1 long, h2 long, n int, keys array<long>"))
     mine, theirs = signed.where("not filed").drop("filed"), signed.where("filed").drop("filed")
     name = ["h1", "h2"]
-    same = scratch.stage(theirs.join(mine.select(name).distinct(), name).groupBy(name).agg(F.min("id").alias("filed")).withColumn("similarity", F.lit(1.0)))
+    # grouped before they are joined, so many copies of a text are few rows by then
+    same = theirs.groupBy(name).agg(F.min("id").alias("filed"))
+    same = scratch.stage(same.join(mine.select(name).distinct(), name).withColumn("similarity", F.lit(1.0)))
+    key = F.explode("keys").alias("key")
     rest = mine.join(same, name, "left_anti").groupBy(name).agg(F.min(F.struct("id", "n", "keys")).alias("r")).select(*name, "r.*")
-    rest = scratch.stage(rest)
-    classes, held = rest.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    rest = scratch.stage(rest.select(*name, "id", "n", key))
+    hit = theirs.select("id", *name, key).join(rest.select("key").distinct(), "key").groupBy(*name, "key").agg(F.min("id").alias("id"))
+    hit = scratch.stage(hit)
+    rest = scratch.stage(rest.join(hit.select("key").distinct(), "key", "left_semi"))
+    ours = scratch.stage(rest.groupBy(name).agg(F.min("id").alias("id"), F.min("n").alias("n")))
+    classes, held = ours.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     blocks = max(1, -(-classes // CLASSES), -(-held // SHINGLES))
-    rest = rest.withColumn("block", F.pmod(F.xxhash64(*name), F.lit(blocks)).cast("int"))
-    asked = rest.select("block", F.explode("keys").alias("key")).distinct()
-    met = theirs.select("id", *name, F.explode("keys").alias("key")).join(asked, "key").groupBy(*name, "block").agg(F.min("id").alias("id"))
-    met = scratch.stage(met)
+    block = F.pmod(F.xxhash64(*name), F.lit(blocks)).cast("int").alias("block")
+    met = scratch.stage(hit.join(rest.select(block, "key").distinct(), "key").groupBy(*name, "block").agg(F.min("id").alias("id")))
     parts = max(1, -(-met.count() // (blocks * HOT)))
-    ours = rest.select("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "id", *name)
+    ours = ours.select(block, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "id", *name)
     dealt = met.select("block", F.pmod(F.xxhash64(*name), F.lit(parts)).cast("int").alias("part"), "id", *name)
     order = ["block", "part", "filed", "id", *name, "text"]
     rows = texts(new, False).join(ours, "id").select(order).unionAll(texts(filed, True).join(dealt, "id").select(order))
