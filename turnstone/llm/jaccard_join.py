@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as scan
-from .common import binary, columns_of, components, lookup, only, pieces, slots, stage, unstage
+from .common import binary, columns_of, components, lookup, only, pieces, released, slots, stage, unstage
 
 #: Bytes of text a worker expands at a time.
 PIECE = 1 << 20
@@ -250,8 +250,10 @@ def _keys(k: int, num: int, den: int, frequent: np.ndarray, deals: int) -> Calla
                 level, both = signatures(h, first, num, den, frequent)
                 found += [(key.view(np.int64), np.repeat(vertices(k1, level + up), np.diff(at))) for up, (key, at) in enumerate(both)]
             key, v = (np.concatenate([np.zeros(0, np.int64), *(x[i] for x in found)]) for i in (0, 1))
+            found.clear()
             order = np.lexsort((v, key))
             key, v = key[order], v[order]
+            del order
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (v[1:] != v[:-1])  # copies of a text
             key, v, new = key[new], v[new], np.ones(int(new.sum()), bool)
@@ -259,11 +261,14 @@ def _keys(k: int, num: int, den: int, frequent: np.ndarray, deals: int) -> Calla
             first = np.flatnonzero(new)
             many = np.diff(np.append(first, len(key)))
             crowd = np.repeat(many, many) > 1
-            lo = _roots(v[crowd], np.cumsum(new)[crowd])
+            held, group, shared = v[crowd], np.cumsum(new)[crowd], key[crowd]
+            v, key = v[first], key[first]
+            del new, first, many, crowd
             deal = part(key.view(_U))
-            name = named(deal, key)
-            yield _packs(deal[first], v[first], name[first], None)
-            yield _packs(part(v[crowd].view(_U) ^ scan.mix(key[crowd].view(_U))), v[crowd], name[crowd], lo)
+            yield _packs(deal, v, named(deal, key), None)
+            del v, key, deal
+            lo, name = _roots(held, group), named(part(shared.view(_U)), shared)
+            yield _packs(part(held.view(_U) ^ scan.mix(shared.view(_U))), held, name, lo)
 
     return run
 
@@ -304,7 +309,7 @@ def _shared(batches: Batches) -> Batches:
 def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
     """Hashes of shingles that MANY or more of at most SAMPLE documents of at most SAMPLE_CHARS hold, at most MOST."""
     ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    some = docs.where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(ids), "doc_id").select("doc_id", "text").mapInArrow(_sets(k), _SETS)
+    some = docs.where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(ids), "doc_id").select("doc_id", "text").mapInArrow(released(_sets(k)), _SETS)
     often = some.select(F.explode("items").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= MANY)
     return np.sort(often.orderBy(F.desc("n"), "h").limit(MOST).select("h").toArrow().column("h").to_numpy().astype(np.int64).view(_U))
 
@@ -382,7 +387,7 @@ def _links(texts: DataFrame, places: DataFrame, k: int, num: int, den: int) -> D
     # a fixed share of the corpus has places: merged at every size, so the plan of a small input is that of a large one
     dealt = texts.hint("merge").join(places, ["k1", "k2"]).select("*", F.explode(F.sequence("first", "last")).alias("other"))
     dealt = dealt.select("block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "label", "k1", "k2", "text")
-    return dealt.repartition(slots(texts.sparkSession), "block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(_trees(k, num, den), "a long, b long")
+    return dealt.repartition(slots(texts.sparkSession), "block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(released(_trees(k, num, den)), "a long, b long")
 
 
 def _leaves(docs, shingles, leaf_docs: int, leaf_shingles: int):
@@ -413,14 +418,14 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, leaf_docs: i
     links of a similarity of at least num/den reach."""
     parts = slots(docs.sparkSession)
     docs = only(docs, doc_id="long", text="string")
-    found = stage(docs.mapInArrow(_classes(k, num, den), _CLASSES))
+    found = stage(docs.mapInArrow(released(_classes(k, num, den)), _CLASSES))
     # copies of one text are many rows, of which a class is one
     classes = found.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n", "level").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     frames = [found]
 
-    rows = docs.where("doc_id is not null").mapInArrow(_keys(k, num, den, frequent_shingles(docs, k), parts * DEALS), _PACKED)
+    rows = docs.where("doc_id is not null").mapInArrow(released(_keys(k, num, den, frequent_shingles(docs, k), parts * DEALS)), _PACKED)
     # a batch sends a key once, so no key's rows are many
-    shared = stage(rows.repartitionById(parts, F.col("deal") % parts).sortWithinPartitions("deal").mapInArrow(_shared, _KEYS))
+    shared = stage(rows.repartitionById(parts, F.col("deal") % parts).sortWithinPartitions("deal").mapInArrow(released(_shared), _KEYS))
     trees = components(shared.where("v <> lo").select(F.col("lo").alias("a"), F.col("v").alias("b")).distinct())
     frames += [shared, trees]
 

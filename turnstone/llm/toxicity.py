@@ -32,7 +32,6 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -41,14 +40,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textscan as scan
-from .common import binary, pieces
+from .common import binary, pieces, released
 
 MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1500, 2000, 6000
 DECAY, SPAN, POWER = 1.0, 6, 2
 #: Distinct words whose values a task keeps.
 MOST_KNOWN = 1_000_000
-#: Words that are looked at together, and the score under which texts are not told apart.
-WORDS, FLOOR = 1000, 0.05
+#: Words that are looked at together in training and in scoring, and the score under which texts are not told apart.
+WORDS, SCORED, FLOOR = 1000, 250, 0.05
 LANDMARKS, COMMON, HARD = 64, 16, 64
 ROUNDS, COST = 4, 8.0
 #: Standard errors by which a word must be commoner in sentences of toxic documents to be telling.
@@ -64,7 +63,7 @@ BIAS = 5000
 #: Ways to insert a letter at a place, weight of a telling word with a letter inserted, and share of the clean words that
 #: may be as near to the telling word.
 INSERTED, SPOILT, NEAR = 1, 5.0, 0.00002
-PIECE = 2 << 20
+PIECE = 1 << 20
 
 _GAPS = [(d, e) for d in range(1, SPAN) for e in range(1, SPAN) if d + e < SPAN]
 _CODES = 1 << 15
@@ -166,13 +165,20 @@ def kernel(letters: np.ndarray, first: np.ndarray, table: np.ndarray) -> np.ndar
 
 
 def kernels(letters: np.ndarray, first: np.ndarray, table: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """The same, WORDS words at a time."""
+    """The same, some words at a time."""
+    codes = np.flatnonzero(table.any(1))
+    return sparse_kernels(letters, first, codes, table[codes])
+
+
+def sparse_kernels(letters: np.ndarray, first: np.ndarray, codes: np.ndarray, entries: np.ndarray, words: int = WORDS) -> Iterator[tuple[int, np.ndarray]]:
+    """The same, of a table whose rows of codes are entries and all others empty."""
     n = len(first) - 1
-    place = np.cumsum(table.any(1)) * table.any(1)
-    rows = np.concatenate((np.zeros((1, table.shape[1]), np.float32), table[place > 0]))
-    for at in range(0, n, WORDS):
-        which = np.arange(at, min(n, at + WORDS))
-        out = np.zeros((len(which), table.shape[1]), np.float32)
+    place = np.zeros(_CODES, np.int64)
+    place[codes] = np.arange(1, len(codes) + 1)
+    rows = np.concatenate((np.zeros((1, entries.shape[1]), np.float32), entries))
+    for at in range(0, n, words):
+        which = np.arange(at, min(n, at + words))
+        out = np.zeros((len(which), entries.shape[1]), np.float32)
         word, code, weight = _entries(*_take(letters, first, which))
         norm = np.sqrt(np.bincount(word, weight**2, len(which)))
         held = np.flatnonzero(place[code])  # subsequences that no column has add nothing
@@ -229,12 +235,6 @@ class Model:
     shift: float
     floor: float
 
-    @cached_property
-    def table(self) -> np.ndarray:
-        out = np.zeros((_CODES, len(self.weights)), np.float32)
-        out[self.codes] = self.entries
-        return out
-
     def worst(self, units: Units, rows: int, known: Known | None = None) -> np.ndarray:
         """The largest value over each row's words, at least floor; every distinct word is looked at once, and not again if
         it is known."""
@@ -256,8 +256,9 @@ class Model:
         of powers of kernels no more than the largest kernel times that of powers one less, without negative weights; a
         norm is no less than that of a word without repeats of a subsequence."""
         own = self.weights > 0
-        most = self.table[:, own].max(1, initial=0).astype(np.float32)
-        fold = (self.table[:, own] @ self.weights[own].astype(np.float32)).astype(np.float32)
+        most, fold = np.zeros(_CODES, np.float32), np.zeros(_CODES, np.float32)
+        most[self.codes] = self.entries[:, own].max(1, initial=0)
+        fold[self.codes] = self.entries[:, own] @ self.weights[own].astype(np.float32)
         n = len(letters)
         tops, sums, norms = np.zeros(n, np.float32), np.zeros(n, np.float32), np.zeros(n, np.float32)
         for spots, code, weight in subsequences(letters, first):
@@ -274,7 +275,7 @@ class Model:
 
     def values(self, letters: np.ndarray, first: np.ndarray) -> np.ndarray:
         weights, out = self.weights.astype(np.float32), np.zeros(len(first) - 1, np.float32)
-        for at, part in kernels(letters, first, self.table):
+        for at, part in sparse_kernels(letters, first, self.codes, self.entries, SCORED):
             out[at : at + len(part)] = part @ weights
         return out + np.float32(self.bias)
 
@@ -350,6 +351,7 @@ def train(texts: list[bytes], toxic: np.ndarray) -> Model:
         sentences_so_far += int(_SENTENCE_END[buf].sum()) + to - from_
         parts.append((found.letters.astype(np.uint8), np.diff(found.first), found.row + from_, hashes, ends))
     all_letters, sizes, row_of, h, sentence = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
     units = Units(all_letters, np.concatenate(([0], np.cumsum(sizes))), row_of, row_of)
     _, at, word = np.unique(h, return_index=True, return_inverse=True)
     letters, first = _take(units.letters, units.first, at)
@@ -364,6 +366,7 @@ def train(texts: list[bytes], toxic: np.ndarray) -> Model:
     kind, counted = kind[once], same[place]
     if len(once) < len(texts):  # a few sentences make up all documents: these are counted
         kind, counted = toxic, units.row
+    del h, said, place, sums, once, same
     pairs = np.unique(word * len(kind) + counted)
     in_toxic = np.bincount(pairs // len(kind), kind[pairs % len(kind)], len(at))
     in_clean = np.bincount(pairs // len(kind), ~kind[pairs % len(kind)], len(at))
@@ -411,29 +414,43 @@ def train(texts: list[bytes], toxic: np.ndarray) -> Model:
         table = features(*_take(letters, first, np.array(marks)))
         value, vector = np.linalg.eigh((table.T @ table).astype(float) ** POWER)
         root = vector / np.sqrt(np.maximum(value, 1e-3)) @ vector.T
-        x, alike = np.zeros((len(at), len(marks)), np.float32), np.zeros((len(at), len(positive)), np.float32)
-        for begin, part in kernels(letters, first, table):
-            x[begin : begin + len(part)] = part @ root.astype(np.float32)
-            alike[begin : begin + len(part)] = part[:, : len(positive)]
-        # clean words like no telling one hardly move the machine; some of them hold the bias
-        clean = np.flatnonzero((in_clean > 0) & ((alike.max(1) > LIKE) | spread))
-        # a telling word with a letter inserted counts as one unless clean documents hold words as near to it
-        alike[in_clean == 0] = 0
-        alike.partition(len(at) - 1 - int(NEAR * (in_clean > 0).sum()), 0)
-        near_clean = alike[len(at) - 1 - int(NEAR * (in_clean > 0).sum())].copy()
-        del alike
-        spoilt, owner = kernel(*inserted[:2], table), inserted[2]
-        spoilt = spoilt[spoilt[np.arange(len(owner)), owner] > near_clean[owner]] @ root.astype(np.float32)
+        codes = np.flatnonzero(table.any(1))
+        entries = table[codes]
+        del table
         v = np.where(known[words], np.maximum(value_of[words], 1e-3), value_of[words])
         order = np.lexsort((-v, sentences))
         lead = order[np.diff(sentences[order], prepend=-1) > 0]  # each sentence's worst word
         witness = lead[v[lead] > 0]
         witness = witness[in_clean[words[witness]] * RARE <= in_toxic[words[witness]]]
         some, times = np.unique(words[witness], return_counts=True)
-        xs = np.concatenate((x[some], spoilt, x[clean]))
+        # clean words like no telling one hardly move the machine; some of them hold the bias
+        is_clean = in_clean > 0
+        clean, shown = is_clean & spread, np.zeros(len(at), bool)
+        shown[some] = True
+        most, xs = 1 + int(NEAR * is_clean.sum()), []
+        near_clean = np.zeros((most, len(positive)), np.float32)
+        # of all words' features only those that the machine sees are held
+        for begin, part in sparse_kernels(letters, first, codes, entries):
+            here, alike = slice(begin, begin + len(part)), part[:, : len(positive)]
+            clean[here] |= is_clean[here] & (alike.max(1) > LIKE)
+            shown[here] |= clean[here]
+            xs.append((part @ root.astype(np.float32))[shown[here]])
+            near_clean = np.concatenate((near_clean, alike[is_clean[here]]))
+            near_clean.partition(len(near_clean) - most, 0)
+            near_clean = near_clean[-most:]
+        clean, x, row = np.flatnonzero(clean), np.concatenate(xs), np.cumsum(shown) - 1
+        # a telling word with a letter inserted counts as one unless clean documents hold words as near to it
+        near_clean = near_clean[0]
+        spoilt, owner = np.concatenate([x for _, x in sparse_kernels(*inserted[:2], codes, entries)]), inserted[2]
+        spoilt = spoilt[spoilt[np.arange(len(owner)), owner] > near_clean[owner]] @ root.astype(np.float32)
+        xs = np.concatenate((x[row[some]], spoilt, x[row[clean]]))
+        del x
         cost = COST * np.concatenate((np.sqrt(times), np.full(len(spoilt), SPOILT), np.sqrt(in_clean[clean])))
         w = _newton(xs, np.concatenate((np.ones(len(some) + len(spoilt)), -np.ones(len(clean)))), cost)
-        value_of = x @ w[:-1].astype(np.float32) + np.float32(w[-1])
+        del xs
+        value_of = np.zeros(len(at), np.float32)
+        for begin, part in sparse_kernels(letters, first, codes, entries):
+            value_of[begin : begin + len(part)] = part @ root.astype(np.float32) @ w[:-1].astype(np.float32) + np.float32(w[-1])
         # the clean words that cost the machine most are landmarks of the next round
         loss = np.sqrt(in_clean[every]) * np.maximum(0, 1 + value_of[every]) ** 2
         hard = every[np.argsort(-loss, kind="stable")[:512]]
@@ -445,8 +462,7 @@ def train(texts: list[bytes], toxic: np.ndarray) -> Model:
     wrong = np.array([(worst[toxic] < t).mean() + FALSE * (worst[~toxic] >= t).mean() for t in bounds])
     bound = float(bounds[np.flatnonzero(wrong <= wrong.min() + 0.002)[0]])
     slope = _logistic(worst - bound, toxic)
-    codes = np.flatnonzero(table.any(1))
-    return Model(codes, table[codes], root @ w[:-1], float(w[-1]), slope, -slope * bound, float(max(np.log(FLOOR) / slope + bound, w[-1])))
+    return Model(codes, entries, root @ w[:-1], float(w[-1]), slope, -slope * bound, float(max(np.log(FLOOR) / slope + bound, w[-1])))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -464,7 +480,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     # at most MAX_TOXIC + MAX_CLEAN rows: a bound that no input moves
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= MAX_CHARS)
     rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").repartition(1)
-    found = rows.mapInArrow(_train, "model binary").collect()
+    found = rows.mapInArrow(released(_train), "model binary").collect()
     return pickle.loads(found[0].model) if found else NEVER
 
 
@@ -498,7 +514,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found))], [*plain, "score"])
 
     kinds = [T.StructField(p, f.dataType, f.nullable) for p, f in zip(plain, docs.schema.fields, strict=True)]
-    return docs.toDF(*plain).mapInArrow(run, T.StructType([*kinds, T.StructField("score", T.DoubleType())])).toDF(*columns, name)
+    return docs.toDF(*plain).mapInArrow(released(run), T.StructType([*kinds, T.StructField("score", T.DoubleType())])).toDF(*columns, name)
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
