@@ -12,7 +12,9 @@ Method, a count-vector R-tree:
    tau groups are such, else all filled groups are; a set with tau or fewer filled groups, mostly common lines, also
    gives the groups of all its shingles, and failing those too meets the others of its level that fail.
 3. Connected components of classes and keys (stars, not pairs; keys that repeat within a batch are joined there, so a hot
-   key hardly shuffles) in a level are its trees. Each becomes one R-tree; a large one is dealt at random into leaves of
+   key hardly shuffles) in a level are its trees. A tree of several leaves is split first: what links shares many keys, so each
+   class lets as many of its commonest keys go, and components of the rest are trees; texts of a tree that no longer has any
+   are dealt nowhere. Each tree becomes one R-tree; one that still is large is dealt at random into leaves of
    bounded size, of which each also gets the tree's few pivots, so what is connected becomes so through them.
 4. What a large tree may still hold are links between different components, and such a pair shares a key. So the tree as
    one block, or each of its keys of more than one component as a block, whichever moves fewer sets, is dealt again: the
@@ -38,6 +40,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import textscan as scan
 from .common import binary, columns_of, components, lookup, only, pieces, released, slots, stage, unstage
@@ -52,6 +55,8 @@ SAMPLE, SAMPLE_CHARS, MANY, MOST = 12_000, 20_000, 3, 500_000
 PACKED, DEALS = 1 << 16, 8
 #: Bits that keys of one deal and vertices differ in: what is equal by chance is compared for nothing, and no more.
 BITS = 40
+#: How often what is large still is split.
+SPLITS = 3
 #: Coordinates of a point, and points in a node.
 COORDINATES, NODE = 128, 32
 
@@ -75,6 +80,17 @@ def levels(num: int, den: int, most: int) -> tuple[np.ndarray, np.ndarray, np.nd
 def signatures(h: np.ndarray, first: np.ndarray, num: int, den: int, frequent: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """The level of each set, and for that level and the next the keys of each set: hashes, and each set's first. Sets
     that only their equals can link with have none. frequent is sorted."""
+    level, both = told_signatures(h, first, num, den, frequent)
+    return level, [(key, at) for key, at, _ in both]
+
+
+def told_signatures(h: np.ndarray, first: np.ndarray, num: int, den: int, frequent: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """signatures, and with the keys of each set how many of them it shares with whatever it links with, at least.
+
+    Sizes a and b that link differ in (a + b)(den - num)/(den + num) shingles at most, which is less than tau allows for all sizes
+    of a level. What these do not spoil of a set's groups of two or more shingles, if such are its keys, are keys of both; if all
+    filled groups are its keys, a partner's may be groups of two or more alone, but of these it has over tau. One less is told,
+    as two keys of a set may be equal by chance; sets of few groups are told 1."""
     n = np.diff(first)
     rows = np.arange(len(n))
     top, tau, groups = levels(num, den, int(n.max(initial=1)))
@@ -103,12 +119,15 @@ def signatures(h: np.ndarray, first: np.ndarray, num: int, den: int, frequent: n
             key = scan.mix((low + (high << _U(32))) ^ scan.mix(at[of].astype(_U) * _U(1 << 32) + number.astype(_U) + _U(salt)))
             return np.bincount(group, minlength=base[-1]), key
 
-        owner, keys = [np.zeros(0, np.int64)], [np.zeros(0, _U)]
+        owner, keys, need = [np.zeros(0, np.int64)], [np.zeros(0, _U)], np.ones(len(n), np.int64)
         if base[-1]:
             size, key = grouped(rare, 0)
             least = np.where(np.bincount(of[size > 1], minlength=len(n)) > tau[at], 2, 1)
             use = size >= least[of]
             few = joins & (np.bincount(of[size > 0], minlength=len(n)) <= tau[at])
+            differ = (n + np.minimum(n * den // num, top[at])) * (den - num) // (den + num)
+            held = np.where(least == 2, np.bincount(of[use], minlength=len(n)), tau[at] + 1)
+            need = np.where(few, 1, np.maximum(held - differ - 1, 1))
             owner.append(of[use])
             keys.append(key[use])
             if few.any():
@@ -119,7 +138,7 @@ def signatures(h: np.ndarray, first: np.ndarray, num: int, den: int, frequent: n
                 keys += [key[use], scan.mix(at[last].astype(_U) + _U(0xD1B54A32D192ED03))]
         who, key = np.concatenate(owner), np.concatenate(keys)
         order = np.argsort(who, kind="stable")
-        out.append((key[order], np.searchsorted(who[order], np.arange(len(first)))))
+        out.append((key[order], np.searchsorted(who[order], np.arange(len(first))), need))
     return level, out
 
 
@@ -273,6 +292,18 @@ def _keys(k: int, num: int, den: int, frequent: np.ndarray, deals: int) -> Calla
     return run
 
 
+def _needs(k: int, num: int, den: int, frequent: np.ndarray) -> Callable[[Batches], Batches]:
+    """Each vertex of a text with the number of keys that it shares with whatever it links with, at least."""
+
+    def run(batches: Batches) -> Batches:
+        for _, h, first, k1, _ in _shingled(batches, k):
+            level, both = told_signatures(h, first, num, den, frequent)
+            for up, (_, _, need) in enumerate(both):
+                yield pa.RecordBatch.from_arrays([pa.array(vertices(k1, level + up)), pa.array(need)], ["v", "need"])
+
+    return run
+
+
 def _shared(batches: Batches) -> Batches:
     """_PACKED sorted by deal -> _KEYS of the keys of more than one vertex, with the least one as lo, and of the rows that
     have lo already."""
@@ -413,6 +444,39 @@ def _places(rows: DataFrame, sides: DataFrame, block: str) -> DataFrame:
     return mixed.select("k1", "k2", F.col(block).alias("block"), F.when(one, F.col("p")).otherwise(0).alias("first"), (F.col("p") + F.col("q") - 1).alias("last"), own.alias("own"), "label")
 
 
+def _split(members: DataFrame, keyed: DataFrame, needs: DataFrame, leaf_docs: int, leaf_shingles: int) -> tuple[DataFrame, DataFrame]:
+    """Large trees (members) as the smaller ones that their rarest keys hold together: the members of these, and the keys
+    (v, key) that hold those of them that still are large. keyed (v, key) are all keys that members share.
+
+    What links shares need keys, so the rarest of these, in one order of all keys, is not among the need - 1 commonest keys
+    of either: each vertex lets these go. A vertex that shares fewer keys is in no tree any more. In a smaller tree keys are
+    rarer, so what still is large is split again."""
+    frames, done, rest = [], members.limit(0), members
+    for _ in range(SPLITS):
+        own = keyed.join(rest.select("v", "tree").distinct(), "v")
+        many = own.groupBy("tree", "key").agg(F.count("*").alias("many")).where("many > 1")
+        common = Window.partitionBy("v").orderBy(F.desc("many"), F.desc("key"))
+        ranked = lookup(own, many, ["tree", "key"], "many").join(needs, "v").withColumn("place", F.row_number().over(common))
+        kept = stage(ranked.where("place >= need").select("v", "tree", "key"))
+        least = kept.groupBy("tree", "key").agg(F.min("v").alias("lo"), F.count("*").alias("many")).where("many > 1")
+        bound = stage(lookup(kept, least, ["tree", "key"], "many").select("v", "key", "lo"))
+        trees = components(bound.where("v <> lo").select(F.col("lo").alias("a"), F.col("v").alias("b")).distinct())
+        parts = stage(rest.drop("tree").join(trees.select("v", F.col("component").alias("tree")), "v"))
+        sizes = _sizes(parts, leaf_docs, leaf_shingles)
+        frames += [kept, bound, trees, parts, sizes]
+        dealt = lookup(parts, sizes, ["tree"], "members")
+        done, rest = done.unionByName(dealt.where("leaves = 1").select(members.columns)), dealt.where("leaves > 1").select(members.columns)
+        if sizes.where("leaves > 1").isEmpty():
+            break
+    out = stage(done.unionByName(rest)), stage(bound.select("v", "key"))
+    unstage(*frames)
+    return out
+
+
+def _sizes(members: DataFrame, leaf_docs: int, leaf_shingles: int) -> DataFrame:
+    return stage(members.groupBy("tree").agg(_leaves(F.count("*"), F.sum("n"), leaf_docs, leaf_shingles).alias("leaves"), F.count("*").alias("members")))
+
+
 def jaccard_components(docs: DataFrame, k: int, num: int, den: int, leaf_docs: int = LEAF_DOCS, leaf_shingles: int = LEAF_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text): component_id is the smallest doc_id that
     links of a similarity of at least num/den reach."""
@@ -423,7 +487,8 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, leaf_docs: i
     classes = found.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n", "level").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     frames = [found]
 
-    rows = docs.where("doc_id is not null").mapInArrow(released(_keys(k, num, den, frequent_shingles(docs, k), parts * DEALS)), _PACKED)
+    frequent = frequent_shingles(docs, k)
+    rows = docs.where("doc_id is not null").mapInArrow(released(_keys(k, num, den, frequent, parts * DEALS)), _PACKED)
     # a batch sends a key once, so no key's rows are many
     shared = stage(rows.repartitionById(parts, F.col("deal") % parts).sortWithinPartitions("deal").mapInArrow(released(_shared), _KEYS))
     trees = components(shared.where("v <> lo").select(F.col("lo").alias("a"), F.col("v").alias("b")).distinct())
@@ -431,13 +496,25 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, leaf_docs: i
 
     places = classes.select("k1", "k2", "n", "rep", F.explode(_both(F.col("k1"), F.col("level"))).alias("v"))
     members = stage(places.join(trees.select("v", F.col("component").alias("tree")), "v"))
-    sizes = stage(members.groupBy("tree").agg(_leaves(F.count("*"), F.sum("n"), leaf_docs, leaf_shingles).alias("leaves"), F.count("*").alias("members")))
+    sizes = _sizes(members, leaf_docs, leaf_shingles)
     frames += [members, sizes]
     # the texts of all trees, kept for both deals; the second needs those of large trees alone
     dealt = lookup(members, sizes, ["tree"], "members")
     held = dealt.groupBy(F.col("rep").alias("doc_id"), "k1", "k2").agg(F.max(F.col("leaves") > 1).alias("large"))
     texts = stage(docs.join(held.hint("merge"), "doc_id").select("k1", "k2", "text", "large"))
     frames.append(texts)
+
+    keyed = shared
+    if not sizes.where("leaves > 1").isEmpty():
+        needs = stage(texts.where("large").mapInArrow(released(_needs(k, num, den, frequent)), "v long, need long").groupBy("v").agg(F.min("need").alias("need")))
+        large = stage(dealt.where("leaves > 1").select(members.columns))
+        all_keys = stage(shared.select("v", "key").join(large.select("v"), "v", "left_semi").distinct())
+        split, keyed = _split(large, all_keys, needs, leaf_docs, leaf_shingles)
+        members = stage(dealt.where("leaves = 1").select(members.columns).unionByName(split))
+        sizes = _sizes(members, leaf_docs, leaf_shingles)
+        dealt = lookup(members, sizes, ["tree"], "members")
+        unstage(needs, large, all_keys, split)
+        frames += [keyed, members, sizes]
     own = F.pmod(F.xxhash64("k1"), "leaves").cast("int")
     pivot = (F.col("leaves") > 1) & (F.pmod(F.xxhash64(F.lit(1), "k1"), F.col("leaves") * max(1, leaf_docs // PIVOTS)) == 0)
     first = dealt.select("k1", "k2", F.col("tree").alias("block"), "leaves", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("leaves") - 1)).otherwise(F.array(own))).alias("own"))
@@ -450,7 +527,7 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, leaf_docs: i
         edges = joined.select(F.col("v").alias("a"), F.col("component").alias("b"))
         some = members.join(large.select("tree"), "tree", "left_semi").join(joined.withColumnRenamed("v", "k1"), "k1", "left")
         some = stage(some.select("v", "tree", "k1", "k2", "n", F.coalesce("component", "k1").alias("label")))
-        keyed = stage(shared.select("v", "key").join(some, "v").distinct())
+        keyed = stage(keyed.select("v", "key").join(some, "v").distinct())
         frames += [some, keyed]
         # a tree is done as one block or key by key, whichever moves fewer sets
         whole = _sides(some, "tree", leaf_docs, leaf_shingles)
