@@ -5,6 +5,7 @@ task. Collections are a partition column, so a persona prunes files."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -87,10 +88,52 @@ def search_block(points: DataFrame, queries: DataFrame, k: int, id_: str = "vec_
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], "query_id long, id long, score double")
+    return _ranked(found, k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def neighbours(points: DataFrame, k: int, id_: str = "vec_id", vector: str = "embedding", block: int = 1 << 16, cells: int = 1 << 20) -> DataFrame:
+    """search_block with every point as a query, none of them through the driver: points are dealt into blocks of about so many,
+    and a group is a block of queries and one of points, of which k rows a query go on. All pairs are scored, so the
+    work is the square of the points, and what shuffles the points times their blocks. Points without a vector of the
+    table's width neither ask nor are found."""
+    rows = points.select(F.col(id_).cast("long").alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null")
+    many, width = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    slots = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(-(-many // block), math.isqrt(slots), 1)  # groups enough for all slots
+    own, other = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    asked = rows.select(own.alias("i"), other.alias("j"), "id", "v")
+    there = rows.select(other.alias("i"), own.alias("j"), "id", "v")
+
+    def score(queries: pa.Table, found: pa.Table) -> pa.Table:
+        (q, q_ids), (v, ids) = (_unit(t, width) for t in (queries, found))
+        parts = []
+        for at in range(0, len(q_ids), 4096):
+            of, own = q[at : at + 4096], q_ids[at : at + 4096]
+            best, step = Best(len(own), k), max(1, cells // max(1, len(own)))
+            for a in range(0, len(ids), step):
+                some = ids[a : a + step]
+                s = np.round(v[a : a + step] @ of.T, 4)
+                s[some[:, None] == own[None, :]] = -np.inf
+                at_, who = np.nonzero((s >= best.floor) & np.isfinite(s))
+                best.add(who, some[at_], s[at_, who])
+            parts += best.batches(pa.array(own))
+        return pa.Table.from_batches(parts, pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())]))
+
+    found = asked.groupBy("i", "j").cogroup(there.groupBy("i", "j")).applyInArrow(score, "query_id long, id long, score double")
+    return _ranked(found, k)
+
+
+def _unit(rows: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of norm one, and their ids, of the rows (id, v) whose vectors have the width."""
+    v, there = matrix(rows.column("v").combine_chunks(), width)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300), rows.column("id").to_numpy()[there]
+
+
 def by_id(points: DataFrame, wanted: DataFrame, id_: str = "id") -> DataFrame:
     """The wanted ids with their points, and point_not_found as error where there is none."""
     found = points.withColumn("there_", F.lit(True)).join(wanted.select(id_).distinct(), id_, "right")

@@ -209,14 +209,15 @@ def topk_per_persona(spark, sf):
     return search.top_k_by_group(table(spark, sf, "embeddings"), _vector(spark, sf), 3, "label")
 
 
-def _neighbours(spark, sf):
+def _neighbours(spark, sf, all_=False):
     e = table(spark, sf, "embeddings")
-    found = search.search_block(e, e.where(F.col("vec_id") % 100 == 0), 10)
+    found = search.neighbours(e, 10) if all_ else search.search_block(e, e.where(F.col("vec_id") % 100 == 0), 10)
     label = e.select(F.col("vec_id"), "label")
     return found.join(label.withColumnsRenamed({"vec_id": "id", "label": "found"}), "id").join(label.withColumnsRenamed({"vec_id": "query_id", "label": "asked"}), "query_id")
 
 
-_NEAR = "SELECT q.vec_id AS query_id, e.vec_id AS id, q.label AS asked, e.label AS found, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id"
+_HUNDREDTH = "q.vec_id % 100 = 0 AND "
+_NEAR = f"SELECT q.vec_id AS query_id, e.vec_id AS id, q.label AS asked, e.label AS found, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4) AS score FROM embeddings e, embeddings q WHERE {_HUNDREDTH}q.vec_id <> e.vec_id"
 _RANKED = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM ({_NEAR})) WHERE rank <= 10"
 
 
@@ -225,9 +226,9 @@ def cosine_search_block(spark, sf):
     return _neighbours(spark, sf).select("query_id", "id", "score", "rank")
 
 
-@query(f"SELECT round(avg(a), 4) AS recall, round(avg(s), 4) AS precision FROM (SELECT max((asked = found)::INT) AS a, avg((asked = found)::INT::DOUBLE) AS s FROM ({_RANKED}) GROUP BY query_id)")
+@query(f"SELECT round(avg(a), 4) AS recall, round(avg(s), 4) AS precision FROM (SELECT max((asked = found)::INT) AS a, avg((asked = found)::INT::DOUBLE) AS s FROM ({_RANKED.replace(_HUNDREDTH, "")}) GROUP BY query_id)")
 def recall_at_k(spark, sf):
-    return search.recall_at_k(_neighbours(spark, sf), F.col("asked") == F.col("found"), 10)
+    return search.recall_at_k(_neighbours(spark, sf, all_=True), F.col("asked") == F.col("found"), 10)
 
 
 _IDEAL = "(SELECT sum(1 / log2(range + 1)) FROM range(1, 11) WHERE range <= (SELECT count(*) - 1 FROM embeddings l WHERE l.label = asked))"
