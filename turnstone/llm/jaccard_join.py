@@ -450,8 +450,9 @@ def _split(members: DataFrame, keyed: DataFrame, needs: DataFrame, leaf_docs: in
 
     What links shares need keys, so the rarest of these, in one order of all keys, is not among the need - 1 commonest keys
     of either: each vertex lets these go. A vertex that shares fewer keys is in no tree any more. In a smaller tree keys are
-    rarer, so what still is large is split again."""
-    frames, done, rest = [], members.limit(0), members
+    rarer, so what still is large is split again, unless the last time left more than half of it: a group of near copies is
+    one tree whatever its keys."""
+    frames, done, rest, before = [], members.limit(0), members, members.count()
     for _ in range(SPLITS):
         own = keyed.join(rest.select("v", "tree").distinct(), "v")
         many = own.groupBy("tree", "key").agg(F.count("*").alias("many")).where("many > 1")
@@ -466,8 +467,10 @@ def _split(members: DataFrame, keyed: DataFrame, needs: DataFrame, leaf_docs: in
         frames += [kept, bound, trees, parts, sizes]
         dealt = lookup(parts, sizes, ["tree"], "members")
         done, rest = done.unionByName(dealt.where("leaves = 1").select(members.columns)), dealt.where("leaves > 1").select(members.columns)
-        if sizes.where("leaves > 1").isEmpty():
+        left = sizes.where("leaves > 1").agg(F.sum("members")).first()[0] or 0
+        if not left or left * 2 > before:
             break
+        before = left
     out = stage(done.unionByName(rest)), stage(bound.select("v", "key"))
     unstage(*frames)
     return out
